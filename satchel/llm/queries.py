@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import bpe, simhash
+from satchel.llm import bpe, simhash, substring_index
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -28,8 +28,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id"))
 
 
+def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, removed words and digest of the kept words of every document, over windows of 20 words."""
+    return substring_index.remove_repeats(_table(spark, sf_dir, "documents"), window=20, batches=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe, "op8_simhash": op8_simhash}
+    return {"op6_bpe": op6_bpe, "op8_simhash": op8_simhash, "op10_substring_index": op10_substring_index}
 
 
 def oracle_sql() -> dict[str, str]:
