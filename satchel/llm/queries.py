@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import bpe, simhash, substring_index
+from satchel.llm import bpe, simhash, substring_index, suffix_merge
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op7_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and spans, and digest of the kept bytes of every document, over windows of 400 bytes."""
+    return suffix_merge.remove_repeats(_table(spark, sf_dir, "documents"), window=400)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of three-word shingles and the component over links of three bits or fewer, of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=3, width=3)
@@ -34,7 +39,7 @@ def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe, "op8_simhash": op8_simhash, "op10_substring_index": op10_substring_index}
+    return {"op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op10_substring_index": op10_substring_index}
 
 
 def oracle_sql() -> dict[str, str]:
