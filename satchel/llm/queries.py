@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import bpe, simhash, substring_index, suffix_merge
+from satchel.llm import bpe, html_text, simhash, substring_index, suffix_merge
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of every document."""
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -39,7 +44,7 @@ def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op10_substring_index": op10_substring_index}
+    return {"op1_html_text": op1_html_text, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op10_substring_index": op10_substring_index}
 
 
 def oracle_sql() -> dict[str, str]:
