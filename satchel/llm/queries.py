@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import bpe, html_text, simhash, substring_index, suffix_merge
+from satchel.llm import bpe, html_text, quality_rules, simhash, substring_index, subword_classifier, suffix_merge
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,17 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and robust outlier verdict of every document."""
+    found = quality_rules.rules(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op5_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return subword_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", 0.3)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of every document."""
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -44,7 +55,7 @@ def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op10_substring_index": op10_substring_index}
+    return {"op1_html_text": op1_html_text, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op10_substring_index": op10_substring_index}
 
 
 def oracle_sql() -> dict[str, str]:
