@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import bpe, html_text, quality_rules, simhash, substring_index, subword_classifier, suffix_merge
+from satchel.llm import bpe, html_text, line_dedup, quality_rules, simhash, substring_index, subword_classifier, suffix_merge
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -49,13 +49,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and digest of the kept lines of every document."""
+    return line_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, removed words and digest of the kept words of every document, over windows of 20 words."""
     return substring_index.remove_repeats(_table(spark, sf_dir, "documents"), window=20, batches=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op10_substring_index": op10_substring_index}
+    return {"op1_html_text": op1_html_text, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_index": op10_substring_index}
 
 
 def oracle_sql() -> dict[str, str]:
