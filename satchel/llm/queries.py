@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import bpe, html_text, line_dedup, quality_rules, simhash, substring_index, subword_classifier, suffix_merge
+from satchel.llm import bpe, html_text, latent_decontamination, line_dedup, quality_rules, simhash, substring_index, subword_classifier, suffix_merge
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, every item against every document."""
+    return latent_decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and robust outlier verdict of every document."""
     found = quality_rules.rules(_table(spark, sf_dir, "documents"))
@@ -60,7 +65,7 @@ def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_index": op10_substring_index}
+    return {"op1_html_text": op1_html_text, "op3_latent_decontamination": op3_latent_decontamination, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_index": op10_substring_index}
 
 
 def oracle_sql() -> dict[str, str]:
