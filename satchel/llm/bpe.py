@@ -252,19 +252,21 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> Da
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes every whole text in one pass; returns ``key`` and DIGESTS. Null counts as empty."""
+def digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every whole text in one pass; returns ``key``, DIGESTS, and ``ids`` if asked for. Null counts as
+    empty."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
             for lo, hi, texts in _grouped(batch, "text"):
-                n, of_ids, of_bytes = [], [], []
-                for ids, joined in own.encode(texts):
-                    n.append(len(ids))
-                    of_ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"{key} {kind}, {DIGESTS}")
+                encoded = own.encode(texts)
+                of_ids = [hashlib.sha256(joined.encode()).hexdigest() for _, joined in encoded]
+                of_bytes = [hashlib.sha256(own.decode(ids)).hexdigest() for ids, _ in encoded]
+                columns = {key: batch.column(0).slice(lo, hi - lo), "n_tokens": pa.array([len(ids) for ids, _ in encoded], pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())}
+                if with_ids:
+                    columns["ids"] = pa.array([ids for ids, _ in encoded], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, {DIGESTS}" + ", ids array<int>" * with_ids)

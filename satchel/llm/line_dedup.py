@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satchel.llm.anchors import bit_filter, with_order, with_spans
+from satchel.llm.anchors import LAST, bit_filter, with_order, with_spans
+from satchel.llm.split_join import split_by
 from satchel.llm.store import materialize
 from satchel.llm.text import Chunk, byte_values, chunks, mix, prefix_sums, slice_hashes
 
@@ -224,12 +225,15 @@ def remove_later(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     null. Rows of equal keys count as ordered by a hash of their text, wholly equal rows as one text; null keys come last.
     A column called n_removed is replaced. No rows give no rows.
     """
-    own = docs.drop("n_removed")
-    cut = kept_texts(docs, similarity, shingle, least, key, text).withColumnsRenamed({"ord": "__ord", "th": "__th", "n_removed": "__n", "kept": "__kept"})
-    order = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).eqNullSafe(F.col("__ord"))
-    joined = own.join(cut, order & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__th")), "left")
-    columns = [F.coalesce("__kept", text).alias(text) if c == text else F.col(c) for c in own.columns]
-    return joined.select(*columns, F.coalesce("__n", F.lit(0)).cast("long").alias("n_removed"))
+    gone = materialize(later_matches(with_order(docs, key, text), similarity, shingle, least), "later-lines")
+    own = docs.drop("n_removed").withColumns({"__ord": F.coalesce(F.col(key).cast("long"), F.lit(LAST)), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    maybe, rest = split_by(own, F.col("__th"), gone.select("th").distinct())
+    lines = gone.groupBy(F.col("ord").alias("__ord"), F.col("th").alias("__th")).agg(F.collect_set("line").alias("__gone"))
+    cut = maybe.join(lines, ["__ord", "__th"], "left").withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    cut = cut.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
+    columns = [*(c for c in docs.columns if c != "n_removed"), "n_removed"]
+    return cut.select(*columns).unionByName(rest.withColumn("n_removed", F.lit(0).cast("long")).select(*columns))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

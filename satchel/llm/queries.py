@@ -64,8 +64,15 @@ def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.remove_repeats(_table(spark, sf_dir, "documents"), window=20, batches=3)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op3_latent_decontamination": op3_latent_decontamination, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_index": op10_substring_index}
+    return {"op1_html_text": op1_html_text, "op3_latent_decontamination": op3_latent_decontamination, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_index": op10_substring_index, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

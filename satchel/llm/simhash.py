@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.llm.components import component_labels
+from satchel.llm.split_join import split_by, without_keys
 from satchel.llm.store import materialize
 
 SEED = 42
@@ -71,6 +72,8 @@ class Forest:
         self.fp = fp
         first = np.flatnonzero(np.concatenate(([True], np.any(shard[1:] != shard[:-1], axis=1)))) if n else np.empty(0, np.int64)
         self.root = np.repeat(first, np.diff(np.concatenate((first, [n]))))
+        self.parent, self.edge = np.full(n, -1), np.zeros(n, np.int64)
+        self.levels: list[np.ndarray] = []
         edge_keys, children = [], []
         pending = np.setdiff1d(np.arange(n), first, assume_unique=True)
         node = self.root[pending]
@@ -79,6 +82,8 @@ class Forest:
             keys, at, which = np.unique(edges, return_index=True, return_inverse=True)
             edge_keys.append(keys)
             children.append(pending[at])  # the first row at this edge becomes the child, the others descend to it
+            self.parent[pending[at]], self.edge[pending[at]] = keys // 65, keys % 65
+            self.levels.append(pending[at])
             rest = np.ones(len(pending), bool)
             rest[at] = False
             node, pending = pending[at][which[rest]], pending[rest]
@@ -87,8 +92,12 @@ class Forest:
         self.edges = keys[order]
         self.child = np.concatenate(children)[order] if children else np.empty(0, np.int64)
 
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows (query, earlier row) within the radius."""
+    def links(self, radius: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows (query, earlier row) within the radius; pairs that ``label`` has linked already may be left out,
+        as a search does not enter a subtree that is wholly linked to its query."""
+        whole = np.ones(len(self.fp), bool)
+        for level in reversed(self.levels):
+            np.logical_and.at(whole, self.parent[level], whole[level] & (label[level] == label[self.parent[level]]))
         step = 1 << 15
         for lo in range(0, len(self.fp), step):
             queries = np.arange(lo, min(lo + step, len(self.fp)))
@@ -99,6 +108,8 @@ class Forest:
                     half = len(query) // 2
                     stack += [(query[:half], node[:half]), (query[half:], node[half:])]
                     continue
+                new = ~(whole[node] & (label[node] == label[query]))
+                query, node = query[new], node[new]
                 d = popcount(self.fp[query] ^ self.fp[node])
                 near = (d <= radius) & (node < query)
                 if near.any():
@@ -109,21 +120,28 @@ class Forest:
                     at = np.repeat(lo_edge - np.cumsum(n) + n, n) + np.arange(n.sum())
                     stack.append((np.repeat(query, n), self.child[at]))
 
-
-def _spanning(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least row that each row is linked to, over any number of links."""
-    label = np.arange(n)
-    for a, b in links:
-        while True:
-            x, y = label[a], label[b]
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            change = low < high
-            if not change.any():
-                break
-            np.minimum.at(label, high[change], low[change])
-            while (label[label] != label).any():
-                label = label[label]
-    return label
+    def components(self, radius: int) -> np.ndarray:
+        """The least row that each row is linked to over any number of links. Edges of the trees that are links come
+        first, then searches find the rest."""
+        label = np.arange(len(self.fp))
+        short = np.flatnonzero((self.parent >= 0) & (self.edge <= radius))
+        label = _joined(label, short, self.parent[short])
+        for a, b in self.links(radius, label.copy()):
+            label = _joined(label, a, b)
+        return label
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after linking rows a and b: each row's least row so far."""
+    while True:
+        x, y = label[a], label[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        change = low < high
+        if not change.any():
+            return label
+        np.minimum.at(label, high[change], low[change])
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def near_links(prints: DataFrame, radius: int = 3, n: int | None = None) -> DataFrame:
@@ -149,7 +167,7 @@ def near_links(prints: DataFrame, radius: int = 3, n: int | None = None) -> Data
         order = np.lexsort((vertex, bits, choice))
         vertex, fp, choice, bits = vertex[order], fp[order].view(np.uint64), choice[order], bits[order]
         forest = Forest(np.stack((choice.astype(np.int64), bits), axis=1), fp)
-        label = _spanning(len(fp), forest.links(radius))
+        label = forest.components(radius)
         linked = np.flatnonzero(label != np.arange(len(fp)))
         pairs = np.unique(np.stack((vertex[label[linked]], vertex[linked]), axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -173,9 +191,41 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 5, key: str =
     return prints.join(of_print, "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one with the least key. Texts without words are no
-    copies of each other here and all stay, as do rows with a null key."""
+def _pair_similarity(a: str, b: str, width: int) -> float:
+    """Jaccard similarity of the sets of word shingles of two texts, A-Z in lower case."""
+    sets = []
+    for text in (a, b):
+        words = text.encode().lower().split()
+        sets.append({b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    common = len(sets[0] & sets[1])
+    return common / max(1, len(sets[0]) + len(sets[1]) - common)
+
+
+def copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``of`` (the kept row's key) of the rows that are near copies of their group's least row.
+
+    Fingerprints within ``radius`` bits make groups; a row is a copy if its text equals that of the group's least row, or
+    their sets of ``width``-word shingles have the similarity or more. Only rows of groups are read again for that.
+    """
     found = near_duplicates(docs, radius, width, key, text)
-    copies = found.where((F.col("component_id") != F.col(key)) & (F.col("fp") != 0)).select(key)
-    return docs.join(copies, key, "left_anti").select(*docs.columns)
+    pairs = found.where((F.col("component_id") != F.col(key)) & (F.col("fp") != 0)).select(key, F.col("component_id").alias("of")).distinct()
+    pairs = materialize(pairs, "copy-pairs")
+    texts = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    members = pairs.select(key).union(pairs.select("of")).distinct()
+    texts, _ = split_by(texts, F.col("__key"), members)
+    texts = texts.join(members, texts["__key"] == members[key], "left_semi").groupBy("__key").agg(F.first("__text").alias("__text"))
+    both = pairs.join(texts.withColumnRenamed("__text", "a"), F.col(key) == F.col("__key")).drop("__key").join(texts.withColumnRenamed("__text", "b"), F.col("of") == F.col("__key")).drop("__key")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [a == b or _pair_similarity(a, b, width) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            yield batch.select([key, "of"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select(key, "of", "a", "b").mapInArrow(run, f"`{key}` {kind}, of {kind}")
+
+
+def keep_one(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that copies() finds: of each group of near duplicates the row with the least key stays,
+    and rows of the group that are not similar to it. Texts without words and rows with a null key stay."""
+    return without_keys(docs, key, materialize(copies(docs, radius, width, similarity, key, text).select(key), "copies"))
