@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import bpe, html_text, latent_decontamination, line_dedup, quality_rules, simhash, substring_index, subword_classifier, suffix_merge
+from satchel.llm import bpe, html_text, latent_decontamination, line_dedup, quality_rules, simhash, substring_index, subword_classifier, suffix_merge, tool_calls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,18 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool calls: each user turn t is a call ``call_<t>`` of the tool ``reply``, which names the call of
+    turn t - 2 if there is one, and the assistant's turn t + 1 is its result."""
+    turns = _table(spark, sf_dir, "conversations")
+    name = lambda t: F.concat(F.lit("call_"), t.cast("string"))
+    arguments = F.to_json(F.struct("text", F.when(F.col("turn") > 1, F.concat(F.lit("$"), name(F.col("turn") - 2))).alias("after"), "turn"))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame([("reply", "text", "string", True), ("reply", "turn", "integer", True), ("reply", "after", "string", False)], "name string, field string, type string, required boolean")
+    return tool_calls.link(calls, results, schemas).select("conv_id", "call_id", "turn", "depth", "n_results", "valid", "json")
+
+
 def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, every item against every document."""
     return latent_decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -72,8 +84,64 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op3_latent_decontamination": op3_latent_decontamination, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_index": op10_substring_index, "pipeline": pipeline}
+    return {"op1_html_text": op1_html_text, "op2_tool_calls": op2_tool_calls, "op3_latent_decontamination": op3_latent_decontamination, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_index": op10_substring_index, "pipeline": pipeline}
+
+
+OP2_SQL = """
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY ALL
+), results AS (
+  SELECT conv_id, turn - 1 AS turn, min(text) AS result, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL
+), walk AS (
+  SELECT c.conv_id, c.turn, 1::BIGINT AS depth FROM calls c
+  WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+  UNION ALL
+  SELECT c.conv_id, c.turn, w.depth + 1 FROM walk w JOIN calls c ON c.conv_id = w.conv_id AND c.turn = w.turn + 2
+)
+SELECT conv_id, 'call_' || turn AS call_id, turn, depth, coalesce(n, 0)::BIGINT AS n_results, text IS NOT NULL AS valid,
+  '{"arguments":{' || CASE WHEN turn > 1 THEN '"after":"$call_' || (turn - 2) || '",' ELSE '' END
+  || CASE WHEN text IS NOT NULL THEN '"text":' || to_json(text)::VARCHAR || ',' ELSE '' END || '"turn":' || turn || '}'
+  || ',"depth":' || depth || ',"id":"call_' || turn || '","name":"reply"'
+  || CASE WHEN result IS NOT NULL THEN ',"result":' || to_json(result)::VARCHAR ELSE '' END
+  || ',"valid":' || (text IS NOT NULL) || '}' AS json
+FROM calls JOIN walk USING (conv_id, turn) LEFT JOIN results USING (conv_id, turn)
+"""
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP9_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, i, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))
+), sets AS (
+  SELECT doc_id, i, list_distinct([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM lines WHERE len(w) >= 5
+), tokens AS (SELECT doc_id, i, len(s) AS n, unnest(s) AS t FROM sets),
+frequent AS (SELECT t, count(*) AS df FROM tokens GROUP BY t),
+ranked AS (SELECT doc_id, i, n, t, row_number() OVER (PARTITION BY doc_id, i ORDER BY df, t) AS p FROM tokens JOIN frequent USING (t)),
+prefixes AS (SELECT * FROM ranked WHERE p <= n - ceil(0.8 * n) + 1),
+pairs AS (
+  SELECT DISTINCT a.doc_id, a.i, b.doc_id AS d, b.i AS j FROM prefixes a JOIN prefixes b ON a.t = b.t
+  WHERE (b.doc_id, b.i) < (a.doc_id, a.i) AND b.n >= 0.8 * a.n - 1e-9 AND a.n >= 0.8 * b.n - 1e-9
+), gone AS (
+  SELECT DISTINCT p.doc_id, p.i FROM pairs p JOIN sets a ON a.doc_id = p.doc_id AND a.i = p.i JOIN sets b ON b.doc_id = p.d AND b.i = p.j
+  WHERE len(list_intersect(a.s, b.s)) >= 0.8 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) - 1e-9
+)
+SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, sha256(coalesce(string_agg(l.l, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+"""
+
+OP10_SQL = rf"""
+WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, k, sha256(array_to_string(w[k:k + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM words WHERE len(w) >= 20)
+), again AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, k + o AS i FROM again, range(0, 20) AS t(o)),
+each AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM words),
+kept AS (SELECT e.doc_id, count(*) AS n_kept, string_agg(x, ' ' ORDER BY e.i) AS t FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i WHERE g.i IS NULL GROUP BY e.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_tool_calls": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_index": OP10_SQL}
