@@ -14,6 +14,8 @@ class NotReadOnly(ValueError):
 #: Plan nodes of statements that change or reveal something.
 REFUSED = re.compile(r"Insert|Command|Create|Drop|Alter|Delete|Update|Merge|Explain|Set|Show|Describe|Cache|Truncate|Load|Repair|Refresh|Analyze|Use|Write|Replace|Call|Execute|Script|TableValuedFunction")
 ALLOWED_SETS = {"SetOperation"}
+#: Expressions that hold a plan.
+WITH_PLAN = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
 
 
 def _walk(plan) -> list:
@@ -23,9 +25,9 @@ def _walk(plan) -> list:
         node = stack.pop()
         found.append(node)
         for children in (node.children(), node.innerChildren()):
-            stack += [x for i in range(children.size()) if hasattr(x := children.apply(i), "children")]
-        expressions = node.expressions() if hasattr(node, "expressions") else None
-        for i in range(expressions.size()) if expressions is not None and hasattr(expressions, "size") else ():
+            stack += [children.apply(i) for i in range(children.size())]
+        expressions = node.expressions()
+        for i in range(expressions.size()):
             stack += _plans_of(expressions.apply(i))
     return found
 
@@ -34,7 +36,7 @@ def _plans_of(expression) -> list:
     out, stack = [], [expression]
     while stack:
         e = stack.pop()
-        if hasattr(e, "plan") and e.getClass().getSimpleName().endswith(("Subquery", "Exists", "ListQuery")):
+        if e.getClass().getSimpleName() in WITH_PLAN:
             out.append(e.plan())
         children = e.children()
         stack += [children.apply(i) for i in range(children.size())]

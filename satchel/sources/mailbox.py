@@ -108,7 +108,7 @@ def _parse(folder: str, uid: int, raw: bytes) -> dict:
         out["subject"], out["message_id"] = m["subject"], m["message-id"]
         out["date_sent"] = int(parsedate_to_datetime(m["date"]).timestamp()) * 1000 if m["date"] else None
         text, page = m.get_body(("plain",)), m.get_body(("html",))
-        out["body_text"], out["body_html"] = text and text.get_content(), page and page.get_content()
+        out["body_text"], out["body_html"] = (part.get_content() if part is not None else None for part in (text, page))
         out["attachment_count"] = sum(1 for _ in m.iter_attachments()) if m.is_multipart() else 0
         out["subject"] = out["subject"] and str(out["subject"])
     except Exception as error:  # a broken message is reported in its row; the others go on

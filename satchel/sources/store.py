@@ -61,9 +61,10 @@ class Store:
         self.append(table, now.withColumns({k: F.lit(v) for k, v in changes.items()}))
 
     def latest(self, table: str) -> DataFrame:
-        """The latest row of each id, by updated_at."""
+        """The latest row of each id, by the times that the table has; rows of equal times compare by their other columns."""
         rows = self.read(table)
-        order = F.struct(F.coalesce("updated_at", F.lit(-1)), F.monotonically_increasing_id()) if "updated_at" in rows.columns else F.monotonically_increasing_id()
+        times = [c for c in ("updated_at", "completed_at", "ended_at", "created_at", "started_at") if c in rows.columns]
+        order = F.struct(*(F.coalesce(c, F.lit(-1)) for c in times), F.to_json(F.struct(*rows.columns)))
         return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
 
     def delete(self, table: str, gone: DataFrame, key: str = "id") -> None:
