@@ -180,7 +180,7 @@ def _kept_digests(texts: DataFrame) -> DataFrame:
 
 def batches_by_key(docs: DataFrame, n: int, key: str = "doc_id") -> list[DataFrame]:
     """Splits documents into ``n`` batches of about equal size by ranges of the key; null keys come last."""
-    cuts = sorted({int(x) for x in docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.01)})
+    cuts = [] if n < 2 else sorted({int(x) for x in docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.01)})
     column, out = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), []
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         out.append(docs.where((F.lit(True) if lo is None else column > lo) & (F.lit(True) if hi is None else column <= hi)))
