@@ -2,11 +2,11 @@
 
 Texts are cut into segments around anchors (see anchors.py), so that equal windows of ``window`` bytes meet in one task
 wherever they come from. There the segments are split into shards. Each shard gets its Burrows-Wheeler transform; the
-transforms alone are then merged: the interleave of the shards' sorted suffixes is refined round by round, each round
-doubling the depth to which it is settled by stepping along the transforms' own next-suffix mapping. Suffixes are not
-sorted again: in every shard they are in order already, and a round only merges presorted runs. Two neighbours of the
-merged order have a common prefix of ``window`` bytes if they fall in one block at that depth, which gives the repeated
-intervals.
+transforms alone are then merged: the interleave of the shards' sorted suffixes starts as blocks of equal first symbols
+and is refined round by round, each round doubling the depth to which it is settled by stepping along the transforms' own
+next-suffix mapping. Texts are not read again, and a block of one suffix takes no part in later rounds. Two neighbours of
+the merged order have a common prefix of ``window`` bytes if they fall in one block at that depth, which gives the
+repeated intervals.
 """
 
 from __future__ import annotations
@@ -26,19 +26,43 @@ from satchel.llm.text import byte_values, chunks, mix, window_hashes
 WINDOW = 400
 GRAM = 64
 #: Bytes of a shard, and of the shards that are merged together (cut between anchors).
-SHARD_BYTES = 1 << 19
-GROUP_BYTES = 1 << 21
+SHARD_BYTES = 1 << 18
+GROUP_BYTES = 1 << 20
 #: Anchors with more distinct segments than this are compared window by window in a shuffle instead of in one task.
-HOT_SEGMENTS = 4096
+HOT_SEGMENTS = 2048
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    """Ranks of keys, equal keys sharing one; stable sorting merges runs that are in order already."""
-    order = np.argsort(keys, kind="stable")
-    ranks = np.empty(len(keys), np.int64)
+#: Symbols that the first round compares: seven of nine bits in one number.
+FIRST = 7
+
+
+def _start(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each key (the number of lesser keys) and the rows in blocks of several."""
+    order = np.argsort(keys)
     ordered = keys[order]
-    ranks[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-    return ranks
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    first = np.flatnonzero(new)
+    block = np.empty(len(keys), np.int64)
+    size = np.diff(np.concatenate((first, [len(keys)])))
+    block[order] = np.repeat(first, size)
+    return block, order[np.repeat(size > 1, size)]
+
+
+def _refine(block: np.ndarray, active: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Splits blocks in place by what lies ahead of their rows; returns the rows in blocks of several. Blocks keep their
+    place: a part's number is the number of rows before it."""
+    if not len(active):
+        return active
+    keys = block[active] << 32 | ahead
+    order = np.argsort(keys)
+    active, keys = active[order], keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.concatenate((first, [len(keys)])))
+    old = keys >> 32
+    of_old = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1])))
+    begin = np.repeat(of_old, np.diff(np.concatenate((of_old, [len(old)]))))
+    block[active] = old + np.repeat(first, size) - begin
+    return active[np.repeat(size > 1, size)]
 
 
 class Shard:
@@ -57,35 +81,25 @@ class Shard:
         text = np.frombuffer(joined, np.uint8).astype(np.int64) + 1
         text[ends - 1] = 0
         n = len(text)
-        # the first symbols of each suffix as one number; after a terminator nothing counts
-        padded = np.concatenate((text, np.zeros(8, np.int64)))
+        padded = np.concatenate((text, np.zeros(FIRST, np.int64)))
         key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(6):
-            symbol = np.where(open_, padded[k : k + n], 0)
-            key = key * 257 + symbol
-            open_ &= symbol > 0
-        # terminators are told apart by their segment
-        rank, depth = _dense(key), 6
+        for k in range(FIRST):  # after a terminator nothing counts
+            key = key << 9 | np.where(open_, padded[k : k + n], 0)
+            open_ &= padded[k : k + n] > 0
         number = np.repeat(np.arange(len(lengths)), lengths)
         left = np.repeat(ends, lengths) - np.arange(n)
-        closed = left <= depth
-        while True:
-            # suffixes that have reached their terminator tie only with equal ones, which their segments' order settles
-            tail = np.where(closed, number, 0)
-            if not closed.all():
-                ahead = np.minimum(np.arange(n) + depth, n - 1)
-                tail = np.where(closed, tail, rank[ahead] + len(lengths))
-            new = _dense(rank * (n + len(lengths) + 1) + tail)
-            if new.max() == n - 1:
-                rank = new
-                break
-            rank, depth = new, 2 * depth
-            closed = left <= depth
+        rank, active = _start(key)
+        depth = FIRST
+        while len(active):
+            # suffixes past their terminator tie only with equal ones, which the order of their segments settles
+            ahead = np.where(left[active] <= depth, number[active], rank[np.minimum(active + depth, n - 1)])
+            active = _refine(rank, active, ahead)
+            depth *= 2
         suffixes = np.empty(n, np.int64)
         suffixes[rank] = np.arange(n)
         starts = np.repeat(ends - lengths, lengths)
-        before = np.where(suffixes == starts[suffixes], 0, text[np.maximum(suffixes - 1, 0)])
-        self.bwt, self.place, self.order, self.lengths = before, suffixes, order, lengths
+        self.bwt = np.where(suffixes == starts[suffixes], 0, text[np.maximum(suffixes - 1, 0)]).astype(np.int16)
+        self.place, self.order, self.lengths = suffixes, order, lengths
 
     def next_suffix(self) -> np.ndarray:
         """For each sorted suffix the one that starts a symbol later, from the transform alone."""
@@ -97,24 +111,27 @@ def merge(shards: list[Shard], window: int) -> list[np.ndarray]:
     sizes = np.array([len(s.bwt) for s in shards])
     shift = np.repeat(np.cumsum(sizes) - sizes, sizes)
     step = np.concatenate([s.next_suffix() for s in shards]) + shift
-    symbol = np.concatenate([np.sort(s.bwt) for s in shards])  # first symbols of the sorted suffixes
+    symbol = np.concatenate([np.sort(s.bwt) for s in shards]).astype(np.int64)  # first symbols of the sorted suffixes
     ended = symbol == 0
     step[ended] = np.flatnonzero(ended)  # a suffix does not go on past its terminator
-    block, depth = symbol, 1
-    halves: list[tuple[int, np.ndarray, np.ndarray]] = []
-    while depth < window:
-        halves.append((depth, block, step))
-        if 2 * depth > window:
-            break
-        block = _dense(block * (len(block) + 258) + block[step])
-        step, depth = step[step], 2 * depth
-    # window = depth + remainder: the last blocks of both ends of the window settle it
-    offset, rest = np.arange(len(step)), window - depth
-    for d, _, jump in reversed(halves):
-        if d <= rest:
-            offset, rest = jump[offset], rest - d
-    if window > depth:
-        block = _dense(block * (len(block) + 258) + block[offset])
+    depth = min(FIRST, window)
+    key, jump = symbol, np.arange(len(step))
+    for _ in range(depth - 1):
+        jump = step[jump]
+        key = key << 9 | symbol[jump]
+    jumps = [(1, step), (depth, step[jump])]
+    block, active = _start(key)
+    while 2 * depth <= window:
+        jump = jumps[-1][1]
+        active = _refine(block, active, block[jump[active]])
+        depth *= 2
+        jumps.append((depth, jump[jump]))
+    if depth < window:  # the last blocks of both ends of the window settle it
+        ahead, rest = active, window - depth
+        for d, jump in reversed(jumps):
+            while d <= rest:
+                ahead, rest = jump[ahead], rest - d
+        _refine(block, active, block[ahead])
     return np.split(block, np.cumsum(sizes)[:-1])
 
 
