@@ -35,3 +35,27 @@ def checksum_duplicates(emails: DataFrame) -> DataFrame:
 
 def attachments_of(attachments: DataFrame, email_id: int) -> DataFrame:
     return attachments.where(F.col("email_id") == email_id).orderBy("id")
+
+
+def threads(messages: DataFrame) -> DataFrame:
+    """Messages (message_id, in_reply_to) with ``thread``, the first message of their thread.
+
+    Replies point to what they answer; pointers are doubled until each reaches a message that answers nothing we have, so
+    that rounds grow with the logarithm of a thread's length. Each round is checkpointed. Replies in a circle belong to
+    its least message.
+    """
+    known = messages.select(F.col("message_id").alias("parent")).distinct()
+    own = messages.select("message_id", "in_reply_to").groupBy("message_id").agg(F.min("in_reply_to").alias("parent"))
+    now = own.join(known.withColumn("there", F.lit(True)), "parent", "left")
+    answers = F.coalesce(F.col("there") & (F.col("parent") != F.col("message_id")), F.lit(False))
+    now = now.select("message_id", F.when(answers, F.col("parent")).otherwise(F.col("message_id")).alias("thread"), F.col("message_id").alias("least"), answers.alias("answers")).checkpoint()
+    first = now.select(F.col("message_id").alias("thread"), F.col("answers").alias("circle"))
+    now = now.drop("answers")
+    for _ in range(max(1, (now.count() + 1).bit_length())):
+        ahead = now.select(F.col("message_id").alias("thread"), F.col("thread").alias("next"), F.col("least").alias("least_ahead"))
+        new = now.join(ahead, "thread").select("message_id", F.col("next").alias("thread"), F.least("least", "least_ahead").alias("least"), (F.col("next") != F.col("thread")).alias("moved")).checkpoint()
+        now = new.drop("moved")
+        if new.where("moved").isEmpty():
+            break
+    # a message at the end that answers one itself is on a circle
+    return now.join(first, "thread").select("message_id", F.when(F.col("circle"), F.col("least")).otherwise(F.col("thread")).alias("thread"))

@@ -98,3 +98,14 @@ def needs_model(messages: DataFrame, results: DataFrame, key: str, least: float
     """Messages for which no cheaper extractor reached the least confidence."""
     sure = results.groupBy(key).agg(F.max("confidence").alias("best")).where(F.col("best") >= least)
     return messages.join(sure, key, "left_anti")
+
+
+def scored_spans(tokens: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Spans over the threshold from tokens (start, stop, scores by label): one row a token and label."""
+    return tokens.select(*[c for c in tokens.columns if c != "scores"], F.explode("scores").alias("label", "score")).where(F.col("score") > threshold)
+
+
+def recognised(spans: DataFrame, least: dict[str, float], review: float = 0.75) -> DataFrame:
+    """Entities of spans whose score reaches their label's least one; those below ``review`` need review."""
+    bound = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
+    return spans.where(F.col("score") >= F.try_element_at(bound, F.col("label"))).withColumn("requires_review", F.col("score") < review)
