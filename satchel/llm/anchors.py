@@ -128,7 +128,7 @@ def bit_filter(values: DataFrame, column: str) -> BitFilter:
     words = np.zeros(1 << bits - 3, np.uint8)
     if n:
         compact = values.select(column).coalesce(max(1, min(64, n >> 16)))  # few tasks, as each may set bits in every piece
-        for row in compact.mapInArrow(local, "piece long, set binary").repartition("piece").mapInArrow(unite, "piece long, set binary").toLocalIterator():
+        for row in compact.mapInArrow(local, "piece long, set binary").repartition("piece").mapInArrow(unite, "piece long, set binary").collect():
             words[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.set, np.uint8)
     return BitFilter(bits, words)
 

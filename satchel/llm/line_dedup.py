@@ -3,7 +3,8 @@
 A line is the set of its word shingles (a line of fewer words is one token). Tokens are put in order of rarity, by counts
 of hashed tokens over all lines, ties by hash. Two sets of similarity ``t`` or more share a token among the first
 ``n - ceil(t * n) + 1`` of each (prefix filter); sizes must be within ``t`` of each other (length filter), and the places
-of a shared token in both orders bound the overlap (positional filter). What is left is verified by the exact Jaccard
+of a shared token in both orders bound the overlap (positional filter; tokens before it that no other set has do not
+count). What is left is verified by the exact Jaccard
 similarity. Equal sets are found by grouping beforehand, so that only distinct sets are joined. Within a token's sets,
 each is compared with the earlier ones in growing blocks and leaves as soon as one matches, so that groups of near
 copies do not make all pairs; sets without a match go on until they have met all earlier ones.
@@ -97,7 +98,7 @@ def token_counts(work: DataFrame, shingle: int, least: int) -> np.ndarray:
     parts = work.select("text").mapInArrow(local, schema).repartition("piece", "salt").mapInArrow(add, schema)
     parts = parts.withColumn("salt", F.lit(0)).repartition("piece").mapInArrow(add, schema)
     counts = np.zeros(COUNTERS, np.uint32)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         counts[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.counts, np.uint32)
     return counts
 
@@ -155,13 +156,16 @@ def _matched(work: DataFrame, sets: DataFrame, similarity: float, shingle: int,
     place = F.struct("ord", "th", "line")
     entries = sets.select("a", "b", "size", "first", F.posexplode("prefix").alias("at", "token"))
     often = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    entries = entries.join(often, "token")
+    often = materialize(often, "often")
+    entries = split_by(entries, F.col("token"), often)[0].join(often, "token")
+    # tokens of one set only cannot be shared: places count among the others
+    entries = entries.withColumn("shared", F.row_number().over(Window.partitionBy("a", "b").orderBy("at")) - 1)
     ranked = materialize(entries.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("first", "a", "b"))), "prefixes")
     tokens = materialize(set_tokens(work, ranked.select("a", "b").distinct(), shingle, least), "set-tokens")
-    left, right = ([F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "size", "at", "rank")] for p in ("l", "r"))
+    left, right = ([F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "size", "at", "shared", "rank")] for p in ("l", "r"))
     later, earlier = ranked.select("token", *left), ranked.select("token", *right)
     overlap = F.lit(similarity / (1 + similarity)) * (F.col("l_size") + F.col("r_size")) - 1e-6
-    place_bound = F.least("l_at", "r_at") + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
+    place_bound = F.least("l_shared", "r_shared") + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
     filters = (F.col("r_size") >= similarity * F.col("l_size") - 1e-6) & (F.col("l_size") >= similarity * F.col("r_size") - 1e-6) & (place_bound >= overlap)
     done, low, high = None, 0, FIRST_BLOCK
     most = ranked.agg(F.max("rank")).first()[0] or 0
