@@ -182,10 +182,14 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 5, key: str =
     fingerprint's component, and are no component's id unless all its keys are null. Equal fingerprints (copies, texts
     without words) are linked. A table without rows gives no rows.
     """
-    prints = materialize(fingerprints(docs, width, key, text), "fingerprints")
+    return _grouped(materialize(fingerprints(docs, width, key, text), "fingerprints"), radius, key)
+
+
+def _grouped(prints: DataFrame, radius: int, key: str) -> DataFrame:
+    """near_duplicates() of the rows of fingerprints()."""
     distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("vertex")), "distinct-fingerprints")
     known = distinct.where("vertex is not null")
-    links = materialize(near_links(known.select(F.col("vertex").cast("long").alias("vertex"), "fp")), "fingerprint-links")
+    links = materialize(near_links(known.select(F.col("vertex").cast("long").alias("vertex"), "fp"), radius), "fingerprint-links")
     labels = component_labels(links)
     of_print = distinct.join(labels, distinct["vertex"] == labels["node"], "left").select("fp", F.coalesce("component", "vertex").alias("component_id"))
     return prints.join(of_print, "fp").select(key, "fp", "component_id")
