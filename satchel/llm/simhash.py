@@ -205,15 +205,8 @@ def _pair_similarity(a: str, b: str, width: int) -> float:
     return common / max(1, len(sets[0]) + len(sets[1]) - common)
 
 
-def copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``of`` (the kept row's key) of the rows that are near copies of their group's least row.
-
-    Fingerprints within ``radius`` bits make groups; a row is a copy if its text equals that of the group's least row, or
-    their sets of ``width``-word shingles have the similarity or more. Only rows of groups are read again for that.
-    """
-    found = near_duplicates(docs, radius, width, key, text)
-    pairs = found.where((F.col("component_id") != F.col(key)) & (F.col("fp") != 0)).select(key, F.col("component_id").alias("of")).distinct()
-    pairs = materialize(pairs, "copy-pairs")
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, key: str, text: str) -> DataFrame:
+    """The ``pairs`` (key, of) whose texts are equal or have the similarity. Only rows of pairs are read again for that."""
     texts = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     members = pairs.select(key).union(pairs.select("of")).distinct()
     texts, _ = split_by(texts, F.col("__key"), members)
@@ -229,7 +222,27 @@ def copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float =
     return both.select(key, "of", "a", "b").mapInArrow(run, f"`{key}` {kind}, of {kind}")
 
 
+def copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``of`` (the kept row's key) of the rows that are near copies of a kept row.
+
+    Fingerprints within ``radius`` bits make groups; a row is a copy if its text equals that of the group's least row, or
+    their sets of ``width``-word shingles have the similarity or more. Rows of a group that are not copies of its least row
+    are grouped again among themselves, until none has a partner; the least row leaves each group, so this ends.
+    """
+    rest = materialize(fingerprints(docs, width, key, text).where("fp != 0"), "fingerprints")
+    found = None
+    while True:
+        grouped = _grouped(rest, radius, key)
+        pairs = materialize(grouped.where(F.col("component_id") != F.col(key)).select(key, F.col("component_id").alias("of")).distinct(), "copy-pairs")
+        near = materialize(_verified(docs, pairs, width, similarity, key, text), "copies")
+        found = near if found is None else found.unionByName(near)
+        left = materialize(pairs.join(near.select(key), key, "left_anti").select(key), "no-copies")
+        if left.isEmpty():
+            return found
+        rest = materialize(rest.join(left, key, "left_semi"), "fingerprints")
+
+
 def keep_one(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that copies() finds: of each group of near duplicates the row with the least key stays,
-    and rows of the group that are not similar to it. Texts without words and rows with a null key stay."""
+    """``docs`` without the rows that copies() finds: of each group of near duplicates the row with the least key stays.
+    Texts without words and rows with a null key stay."""
     return without_keys(docs, key, materialize(copies(docs, radius, width, similarity, key, text).select(key), "copies"))

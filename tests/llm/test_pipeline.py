@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import tiktoken
@@ -39,6 +40,19 @@ def test_near_copies_go_and_similar_enough_is_verified(spark):
     assert sorted((r.doc_id, r.of) for r in simhash.copies(docs).collect()) == [(2, 1), (3, 1)]
 
 
+def test_copies_of_a_row_that_is_no_copy_of_its_groups_least_row_go(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    far = None
+    while far is None:
+        one = [r.choice(words) for _ in range(200)]
+        two = [f"edit{i}" if r.random() < 0.03 else w for i, w in enumerate(one)]
+        near = (simhash.fingerprint(" ".join(one).encode(), 5) ^ simhash.fingerprint(" ".join(two).encode(), 5)).bit_count() <= 7
+        far = " ".join(two) if near and simhash._pair_similarity(" ".join(one), " ".join(two), 5) < 0.8 else None
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, far), (3, far.upper()), (4, far)], "doc_id long, text string")
+    assert sorted((x.doc_id, x.of) for x in simhash.copies(docs).collect()) == [(3, 2), (4, 2)]
+
+
 def test_lines_that_repeat_go_with_documents_they_leave_empty(spark):
     line = "a line of more than five words"
     docs = spark.createDataFrame([(1, line, "en", "s", 30), (2, line, "en", "s", 30), (3, "", "en", "s", 0), (4, f"new words in this line here\n{line}", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
