@@ -108,13 +108,17 @@ def bit_filter(values: DataFrame, column: str) -> BitFilter:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             at = BitFilter.slots(batch.column(0).to_numpy(), bits)
             at.sort()
-            for piece, lo, hi in zip(*_runs(at >> 3 >> 16)):
-                own = pieces.setdefault(int(piece), np.zeros(PIECE * 8, bool))
-                own[at[lo:hi] & PIECE * 8 - 1] = True
+            byte, first, _ = _runs(at >> 3)
+            value = np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
+            for piece, lo, hi in zip(*_runs(byte >> 16)):
+                own = pieces.setdefault(int(piece), np.zeros(PIECE, np.uint8))
+                own[byte[lo:hi] & PIECE - 1] |= value[lo:hi]
         for piece, own in pieces.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["piece", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([own.tobytes()], pa.binary())], names=["piece", "set"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}
