@@ -24,7 +24,7 @@ from satchel.llm.store import materialize
 
 SEED = 42
 #: Pairs of query and node that a search looks at together.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 #: Mean fingerprints a shard, from which a finer choice of blocks is taken.
 SHARD_ROWS = 64
 
@@ -205,14 +205,17 @@ def _pair_similarity(a: str, b: str, width: int) -> float:
     return common / max(1, len(sets[0]) + len(sets[1]) - common)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, key: str, text: str) -> DataFrame:
-    """The ``pairs`` (key, of) whose texts are equal or have the similarity. Only rows of pairs are read again for that."""
+def _texts(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+    """__key and __text of the members' rows; one row a key."""
     texts = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    members = pairs.select(key).union(pairs.select("of")).distinct()
     texts, _ = split_by(texts, F.col("__key"), members)
-    texts = texts.join(members, texts["__key"] == members[key], "left_semi").groupBy("__key").agg(F.first("__text").alias("__text"))
+    return texts.join(members, texts["__key"] == members[key], "left_semi").groupBy("__key").agg(F.first("__text").alias("__text"))
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float, key: str) -> DataFrame:
+    """The ``pairs`` (key, of) whose texts are equal or have the similarity. texts: __key, __text."""
     both = pairs.join(texts.withColumnRenamed("__text", "a"), F.col(key) == F.col("__key")).drop("__key").join(texts.withColumnRenamed("__text", "b"), F.col("of") == F.col("__key")).drop("__key")
-    kind = docs.schema[key].dataType.simpleString()
+    kind = pairs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,11 +233,13 @@ def copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float =
     are grouped again among themselves, until none has a partner; the least row leaves each group, so this ends.
     """
     rest = materialize(fingerprints(docs, width, key, text).where("fp != 0"), "fingerprints")
-    found = None
+    found = texts = None
     while True:
         grouped = _grouped(rest, radius, key)
         pairs = materialize(grouped.where(F.col("component_id") != F.col(key)).select(key, F.col("component_id").alias("of")).distinct(), "copy-pairs")
-        near = materialize(_verified(docs, pairs, width, similarity, key, text), "copies")
+        if texts is None:  # of all rows with a partner; later rounds need no others
+            texts = materialize(_texts(docs, pairs.select(key).union(pairs.select("of")).distinct(), key, text), "copy-texts")
+        near = materialize(_verified(texts, pairs, width, similarity, key), "copies")
         found = near if found is None else found.unionByName(near)
         left = materialize(pairs.join(near.select(key), key, "left_anti").select(key), "no-copies")
         if left.isEmpty():
