@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from satchel.llm.anchors import LAST, bit_filter, with_order, with_spans
 from satchel.llm.split_join import split_by
-from satchel.llm.store import materialize
+from satchel.llm.store import broadcast, materialize
 from satchel.llm.text import Chunk, byte_values, chunks, mix, prefix_sums, slice_hashes
 
 SHINGLE = 5
@@ -108,7 +108,7 @@ LINE_SCHEMA = "ord long, th long, line int, a long, b long, size int, prefix arr
 
 def line_sets(work: DataFrame, counts: np.ndarray, similarity: float, shingle: int, least: int) -> DataFrame:
     """A row for each line: its place, its set's two hashes and size, and the rarest tokens that the prefix filter needs."""
-    shared = work.sparkSession.sparkContext.broadcast(counts)
+    shared = broadcast(work.sparkSession, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +132,7 @@ def line_sets(work: DataFrame, counts: np.ndarray, similarity: float, shingle: i
 
 def set_tokens(work: DataFrame, sets: DataFrame, shingle: int, least: int) -> DataFrame:
     """``a``, ``b`` and ``tokens`` of the given sets."""
-    wanted = work.sparkSession.sparkContext.broadcast(bit_filter(sets, "a"))
+    wanted = broadcast(work.sparkSession, bit_filter(sets, "a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,9 +151,8 @@ def set_tokens(work: DataFrame, sets: DataFrame, shingle: int, least: int) -> Da
     return found.groupBy("a", "b").agg(F.first("tokens").alias("tokens")).join(sets.select("a", "b"), ["a", "b"], "left_semi")
 
 
-def _matched(work: DataFrame, sets: DataFrame, similarity: float, shingle: int, least: int) -> DataFrame:
-    """``a``, ``b`` of the distinct sets that are similar to one whose first place is earlier."""
-    place = F.struct("ord", "th", "line")
+def _ranked(work: DataFrame, sets: DataFrame, similarity: float, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix tokens of several sets with each set's place among theirs, and the tokens of these sets."""
     entries = sets.select("a", "b", "size", "first", F.posexplode("prefix").alias("at", "token"))
     often = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     often = materialize(often, "often")
@@ -161,14 +160,20 @@ def _matched(work: DataFrame, sets: DataFrame, similarity: float, shingle: int,
     # tokens of one set only cannot be shared: places count among the others
     entries = entries.withColumn("shared", F.row_number().over(Window.partitionBy("a", "b").orderBy("at")) - 1)
     ranked = materialize(entries.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("first", "a", "b"))), "prefixes")
-    tokens = materialize(set_tokens(work, ranked.select("a", "b").distinct(), shingle, least), "set-tokens")
+    return ranked, materialize(set_tokens(work, ranked.select("a", "b").distinct(), shingle, least), "set-tokens")
+
+
+def _matched(ranked: DataFrame, tokens: DataFrame, similarity: float, later: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame | None:
+    """``a``, ``b`` of the distinct sets that are similar to one whose first place is earlier, and ``of``, the ``a`` and
+    ``b`` of such a one; None if no sets meet. ``later`` and ``earlier`` (a, b) name the sets on either side, all if None."""
     left, right = ([F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "size", "at", "shared", "rank")] for p in ("l", "r"))
-    later, earlier = ranked.select("token", *left), ranked.select("token", *right)
+    sides = [ranked if keys is None else ranked.join(keys.select("a", "b"), ["a", "b"], "left_semi") for keys in (later, earlier)]
+    later, earlier = sides[0].select("token", *left), sides[1].select("token", *right)
     overlap = F.lit(similarity / (1 + similarity)) * (F.col("l_size") + F.col("r_size")) - 1e-6
     place_bound = F.least("l_shared", "r_shared") + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
     filters = (F.col("r_size") >= similarity * F.col("l_size") - 1e-6) & (F.col("l_size") >= similarity * F.col("r_size") - 1e-6) & (place_bound >= overlap)
     done, low, high = None, 0, FIRST_BLOCK
-    most = ranked.agg(F.max("rank")).first()[0] or 0
+    most = later.agg(F.max("l_rank")).first()[0] or 0
     while low < most - 1:
         rest = later.where(F.col("l_rank") > low + 1)
         if done is not None:
@@ -178,24 +183,58 @@ def _matched(work: DataFrame, sets: DataFrame, similarity: float, shingle: int,
         checked = pairs.join(tokens.select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), F.col("tokens").alias("l")), ["l_a", "l_b"]).join(tokens.select(F.col("a").alias("r_a"), F.col("b").alias("r_b"), F.col("tokens").alias("r")), ["r_a", "r_b"])
         common = F.size(F.array_intersect("l", "r"))
         similar = checked.where(common >= similarity * (F.size("l") + F.size("r") - common) - 1e-9)
-        new = materialize(similar.select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct(), "matched")
+        new = materialize(similar.groupBy(F.col("l_a").alias("a"), F.col("l_b").alias("b")).agg(F.min(F.struct(F.col("r_a").alias("a"), F.col("r_b").alias("b"))).alias("of")), "matched")
         done = new if done is None else done.unionByName(new)
         low, high = high, high * BLOCK_GROWTH
-    return sets.select("a", "b").limit(0) if done is None else done
+    return done
+
+
+def _line_sets(work: DataFrame, similarity: float, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """line_sets() of all lines, and the distinct sets with their first place and number of lines."""
+    lines = materialize(line_sets(work, token_counts(work, shingle, least), similarity, shingle, least), "lines")
+    sets = lines.groupBy("a", "b", "size").agg(F.min(F.struct("ord", "th", "line")).alias("first"), F.count("*").alias("n"), F.first("prefix").alias("prefix"))
+    return lines, materialize(sets, "line-sets")
+
+
+def similar_to_kept(work: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """ord, th, line and ``of`` (ord, th, line) of the lines that are similar to an earlier line which is kept itself.
+
+    Sets similar to no earlier one are kept, and those similar to a kept one go; what is then left, similar only to sets
+    that went, is judged again among itself, of which the first is always kept.
+    """
+    lines, sets = _line_sets(work, similarity, shingle, 1)
+    ranked, tokens = _ranked(work, sets.drop("n"), similarity, shingle, 1)
+    gone, rest = None, None
+    while True:
+        later = _matched(ranked, tokens, similarity, rest, rest)
+        if later is None or later.isEmpty():
+            break
+        kept = (ranked if rest is None else rest).select("a", "b").distinct().join(later, ["a", "b"], "left_anti")
+        new = _matched(ranked, tokens, similarity, later, materialize(kept, "kept-sets"))
+        gone = new if gone is None else gone.unionByName(new)
+        rest = materialize(later.select("a", "b").join(new, ["a", "b"], "left_anti"), "open-sets")
+        if rest.isEmpty():
+            break
+    place = F.struct("ord", "th", "line")
+    again = sets.where("n > 1").select("a", "b", F.col("first").alias("of"))
+    found = lines.join(again, ["a", "b"]).where(F.col("of") < place)
+    if gone is not None:
+        firsts = sets.select(F.struct("a", "b").alias("of"), "first")
+        of_gone = materialize(gone.join(firsts, "of").select("a", "b", F.col("first").alias("of")), "gone-sets")
+        found = found.join(of_gone, ["a", "b"], "left_anti").select("ord", "th", "line", "of").unionByName(lines.join(of_gone, ["a", "b"]).select("ord", "th", "line", "of"))
+    return found.select("ord", "th", "line", "of")
 
 
 def later_matches(work: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, least: int = MIN_WORDS) -> DataFrame:
     """ord, th, line (from 0) of with_order() texts' lines that are similar to a line before them."""
-    counts = token_counts(work, shingle, least)
-    lines = materialize(line_sets(work, counts, similarity, shingle, least), "lines")
+    lines, sets = _line_sets(work, similarity, shingle, least)
+    matched = _matched(*_ranked(work, sets.drop("n"), similarity, shingle, least), similarity)
     place = F.struct("ord", "th", "line")
-    sets = lines.groupBy("a", "b", "size").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets, "line-sets")
-    matched = materialize(_matched(work, sets.drop("n"), similarity, shingle, least), "similar-sets")
     again = sets.where("n > 1").select("a", "b", "first")
     repeated = lines.join(again, ["a", "b"]).where(F.col("first") < place).select("ord", "th", "line")
-    firsts = sets.join(matched, ["a", "b"], "left_semi").select("first.*")
-    return repeated.unionByName(firsts)
+    if matched is None:
+        return repeated
+    return repeated.unionByName(sets.join(materialize(matched, "similar-sets"), ["a", "b"], "left_semi").select("first.*"))
 
 
 def _without(text: str, gone: set[int]) -> str:

@@ -18,9 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satchel.llm import line_dedup
 from satchel.llm.components import component_labels
 from satchel.llm.split_join import split_by, without_keys
-from satchel.llm.store import materialize
+from satchel.llm.store import materialize, new_path, temporary
 
 SEED = 42
 #: Pairs of query and node that a search looks at together.
@@ -225,8 +226,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float,
     return both.select(key, "of", "a", "b").mapInArrow(run, f"`{key}` {kind}, of {kind}")
 
 
-def copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``of`` (the kept row's key) of the rows that are near copies of a kept row.
+def linked_copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``of`` (the kept row's key) of the near copies that fingerprints find.
 
     Fingerprints within ``radius`` bits make groups; a row is a copy if its text equals that of the group's least row, or
     their sets of ``width``-word shingles have the similarity or more. Rows of a group that are not copies of its least row
@@ -247,6 +248,42 @@ def copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float =
         rest = materialize(rest.join(left, key, "left_semi"), "fingerprints")
 
 
+def copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``of`` (the kept row's key) of the rows that are near copies of a kept row.
+
+    A row is a copy if its text equals that of a kept row, or their sets of ``width``-word shingles have the similarity or
+    more; no two kept rows are copies of each other. linked_copies() finds those within ``radius`` bits. The rows that it
+    keeps are compared by an exact set-similarity join, which finds the others. Rows whose kept row goes in that join are
+    judged again, after all that are kept.
+    """
+    near = linked_copies(docs, radius, width, similarity, key, text)
+    own = docs.where(F.col(key).isNotNull())
+    path = new_path(docs.sparkSession, "similar-copies")
+    with temporary(docs.sparkSession):
+        more = _similar_copies(without_keys(own, key, near.select(key)).withColumn("__late", F.lit(0)), width, similarity, key, text, path)
+    gone = more.select(F.col(key).alias("of"))
+    open_rows = materialize(near.join(gone, "of", "left_semi").select(key), "open-copies")
+    if open_rows.isEmpty():
+        return near.unionByName(more)
+    near = materialize(near.join(open_rows, key, "left_anti"), "copies")
+    late = own.join(open_rows, key, "left_semi").withColumn("__late", F.lit(1))
+    path = new_path(docs.sparkSession, "similar-copies")
+    with temporary(docs.sparkSession):
+        kept = without_keys(own, key, near.select(key).union(more.select(key)).union(open_rows)).withColumn("__late", F.lit(0))
+        again = _similar_copies(kept.unionByName(late), width, similarity, key, text, path)
+    return near.unionByName(more).unionByName(again)
+
+
+def _similar_copies(docs: DataFrame, width: int, similarity: float, key: str, text: str, path: str) -> DataFrame:
+    """``key`` and ``of``, written to ``path``, of the rows similar to a kept row before them by ``__late`` and key; keys are not null."""
+    kind = docs.schema[key].dataType.simpleString()
+    # a text is one line of words in lower case; its place is __late and key
+    folded = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", "abcdefghijklmnopqrstuvwxyz ")
+    work = docs.select(F.col("__late").cast("long").alias("ord"), F.col(key).cast("long").alias("th"), folded.alias("text"))
+    found = line_dedup.similar_to_kept(work, similarity, width).select(F.col("th").cast(kind).alias(key), F.col("of.th").cast(kind).alias("of"))
+    return materialize(found.where(F.col(key) != F.col("of")).distinct(), "similar-copies", path)
+
+
 def keep_one(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that copies() finds: of each group of near duplicates the row with the least key stays.
     Texts without words and rows with a null key stay."""

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from satchel.llm.anchors import bit_filter
+from satchel.llm.store import broadcast
 
 
 def split_by(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` whose ``key`` may be in the first column of ``keys``, and rows whose key surely is not."""
     name = keys.columns[0]
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(keys.select(F.xxhash64(name).alias("hash")), "hash"))
+    shared = broadcast(docs.sparkSession, bit_filter(keys.select(F.xxhash64(name).alias("hash")), "hash"))
 
     @F.pandas_udf("boolean")
     def maybe(hashes: pd.Series) -> pd.Series:

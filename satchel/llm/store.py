@@ -4,10 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
+_paths: list[str] = []
+_broadcasts: list[Broadcast] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables and the broadcasts that are made inside; plans that read them must have run by then."""
+    paths, broadcasts = len(_paths), len(_broadcasts)
+    yield
+    for path in _paths[paths:]:
+        drop(spark, path)
+    for made in _broadcasts[broadcasts:]:
+        made.destroy()
+    del _paths[paths:], _broadcasts[broadcasts:]
+
+
+def broadcast(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that temporary() ends."""
+    _broadcasts.append(spark.sparkContext.broadcast(value))
+    return _broadcasts[-1]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one is set only where the session names none (tests, local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +58,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
     path = f"{shared_folder(spark).rstrip('/')}/satchel/{name}-{uuid.uuid4().hex}"
     _delete_on_exit(spark, path)
+    _paths.append(path)
     return path
 
 

@@ -79,3 +79,22 @@ def test_keep_one_keeps_the_first_of_each_group(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == [] == simhash.keep_one(docs).collect()
+
+
+def test_copies_beyond_the_radius_go(spark):
+    r = random.Random(6)
+    texts = []
+    for _ in range(30):
+        one = [r.choice("abcdefghij") * r.randint(1, 9) + str(r.randint(0, 99)) for _ in range(r.randint(60, 200))]
+        texts.append(" ".join(one))
+        for share in (0.01, 0.02, 0.03):
+            one = [f"Edit{r.randint(0, 999)}" if r.random() < share else w for w in one]
+            texts.append("\n".join((" ".join(one[:30]), " ".join(one[30:]))))
+    pairs = {(i, j): simhash._pair_similarity(texts[i], texts[j], 5) for j in range(len(texts)) for i in range(j)}
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert any(s >= 0.8 and (prints[i] ^ prints[j]).bit_count() > 7 for (i, j), s in pairs.items())
+    found = simhash.copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    gone = {x.doc_id for x in found}
+    assert len(gone) == len(found) and not gone & {x.of for x in found}
+    assert all(pairs[tuple(sorted((x.doc_id, x.of)))] >= 0.8 for x in found)
+    assert not [p for p, s in pairs.items() if s >= 0.8 and not gone & set(p)]
