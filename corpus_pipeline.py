@@ -19,8 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines similar to an earlier line go; a document that has no words left by that goes with them."""
-    kept = line_dedup.remove_later(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Lines similar to an earlier line go, those of fewer than five words if they equal one, blank lines never; a document
+    that has no words left by that goes with them."""
+    kept = line_dedup.remove_later(docs, least=1).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -27,7 +27,7 @@ from satchel.llm.text import Chunk, byte_values, chunks, mix, prefix_sums, slice
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Lines with fewer words are never removed.
+#: Lines with fewer words are never removed by default, as in the SQL of op9; with 1, each is a token of its own.
 MIN_WORDS = 5
 #: Counters of hashed tokens that are broadcast: 4 MB, whatever the corpus.
 COUNTERS = 1 << 20
@@ -264,7 +264,8 @@ def remove_later(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     Lines are split at line feeds; words are runs of anything but space and the controls 9 to 13. A line goes if a line
     before it, in a smaller key or earlier in the same text, has a set of ``shingle``-word tokens of Jaccard similarity
-    ``similarity`` or more, whether or not that line goes itself. Lines of fewer than ``least`` words stay. Null texts stay
+    ``similarity`` or more, whether or not that line goes itself. Lines of fewer than ``least`` words stay, and blank
+    lines always. Null texts stay
     null. Rows of equal keys count as ordered by a hash of their text, wholly equal rows as one text; null keys come last.
     A column called n_removed is replaced. No rows give no rows.
     """

@@ -59,3 +59,9 @@ def test_lines_that_repeat_go_with_documents_they_leave_empty(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got == {1: (line, 30), 3: ("", 0), 4: ("new words in this line here", 27)}
     assert line_dedup.remove_later(docs).count() == 4
+
+
+def test_short_lines_that_repeat_go(spark):
+    docs = spark.createDataFrame([(1, "Read  more\n\nown words\n\nread more", "en", "s", 1), (2, "Read more\n\nother words\n日本語の一行", "en", "s", 1), (3, "日本語の一行\nRead more", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: "Read  more\n\nown words\n\nread more", 2: "\nother words\n日本語の一行"}
