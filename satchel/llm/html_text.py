@@ -6,8 +6,8 @@ largest and fused by their geometric mean; the scores are smoothed over neighbou
 kernel, averaged for each path, and paths at or above a threshold, a share of the scores' standard deviation, are
 content. The article is what the smallest element that holds most of the selected text holds: headings and short blocks
 between the selected ones belong to it. Elements whose tag, role or class says that they are menus, headers, footers,
-side columns, notices, adverts, forms or reader comments are left out before ratios are taken, as are scripts and styles;
-paths that are mostly links are left out too.
+side columns, notices, adverts, forms or reader comments are left out before ratios are taken, unless they hold most of the
+page's text and its heading, or nearly all there is; scripts and styles are left out, and paths that are mostly links.
 """
 
 from __future__ import annotations
@@ -46,6 +46,13 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
 }
 LEFT_OUT = frozenset("nav footer aside header form head button dialog menu label fieldset".split())
+#: Of these, elements that are left out whatever they hold.
+NEVER = frozenset("nav head button menu label footer".split())
+#: What an open head may hold; anything else ends it.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes".split())
+HEADINGS = frozenset("h1 article main".split())
+#: A left-out element that holds over half of the text stays if less than this share is outside such elements.
+ELSEWHERE = 0.1
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words of class and id names of elements that are not the article.
 NAMES = re.compile(
@@ -54,6 +61,8 @@ NAMES = re.compile(
     r"newsletter|subscribe|subscription|signup|login|form|search|share|sharing|social|comment|comments|commentlist|respond|reply|replies|discussion|disqus|tags|toc|skip)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Words of class names that name a part's absence or presence, and the header of an article.
+LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|no|without)[_-][\w-]+|(?:entry|post|article|story|content)[_-]+header)(?=$|\s)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -63,6 +72,7 @@ class Block:
     path: str
     chain: tuple[int, ...]
     linked: int
+    marked: tuple[int, ...]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -70,7 +80,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _named_out(attributes: dict[str, str]) -> bool:
-    names = CAMEL.sub("-", f"{attributes.get('class', '')} {attributes.get('id', '')}").strip()
+    names = LAYOUT.sub("", CAMEL.sub("-", f"{attributes.get('class', '')} {attributes.get('id', '')}")).strip()
     return bool(names and NAMES.search(names)) or attributes.get("role", "").lower() in ROLES or attributes.get("aria-hidden") == "true"
 
 
@@ -78,7 +88,8 @@ def read_blocks(page: str) -> tuple[list[Block], dict[int, str]]:
     """The blocks outside left-out elements, in page order, and the tag of each element by its number."""
     blocks: list[Block] = []
     tags: dict[int, str] = {}
-    stack: list[tuple[str, int, bool, str]] = []  # tag, number, left out, name in a path
+    stack: list[tuple[str, int, bool, str, bool]] = []  # tag, number, left out, name in a path, marked as no article
+    headed: set[int] = set()  # marked elements that hold a heading
     parts: list[str] = []
     linked, number, at = 0, 0, 0
 
@@ -88,7 +99,7 @@ def read_blocks(page: str) -> tuple[list[Block], dict[int, str]]:
         parts.clear()
         if text:
             own = [s for s in stack if s[0] in BLOCKS]
-            blocks.append(Block(text, "/".join(s[3] for s in own), tuple(s[1] for s in own), linked))
+            blocks.append(Block(text, "/".join(s[3] for s in own), tuple(s[1] for s in own), linked, tuple(s[1] for s in own if s[4])))
         linked = 0
 
     def close(to: int) -> None:
@@ -98,6 +109,8 @@ def read_blocks(page: str) -> tuple[list[Block], dict[int, str]]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not (stack and stack[-1][2]):
             parts.append(text)
             if any(s[0] == "a" for s in stack):
@@ -117,6 +130,8 @@ def read_blocks(page: str) -> tuple[list[Block], dict[int, str]]:
                 if stack[i][0] in BLOCKS and tag not in BLOCKS:
                     break
             continue
+        if tag not in IN_HEAD and any(s[0] == "head" for s in stack):
+            close(next(i for i, s in enumerate(stack) if s[0] == "head"))
         if tag in ENDS:
             ended, bounds = ENDS[tag]
             for i in range(len(stack) - 1, -1, -1):
@@ -137,12 +152,27 @@ def read_blocks(page: str) -> tuple[list[Block], dict[int, str]]:
         number += 1
         tags[number] = tag
         titled = tag == "header" and any(s[0] in ("article", "main") for s in stack)  # an article's own header has its title
-        out = bool(stack and stack[-1][2]) or tag in LEFT_OUT and not titled or (tag not in ("html", "body", "article", "main") or "comment" in attributes.get("class", "")) and _named_out(attributes)
+        marked = tag in LEFT_OUT and not titled or (tag not in ("html", "body", "article", "main") or "comment" in attributes.get("class", "")) and _named_out(attributes)
+        never = tag in NEVER or tag not in BLOCKS or attributes.get("aria-hidden") == "true"
+        out = bool(stack and stack[-1][2]) or marked and never
+        if tag in HEADINGS:
+            headed.update(s[1] for s in stack if s[4])
         kind = attributes.get("class", "").split()
-        stack.append((tag, number, out, f"{tag}.{kind[0]}" if kind else tag))
+        stack.append((tag, number, out, f"{tag}.{kind[0]}" if kind else tag, marked and not never))
     add(page[at:] if not page[at:].lstrip().startswith("<") else "")
     flush()
-    return blocks, tags
+    return _unmarked(blocks, headed), tags
+
+
+def _unmarked(blocks: list[Block], headed: set[int]) -> list[Block]:
+    """The blocks outside marked elements, of which those stay that hold most of the text and its heading, or nearly all."""
+    inside: dict[int, int] = defaultdict(int)
+    for b in blocks:
+        for element in b.marked:
+            inside[element] += len(b.text)
+    whole, elsewhere = sum(len(b.text) for b in blocks), sum(len(b.text) for b in blocks if not b.marked)
+    stay = {e for e, n in inside.items() if 2 * n > whole and (e in headed or elsewhere < ELSEWHERE * whole)}
+    return [b for b in blocks if stay.issuperset(b.marked)]
 
 
 def path_scores(blocks: list[Block]) -> dict[str, float]:

@@ -43,3 +43,28 @@ def test_table_edges(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "é", 1), (1, "", 0), (1, "", 0)]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+BODY = "<h1>Title</h1><p>First para, with some text.</p><p>Second para, it is longer. And goes on, to the end.</p>"
+TEXT = "Title\n\nFirst para, with some text.\n\nSecond para, it is longer. And goes on, to the end."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=utf-8><body>{BODY}</body></html>",
+        f"<head><title>T</title><div>{BODY}</div>",
+        f"<body><div class='content has-sidebar'>{BODY}<div class='sidebar'><p>Aside.</p></div></div></body>",
+        f"<body><div class='post with-comments'>{BODY}<div class='comments'><p>Nice.</p></div></div></body>",
+        f"<body><form id='form1'><div>{BODY}</div></form></body>",
+        f"<body><div class='menu'>Home</div><section class='page-widget'>{BODY}</section></body>",
+        f"<body><div class='post'><div class='entry-header'><h1>Title</h1></div>{BODY[14:]}</div></body>",
+    ],
+)
+def test_a_marked_wrapper_does_not_lose_the_article(page):
+    assert html_text.main_text(page) == TEXT
+
+
+def test_long_comments_are_still_left_out():
+    comments = "<p>I think, that this is great. Yes!</p>" * 20
+    assert html_text.main_text(f"<body><div class='post'>{BODY}</div><div class='comments'>{comments}</div></body>") == TEXT
