@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satchel.llm.store import broadcast
 from satchel.llm.text import Chunk, byte_values, chunks, mix, prefix_sums, slice_hashes, sliding_min_position, window_hashes
 
 #: Sorts after every other id.
 LAST = (1 << 63) - 1
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bits of a filter that is broadcast: 4 MB to 32 MB, whatever the corpus.
-FILTER_BITS = (25, 28)
+#: Bits of a filter that is broadcast: 64 KB to 32 MB; beyond, more values pass it that are not in it.
+FILTER_BITS = (19, 28)
 
 
 def with_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,9 +160,8 @@ def with_spans(work: DataFrame, spans: DataFrame) -> DataFrame:
     spans: ord, th, start, stop. Texts that surely have none are filtered before the shuffle by a bitmap of bounded size.
     The spans of one text are no more than its windows.
     """
-    spark = work.sparkSession
     of_text = spans.groupBy("ord", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    found = spark.sparkContext.broadcast(bit_filter(spans.select("th").distinct(), "th"))
+    found = broadcast(work.sparkSession, bit_filter(spans.select("th").distinct(), "th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

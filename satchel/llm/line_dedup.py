@@ -4,80 +4,175 @@ A line is the set of its word shingles (a line of fewer words is one token). Tok
 of hashed tokens over all lines, ties by hash. Two sets of similarity ``t`` or more share a token among the first
 ``n - ceil(t * n) + 1`` of each (prefix filter); sizes must be within ``t`` of each other (length filter), and the places
 of a shared token in both orders bound the overlap (positional filter; tokens before it that no other set has do not
-count). What is left is verified by the exact Jaccard
-similarity. Equal sets are found by grouping beforehand, so that only distinct sets are joined. Within a token's sets,
-each is compared with the earlier ones in growing blocks and leaves as soon as one matches, so that groups of near
-copies do not make all pairs; sets without a match go on until they have met all earlier ones.
+count). What is left is verified by the exact Jaccard similarity.
+
+Equal sets are found beforehand, inside each task and then by their hashes, so that only distinct sets are joined. Tokens
+that one set alone has, the most by far, leave before the join: repeated_values() finds the others. The sets of a token
+are met in rounds, the first with few of them, each later one with about ``GROWTH`` times as many, chosen by hash; a set
+leaves as soon as one matches, so that groups of near copies do not make all pairs. Sets without a match go on until they
+have met all earlier ones. No task holds or sorts the sets of a token.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.anchors import LAST, bit_filter, with_order, with_spans
+from satchel.llm.anchors import LAST, BitFilter, bit_filter, with_order, with_spans
 from satchel.llm.split_join import split_by
 from satchel.llm.store import broadcast, materialize
 from satchel.llm.text import Chunk, byte_values, chunks, mix, prefix_sums, slice_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Lines with fewer words are never removed by default, as in the SQL of op9; with 1, each is a token of its own.
-MIN_WORDS = 5
-#: Counters of hashed tokens that are broadcast: 4 MB, whatever the corpus.
+#: Lines with fewer words are never removed; with 1, only blank lines stay.
+MIN_WORDS = 1
+#: Counters of hashed tokens; their ranks, 2 MB whatever the corpus, are broadcast.
 COUNTERS = 1 << 20
 PIECE = 1 << 16
-FIRST_BLOCK, BLOCK_GROWTH = 1, 8
+#: Sets of a token in a round, as a multiple of those in the round before.
+GROWTH_BITS = 3
+GROWTH = 1 << GROWTH_BITS
+#: Tokens that a task gathers before it counts them or looks for equal sets.
+GATHER = 1 << 20
 _SEED_A, _SEED_B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
 class Lines:
-    """The lines of a chunk with ``least`` words or more: text, line number, and the distinct tokens of each."""
+    """The lines of a chunk with ``least`` words or more: text, line number, and the tokens of each in text order."""
 
     def __init__(self, chunk: Chunk, shingle: int, least: int):
         starts, ends, first = chunk.words()
         breaks = np.flatnonzero(chunk.data == 10)
         line_starts = np.union1d(chunk.offsets[:-1], breaks + 1)  # a text's end opens the next text
         line_starts = line_starts[line_starts < len(chunk.data)]
-        of_word = np.searchsorted(line_starts, starts, "right") - 1
+        of_word = np.searchsorted(starts, line_starts, "left")
         words = slice_hashes(prefix_sums(byte_values(chunk.data)), starts, ends)
-        n_words = np.bincount(of_word, minlength=len(line_starts))
-        begin = np.cumsum(n_words) - n_words
+        n_words = np.diff(np.concatenate((of_word, [len(starts)])))
         # shingles of each line; the whole line where it has fewer words
         n_tokens = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
         n_tokens[n_words < least] = 0
-        line = np.repeat(np.arange(len(line_starts)), n_tokens)
-        at = np.repeat(begin, n_tokens) + np.arange(len(line)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
-        token = slice_hashes(prefix_sums(words), at, np.minimum(at + shingle, (begin + n_words)[line]))
-        order = np.lexsort((token, line))
-        line, token = line[order], token[order]
-        new = np.concatenate(([True], (line[1:] != line[:-1]) | (token[1:] != token[:-1]))) if len(line) else np.empty(0, bool)
-        self.line, self.token = line[new], token[new]
+        self.line = np.repeat(np.arange(len(line_starts)), n_tokens)
+        at = np.repeat(of_word - np.cumsum(n_tokens) + n_tokens, n_tokens) + np.arange(len(self.line))
+        self.token = slice_hashes(prefix_sums(words), at, np.minimum(at + shingle, (of_word + n_words)[self.line]))
         self.text = np.searchsorted(chunk.offsets[1:], line_starts, "right")
         before = np.searchsorted(line_starts, chunk.offsets[:-1], "left")
         self.number = np.arange(len(line_starts)) - before[np.minimum(self.text, len(before) - 1)]
-        self.lines, self.at, self.size = np.unique(self.line, return_index=True, return_counts=True)
 
-    def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each line's set."""
-        if not len(self.at):
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        return tuple(mix(np.add.reduceat(mix(self.token ^ seed), self.at) + self.size.astype(np.uint64)) for seed in (_SEED_A, _SEED_B))
+
+class LineSets:
+    """The distinct tokens of each line, by the rank of their counters and then by hash."""
+
+    def __init__(self, found: Lines, ranks: np.ndarray | None = None):
+        line, token = found.line, found.token
+        key = token >> np.uint64(16)
+        if ranks is not None:
+            key |= ranks[(token & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48)
+        order = np.argsort(key)
+        narrow = line.astype(np.uint16) if len(found.text) < 1 << 16 else line
+        order = order[np.argsort(narrow[order], kind="stable")]
+        line, key, token = line[order], key[order], token[order]
+        new = np.concatenate(([True], (line[1:] != line[:-1]) | (token[1:] != token[:-1]))) if len(line) else np.empty(0, bool)
+        if (new[1:] & (key[1:] == key[:-1]) & (line[1:] == line[:-1])).any():  # two tokens of one key: by their last bits
+            order = np.lexsort((token, key, line))
+            line, token = line[order], token[order]
+            new = np.concatenate(([True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])))
+        line, self.token = line[new], token[new]
+        self.at = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.empty(0, np.int64)
+        self.size = np.diff(np.concatenate((self.at, [len(line)])))
+        self.text, self.number = found.text[line[self.at]], found.number[line[self.at]]
+        self.a, self.b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(self.at):  # two hashes of each set
+            self.a, self.b = (mix(np.add.reduceat(mix(self.token ^ seed), self.at) + self.size.astype(np.uint64)).view(np.int64) for seed in (_SEED_A, _SEED_B))
+
+
+def _cells(binary: pa.Array) -> np.ndarray:
+    """The int64 values that a binary column holds, all rows joined."""
+    offsets = np.frombuffer(binary.buffers()[1] or b"\0" * 4, np.int32)[binary.offset : binary.offset + len(binary) + 1]
+    return np.frombuffer(binary.buffers()[2] or b"", np.int64, (int(offsets[-1]) - int(offsets[0])) // 8, int(offsets[0]))
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column: row i has the next ``sizes[i]`` values."""
+    offsets = np.concatenate(([0], np.cumsum(sizes * 8))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def token_counts(work: DataFrame, shingle: int, least: int) -> np.ndarray:
-    """Lines that hold a token of each hash, over all texts; summed piece by piece in two shuffles."""
+def repeated_values(values: DataFrame, n: int) -> DataFrame:
+    """``value`` of the values that come twice or more. values: one column, long or binary of int64s; n: about how many.
+
+    Tasks send sorted values, two of each at most, to the part of the value range that they are in, where equal ones meet.
+    A part has about a million values, so that its arrays fit in a task; beyond 2**16 parts Spark's own aggregation does it.
+    """
+    bits = max(0, (n >> 20).bit_length())
+    if bits > 16:
+        name = values.columns[0]
+        if values.schema[name].dataType.simpleString() == "binary":
+
+            def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array(_cells(batch.column(0)))], names=["value"])
+
+            values = values.mapInArrow(unpack, "value long")
+        return values.toDF("value").groupBy("value").count().where("count > 1").select("value")
+    parts = 1 << bits
+
+    def twice_at_most(got: list[np.ndarray]) -> np.ndarray:
+        own = np.sort(np.concatenate(got))
+        return own[np.concatenate((np.ones(min(2, len(own)), bool), own[2:] != own[:-2]))]
+
+    def split(got: list[np.ndarray]) -> pa.RecordBatch:
+        own = twice_at_most(got)
+        cuts = np.searchsorted(own, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), _packed(own, np.diff(np.concatenate(([0], cuts, [len(own)]))))], names=["part", "values"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, size = [], 0
+        for batch in batches:
+            column = batch.column(0)
+            own = _cells(column) if pa.types.is_binary(column.type) else column.to_numpy()
+            got.append(own.view(np.uint64).copy())
+            size += len(own)
+            if size > 2 * GATHER:
+                yield split(got)
+                got, size = [], 0
+        if size:
+            yield split(got)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own:
+                    got.setdefault(part, []).append(np.frombuffer(own, np.uint64))
+        for own in map(twice_at_most, got.values()):
+            again = np.flatnonzero(own[1:] == own[:-1])
+            if len(again):
+                yield pa.RecordBatch.from_arrays([pa.array(own[again].view(np.int64))], names=["value"])
+
+    return values.mapInArrow(deal, "part int, values binary").repartition(parts, "part").mapInArrow(meet, "value long")
+
+
+def token_ranks(work: DataFrame, shingle: int, least: int) -> np.ndarray:
+    """The rank of each counter, from the logarithm of the tokens that it counts, over all texts. Summed piece by piece in
+    two shuffles."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
+        got, size = [], 0
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                total += np.bincount((Lines(chunk, shingle, least).token & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                got.append((Lines(chunk, shingle, least).token & np.uint64(COUNTERS - 1)).astype(np.int32))
+                size += len(got[-1])
+                if size > GATHER:
+                    total += np.bincount(np.concatenate(got), minlength=COUNTERS)
+                    got, size = [], 0
+        if size:
+            total += np.bincount(np.concatenate(got), minlength=COUNTERS)
         if total.any():
             salt = int(total.sum()) % 64
             n = COUNTERS // PIECE
@@ -97,144 +192,210 @@ def token_counts(work: DataFrame, shingle: int, least: int) -> np.ndarray:
     schema = "piece int, salt int, counts binary"
     parts = work.select("text").mapInArrow(local, schema).repartition("piece", "salt").mapInArrow(add, schema)
     parts = parts.withColumn("salt", F.lit(0)).repartition("piece").mapInArrow(add, schema)
-    counts = np.zeros(COUNTERS, np.uint32)
+    ranks = np.zeros(COUNTERS, np.uint16)
     for row in parts.collect():
-        counts[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.counts, np.uint32)
-    return counts
+        ranks[row.piece * PIECE : (row.piece + 1) * PIECE] = np.log2(1.0 + np.frombuffer(row.counts, np.uint32)) * 2047
+    return ranks
+
 
+SETS = "a long, b long, size int, ord long, th long, line int, prefix binary"
+PLACE = "ord", "th", "line"
 
-LINE_SCHEMA = "ord long, th long, line int, a long, b long, size int, prefix array<long>"
 
+def line_sets(work: DataFrame, ranks: np.ndarray, similarity: float, shingle: int, least: int) -> DataFrame:
+    """A row for each line: its set's two hashes and size, its place, and the rarest tokens, which the prefix filter needs.
+    Lines whose set a task has at an earlier place have no tokens."""
+    shared = broadcast(work.sparkSession, ranks)
 
-def line_sets(work: DataFrame, counts: np.ndarray, similarity: float, shingle: int, least: int) -> DataFrame:
-    """A row for each line: its place, its set's two hashes and size, and the rarest tokens that the prefix filter needs."""
-    shared = broadcast(work.sparkSession, counts)
+    def joined(got: list[tuple]) -> pa.RecordBatch:
+        a, b, size, order, th, line, n, prefix = (np.concatenate(c) for c in zip(*got))
+        by_set = np.lexsort((line, th, order, b, a))
+        new = np.concatenate(([True], (a[by_set[1:]] != a[by_set[:-1]]) | (b[by_set[1:]] != b[by_set[:-1]])))
+        head = by_set[new]
+        starts = np.cumsum(n) - n
+        n_head = n[head]
+        tokens = prefix[np.repeat(starts[head] - np.cumsum(n_head) + n_head, n_head) + np.arange(n_head.sum())]
+        rest = by_set[~new]
+        rows = np.concatenate((head, rest))
+        columns = [pa.array(c[rows]) for c in (a, b, size, order, th, line)]
+        packed = pa.concat_arrays([_packed(tokens, n_head), pa.nulls(len(rest), pa.binary())])
+        return pa.RecordBatch.from_arrays([*columns, packed], names=["a", "b", "size", "ord", "th", "line", "prefix"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, gathered = [], 0
         for batch in batches:
             order, th = (batch.column(c).to_numpy() for c in ("ord", "th"))
             for chunk in chunks(batch.column("text")):
-                found = Lines(chunk, shingle, least)
-                if not len(found.lines):
+                found = LineSets(Lines(chunk, shingle, least), shared.value)
+                if not len(found.at):
                     continue
-                a, b = found.ids()
-                rarity = shared.value[(found.token & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                tokens = found.token[np.lexsort((found.token, rarity, found.line))]
                 n = found.size - np.ceil(similarity * found.size - 1e-9).astype(np.int64) + 1
-                at = np.repeat(found.at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(tokens[at].view(np.int64)))
-                rows = chunk.lo + found.text[found.lines]
-                columns = [order[rows], th[rows], found.number[found.lines].astype(np.int32), a.view(np.int64), b.view(np.int64), found.size.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), prefix], names=["ord", "th", "line", "a", "b", "size", "prefix"])
+                at = np.repeat(found.at - np.cumsum(n) + n, n) + np.arange(n.sum())
+                rows = chunk.lo + found.text
+                got.append((found.a, found.b, found.size.astype(np.int32), order[rows], th[rows], found.number.astype(np.int32), n, found.token[at].view(np.int64)))
+                gathered += len(at)
+                if gathered > GATHER:
+                    yield joined(got)
+                    got, gathered = [], 0
+        if got:
+            yield joined(got)
 
-    return work.mapInArrow(run, LINE_SCHEMA)
+    return work.mapInArrow(run, SETS)
 
 
-def set_tokens(work: DataFrame, sets: DataFrame, shingle: int, least: int) -> DataFrame:
-    """``a``, ``b`` and ``tokens`` of the given sets."""
-    wanted = broadcast(work.sparkSession, bit_filter(sets, "a"))
+def _hits(rows: DataFrame, column: str, wanted: BitFilter, hit: bool) -> DataFrame:
+    """The rows whose ``column`` may be in ``wanted``, or those whose surely is not."""
+    shared = broadcast(rows.sparkSession, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            yield batch.filter(pa.array(shared.value.test(batch.column(column).to_numpy()) == hit))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _distinct(work: DataFrame, similarity: float, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """``a``, ``b`` and place of the lines that are not the first of their set, and the distinct sets at their first place."""
+    lines = materialize(line_sets(work, token_ranks(work, shingle, least), similarity, shingle, least), "lines")
+    heads = lines.where("prefix is not null")
+    again = materialize(repeated_values(heads.select("a"), heads.count()), "repeated-sets")
+    wanted = bit_filter(again, "value")
+    several = _hits(heads, "a", wanted, True)
+    firsts = several.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    firsts = materialize(firsts.select("a", "b", "size", "first.*", "prefix"), "first-sets")
+    of_first = firsts.select("a", "b", F.struct(*PLACE).alias("first"))
+    later = _hits(heads.drop("size", "prefix").select("a", "b", "ord", "th", "line"), "a", wanted, True).join(of_first, ["a", "b"]).where(F.col("first") < F.struct(*PLACE)).drop("first")
+    later = lines.where("prefix is null").select("a", "b", "ord", "th", "line").unionByName(later)
+    return later, _hits(heads, "a", wanted, False).unionByName(firsts)
+
+
+ENTRIES = "token long, a long, b long, ord long, size int, at int, shared int, level int"
+
+
+def _entries(sets: DataFrame, often: BitFilter) -> DataFrame:
+    """A row for each prefix token that other sets may have: its place ``at`` in the set's order, its place ``shared`` among
+    such tokens, and the set's ``level``, which one of GROWTH sets has above any given level."""
+    wanted = broadcast(sets.sparkSession, often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            token = _cells(prefix)
+            n = np.diff(np.frombuffer(prefix.buffers()[1] or b"\0" * 4, np.int32)[prefix.offset : prefix.offset + len(prefix) + 1]) // 8
+            begin = np.cumsum(n) - n
+            hit = wanted.value.test(token) if len(token) else np.empty(0, bool)
+            before = np.cumsum(hit) - hit
+            which = np.repeat(np.arange(len(n)), n)[hit]
+            if not len(which):
+                continue
+            at = np.flatnonzero(hit) - begin[which]
+            a, b, order, size = (batch.column(c).to_numpy()[which] for c in ("a", "b", "ord", "size"))
+            hashed = mix(a.view(np.uint64) + b.view(np.uint64))
+            zeros = np.bitwise_count((hashed & (~hashed + np.uint64(1))) - np.uint64(1))  # at the end of the hash
+            level = (zeros // GROWTH_BITS).astype(np.int32)
+            columns = [token[hit], a, b, order, size, at.astype(np.int32), (before[hit] - before[begin[which]]).astype(np.int32), level]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in ENTRIES.split(", ")])
+
+    return sets.select("a", "b", "ord", "size", "prefix").mapInArrow(run, ENTRIES)
+
+
+def _set_tokens(work: DataFrame, wanted: DataFrame, shingle: int, least: int) -> DataFrame:
+    """``a``, ``b``, ``place`` and ``tokens`` of the wanted sets (a, b, ord, th, line), from the texts that hold them."""
+    spark = work.sparkSession
+    of_texts, of_sets = broadcast(spark, bit_filter(wanted, "th")), broadcast(spark, bit_filter(wanted, "a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(of_texts.value.test(batch.column("th").to_numpy())))
+            order, th = (batch.column(c).to_numpy() for c in ("ord", "th"))
             for chunk in chunks(batch.column("text")):
-                found = Lines(chunk, shingle, least)
-                if not len(found.lines):
-                    continue
-                a, b = found.ids()
-                _, once = np.unique(a, return_index=True)
-                hit = once[wanted.value.test(a[once])]
+                found = LineSets(Lines(chunk, shingle, least))
+                hit = np.flatnonzero(of_sets.value.test(found.a)) if len(found.at) else ()
                 if len(hit):
-                    tokens = [found.token[found.at[i] : found.at[i] + found.size[i]].view(np.int64) for i in hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[hit].view(np.int64)), pa.array(b[hit].view(np.int64)), pa.array(tokens, pa.list_(pa.int64()))], names=["a", "b", "tokens"])
-
-    found = work.select("text").mapInArrow(run, "a long, b long, tokens array<long>")
-    return found.groupBy("a", "b").agg(F.first("tokens").alias("tokens")).join(sets.select("a", "b"), ["a", "b"], "left_semi")
-
-
-def _ranked(work: DataFrame, sets: DataFrame, similarity: float, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix tokens of several sets with each set's place among theirs, and the tokens of these sets."""
-    entries = sets.select("a", "b", "size", "first", F.posexplode("prefix").alias("at", "token"))
-    often = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    often = materialize(often, "often")
-    entries = split_by(entries, F.col("token"), often)[0].join(often, "token")
-    # tokens of one set only cannot be shared: places count among the others
-    entries = entries.withColumn("shared", F.row_number().over(Window.partitionBy("a", "b").orderBy("at")) - 1)
-    ranked = materialize(entries.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("first", "a", "b"))), "prefixes")
-    return ranked, materialize(set_tokens(work, ranked.select("a", "b").distinct(), shingle, least), "set-tokens")
-
-
-def _matched(ranked: DataFrame, tokens: DataFrame, similarity: float, later: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame | None:
-    """``a``, ``b`` of the distinct sets that are similar to one whose first place is earlier, and ``of``, the ``a`` and
-    ``b`` of such a one; None if no sets meet. ``later`` and ``earlier`` (a, b) name the sets on either side, all if None."""
-    left, right = ([F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "size", "at", "shared", "rank")] for p in ("l", "r"))
-    sides = [ranked if keys is None else ranked.join(keys.select("a", "b"), ["a", "b"], "left_semi") for keys in (later, earlier)]
+                    n = found.size[hit]
+                    tokens = found.token[np.repeat(found.at[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())].view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(tokens))
+                    rows = chunk.lo + found.text[hit]
+                    columns = [found.a[hit], found.b[hit], order[rows], th[rows], found.number[hit].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["a", "b", "ord", "th", "line", "tokens"])
+
+    found = work.mapInArrow(run, "a long, b long, ord long, th long, line int, tokens array<long>")
+    found = found.join(wanted, ["a", "b", "ord", "th", "line"], "left_semi")
+    return found.groupBy("a", "b").agg(F.first(F.struct(*PLACE)).alias("place"), F.first("tokens").alias("tokens"))  # equal rows hold a line twice
+
+
+def _meetings(work: DataFrame, sets: DataFrame, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The entries of tokens that several sets have, with the round in which others meet them, and the sets' tokens."""
+    n = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    often = bit_filter(materialize(repeated_values(sets.select("prefix"), n // 8), "repeated-tokens"), "value")
+    entries = materialize(_entries(sets, often), "entries")
+    groups = materialize(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token-groups")
+    top = F.greatest(F.ceil(F.log(float(GROWTH), F.col("n") - 0.5)) - 1, F.lit(0))
+    entries = materialize(entries.join(groups, "token").withColumn("round", (top - F.least("level", top)).cast("int")).drop("n", "level"), "meetings")
+    wanted = sets.select("a", "b", "ord", "th", "line").join(entries.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    return entries, materialize(_set_tokens(work, materialize(wanted, "wanted-sets"), shingle, least), "set-tokens")
+
+
+def _matched(entries: DataFrame, tokens: DataFrame, similarity: float, later: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame | None:
+    """``a``, ``b`` and ``place`` of the distinct sets that are similar to one at an earlier place, and ``of``, the place of
+    such a one; None if no sets meet. ``later`` and ``earlier`` (a, b) name the sets on either side, all if None."""
+    left, right = ([F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "ord", "size", "at", "shared", "round")] for p in ("l", "r"))
+    sides = [entries if keys is None else entries.join(keys.select("a", "b"), ["a", "b"], "left_semi") for keys in (later, earlier)]
     later, earlier = sides[0].select("token", *left), sides[1].select("token", *right)
     overlap = F.lit(similarity / (1 + similarity)) * (F.col("l_size") + F.col("r_size")) - 1e-6
     place_bound = F.least("l_shared", "r_shared") + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
-    filters = (F.col("r_size") >= similarity * F.col("l_size") - 1e-6) & (F.col("l_size") >= similarity * F.col("r_size") - 1e-6) & (place_bound >= overlap)
-    done, low, high = None, 0, FIRST_BLOCK
-    most = later.agg(F.max("l_rank")).first()[0] or 0
-    while low < most - 1:
-        rest = later.where(F.col("l_rank") > low + 1)
+    filters = (F.col("r_ord") <= F.col("l_ord")) & (F.col("r_size") >= similarity * F.col("l_size") - 1e-6) & (F.col("l_size") >= similarity * F.col("r_size") - 1e-6) & (place_bound >= overlap)
+    own, other = (tokens.select(*(F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "place", "tokens"))) for p in ("l", "r"))
+    rounds = entries.agg(F.max("round")).first()[0]
+    done = None
+    for step in range(0 if rounds is None else rounds + 1):
+        rest = later
         if done is not None:
             rest = rest.join(done.select(F.col("a").alias("l_a"), F.col("b").alias("l_b")), ["l_a", "l_b"], "left_anti")
-        block = earlier.where((F.col("r_rank") > low) & (F.col("r_rank") <= high))
-        pairs = rest.join(block, "token").where((F.col("r_rank") < F.col("l_rank")) & filters).select("l_a", "l_b", "r_a", "r_b").distinct()
-        checked = pairs.join(tokens.select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), F.col("tokens").alias("l")), ["l_a", "l_b"]).join(tokens.select(F.col("a").alias("r_a"), F.col("b").alias("r_b"), F.col("tokens").alias("r")), ["r_a", "r_b"])
-        common = F.size(F.array_intersect("l", "r"))
-        similar = checked.where(common >= similarity * (F.size("l") + F.size("r") - common) - 1e-9)
-        new = materialize(similar.groupBy(F.col("l_a").alias("a"), F.col("l_b").alias("b")).agg(F.min(F.struct(F.col("r_a").alias("a"), F.col("r_b").alias("b"))).alias("of")), "matched")
+        block = earlier.where(F.col("r_round") == step)
+        pairs = rest.join(block, "token").where(filters).select("l_a", "l_b", "r_a", "r_b").distinct()
+        checked = pairs.join(own, ["l_a", "l_b"]).join(other, ["r_a", "r_b"]).where("r_place < l_place")
+        common = F.size(F.array_intersect("l_tokens", "r_tokens"))
+        similar = checked.where(common >= similarity * (F.size("l_tokens") + F.size("r_tokens") - common) - 1e-9)
+        new = materialize(similar.groupBy(F.col("l_a").alias("a"), F.col("l_b").alias("b")).agg(F.first("l_place").alias("place"), F.min("r_place").alias("of")), "matched")
         done = new if done is None else done.unionByName(new)
-        low, high = high, high * BLOCK_GROWTH
     return done
 
 
-def _line_sets(work: DataFrame, similarity: float, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """line_sets() of all lines, and the distinct sets with their first place and number of lines."""
-    lines = materialize(line_sets(work, token_counts(work, shingle, least), similarity, shingle, least), "lines")
-    sets = lines.groupBy("a", "b", "size").agg(F.min(F.struct("ord", "th", "line")).alias("first"), F.count("*").alias("n"), F.first("prefix").alias("prefix"))
-    return lines, materialize(sets, "line-sets")
-
-
 def similar_to_kept(work: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """ord, th, line and ``of`` (ord, th, line) of the lines that are similar to an earlier line which is kept itself.
 
     Sets similar to no earlier one are kept, and those similar to a kept one go; what is then left, similar only to sets
     that went, is judged again among itself, of which the first is always kept.
     """
-    lines, sets = _line_sets(work, similarity, shingle, 1)
-    ranked, tokens = _ranked(work, sets.drop("n"), similarity, shingle, 1)
+    again, sets = _distinct(work, similarity, shingle, 1)
+    entries, tokens = _meetings(work, sets, shingle, 1)
     gone, rest = None, None
     while True:
-        later = _matched(ranked, tokens, similarity, rest, rest)
+        later = _matched(entries, tokens, similarity, rest, rest)
         if later is None or later.isEmpty():
             break
-        kept = (ranked if rest is None else rest).select("a", "b").distinct().join(later, ["a", "b"], "left_anti")
-        new = _matched(ranked, tokens, similarity, later, materialize(kept, "kept-sets"))
+        kept = (entries if rest is None else rest).select("a", "b").distinct().join(later, ["a", "b"], "left_anti")
+        new = _matched(entries, tokens, similarity, later, materialize(kept, "kept-sets"))
         gone = new if gone is None else gone.unionByName(new)
         rest = materialize(later.select("a", "b").join(new, ["a", "b"], "left_anti"), "open-sets")
         if rest.isEmpty():
             break
-    place = F.struct("ord", "th", "line")
-    again = sets.where("n > 1").select("a", "b", F.col("first").alias("of"))
-    found = lines.join(again, ["a", "b"]).where(F.col("of") < place)
+    again = materialize(again, "again")
+    firsts = sets.select("a", "b", F.struct(*PLACE).alias("of"))
+    found = again.join(firsts, ["a", "b"]).select("a", "b", "ord", "th", "line", "of")
     if gone is not None:
-        firsts = sets.select(F.struct("a", "b").alias("of"), "first")
-        of_gone = materialize(gone.join(firsts, "of").select("a", "b", F.col("first").alias("of")), "gone-sets")
-        found = found.join(of_gone, ["a", "b"], "left_anti").select("ord", "th", "line", "of").unionByName(lines.join(of_gone, ["a", "b"]).select("ord", "th", "line", "of"))
+        equal = again.join(gone.select("a", "b", "of"), ["a", "b"]).select("a", "b", "ord", "th", "line", "of")
+        found = found.join(gone, ["a", "b"], "left_anti").unionByName(equal).unionByName(gone.select("a", "b", "place.*", "of"))
     return found.select("ord", "th", "line", "of")
 
 
 def later_matches(work: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, least: int = MIN_WORDS) -> DataFrame:
     """ord, th, line (from 0) of with_order() texts' lines that are similar to a line before them."""
-    lines, sets = _line_sets(work, similarity, shingle, least)
-    matched = _matched(*_ranked(work, sets.drop("n"), similarity, shingle, least), similarity)
-    place = F.struct("ord", "th", "line")
-    again = sets.where("n > 1").select("a", "b", "first")
-    repeated = lines.join(again, ["a", "b"]).where(F.col("first") < place).select("ord", "th", "line")
-    if matched is None:
-        return repeated
-    return repeated.unionByName(sets.join(materialize(matched, "similar-sets"), ["a", "b"], "left_semi").select("first.*"))
+    again, sets = _distinct(work, similarity, shingle, least)
+    matched = _matched(*_meetings(work, sets, shingle, least), similarity)
+    found = again.select("ord", "th", "line")
+    return found if matched is None else found.unionByName(matched.select("place.*"))
 
 
 def _without(text: str, gone: set[int]) -> str:
@@ -264,10 +425,10 @@ def remove_later(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     Lines are split at line feeds; words are runs of anything but space and the controls 9 to 13. A line goes if a line
     before it, in a smaller key or earlier in the same text, has a set of ``shingle``-word tokens of Jaccard similarity
-    ``similarity`` or more, whether or not that line goes itself. Lines of fewer than ``least`` words stay, and blank
-    lines always. Null texts stay
-    null. Rows of equal keys count as ordered by a hash of their text, wholly equal rows as one text; null keys come last.
-    A column called n_removed is replaced. No rows give no rows.
+    ``similarity`` or more, whether or not that line goes itself. A line of fewer than ``shingle`` words is one token, so it
+    goes if it has the words of an earlier line. Lines of fewer than ``least`` words stay, and blank lines always. Null
+    texts stay null. Rows of equal keys count as ordered by a hash of their text, wholly equal rows as one text; null keys
+    come last. A column called n_removed is replaced. No rows give no rows.
     """
     gone = materialize(later_matches(with_order(docs, key, text), similarity, shingle, least), "later-lines")
     own = docs.drop("n_removed").withColumns({"__ord": F.coalesce(F.col(key).cast("long"), F.lit(LAST)), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
@@ -283,6 +444,6 @@ def remove_later(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``key``, ``n_lines``, ``n_removed`` and ``kept_sha256`` (of the kept lines joined by line feeds) of each row."""
     base = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = base.select(key, "ord", "th", (F.length(F.col("text")) - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"), F.sha2("text", 256).alias("all"))
+    own = base.select(key, "ord", "th", (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.sha2("text", 256).alias("all"))
     cut = kept_texts(docs, key=key, text=text, **options).select("ord", "th", "n_removed", F.sha2("kept", 256).alias("own"))
     return own.join(cut, ["ord", "th"], "left").select(key, "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("own", "all").alias("kept_sha256"))

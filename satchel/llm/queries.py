@@ -114,7 +114,7 @@ WITH lines AS (
   SELECT doc_id, i, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))
 ), sets AS (
-  SELECT doc_id, i, list_distinct([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM lines WHERE len(w) >= 5
+  SELECT doc_id, i, list_distinct([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, greatest(len(w) - 3, 2))]) AS s FROM lines WHERE len(w) >= 1
 ), tokens AS (SELECT doc_id, i, len(s) AS n, unnest(s) AS t FROM sets),
 frequent AS (SELECT t, count(*) AS df FROM tokens GROUP BY t),
 ranked AS (SELECT doc_id, i, n, t, row_number() OVER (PARTITION BY doc_id, i ORDER BY df, t) AS p FROM tokens JOIN frequent USING (t)),

@@ -6,7 +6,7 @@ from satchel.llm import line_dedup
 from tests.llm.texts import SCHEMA, corpus
 
 
-def brute(rows, similarity=0.8, shingle=5, least=5):
+def brute(rows, similarity=0.8, shingle=5, least=1):
     sets, out = [], {}
     for i, t in sorted(rows):
         kept, gone = [], 0
@@ -65,5 +65,42 @@ def test_chains_are_judged_on_the_input(spark):
 def test_short_lines_null_ids_and_empty_table(spark):
     line = "one two three four five six"
     docs = spark.createDataFrame([(None, line), (2, line), (2, line), (3, "a b\na b"), (4, None)], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.n_removed) for r in line_dedup.remove_later(docs).collect()) == [(0, 1), (2, 0), (2, 0), (3, 0), (4, 0)]
+    assert sum(r.n_removed for r in line_dedup.remove_later(docs, least=3).collect()) == 1
+    assert sorted((r.doc_id or 0, r.n_removed) for r in line_dedup.remove_later(docs).collect()) == [(0, 1), (2, 0), (2, 0), (3, 1), (4, 0)]
     assert line_dedup.digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_near_copies_of_one_line_meet_in_rounds(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[: i % 37], f"n{i}", *words[i % 37 :]]) + f"\nown{i} line\nlast") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = {i: (n, g) for i, (n, g, _) in brute(rows).items()}
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.digests(docs).collect()} == want
+
+
+def test_values_that_repeat_are_found_in_parts(spark):
+    values = spark.range(3000).selectExpr("xxhash64(id % 2500) as v").repartition(6)
+    want = {r.v for r in values.groupBy("v").count().where("count > 1").select("v").collect()}
+    for n in (10, 40 << 20, 1 << 40):
+        assert {r.value for r in line_dedup.repeated_values(values, n).collect()} == want
+
+
+def test_lines_similar_to_kept_ones_only(spark):
+    words = [f"w{i}" for i in range(60)]
+    steps = [" ".join(words)]
+    for k in range(0, 24, 3):
+        words[59 - k] = f"y{k}"
+        steps.append(" ".join(words))
+    rows = list(enumerate([*steps, steps[3], "alone in this world here", steps[1]]))
+    kept, want = [], {}
+    for i, t in rows:
+        w = t.split()
+        own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        of = [j for j, o in kept if len(own & o) / len(own | o) >= 0.8]
+        if of:
+            want[i] = of
+        else:
+            kept.append((i, own))
+    work = line_dedup.with_order(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.ord: r.of.ord for r in line_dedup.similar_to_kept(work).collect()}
+    assert set(got) == set(want) and all(got[i] in want[i] for i in got)
