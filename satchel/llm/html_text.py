@@ -1,13 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks of text, each with the path of block elements from the root to it. Text length and
-punctuation are summed for each path and divided by its number of blocks. The two ratios are scaled by the page's
-largest and fused by their geometric mean; the scores are smoothed over neighbouring blocks in page order by a Gaussian
-kernel, averaged for each path, and paths at or above a threshold, a share of the scores' standard deviation, are
-content. The article is what the smallest element that holds most of the selected text holds: headings and short blocks
-between the selected ones belong to it. Elements whose tag, role or class says that they are menus, headers, footers,
-side columns, notices, adverts, forms or reader comments are left out before ratios are taken, unless they hold most of the
-page's text and its heading, or nearly all there is; scripts and styles are left out, and paths that are mostly links.
+A page is read once, in time linear in its length, into blocks of text. A block's path are the block elements from the root
+to it; elements with a class are told apart by it, others that hold blocks by their place among their like. Text length and
+punctuation are summed for each path and divided by its number of blocks. These two ratios and the path's text are scaled
+by the page's largest, smoothed over neighbouring blocks in page order by a Gaussian kernel, and fused, smoothed and as they
+are, by a geometric mean. Paths whose mean score is a share of the scores' standard deviation or more are content, and their
+blocks are the article. Headings and short blocks that score less belong to it where the smallest element that holds most
+of the content holds them too. Tags, roles and class names that say menu, header, footer, side column, notice, advert, form
+or reader comment divide a path's score by a hundred, unless the element holds most of the page's text and its heading, or
+nearly all there is. Paths that are mostly links are no content.
 """
 
 from __future__ import annotations
@@ -16,20 +17,20 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+#: The rest of a tag; a quote counts only after an equals sign.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
+ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+#: Elements whose inside is no text of the page.
+UNREAD = frozenset("script style noscript template svg iframe textarea select title object math".split())
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset details summary address hr center dialog menu head".split()
 )
@@ -45,13 +46,16 @@ ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
+#: Elements that are marked as no article, and those of them that stay marked whatever they hold.
 LEFT_OUT = frozenset("nav footer aside header form head button dialog menu label fieldset".split())
-#: Of these, elements that are left out whatever they hold.
-NEVER = frozenset("nav head button menu label footer".split())
+NEVER = frozenset("nav menu footer".split())
 #: What an open head may hold; anything else ends it.
 IN_HEAD = frozenset("head base basefont bgsound link meta noframes".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 article main".split())
-#: A left-out element that holds over half of the text stays if less than this share is outside such elements.
+#: Elements that hold one block and so are never the article's element.
+LEAVES = frozenset("p li dt dd td th caption summary figcaption blockquote pre h1 h2 h3 h4 h5 h6".split())
+#: A marked element that holds over half of the text counts as unmarked if less than this share is outside such elements.
 ELSEWHERE = 0.1
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words of class and id names of elements that are not the article.
@@ -64,15 +68,32 @@ NAMES = re.compile(
 #: Words of class names that name a part's absence or presence, and the header of an article.
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|no|without)[_-][\w-]+|(?:entry|post|article|story|content)[_-]+header)(?=$|\s)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: What the score of a marked path is multiplied by, and the least score of a content path.
+PENALTY, LEAST = 0.01, 0.02
+#: Weight of the smoothed ratios beside a path's own.
+SMOOTH = 0.25
+#: Open elements; deeper ones count as part of the last.
+MAX_DEPTH = 256
 
 
 @dataclass
 class Block:
     text: str
-    path: str
-    chain: tuple[int, ...]
+    path: int
+    element: int
     linked: int
-    marked: tuple[int, ...]
+
+
+@dataclass
+class Open:
+    """An open element: its block element, that element's path, the path for elements inside, whether text is left out."""
+
+    tag: str
+    element: int
+    path: int
+    inner: int
+    out: bool
+    like: dict[str, int] = field(default_factory=dict)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -81,154 +102,248 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _named_out(attributes: dict[str, str]) -> bool:
     names = LAYOUT.sub("", CAMEL.sub("-", f"{attributes.get('class', '')} {attributes.get('id', '')}")).strip()
-    return bool(names and NAMES.search(names)) or attributes.get("role", "").lower() in ROLES or attributes.get("aria-hidden") == "true"
-
-
-def read_blocks(page: str) -> tuple[list[Block], dict[int, str]]:
-    """The blocks outside left-out elements, in page order, and the tag of each element by its number."""
-    blocks: list[Block] = []
-    tags: dict[int, str] = {}
-    stack: list[tuple[str, int, bool, str, bool]] = []  # tag, number, left out, name in a path, marked as no article
-    headed: set[int] = set()  # marked elements that hold a heading
-    parts: list[str] = []
-    linked, number, at = 0, 0, 0
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        parts.clear()
+    return bool(names and NAMES.search(names)) or attributes.get("role", "").lower() in ROLES
+
+
+class Page:
+    """The blocks of a page in order, and of each element its parent, tag and marks. Element 0 is the page."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.tags, self.parent, self.marked, self.never = [""], [0], [False], [True]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.headed: set[int] = set()
+        self._stack = [Open("", 0, 0, 0, False)]
+        self._count: dict[str, int] = defaultdict(int)
+        self._skipped: dict[str, int] = defaultdict(int)
+        self._parts: list[str] = []
+        self._linked = 0
+        self._read(page)
+        self._flush()
+
+    def _read(self, page: str) -> None:
+        lower, at, last = page.lower(), 0, page.rfind(">")
+        if len(lower) != len(page):  # a few capitals become two letters
+            lower = re.sub("[A-Z]+", lambda m: m[0].lower(), page)
+        quoted = True
+        while (lt := page.find("<", at)) >= 0:
+            following = page[lt + 1 : lt + 2]
+            if following == "!" or following == "?":
+                self._add(page[at:lt])
+                long = page.startswith("<!--", lt)
+                end = page.find("-->" if long else ">", lt + (4 if long else 1))
+                at = len(page) if end < 0 else end + (3 if long else 1)
+                continue
+            close = following == "/"
+            name = NAME.match(page, lt + 1 + close)
+            if not name or lt > last:  # no tag, or one without an end
+                if lt > last:
+                    self._add(page[at:lt])
+                    at = len(page) if name else lt
+                    if not name:
+                        break
+                    continue
+                self._add(page[at : lt + 1])
+                at = lt + 1
+                continue
+            self._add(page[at:lt])
+            rest = REST.match(page, name.end()) if quoted else None
+            if rest is None:  # a quote that nothing closes: from here on quotes mean nothing
+                quoted = False
+            at = rest.end() if rest else page.find(">", name.end()) + 1
+            tag = name[0].lower()
+            if close:
+                self._close_tag(tag)
+            elif tag in UNREAD:
+                end = lower.find(f"</{tag}", at)
+                end = len(page) if end < 0 else page.find(">", end)
+                at = len(page) if end < 0 else end + 1
+            else:
+                self._open_tag(tag, page[name.end() : at - 1])
+        self._add(page[at:])
+
+    def _add(self, text: str) -> None:
+        if not text:
+            return
+        if self._stack[-1].tag == "head" and text.strip():
+            self._close(len(self._stack) - 1)
+        if not self._stack[-1].out:
+            self._parts.append(text)
+            if self._count["a"]:
+                self._linked += len(text)
+
+    def _flush(self) -> None:
+        text = " ".join(html.unescape("".join(self._parts)).split()) if self._parts else ""
         if text:
-            own = [s for s in stack if s[0] in BLOCKS]
-            blocks.append(Block(text, "/".join(s[3] for s in own), tuple(s[1] for s in own), linked, tuple(s[1] for s in own if s[4])))
-        linked = 0
-
-    def close(to: int) -> None:
-        if any(s[0] in BLOCKS for s in stack[to:]):
-            flush()
-        del stack[to:]
-
-    def add(text: str) -> None:
-        nonlocal linked
-        if stack and stack[-1][0] == "head" and text.strip():
-            close(len(stack) - 1)
-        if text and not (stack and stack[-1][2]):
-            parts.append(text)
-            if any(s[0] == "a" for s in stack):
-                linked += len(text)
-
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
-            continue
-        tag = m[3].lower()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in BLOCKS and tag not in BLOCKS:
-                    break
-            continue
-        if tag not in IN_HEAD and any(s[0] == "head" for s in stack):
-            close(next(i for i, s in enumerate(stack) if s[0] == "head"))
+            own = next(s for s in reversed(self._stack) if s.tag in BLOCKS or not s.element)
+            self.blocks.append(Block(text, own.path, own.element, self._linked))
+        self._parts, self._linked = [], 0
+
+    def _close(self, to: int) -> None:
+        if any(s.tag in BLOCKS for s in self._stack[to:]):
+            self._flush()
+        for s in self._stack[to:]:
+            self._count[s.tag] -= 1
+        del self._stack[to:]
+
+    def _close_tag(self, tag: str) -> None:
+        if self._skipped[tag]:
+            self._skipped[tag] -= 1
+            return
+        if not self._count[tag]:
+            return
+        for i in range(len(self._stack) - 1, 0, -1):
+            if self._stack[i].tag == tag:
+                self._close(i)
+                return
+            if self._stack[i].tag in BLOCKS and tag not in BLOCKS:
+                return
+
+    def _close_first(self, tag: str) -> None:
+        if self._count[tag]:
+            self._close(next(i for i, s in enumerate(self._stack) if s.tag == tag))
+
+    def _open_tag(self, tag: str, raw: str) -> None:
+        if tag not in IN_HEAD:
+            self._close_first("head")
         if tag in ENDS:
             ended, bounds = ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ended:
-                    close(i)
+            for i in range(len(self._stack) - 1, 0, -1) if any(self._count[t] for t in ended) else ():
+                if self._stack[i].tag in ended:
+                    self._close(i)
                     break
-                if stack[i][0] in bounds:
+                if self._stack[i].tag in bounds:
                     break
-        elif tag in BLOCKS and any(s[0] == "p" for s in stack):
-            close(next(i for i, s in enumerate(stack) if s[0] == "p"))
+        elif tag in BLOCKS:
+            self._close_first("p")
         if tag in BLOCKS:
-            flush()
+            self._flush()
         if tag in INLINE_BREAKS:
-            add(" ")
-        if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCKS:
-            continue
-        attributes = _attributes(m[4])
-        number += 1
-        tags[number] = tag
-        titled = tag == "header" and any(s[0] in ("article", "main") for s in stack)  # an article's own header has its title
-        marked = tag in LEFT_OUT and not titled or (tag not in ("html", "body", "article", "main") or "comment" in attributes.get("class", "")) and _named_out(attributes)
-        never = tag in NEVER or tag not in BLOCKS or attributes.get("aria-hidden") == "true"
-        out = bool(stack and stack[-1][2]) or marked and never
-        if tag in HEADINGS:
-            headed.update(s[1] for s in stack if s[4])
-        kind = attributes.get("class", "").split()
-        stack.append((tag, number, out, f"{tag}.{kind[0]}" if kind else tag, marked and not never))
-    add(page[at:] if not page[at:].lstrip().startswith("<") else "")
-    flush()
-    return _unmarked(blocks, headed), tags
-
-
-def _unmarked(blocks: list[Block], headed: set[int]) -> list[Block]:
-    """The blocks outside marked elements, of which those stay that hold most of the text and its heading, or nearly all."""
-    inside: dict[int, int] = defaultdict(int)
-    for b in blocks:
-        for element in b.marked:
-            inside[element] += len(b.text)
-    whole, elsewhere = sum(len(b.text) for b in blocks), sum(len(b.text) for b in blocks if not b.marked)
-    stay = {e for e, n in inside.items() if 2 * n > whole and (e in headed or elsewhere < ELSEWHERE * whole)}
-    return [b for b in blocks if stay.issuperset(b.marked)]
+            self._add(" ")
+        if tag in VOID or raw.rstrip().endswith("/") and tag not in BLOCKS:
+            return
+        if len(self._stack) > MAX_DEPTH:
+            self._skipped[tag] += 1
+            return
+        above, block, attributes = self._stack[-1], tag in BLOCKS, _attributes(raw)
+        titled = tag == "header" and bool(self._count["article"] or self._count["main"])  # an article's own header has its title
+        hidden = attributes.get("aria-hidden") == "true"
+        marked = tag in LEFT_OUT and not titled or hidden or (tag not in ("html", "body", "article", "main") or "comment" in attributes.get("class", "")) and _named_out(attributes)
+        element, path, inner = above.element, above.path, above.inner
+        if block:
+            element = len(self.tags)
+            self.tags.append(tag)
+            self.parent.append(above.element)
+            self.marked.append(marked)
+            self.never.append(tag in NEVER)
+            if tag in HEADINGS:
+                self.headed.add(element)
+            kind = attributes.get("class", "").split()
+            name = (f"{tag}.{kind[0]}" if kind else tag) + "!" * marked
+            above.like[name] = above.like.get(name, 0) + 1
+            path = self._path(above.inner, name)
+            inner = path if kind or tag in LEAVES else self._path(path, f"[{above.like[name]}]")
+        self._count[tag] += 1
+        out = above.out or hidden or tag == "head" or marked and not block
+        self._stack.append(Open(tag, element, path, inner, out))
 
+    def _path(self, above: int, name: str) -> int:
+        return self.paths.setdefault((above, name), len(self.paths) + 1)
 
-def path_scores(blocks: list[Block]) -> dict[str, float]:
-    """Fused and smoothed ratio of each path."""
-    length, marks, n = defaultdict(float), defaultdict(float), defaultdict(int)
-    for b in blocks:
-        length[b.path] += len(b.text)
-        marks[b.path] += len(PUNCTUATION.findall(b.text))
-        n[b.path] += 1
-    by_text = np.array([length[b.path] / n[b.path] for b in blocks])
-    by_marks = np.array([(marks[b.path] + 0.5) / n[b.path] for b in blocks])
-    fused = np.sqrt(by_text / by_text.max() * by_marks / by_marks.max())
+    def inside(self, sizes: dict[int, int]) -> list[int]:
+        """Sums for each element, with all elements inside it, of what its own blocks have."""
+        total = [sizes.get(e, 0) for e in range(len(self.tags))]
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
+        return total
+
+    def penalised(self) -> list[bool]:
+        """Whether each element is marked or in a marked one; those do not count that hold most of the text and its
+        heading, or nearly all."""
+        sizes: dict[int, int] = defaultdict(int)
+        for b in self.blocks:
+            sizes[b.element] += len(b.text)
+        inside, under = self.inside(sizes), [False] * len(self.tags)
+        headed = self.inside(dict.fromkeys(self.headed, 1))
+        for e in range(1, len(under)):
+            under[e] = self.marked[e] or under[self.parent[e]]
+        elsewhere = sum(n for e, n in sizes.items() if not under[e])
+        out = [False] * len(self.tags)
+        for e in range(1, len(out)):
+            stays = 2 * inside[e] > inside[0] and not self.never[e] and (headed[e] or elsewhere < ELSEWHERE * inside[0])
+            out[e] = out[self.parent[e]] or self.marked[e] and not stays
+        return out
+
+
+def path_scores(page: Page, penalised: list[bool]) -> dict[int, float]:
+    """The fused score of each path."""
+    blocks, out = page.blocks, np.array([penalised[b.element] for b in page.blocks])
+    number = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in blocks))}
+    path = np.array([number[b.path] for b in blocks])
+    n = np.bincount(path)
+    length, marks = np.bincount(path, [len(b.text) for b in blocks]), np.bincount(path, [len(PUNCTUATION.findall(b.text)) + 0.5 for b in blocks])
+    ratios = [length / n, marks / n, length]
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    weights = np.convolve(np.ones(len(fused)), kernel)[2:-2]
-    smooth = np.convolve(fused, kernel)[2:-2] / weights
-    total = defaultdict(float)
-    for b, score in zip(blocks, smooth):
-        total[b.path] += score
-    return {p: total[p] / n[p] for p in n}
+    weights = np.convolve(np.ones(len(blocks)), kernel)[2:-2]
+    fused = np.zeros(len(blocks))  # logarithms
+    for ratio in ratios:
+        each = ratio[path]
+        each = np.minimum(each / (each[~out] if not out.all() else each).max(), 1)
+        fused += (1 - SMOOTH) * np.log(each) + SMOOTH * np.log(np.convolve(each, kernel)[2:-2] / weights)
+    score = np.bincount(path, np.exp(fused / len(ratios)) * np.where(out, PENALTY, 1)) / n
+    return {p: score[i] for p, i in number.items()}
 
 
-def main_text(page: str | None, threshold: float = 0.8, share: float = 0.6) -> str:
+def main_text(page: str | None, threshold: float = 0.8, share: float = 0.8) -> str:
     """The article's blocks, joined by an empty line.
 
-    threshold: times the scores' standard deviation that a path needs. share: of the selected text that the article's
-    element holds. Null, empty and text-free pages give the empty string; text without any markup is one block.
+    threshold: times the scores' standard deviation that a path needs. share: of the content that the article's element
+    holds. Null, empty and text-free pages give the empty string; text without any markup is one block. Tags whose quote
+    or end is missing end at the next ``>`` or with the page; elements nested deeper than MAX_DEPTH count as part of it.
     """
-    if not page:
-        return ""
-    blocks, tags = read_blocks(page)
+    found = Page(page or "")
+    blocks = found.blocks
     if not blocks:
         return ""
-    scores = path_scores(blocks)
+    penalised = found.penalised()
+    scores = path_scores(found, penalised)
     each = np.array([scores[b.path] for b in blocks])
-    least = min(threshold * each.std(), each.max())
+    least = max(min(threshold * each.std(), each.max()), LEAST)
     text, links = defaultdict(int), defaultdict(int)
     for b in blocks:
         text[b.path] += len(b.text)
         links[b.path] += min(b.linked, len(b.text))
     of_links = {p for p in text if 2 * links[p] > text[p]}
-    chosen = [b for b in blocks if scores[b.path] >= least and b.path not in of_links] or [b for b in blocks if b.path not in of_links]
-    inside = defaultdict(int)
-    for b in chosen:
-        for element in b.chain:
-            inside[element] += len(b.text)
-    whole = sum(len(b.text) for b in chosen)
-    # the innermost element with most of the text; an article or main element wins over what is in it
-    holders = [e for e in inside if inside[e] >= share * whole and tags[e] not in ("p", "li", "h1", "h2", "h3", "td", "blockquote")]
-    named = [e for e in holders if tags[e] in ("article", "main")]
-    holder = max(named or holders, default=None)
-    return "\n\n".join(b.text for b in blocks if b.path not in of_links and (holder is None or holder in b.chain))
+    content = [scores[b.path] >= least and b.path not in of_links for b in blocks]
+    if not any(content):
+        return ""
+    sizes: dict[int, int] = defaultdict(int)
+    for b, c in zip(blocks, content):
+        sizes[b.element] += len(b.text) * c
+    inside = found.inside(sizes)
+    # the innermost element with most of the content
+    holder = max(e for e in range(len(inside)) if inside[e] >= share * inside[0] and found.tags[e] not in LEAVES)
+    held = [e == holder for e in range(len(inside))]
+    for e in range(1, len(held)):
+        held[e] = held[e] or held[found.parent[e]]
+    whole = found.tags[holder] in ("", "html", "body")
+    at = [i for i, c in enumerate(content) if c]
+    first, last = at[0], at[-1]
+    while first and found.tags[blocks[first - 1].element] in TITLES:
+        first -= 1
+    kept = []
+    for i, b in enumerate(blocks):
+        # a page's own element holds menus and notices too: of its other blocks only those between content belong to it
+        belongs = held[b.element] and not penalised[b.element] and b.path not in of_links and (not whole or first <= i <= last)
+        if content[i] or belongs:
+            kept.append(b.text)
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars`` (code points) of each row; repeated rows come as often as they are there,
-    null keys and urls stay null, and a table without rows gives no rows. Pages are read whole, one at a time."""
+    null keys and urls stay null, other columns are not read, whatever their names, and a table without rows gives no rows.
+    Pages are read whole, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

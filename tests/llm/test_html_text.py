@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -68,3 +71,61 @@ def test_a_marked_wrapper_does_not_lose_the_article(page):
 def test_long_comments_are_still_left_out():
     comments = "<p>I think, that this is great. Yes!</p>" * 20
     assert html_text.main_text(f"<body><div class='post'>{BODY}</div><div class='comments'>{comments}</div></body>") == TEXT
+
+
+def long_page(rng, tag="div", comments=12):
+    """A page without article, main or telling names: a menu, the text, readers' remarks and a last line."""
+    say = lambda n: " ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    blocks = [say(6)] + [f"{say(rng.randint(20, 70))}, {say(25)}. {say(12)}!" for _ in range(rng.randint(3, 9))]
+    menu = "".join(f"<li><a href=/{i}>{say(1)}</a></li>" for i in range(8))
+    remarks = "".join(f"<div><p>{say(4)}, {say(2)}.</p></div>" for _ in range(comments))
+    body = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    page = f"<html><head><title>T</title></head><body><div><ul>{menu}</ul></div><div>{say(3)}</div><{tag}>{body}</{tag}><div>{remarks}</div><div>{say(7)}.</div></body></html>"
+    return page, "\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pages_without_telling_elements_or_names(seed):
+    page, want = long_page(random.Random(seed), ["div", "section"][seed % 2])
+    assert html_text.main_text(page) == want
+
+
+def test_scores_decide(monkeypatch):
+    pages = [long_page(random.Random(seed)) for seed in range(20)]
+    for scores in (lambda page, out: {b.path: 0.5 for b in page.blocks}, lambda page, out: {b.path: random.Random(b.path).random() for b in page.blocks}):
+        monkeypatch.setattr(html_text, "path_scores", scores)
+        assert sum(html_text.main_text(page) == want for page, want in pages) < 5
+
+
+def test_ratios_match_a_plain_computation():
+    page = html_text.Page(long_page(random.Random(3))[0])
+    out = page.penalised()
+    blocks = page.blocks
+    own = {}
+    for p in {b.path for b in blocks}:
+        texts = [b.text for b in blocks if b.path == p]
+        marks = sum(t.count(c) for t in texts for c in ".,;:!?") + 0.5 * len(texts)
+        own[p] = (sum(map(len, texts)) / len(texts), marks / len(texts), sum(map(len, texts)))
+    each = [[own[b.path][k] for b in blocks] for k in range(3)]
+    each = [[x / max(row) for x in row] for row in each]
+    want = {}
+    for i, b in enumerate(blocks):
+        log = 0.0
+        for row in each:
+            near = [(math.exp(-0.5 * d * d), row[i + d]) for d in range(-2, 3) if 0 <= i + d < len(row)]
+            log += 0.75 * math.log(row[i]) + 0.25 * math.log(sum(w * x for w, x in near) / sum(w for w, _ in near))
+        want.setdefault(b.path, []).append(math.exp(log / 3))
+    got = html_text.path_scores(page, out)
+    assert not any(out[b.element] for b in blocks) and got == pytest.approx({p: sum(x) / len(x) for p, x in want.items()})
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a href="x', "<p class='x>y ", "<div>x", "<", '<a b="', "<p a= ", "<ul><li>x</div>", "<!--", "<script", "<i><div><b></i>x", "&", "<b>"])
+def test_broken_pages_take_linear_time(part):
+    began = time.process_time()
+    html_text.main_text(part * (1_000_000 // len(part)) + "<p>end</p>")
+    assert time.process_time() - began < 10
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a b</p>", 5, "t")] * 2, "page_id long, url string, html string, n_chars int, text string")
+    assert [tuple(r) for r in html_text.extract(pages).collect()] == [(1, "u", "a b", 3)] * 2
