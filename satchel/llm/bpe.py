@@ -4,8 +4,8 @@ Texts are split by the tokenizer's pattern. The distinct pieces of a batch are g
 matrices of token ids, a row per piece. In each round every row merges its leftmost pair of least rank; pairs are looked
 up in a hash table of numpy arrays, rows shift left over the gap (compaction), and finished rows leave the matrix.
 Pieces over ``LONG_PIECE`` bytes merge all occurrences of their least pair in a round, unless a pair that arises on the
-way would come before it: the ids are the same. Encoded pieces are kept per Python worker in a cache
-of bounded size.
+way would come before it: the ids are the same. Encoded pieces are kept in a cache of bounded size, which ends with the
+task.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import types as T
 from satchel.llm.text import chunks
 
 NO_RANK = np.int32(np.iinfo(np.int32).max)
-LONG_PIECE = 256
-CACHE_PIECES = 300_000
+LONG_PIECE = 512
+#: Estimated bytes of encoded pieces that a task keeps, and those of a piece besides its text and ids.
 CACHE_BYTES = 32 << 20
+PIECE_BYTES = 330
 #: Bytes of text that are encoded together.
 GROUP_BYTES = 1 << 20
 
@@ -101,7 +102,11 @@ class Codec:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.cache: dict[str, tuple[int, str, list[int]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache of encoded pieces."""
+        self.cache: dict[str, tuple[bytes, str]] = {}
         self.cached_bytes = 0
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -110,7 +115,7 @@ class Codec:
         todo = [i for i, p in enumerate(pieces) if p and not out[i]]
         lengths = np.array([len(pieces[i]) for i in todo], np.int64)
         low = 0
-        for high in (4, 8, 12, 16, 24, 32, 64, 128, LONG_PIECE):
+        for high in (4, 8, 12, 16, 24, 32, 64, 128, 256, LONG_PIECE):
             rows = [todo[i] for i in np.flatnonzero((lengths > low) & (lengths <= high))]
             step = max(1, (1 << 18) // high)
             for at in range(0, len(rows), step):
@@ -173,27 +178,26 @@ class Codec:
             ids = np.delete(ids, hits + 1)
         return ids.tolist()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Ids of each text, and the ids as decimals joined by commas."""
         pieces = [self.split(text) for text in texts]
-        if len(self.cache) > CACHE_PIECES or self.cached_bytes > CACHE_BYTES:
-            self.cache.clear()
-            self.cached_bytes = 0
+        if self.cached_bytes > CACHE_BYTES:
+            self.forget()
         known = self.cache
         new = list({p for found in pieces for p in found if p not in known})
         raw = [p.encode() for p in new]
         for piece, ids in zip(new, self.encode_pieces(raw)):
-            known[piece] = (len(ids), ",".join([self.decimal[i] for i in ids]), ids)
-        self.cached_bytes += sum(map(len, raw))
+            known[piece] = (np.array(ids, np.int32).tobytes(), ",".join([self.decimal[i] for i in ids]))
+            self.cached_bytes += PIECE_BYTES + 2 * len(piece) + 10 * len(ids)
         out = []
         for found in pieces:
             entries = [known[p] for p in found]
-            out.append(([i for e in entries for i in e[2]], ",".join([e[1] for e in entries])))
+            out.append((np.frombuffer(b"".join([e[0] for e in entries]), np.int32), ",".join([e[1] for e in entries])))
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
         """The bytes of the tokens, gathered from one array of all tokens' bytes."""
-        tokens = np.array(ids, np.int64)
+        tokens = np.asarray(ids, np.int64)
         lengths = self.lengths[tokens]
         ends = np.cumsum(lengths)
         if not len(ends):
@@ -201,6 +205,11 @@ class Codec:
         return self.blob[np.arange(ends[-1]) + np.repeat(self.starts[tokens] - ends + lengths, lengths)].tobytes()
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process, rank file and pattern."""
@@ -228,8 +237,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
         for batch in batches:
             for lo, hi, texts in _grouped(batch, "__text"):
                 kept = batch.slice(lo, hi - lo)
-                ids = pa.array([ids for ids, _ in own.encode(texts)], pa.list_(pa.int32()))
+                ids = _lists([ids for ids, _ in own.encode(texts)])
                 yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(len(keep))), ids], names=[*keep, "ids"])
+        own.forget()
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("__text")).mapInArrow(run, schema)
 
@@ -253,8 +263,10 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Encodes and decodes every whole text in one pass; returns ``key``, DIGESTS, and ``ids`` if asked for. Null counts as
-    empty."""
+    """Encodes and decodes every whole text in one pass; returns ``key``, DIGESTS, and ``ids`` if asked for.
+
+    Null counts as empty, and an empty text has no tokens. Each row gives a row: repeated rows and rows with null keys too.
+    Other columns are not read, whatever their names. A table without rows gives no rows."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +278,8 @@ def digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text
                 of_bytes = [hashlib.sha256(own.decode(ids)).hexdigest() for ids, _ in encoded]
                 columns = {key: batch.column(0).slice(lo, hi - lo), "n_tokens": pa.array([len(ids) for ids, _ in encoded], pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())}
                 if with_ids:
-                    columns["ids"] = pa.array([ids for ids, _ in encoded], pa.list_(pa.int32()))
+                    columns["ids"] = _lists([ids for ids, _ in encoded])
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        own.forget()
 
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, {DIGESTS}" + ", ids array<int>" * with_ids)
