@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.store import broadcast
 from satchel.llm.text import Chunk, byte_values, chunks, mix, prefix_sums, slice_hashes, sliding_min_position, window_hashes
 
 #: Sorts after every other id.
@@ -100,11 +99,11 @@ class BitFilter:
 PIECE = 1 << 16
 
 
-def bit_filter(values: DataFrame, column: str) -> BitFilter:
+def bit_filter(values: DataFrame, column: str, each: int = 16) -> BitFilter:
     """A filter of all values of a long column. Tasks set bits in pieces of 64 KB, which are united piece by piece, so
-    that the driver gets no more than the bitmap's fixed size."""
+    that the driver gets no more than the bitmap's fixed size. each: bits for each value, as far as FILTER_BITS allows."""
     n = values.count()
-    bits = int(np.clip((16 * n).bit_length(), *FILTER_BITS))
+    bits = int(np.clip((each * n).bit_length(), *FILTER_BITS))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}
@@ -152,21 +151,3 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     new = np.concatenate(([True], starts[1:] > ends[:-1]))
     at = np.flatnonzero(new)
     return starts[at], ends[np.concatenate((at[1:] - 1, [len(ends) - 1]))]
-
-
-def with_spans(work: DataFrame, spans: DataFrame) -> DataFrame:
-    """``ord``, ``th``, ``text`` and ``spans`` (array of start, end) of the texts that have spans.
-
-    spans: ord, th, start, stop. Texts that surely have none are filtered before the shuffle by a bitmap of bounded size.
-    The spans of one text are no more than its windows.
-    """
-    of_text = spans.groupBy("ord", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    found = broadcast(work.sparkSession, bit_filter(spans.select("th").distinct(), "th"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = found.value.test(batch.column("th").to_numpy())
-            if hit.any():
-                yield batch.filter(pa.array(hit))
-
-    return work.select("ord", "th", "text").mapInArrow(run, "ord long, th long, text string").join(of_text, ["ord", "th"])

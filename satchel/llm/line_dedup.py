@@ -8,22 +8,23 @@ count). What is left is verified by the exact Jaccard similarity.
 
 Equal sets are found beforehand, inside each task and then by their hashes, so that only distinct sets are joined. Tokens
 that one set alone has, the most by far, leave before the join: repeated_values() finds the others. The sets of a token
-are met in rounds, the first with few of them, each later one with about ``GROWTH`` times as many, chosen by hash; a set
+are met in rounds, first the earliest of them, then a few, then each time about ``GROWTH`` times as many, chosen by hash; a set
 leaves as soon as one matches, so that groups of near copies do not make all pairs. Sets without a match go on until they
 have met all earlier ones. No task holds or sorts the sets of a token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.anchors import LAST, BitFilter, bit_filter, with_order, with_spans
-from satchel.llm.split_join import split_by
+from satchel.llm.anchors import LAST, BitFilter, bit_filter, with_order
+from satchel.llm.split_join import split_by, with_spans
 from satchel.llm.store import broadcast, materialize
 from satchel.llm.text import Chunk, byte_values, chunks, mix, prefix_sums, slice_hashes
 
@@ -35,10 +36,12 @@ MIN_WORDS = 1
 COUNTERS = 1 << 20
 PIECE = 1 << 16
 #: Sets of a token in a round, as a multiple of those in the round before.
-GROWTH_BITS = 3
+GROWTH_BITS = 6
 GROWTH = 1 << GROWTH_BITS
 #: Tokens that a task gathers before it counts them or looks for equal sets.
 GATHER = 1 << 20
+#: Bits of a filter for each value that it holds, where few of very many rows should pass.
+RARE = 64
 _SEED_A, _SEED_B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -65,10 +68,13 @@ class Lines:
 
 
 class LineSets:
-    """The distinct tokens of each line, by the rank of their counters and then by hash."""
+    """The distinct tokens of each line, or of those marked in ``only``, by the rank of their counters and then by hash."""
 
-    def __init__(self, found: Lines, ranks: np.ndarray | None = None):
+    def __init__(self, found: Lines, ranks: np.ndarray | None = None, only: np.ndarray | None = None):
         line, token = found.line, found.token
+        if only is not None:
+            own = only[line]
+            line, token = line[own], token[own]
         key = token >> np.uint64(16)
         if ranks is not None:
             key |= ranks[(token & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48)
@@ -102,24 +108,44 @@ def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def repeated_values(values: DataFrame, n: int) -> DataFrame:
-    """``value`` of the values that come twice or more. values: one column, long or binary of int64s; n: about how many.
+@dataclass
+class Sets:
+    """The distinct sets at their first place (columns SETS): those of ``heads`` whose ``a`` surely comes once, and ``firsts``."""
+
+    heads: DataFrame
+    again: BitFilter
+    firsts: DataFrame
+
+    def map(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, columns: list[str]) -> DataFrame:
+        shared, names = broadcast(self.heads.sparkSession, self.again), list(dict.fromkeys(["a", *columns]))
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return run(b.filter(pa.array(~shared.value.test(b.column("a").to_numpy()))) for b in batches)
+
+        return self.heads.select(*names).mapInArrow(own, schema).unionByName(self.firsts.select(*names).mapInArrow(run, schema))
+
+
+def repeated_values(dealt: Callable, n: int) -> DataFrame:
+    """``value`` of the values that come twice or more among about ``n``. dealt: maps a function on the batches that hold the
+    values, in their last column as longs or as binary of int64s, to a table.
 
     Tasks send sorted values, two of each at most, to the part of the value range that they are in, where equal ones meet.
     A part has about a million values, so that its arrays fit in a task; beyond 2**16 parts Spark's own aggregation does it.
     """
     bits = max(0, (n >> 20).bit_length())
+    parts = 1 << bits
+
+    def numbers(batch: pa.RecordBatch) -> np.ndarray:
+        column = batch.column(batch.num_columns - 1)
+        return (_cells(column) if pa.types.is_binary(column.type) else column.to_numpy()).copy()
+
     if bits > 16:
-        name = values.columns[0]
-        if values.schema[name].dataType.simpleString() == "binary":
 
-            def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    yield pa.RecordBatch.from_arrays([pa.array(_cells(batch.column(0)))], names=["value"])
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(numbers(batch))], names=["value"])
 
-            values = values.mapInArrow(unpack, "value long")
-        return values.toDF("value").groupBy("value").count().where("count > 1").select("value")
-    parts = 1 << bits
+        return dealt(unpack, "value long").groupBy("value").count().where("count > 1").select("value")
 
     def twice_at_most(got: list[np.ndarray]) -> np.ndarray:
         own = np.sort(np.concatenate(got))
@@ -133,10 +159,8 @@ def repeated_values(values: DataFrame, n: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, size = [], 0
         for batch in batches:
-            column = batch.column(0)
-            own = _cells(column) if pa.types.is_binary(column.type) else column.to_numpy()
-            got.append(own.view(np.uint64).copy())
-            size += len(own)
+            got.append(numbers(batch).view(np.uint64))
+            size += len(got[-1])
             if size > 2 * GATHER:
                 yield split(got)
                 got, size = [], 0
@@ -154,7 +178,7 @@ def repeated_values(values: DataFrame, n: int) -> DataFrame:
             if len(again):
                 yield pa.RecordBatch.from_arrays([pa.array(own[again].view(np.int64))], names=["value"])
 
-    return values.mapInArrow(deal, "part int, values binary").repartition(parts, "part").mapInArrow(meet, "value long")
+    return dealt(deal, "part int, values binary").repartition(parts, "part").mapInArrow(meet, "value long")
 
 
 def token_ranks(work: DataFrame, shingle: int, least: int) -> np.ndarray:
@@ -243,39 +267,38 @@ def line_sets(work: DataFrame, ranks: np.ndarray, similarity: float, shingle: in
     return work.mapInArrow(run, SETS)
 
 
-def _hits(rows: DataFrame, column: str, wanted: BitFilter, hit: bool) -> DataFrame:
-    """The rows whose ``column`` may be in ``wanted``, or those whose surely is not."""
+def _hits(rows: DataFrame, column: str, wanted: BitFilter) -> DataFrame:
+    """The rows whose ``column`` may be in ``wanted``."""
     shared = broadcast(rows.sparkSession, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.test(batch.column(column).to_numpy()) == hit))
+            yield batch.filter(pa.array(shared.value.test(batch.column(column).to_numpy())))
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def _distinct(work: DataFrame, similarity: float, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
+def _distinct(work: DataFrame, similarity: float, shingle: int, least: int) -> tuple[DataFrame, Sets]:
     """``a``, ``b`` and place of the lines that are not the first of their set, and the distinct sets at their first place."""
     lines = materialize(line_sets(work, token_ranks(work, shingle, least), similarity, shingle, least), "lines")
     heads = lines.where("prefix is not null")
-    again = materialize(repeated_values(heads.select("a"), heads.count()), "repeated-sets")
-    wanted = bit_filter(again, "value")
-    several = _hits(heads, "a", wanted, True)
+    again = bit_filter(materialize(repeated_values(heads.select("a").mapInArrow, heads.count()), "repeated-sets"), "value", RARE)
+    several = materialize(_hits(heads, "a", again), "several-sets")
     firsts = several.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     firsts = materialize(firsts.select("a", "b", "size", "first.*", "prefix"), "first-sets")
     of_first = firsts.select("a", "b", F.struct(*PLACE).alias("first"))
-    later = _hits(heads.drop("size", "prefix").select("a", "b", "ord", "th", "line"), "a", wanted, True).join(of_first, ["a", "b"]).where(F.col("first") < F.struct(*PLACE)).drop("first")
-    later = lines.where("prefix is null").select("a", "b", "ord", "th", "line").unionByName(later)
-    return later, _hits(heads, "a", wanted, False).unionByName(firsts)
+    later = several.select("a", "b", *PLACE).join(of_first, ["a", "b"]).where(F.col("first") < F.struct(*PLACE)).drop("first")
+    later = lines.where("prefix is null").select("a", "b", *PLACE).unionByName(later)
+    return later, Sets(heads, again, firsts)
 
 
-ENTRIES = "token long, a long, b long, ord long, size int, at int, shared int, level int"
+ENTRIES = "token long, a long, b long, ord long, th long, line int, size int, at int, shared int, level int"
 
 
-def _entries(sets: DataFrame, often: BitFilter) -> DataFrame:
+def _entries(sets: Sets, often: BitFilter) -> DataFrame:
     """A row for each prefix token that other sets may have: its place ``at`` in the set's order, its place ``shared`` among
     such tokens, and the set's ``level``, which one of GROWTH sets has above any given level."""
-    wanted = broadcast(sets.sparkSession, often)
+    wanted = broadcast(sets.heads.sparkSession, often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,75 +312,93 @@ def _entries(sets: DataFrame, often: BitFilter) -> DataFrame:
             if not len(which):
                 continue
             at = np.flatnonzero(hit) - begin[which]
-            a, b, order, size = (batch.column(c).to_numpy()[which] for c in ("a", "b", "ord", "size"))
+            a, b, order, th, line, size = (batch.column(c).to_numpy()[which] for c in ("a", "b", "ord", "th", "line", "size"))
             hashed = mix(a.view(np.uint64) + b.view(np.uint64))
             zeros = np.bitwise_count((hashed & (~hashed + np.uint64(1))) - np.uint64(1))  # at the end of the hash
             level = (zeros // GROWTH_BITS).astype(np.int32)
-            columns = [token[hit], a, b, order, size, at.astype(np.int32), (before[hit] - before[begin[which]]).astype(np.int32), level]
+            columns = [token[hit], a, b, order, th, line, size, at.astype(np.int32), (before[hit] - before[begin[which]]).astype(np.int32), level]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in ENTRIES.split(", ")])
 
-    return sets.select("a", "b", "ord", "size", "prefix").mapInArrow(run, ENTRIES)
+    return sets.map(run, ENTRIES, ["b", "size", *PLACE, "prefix"])
+
+
+def _place_hashes(order: np.ndarray, th: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(mix(order.view(np.uint64) ^ _SEED_A) + th.view(np.uint64)) + line.astype(np.uint64)
 
 
-def _set_tokens(work: DataFrame, wanted: DataFrame, shingle: int, least: int) -> DataFrame:
-    """``a``, ``b``, ``place`` and ``tokens`` of the wanted sets (a, b, ord, th, line), from the texts that hold them."""
-    spark = work.sparkSession
-    of_texts, of_sets = broadcast(spark, bit_filter(wanted, "th")), broadcast(spark, bit_filter(wanted, "a"))
+def _set_tokens(work: DataFrame, places: DataFrame, shingle: int, least: int) -> DataFrame:
+    """``a``, ``b`` and ``tokens`` of the sets of the lines at the given places. Some others are among them."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_place_hashes(*(batch.column(i).to_numpy() for i in range(3))).view(np.int64))], names=["place"])
+
+    wanted = broadcast(work.sparkSession, bit_filter(materialize(places.select(*PLACE).mapInArrow(hashed, "place long"), "places"), "place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(of_texts.value.test(batch.column("th").to_numpy())))
             order, th = (batch.column(c).to_numpy() for c in ("ord", "th"))
             for chunk in chunks(batch.column("text")):
-                found = LineSets(Lines(chunk, shingle, least))
-                hit = np.flatnonzero(of_sets.value.test(found.a)) if len(found.at) else ()
-                if len(hit):
-                    n = found.size[hit]
-                    tokens = found.token[np.repeat(found.at[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())].view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(tokens))
-                    rows = chunk.lo + found.text[hit]
-                    columns = [found.a[hit], found.b[hit], order[rows], th[rows], found.number[hit].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["a", "b", "ord", "th", "line", "tokens"])
-
-    found = work.mapInArrow(run, "a long, b long, ord long, th long, line int, tokens array<long>")
-    found = found.join(wanted, ["a", "b", "ord", "th", "line"], "left_semi")
-    return found.groupBy("a", "b").agg(F.first(F.struct(*PLACE)).alias("place"), F.first("tokens").alias("tokens"))  # equal rows hold a line twice
-
-
-def _meetings(work: DataFrame, sets: DataFrame, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """The entries of tokens that several sets have, with the round in which others meet them, and the sets' tokens."""
-    n = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    often = bit_filter(materialize(repeated_values(sets.select("prefix"), n // 8), "repeated-tokens"), "value")
-    entries = materialize(_entries(sets, often), "entries")
-    groups = materialize(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token-groups")
+                lines = Lines(chunk, shingle, least)
+                rows = chunk.lo + lines.text
+                hit = wanted.value.test(_place_hashes(order[rows], th[rows], lines.number)) if len(rows) else np.empty(0, bool)
+                found = LineSets(lines, None, hit)
+                if len(found.at):
+                    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate((found.at, [len(found.token)])), pa.int32()), pa.array(found.token.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.a), pa.array(found.b), tokens], names=["a", "b", "tokens"])
+
+    return work.mapInArrow(run, "a long, b long, tokens array<long>")
+
+
+#: What is needed of a set at one of its tokens, besides the place.
+AT = ("a", "b", "size", "at", "shared")
+
+
+def _meetings(work: DataFrame, sets: Sets, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The entries of tokens that several sets have, with the earliest of these sets (``head``) and the round in which
+    others meet them, and the sets' tokens."""
+    n = sets.heads.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    repeated = repeated_values(lambda run, schema: sets.map(run, schema, ["prefix"]), n // 8)
+    often = bit_filter(materialize(repeated, "repeated-tokens"), "value", RARE)
+    entries = materialize(_entries(sets, often), "entries").select("token", F.struct(*PLACE).alias("place"), *AT, "level")
+    groups = materialize(entries.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("place", *AT)).alias("head")).where("n > 1"), "token-groups")
     top = F.greatest(F.ceil(F.log(float(GROWTH), F.col("n") - 0.5)) - 1, F.lit(0))
-    entries = materialize(entries.join(groups, "token").withColumn("round", (top - F.least("level", top)).cast("int")).drop("n", "level"), "meetings")
-    wanted = sets.select("a", "b", "ord", "th", "line").join(entries.select("a", "b").distinct(), ["a", "b"], "left_semi")
-    return entries, materialize(_set_tokens(work, materialize(wanted, "wanted-sets"), shingle, least), "set-tokens")
+    entries = materialize(entries.join(groups, "token").withColumn("last", top.cast("int")).withColumn("round", (top - F.least("level", top)).cast("int")).drop("level"), "meetings")
+    return entries, materialize(_set_tokens(work, entries.select("place.*").distinct(), shingle, least), "set-tokens")
 
 
 def _matched(entries: DataFrame, tokens: DataFrame, similarity: float, later: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame | None:
     """``a``, ``b`` and ``place`` of the distinct sets that are similar to one at an earlier place, and ``of``, the place of
     such a one; None if no sets meet. ``later`` and ``earlier`` (a, b) name the sets on either side, all if None."""
-    left, right = ([F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "ord", "size", "at", "shared", "round")] for p in ("l", "r"))
-    sides = [entries if keys is None else entries.join(keys.select("a", "b"), ["a", "b"], "left_semi") for keys in (later, earlier)]
-    later, earlier = sides[0].select("token", *left), sides[1].select("token", *right)
+
+    def named(side: str, of: str = "") -> list:
+        return [F.col(of + c).alias(f"{side}_{c}") for c in ("place", *AT)]
+
+    def among(rows: DataFrame, keys: DataFrame | None, side: str) -> DataFrame:
+        return rows if keys is None else rows.join(keys.select(F.col("a").alias(f"{side}_a"), F.col("b").alias(f"{side}_b")), [f"{side}_a", f"{side}_b"], "left_semi")
+
     overlap = F.lit(similarity / (1 + similarity)) * (F.col("l_size") + F.col("r_size")) - 1e-6
     place_bound = F.least("l_shared", "r_shared") + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
-    filters = (F.col("r_ord") <= F.col("l_ord")) & (F.col("r_size") >= similarity * F.col("l_size") - 1e-6) & (F.col("l_size") >= similarity * F.col("r_size") - 1e-6) & (place_bound >= overlap)
-    own, other = (tokens.select(*(F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "place", "tokens"))) for p in ("l", "r"))
+    filters = (F.col("r_place") < F.col("l_place")) & (F.col("r_size") >= similarity * F.col("l_size") - 1e-6) & (F.col("l_size") >= similarity * F.col("r_size") - 1e-6) & (place_bound >= overlap)
     rounds = entries.agg(F.max("round")).first()[0]
+    left = among(entries.select("token", "n", "last", *named("l")), later, "l")
     done = None
-    for step in range(0 if rounds is None else rounds + 1):
-        rest = later
-        if done is not None:
-            rest = rest.join(done.select(F.col("a").alias("l_a"), F.col("b").alias("l_b")), ["l_a", "l_b"], "left_anti")
-        block = earlier.where(F.col("r_round") == step)
-        pairs = rest.join(block, "token").where(filters).select("l_a", "l_b", "r_a", "r_b").distinct()
-        checked = pairs.join(own, ["l_a", "l_b"]).join(other, ["r_a", "r_b"]).where("r_place < l_place")
+    for step in range(-1, -1 if rounds is None else rounds + 1):
+        if step < 0:  # the earliest set of each token, which needs no join
+            pairs = among(among(entries.select(*named("l"), *named("r", "head.")).where(filters), later, "l"), earlier, "r")
+        else:
+            # of two sets one is the earliest, and rounds after the last find nothing
+            rest = left.where((F.col("n") > 2) & (F.col("last") >= step)).join(done.select(F.col("a").alias("l_a"), F.col("b").alias("l_b")), ["l_a", "l_b"], "left_anti")
+            block = among(entries.where((F.col("round") == step) & (F.col("place") > F.col("head.place"))).select("token", *named("r")), earlier, "r")
+            pairs = rest.join(block, "token").where(filters)
+        pairs = materialize(pairs.select("l_a", "l_b", "l_place", "r_a", "r_b", "r_place").distinct(), "pairs")
+        # most sets are in no pair of a later round: a filter keeps their tokens out of the shuffle
+        needed, _ = split_by(tokens, F.col("a"), pairs.select("l_a").union(pairs.select("r_a")))
+        own, other = (needed.select(*(F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "tokens"))) for p in ("l", "r"))
+        checked = pairs.join(own, ["l_a", "l_b"]).join(other, ["r_a", "r_b"])
         common = F.size(F.array_intersect("l_tokens", "r_tokens"))
         similar = checked.where(common >= similarity * (F.size("l_tokens") + F.size("r_tokens") - common) - 1e-9)
-        new = materialize(similar.groupBy(F.col("l_a").alias("a"), F.col("l_b").alias("b")).agg(F.first("l_place").alias("place"), F.min("r_place").alias("of")), "matched")
+        new = materialize(similar.groupBy(F.col("l_a").alias("a"), F.col("l_b").alias("b")).agg(F.min("l_place").alias("place"), F.min("r_place").alias("of")), "matched")
         done = new if done is None else done.unionByName(new)
     return done
 
@@ -382,7 +423,7 @@ def similar_to_kept(work: DataFrame, similarity: float = SIMILARITY, shingle: in
         if rest.isEmpty():
             break
     again = materialize(again, "again")
-    firsts = sets.select("a", "b", F.struct(*PLACE).alias("of"))
+    firsts = sets.heads.select("a", "b", *PLACE).groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("of"))
     found = again.join(firsts, ["a", "b"]).select("a", "b", "ord", "th", "line", "of")
     if gone is not None:
         equal = again.join(gone.select("a", "b", "of"), ["a", "b"]).select("a", "b", "ord", "th", "line", "of")

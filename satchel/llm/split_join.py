@@ -5,7 +5,7 @@ A bitmap of the keys, of bounded size, is broadcast. Documents that miss it pass
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +18,9 @@ def split_by(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame,
     name = keys.columns[0]
     shared = broadcast(docs.sparkSession, bit_filter(keys.select(F.xxhash64(name).alias("hash")), "hash"))
 
-    @F.pandas_udf("boolean")
-    def maybe(hashes: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.test(hashes.to_numpy()))
+    @F.arrow_udf("boolean")
+    def maybe(hashes: pa.Array) -> pa.Array:
+        return pa.array(shared.value.test(hashes.to_numpy()))
 
     flagged = docs.withColumn("__maybe", maybe(F.xxhash64(key)))
     return flagged.where("__maybe").drop("__maybe"), flagged.where("not __maybe").drop("__maybe")
@@ -31,3 +31,14 @@ def without_keys(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     gone = keys.select(F.col(keys.columns[0]).alias("__gone")).distinct()
     maybe, rest = split_by(docs, F.col(key), gone)
     return rest.unionByName(maybe.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti"))
+
+
+def with_spans(work: DataFrame, spans: DataFrame) -> DataFrame:
+    """``ord``, ``th``, ``text`` and ``spans`` (array of start, end) of the texts that have spans.
+
+    spans: ord, th, start, stop. Texts that surely have none are filtered before the shuffle by a bitmap of bounded size.
+    The spans of one text are no more than its windows.
+    """
+    of_text = spans.groupBy("ord", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    maybe, _ = split_by(work.select("ord", "th", "text"), F.col("th"), spans.select("th").distinct())
+    return maybe.join(of_text, ["ord", "th"])

@@ -15,20 +15,40 @@ _paths: list[str] = []
 _broadcasts: list[Broadcast] = []
 
 
+class Made:
+    """Intermediate tables and broadcasts, to be dropped once the plans that read them have run."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.broadcasts: list[Broadcast] = []
+
+    def drop(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            drop(spark, path)
+        for made in self.broadcasts:
+            made.destroy()
+        self.paths, self.broadcasts = [], []
+
+
+@contextmanager
+def recorded() -> Iterator[Made]:
+    """What is made inside and not yet dropped is named in the result at the end."""
+    paths, broadcasts, made = len(_paths), len(_broadcasts), Made()
+    yield made
+    made.paths, made.broadcasts = _paths[paths:], _broadcasts[broadcasts:]
+    del _paths[paths:], _broadcasts[broadcasts:]
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Drops the tables and the broadcasts that are made inside; plans that read them must have run by then."""
-    paths, broadcasts = len(_paths), len(_broadcasts)
-    yield
-    for path in _paths[paths:]:
-        drop(spark, path)
-    for made in _broadcasts[broadcasts:]:
-        made.destroy()
-    del _paths[paths:], _broadcasts[broadcasts:]
+    with recorded() as made:
+        yield
+    made.drop(spark)
 
 
 def broadcast(spark: SparkSession, value: object) -> Broadcast:
-    """A broadcast that temporary() ends."""
+    """A broadcast that temporary() or Made.drop() ends."""
     _broadcasts.append(spark.sparkContext.broadcast(value))
     return _broadcasts[-1]
 

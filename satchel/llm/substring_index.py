@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm.anchors import Segments, bit_filter, chunks, merge_spans, segments, units, with_order, with_spans
+from satchel.llm.anchors import Segments, bit_filter, chunks, merge_spans, segments, units, with_order
+from satchel.llm.split_join import with_spans
 from satchel.llm.store import drop, materialize, new_path
 from satchel.llm.text import mix, window_hashes
 

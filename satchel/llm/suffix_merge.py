@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.anchors import Segments, bit_filter, merge_spans, segments, units, with_order, with_spans
+from satchel.llm.anchors import Segments, bit_filter, merge_spans, segments, with_order
+from satchel.llm.split_join import with_spans
 from satchel.llm.store import materialize
 from satchel.llm.text import byte_values, chunks, mix, window_hashes
 

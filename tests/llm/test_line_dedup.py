@@ -82,7 +82,7 @@ def test_values_that_repeat_are_found_in_parts(spark):
     values = spark.range(3000).selectExpr("xxhash64(id % 2500) as v").repartition(6)
     want = {r.v for r in values.groupBy("v").count().where("count > 1").select("v").collect()}
     for n in (10, 40 << 20, 1 << 40):
-        assert {r.value for r in line_dedup.repeated_values(values, n).collect()} == want
+        assert {r.value for r in line_dedup.repeated_values(values.mapInArrow, n).collect()} == want
 
 
 def test_lines_similar_to_kept_ones_only(spark):
