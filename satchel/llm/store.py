@@ -21,6 +21,7 @@ class Made:
     def __init__(self) -> None:
         self.paths: list[str] = []
         self.broadcasts: list[Broadcast] = []
+        self.application = ""  # in which they were made, for those who keep them for long
 
     def drop(self, spark: SparkSession) -> None:
         for path in self.paths:
