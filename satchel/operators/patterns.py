@@ -10,45 +10,75 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Pattern:
-    """name, type of entity, confidence, regular expression (group 1 is the value), words of which one or none must be near."""
+    """A kind of phrase: a regular expression (``group`` of it is the value) or keywords, of which the first that is found is
+    the value. With both, a keyword must be anywhere in the text. Around a match one of ``near`` must be and none of ``never``."""
 
     name: str
     entity: str
     confidence: float
-    regex: str
+    regex: str = ""
+    group: int = 1
+    keywords: tuple[str, ...] = ()
     near: tuple[str, ...] = ()
     never: tuple[str, ...] = ()
 
 
-#: Our own expressions, common to Java and RE2, for the kinds of phrases that mail uses.
+#: Characters before and after a match that count as its context.
+CONTEXT = 50
+_DAY = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2}\b|\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2}"
+#: Our own expressions, common to Java and RE2. Kinds, confidences, keywords and context words are fixed values.
 PATTERNS = (
-    Pattern("due_date", "task", 0.9, r"(?i)\b(?:due|deadline)(?: date)?(?: is| by| on|:)* ?(\d{1,2}/\d{1,2}/\d{4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2})"),
-    Pattern("priority", "priority", 0.85, r"(?i)\b(urgent|asap|critical|high priority)\b"),
-    Pattern("assignee", "task", 0.8, r"(?i)\bassigned to:? @?([a-z0-9#]+)"),
+    Pattern("due_date", "task", 0.9, rf"(?i)\b(?:due|deadline|(?:complete|finish) by)(?: date)?(?: is| by| on|:)* ?({_DAY})", near=("task", "action", "complete"), never=("project deadline",)),
+    Pattern("priority", "priority", 0.85, keywords=("urgent", "ASAP", "high priority", "critical", "important"), near=("task", "action", "need"), never=("not urgent", "low priority")),
+    Pattern("assignee", "task", 0.8, r"(?i)\bassigned to:? *@?([a-z0-9#]+)", never=("from",)),
     Pattern("numbered", "task", 0.75, r"(?m)^ ?\d+[.)] +([^\n]+)"),
     Pattern("bracket_project", "project", 0.85, r"\[([A-Za-z0-9# _-]+)\]"),
-    Pattern("named_project", "project", 0.75, r"(?i)\bfor the ([a-z0-9#]+) project\b"),
-    Pattern("meeting", "task", 0.8, r"(?i)\bmeeting(?: with [a-z0-9#]+)?(?: on| at)? +(\d{4}-\d{2}-\d{2})", (), ("cancelled",)),
+    Pattern("named_project", "project", 0.75, r"(?i)\b(?:for|regarding|about) the ([a-z0-9#]+(?: [a-z0-9#]+){0,4}) project\b"),
+    Pattern("meeting", "event", 0.8, rf"(?i)\b(meeting|call|sync|standup|review)(?: with [a-z0-9#]+)?(?: on| at)? +(?:{_DAY})"),
 )
 
 
-def _near(text: Column, near: tuple[str, ...], never: tuple[str, ...]) -> Column:
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), F.lower(w)))
-    return (has(near) if near else F.lit(True)) & (~has(never) if never else F.lit(True))
-
-
-def matches(messages: DataFrame, text: str = "text", patterns: tuple[Pattern, ...] = PATTERNS, min_confidence: float = 0.0, max_results: int | None = None) -> DataFrame:
-    """The first match of each pattern in each message: pattern, entity, value, confidence, requires_review. Priorities
-    are no entities of their own and give no row."""
-    found = [
-        F.when((F.length(F.regexp_extract(text, p.regex, 0)) > 0) & _near(F.col(text), p.near, p.never), F.struct(F.lit(p.name).alias("pattern"), F.lit(p.entity).alias("entity"), F.trim(F.regexp_extract(text, p.regex, 1)).alias("value"), F.lit(p.confidence).alias("confidence")))
-        for p in patterns
-        if p.entity in ("task", "project") and p.confidence >= min_confidence
-    ]
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    hits = hits if max_results is None else F.slice(hits, 1, max_results)
-    rows = messages.select(*[c for c in messages.columns if c != text], F.explode(hits).alias("hit"))
-    return rows.select(*[c for c in messages.columns if c != text], "hit.*", (F.col("hit.confidence") < 0.8).alias("requires_review"))
+def _in_context(text: Column, start: Column, length: Column, p: Pattern) -> Column:
+    """Whether the words around the match at ``start`` (from 1) fit."""
+    first = F.greatest(start - CONTEXT, F.lit(1))
+    context = F.lower(F.substring(text, first, start - first + length + CONTEXT))
+    has = lambda words: F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(context, w))
+    return (has(p.near) if p.near else F.lit(True)) & (~has(p.never) if p.never else F.lit(True))
+
+
+def _value(text: Column, p: Pattern) -> Column:
+    """The value of the first match of a pattern whose context fits, else null."""
+    place = lambda word: F.position(F.lit(word.lower()), F.lower(text))
+    if not p.regex:
+        return F.coalesce(*(F.when((place(k) > 0) & _in_context(text, place(k), F.lit(len(k)), p), F.lit(k)) for k in p.keywords))
+    there = F.exists(F.array(*(F.lit(k.lower()) for k in p.keywords)), lambda k: F.contains(F.lower(text), k)) if p.keywords else F.lit(True)
+    if not (p.near or p.never):
+        found = F.regexp_extract_all(text, F.lit(p.regex), F.lit(p.group))
+        return F.when(there, F.trim(F.get(found, 0)))
+    # each match is looked for behind the one before it
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(p.regex), F.lit(p.group)).alias("value"))
+    start = F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("value"))
+
+    def step(state: Column, m: Column) -> Column:
+        at = F.position(m["whole"], text, state["at"])
+        fits = state["value"].isNull() & _in_context(text, at, F.length(m["whole"]), p)
+        return F.struct((at + F.length(m["whole"])).alias("at"), F.when(fits, F.trim(m["value"])).otherwise(state["value"]).alias("value"))
+
+    return F.when(there, F.aggregate(both, start, step)["value"])
+
+
+def matches(messages: DataFrame, text: str = "text", patterns: tuple[Pattern, ...] = PATTERNS, min_confidence: float = 0.0, max_results: int | None = None, only: tuple[str, ...] = ()) -> DataFrame:
+    """The first fitting match of each pattern in each message: pattern, entity, value, confidence, requires_review. ``only``
+    names the patterns that are looked for, all by default."""
+    wanted = [p for p in patterns if p.confidence >= min_confidence and (not only or p.name in only)]
+    found = [F.struct(F.lit(p.name).alias("pattern"), F.lit(p.entity).alias("entity"), _value(F.col(text), p).alias("value"), F.lit(p.confidence).alias("confidence")) for p in wanted]
+    keep = [c for c in messages.columns if c != text]
+    if len(found) == 1:
+        rows = messages.select(*keep, found[0].alias("hit")).where("hit.value is not null")
+    else:
+        hits = F.filter(F.array(*found), lambda x: x["value"].isNotNull())
+        rows = messages.select(*keep, F.explode(hits if max_results is None else F.slice(hits, 1, max_results)).alias("hit"))
+    return rows.select(*keep, "hit.*", (F.col("hit.confidence") < 0.8).alias("requires_review"))
 
 
 def phrase_date(text: Column, as_of: Column) -> Column:

@@ -102,7 +102,7 @@ def jobs_list(spark, d):
 
 @query("jobs_list_status", "SELECT o_orderkey AS id, epoch_ms(o_orderdate) AS created_at FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def jobs_list_status(spark, d):
-    return D.listed(V.jobs(spark, d), "completed", 20).select("id", "created_at")
+    return D.listed(V.jobs(spark, d, "completed"), None, 20).select("id", "created_at")
 
 
 PROGRESS = """SELECT l_orderkey AS job_id, count(*) AS total, count(*) FILTER (l_returnflag = 'N') AS downloaded, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_returnflag = 'A') AS skipped,
@@ -163,10 +163,15 @@ def job_latest_state(spark, d):
     return D.latest(D.transitions(V.jobs(spark, d)))
 
 
-@query("status_overwrites_error", "SELECT count(*) AS jobs, count(*) FILTER (o_orderkey % 5 = 0) AS with_error FROM orders WHERE o_orderkey % 7 = 0")
+LOG = "SELECT o_orderkey AS id, step, CASE WHEN step = 1 AND o_orderkey % 7 = 0 THEN 'slow' WHEN step = 2 AND o_orderkey % 5 = 0 THEN 'lost connection' END AS error FROM orders, range(3) AS t(step)"
+
+
+@query("status_overwrites_error", f"WITH log AS ({LOG}) SELECT count(DISTINCT id) AS jobs, count(*) FILTER (step = 2 AND error IS NOT NULL) AS with_error FROM log WHERE id IN (SELECT id FROM log WHERE step < 2 AND error IS NOT NULL)")
 def status_overwrites_error(spark, d):
-    now = D.latest(D.transitions(V.jobs(spark, d).where("id % 7 = 0")))
-    return now.agg(F.count("*").alias("jobs"), F.count("error").alias("with_error"))
+    """Of the jobs that had an error at an earlier step, how many have one now."""
+    log = D.transitions(V.jobs(spark, d))
+    had = log.where("step < 2 and error is not null").select("id").distinct()
+    return D.latest(log).join(had, "id", "left_semi").agg(F.count("*").alias("jobs"), F.count("error").alias("with_error"))
 
 
 @query("state_ranks", f"SELECT state, jobs, row_number() OVER (ORDER BY jobs DESC, state) AS rank FROM (SELECT {JOB} AS state, count(*) AS jobs FROM orders GROUP BY ALL)")
@@ -445,7 +450,7 @@ def _texts(spark, d):
 
 
 def _pattern(name: str):
-    return lambda spark, d: P.matches(_texts(spark, d)).where(F.col("pattern") == name).select("id", "value", "confidence", "requires_review")
+    return lambda spark, d: P.matches(_texts(spark, d), only=(name,)).select("id", "value", "confidence", "requires_review")
 
 
 for _name, _value, _where, _confidence in (
@@ -453,14 +458,46 @@ for _name, _value, _where, _confidence in (
     ("assignee", "'clerk' || o_custkey", "true", 0.8),
     ("numbered", "'Ship order ' || o_orderkey", "true", 0.75),
     ("bracket_project", "'Project ' || o_custkey", "true", 0.85),
-    ("meeting", "strftime(o_orderdate, '%Y-%m-%d')", "o_orderkey % 2 = 1", 0.8),
+    ("meeting", "'meeting'", "true", 0.8),
 ):
     query({"bracket_project": "pattern_project"}.get(_name, f"pattern_{_name}"), f"SELECT o_orderkey AS id, {_value} AS value, CAST({_confidence} AS DOUBLE) AS confidence, {str(_confidence < 0.8).lower()} AS requires_review FROM orders WHERE {_where}")(_pattern(_name))
 
 
-@query("pattern_context_rules", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 6 ELSE 7 END - 1 AS n, count(*) AS texts FROM orders GROUP BY ALL")
+def _mixed(spark, d):
+    """Texts in which context decides: near words are there or not, a negated word comes first, the second match fits."""
+    t = V.table(spark, d, "orders")
+    far = " and so on it goes for a long while in words that say nothing of it at all, as letters often do, "
+    texts = (
+        "Hello, this task is URGENT, see below",
+        "This is urgent",
+        "A task that is not urgent, but critical",
+        f"This task is not urgent.{far}We need this, it is critical",
+        f"Deadline: 3/4/1998, the project deadline.{far}Please complete the action, due 5/6/1998.",
+        "Assigned to: ann, mail from bob",
+        "Sync with eve at Jan 12 regarding the Blue Sky project",
+        "nothing here",
+    )
+    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
+    return t.select(F.col("o_orderkey").alias("id"), text.alias("text"))
+
+
+MIXED = """(SELECT o_orderkey AS id, unnest(CASE o_orderkey % 8 WHEN 0 THEN [{'pattern': 'priority', 'value': 'urgent'}] WHEN 3 THEN [{'pattern': 'priority', 'value': 'critical'}] WHEN 4 THEN [{'pattern': 'due_date', 'value': '5/6/1998'}]
+WHEN 6 THEN [{'pattern': 'named_project', 'value': 'Blue Sky'}, {'pattern': 'meeting', 'value': 'Sync'}] ELSE [] END, recursive := true) FROM orders)"""
+
+
+@query("pattern_context_rules", f"SELECT id, pattern, value FROM {MIXED}")
 def pattern_context_rules(spark, d):
-    return P.matches(_texts(spark, d)).groupBy("id").agg(F.count("*").cast("int").alias("n")).groupBy("n").agg(F.count("*").alias("texts"))
+    return P.matches(_mixed(spark, d)).select("id", "pattern", "value")
+
+
+@query("pattern_priority", f"SELECT id, value, CAST(0.85 AS DOUBLE) AS confidence, false AS requires_review FROM {MIXED} WHERE pattern = 'priority'")
+def pattern_priority(spark, d):
+    return P.matches(_mixed(spark, d), only=("priority",)).select("id", "value", "confidence", "requires_review")
+
+
+@query("pattern_counts", "SELECT o_orderkey AS id, CAST(6 AS BIGINT) AS n FROM orders")
+def pattern_counts(spark, d):
+    return P.matches(_texts(spark, d)).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("relative_dates", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE) + 1 WHEN 1 THEN CAST(o_orderdate AS DATE) + 7 WHEN 2 THEN CAST(o_orderdate AS DATE) + CAST(o_custkey % 90 AS INTEGER) ELSE DATE '1999-12-31' END AS day FROM orders")
@@ -481,7 +518,7 @@ def span_merge(spark, d):
     return P.merged_spans(spans, "id").select("id", "label", "start", "stop", "parts")
 
 
-@query("confidence_adjust", "SELECT doc_id AS id, round(least(0.7 * (CASE WHEN contains(lower(text), 'the') THEN 1.2 ELSE 0.8 END) * (CASE WHEN contains(lower(text), 'worthless') THEN 0.3 ELSE 1.0 END) * (CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.5 END), 1.0), 6) AS confidence FROM documents")
+@query("confidence_adjust", "SELECT doc_id AS id, round(least(CAST(0.7 AS DOUBLE) * (CASE WHEN contains(lower(text), 'the') THEN 1.2 ELSE 0.8 END) * (CASE WHEN contains(lower(text), 'worthless') THEN 0.3 ELSE 1.0 END) * (CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.5 END), 1.0), 6) AS confidence FROM documents")
 def confidence_adjust(spark, d):
     return V.emails(spark, d).select("id", P.adjusted(F.lit(0.7), F.col("body_text"), ("the",), ("worthless",), "[0-9]").alias("confidence"))
 

@@ -34,9 +34,18 @@ def tool_calls(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("tool_name"), F.col("props").alias("request"), F.col("value").alias("execution_time_ms"), status.alias("status"), millis("ts").alias("created_at"))
 
 
-def jobs(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("pending")
+JOB_STATES = {"F": "completed", "O": "running"}
+
+
+def jobs(spark: SparkSession, d: str, state: str | None = None) -> DataFrame:
+    """Download jobs; those of one ``state`` are chosen by the raw column, so that the scan skips the others."""
+    raw = F.col("o_orderstatus")
     t = table(spark, d, "orders")
+    if state is not None:
+        code = next((c for c, s in JOB_STATES.items() if s == state), None)
+        others = raw.isNull() | ~raw.isin(*JOB_STATES)
+        t = t.where(raw == code if code else others if state == "pending" else F.lit(False))
+    status = F.when(raw == "F", JOB_STATES["F"]).when(raw == "O", JOB_STATES["O"]).otherwise("pending")
     return t.select(F.col("o_orderkey").alias("id"), F.lit("imap").alias("source_type"), F.col("o_custkey").alias("credential_id"), status.alias("status"), millis("o_orderdate").alias("created_at"))
 
 

@@ -6,10 +6,17 @@ from satchel.operators import patterns as P
 
 
 def test_first_match_of_each_pattern(spark):
-    rows = spark.createDataFrame([(1, "The task is due by Jan 25, due 1/2/2026. Assigned to: @ann"), (2, "urgent"), (3, "meeting on 2026-01-05 is cancelled"), (4, None)], "id long, text string")
-    got = sorted((r.id, r.pattern, r.value, r.requires_review) for r in P.matches(rows).collect())
-    assert got == [(1, "assignee", "ann", False), (1, "due_date", "Jan 25", False)]
-    assert P.matches(rows, min_confidence=0.85).count() == 1 and P.matches(rows, max_results=1).count() == 1
+    rows = spark.createDataFrame([(1, "The task is due by Jan 25, due 1/2/2026. Assigned to: @ann"), (2, "urgent"), (3, "Review on 2026-01-05"), (4, None), (5, "This task needs urgent attention and action"), (6, "For the Website Redesign project, we need..."), (7, "Please complete the task due by Jan 25"), (8, "finish by 2/3/2026: the action")], "id long, text string")
+    got = sorted((r.id, r.pattern, r.entity, r.value) for r in P.matches(rows).collect())
+    assert got == [(1, "assignee", "task", "ann"), (1, "due_date", "task", "Jan 25"), (3, "meeting", "event", "Review"), (5, "priority", "priority", "urgent"), (6, "named_project", "project", "Website Redesign"), (7, "due_date", "task", "Jan 25"), (8, "due_date", "task", "2/3/2026")]
+    assert P.matches(rows, min_confidence=0.9).count() == 3 and P.matches(rows, max_results=1).count() == 6
+    assert [r.id for r in P.matches(rows, only=("priority",)).collect()] == [5]
+
+
+def test_keywords_beside_an_expression(spark):
+    both = P.Pattern("both", "task", 0.7, r"(?i)ship (\w+)", keywords=("order",), near=("now",))
+    rows = spark.createDataFrame([(1, "ship it, order now"), (2, "ship it now"), (3, "ship it, order"), (4, "ship one later" + " " * 80 + "order: ship two now")], "id long, text string")
+    assert sorted((r.id, r.value) for r in P.matches(rows, patterns=(both,)).collect()) == [(1, "it"), (4, "two")]
 
 
 def test_spans_merge_over_small_gaps(spark):
