@@ -39,32 +39,38 @@ def ics_time(value: Column) -> Column:
 
 
 def calendar_events(files: DataFrame, attendees: bool = True, location: bool = True) -> DataFrame:
-    """Events of calendar files with key columns kept: position, name, start, description, location, attendees, valid.
+    """Events of calendar files with key columns kept: position, name, start, description, location, attendees, valid, file_valid.
 
     A file is valid if each of its events has SUMMARY and a DTSTART with time. The first property of a name counts.
     Attendees are values that begin with ``mailto:`` in lower case, without it.
     """
     unfolded = F.regexp_replace("content", r"\r?\n[ \t]", "")
     blocks = F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"), F.lit(1))
-    people = F.transform(F.filter(F.filter(F.col("p"), lambda x: x["name"] == "ATTENDEE"), lambda x: F.startswith(x["value"], F.lit("mailto:"))), lambda x: F.substring(x["value"], 8, 1 << 30))
-    rows = files.select(*[c for c in files.columns if c != "content"], F.posexplode(blocks).alias("position", "block")).withColumn("p", _lines(F.col("block")))
-    start = ics_time(_first(F.col("p"), "DTSTART"))
-    name = _first(F.col("p"), "SUMMARY")
-    return rows.select(
-        *[c for c in files.columns if c != "content"], "position", name.alias("name"), start.alias("start"), _first(F.col("p"), "DESCRIPTION").alias("description"),
-        (_first(F.col("p"), "LOCATION") if location else F.lit(None).cast("string")).alias("location"), (people if attendees else F.array().cast("array<string>")).alias("attendees"),
-        (name.isNotNull() & start.isNotNull()).alias("valid"),
-    )
+
+    def event(p: Column, position: Column) -> Column:
+        people = F.transform(F.filter(p, lambda x: (x["name"] == "ATTENDEE") & F.startswith(x["value"], F.lit("mailto:"))), lambda x: F.substring(x["value"], 8, 1 << 30))
+        return F.struct(
+            position.alias("position"), _first(p, "SUMMARY").alias("name"), ics_time(_first(p, "DTSTART")).alias("start"), _first(p, "DESCRIPTION").alias("description"),
+            (_first(p, "LOCATION") if location else F.lit(None).cast("string")).alias("location"), (people if attendees else F.array().cast("array<string>")).alias("attendees"),
+        )
+
+    keep = [c for c in files.columns if c != "content"]
+    parsed = files.select(*keep, F.transform(blocks, _lines).alias("__lines")).select(*keep, F.transform("__lines", event).alias("__events"))
+    valid = lambda e: e["name"].isNotNull() & e["start"].isNotNull()
+    rows = parsed.select(*keep, F.forall("__events", valid).alias("file_valid"), F.explode("__events").alias("e"))
+    return rows.select(*keep, "e.*", valid(F.col("e")).alias("valid"), "file_valid")
 
 
 def contacts(files: DataFrame) -> DataFrame:
-    """Cards of contact files with key columns kept: position, name, email, phone, organization, valid.
+    """Cards of contact files with key columns kept: position, name, email, phone, organization, valid, file_valid.
 
     A card is what follows BEGIN:VCARD; END is not needed. The last line of a kind counts. EMAIL and TEL give the text
     between the first and the second colon. A file is valid if each card has FN.
     """
-    cards = F.split("content", "BEGIN:VCARD")
-    rows = files.select(*[c for c in files.columns if c != "content"], F.posexplode(F.slice(cards, 2, F.greatest(F.size(cards) - 1, F.lit(1)))).alias("position", "card"))
+    parts = F.split("content", "BEGIN:VCARD")
+    cards = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
+    named = lambda card: F.exists(F.split(card, r"\r?\n"), lambda x: F.startswith(F.trim(x), F.lit("FN:")))
+    rows = files.select(*[c for c in files.columns if c != "content"], F.forall(cards, named).alias("file_valid"), F.posexplode(cards).alias("position", "card"))
     lines = F.transform(F.split("card", r"\r?\n"), lambda x: F.trim(x))
 
     def last(prefix: str, extra: str = "") -> Column:
@@ -73,14 +79,13 @@ def contacts(files: DataFrame) -> DataFrame:
     name = F.substring(last("FN:"), 4, 1 << 30)
     return rows.where(F.length("card") >= 0).select(
         *[c for c in files.columns if c != "content"], "position", name.alias("name"), F.get(F.split(last("EMAIL", ":"), ":"), 1).alias("email"), F.get(F.split(last("TEL", ":"), ":"), 1).alias("phone"),
-        F.substring(last("ORG:"), 5, 1 << 30).alias("organization"), name.isNotNull().alias("valid"),
+        F.substring(last("ORG:"), 5, 1 << 30).alias("organization"), name.isNotNull().alias("valid"), "file_valid",
     )
 
 
-def valid_files(rows: DataFrame, key: str) -> DataFrame:
+def valid_files(rows: DataFrame) -> DataFrame:
     """Rows of files all of whose rows are valid."""
-    bad = rows.where("not valid").select(key).distinct()
-    return rows.join(bad, key, "left_anti").drop("valid")
+    return rows.where("file_valid").drop("valid", "file_valid")
 
 
 def rejects(rows: DataFrame, key: str) -> DataFrame:
@@ -90,8 +95,8 @@ def rejects(rows: DataFrame, key: str) -> DataFrame:
 def extracted(files: DataFrame, key: str) -> DataFrame:
     """Events and contacts of a table of attachments as one typed table."""
     routed = files.withColumn("kind", route(F.col("filename"), F.col("content_type")))
-    events = valid_files(calendar_events(routed.where(F.col("kind") == CALENDAR)), key)
-    cards = valid_files(contacts(routed.where(F.col("kind") == CARD)), key)
+    events = valid_files(calendar_events(routed.where(F.col("kind") == CALENDAR)))
+    cards = valid_files(contacts(routed.where(F.col("kind") == CARD)))
     single = lambda x: F.lit(x).cast("float")
     event = events.select(key, F.lit("event").alias("data_type"), F.struct("name", "description", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("date"), "location", "attendees").alias("event"), single(0.98).alias("confidence"), F.create_map(*map(F.lit, ("name", 1.0, "date", 1.0, "location", 0.95, "attendees", 0.90))).alias("breakdown"))
     contact = cards.select(key, F.lit("contact").alias("data_type"), F.struct("name", "email", "phone", "organization").alias("contact"), single(0.97).alias("confidence"), F.create_map(*map(F.lit, ("name", 1.0, "email", 0.98, "phone", 0.95))).alias("breakdown"))

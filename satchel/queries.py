@@ -392,7 +392,7 @@ def _cards(spark, d):
 
 @query("vcf_parse", "SELECT c_custkey AS id, c_name AS name, c_name || '@example.com' AS email, CAST(c_custkey AS VARCHAR) AS phone, c_mktsegment AS organization FROM customer")
 def vcf_parse(spark, d):
-    return A.valid_files(A.contacts(_cards(spark, d)), "id").select("id", "name", "email", "phone", "organization")
+    return A.valid_files(A.contacts(_cards(spark, d))).select("id", "name", "email", "phone", "organization")
 
 
 @query("vcf_last_wins", "SELECT c_custkey AS id, 'last@example.com' AS email FROM customer")
@@ -415,7 +415,7 @@ def _calendars(spark, d):
 
 @query("ics_parse", "SELECT o_orderkey AS id, 'Order ' || o_orderkey AS name, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS start FROM orders")
 def ics_parse(spark, d):
-    return A.valid_files(A.calendar_events(_calendars(spark, d)), "id").select("id", "name", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss").alias("start"))
+    return A.valid_files(A.calendar_events(_calendars(spark, d))).select("id", "name", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss").alias("start"))
 
 
 @query("ics_attendees", "SELECT o_orderkey AS id, 'c' || o_custkey AS attendees, CAST(1 AS INTEGER) AS n FROM orders")

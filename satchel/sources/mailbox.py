@@ -1,81 +1,138 @@
 """A mailbox as a Spark data source, in batch and as a stream.
 
-Offline mailboxes are folders of message files, ``<root>/<folder>/<uid>.eml``. The stream's offset is the last UID of each
-folder, kept in the checkpoint, so that a restart reads on where it was. UIDs are compared again in the reader, as mail
+Offline mailboxes are folders of message files, ``<root>/<folder>/<uid>.eml``; with a ``host`` the mail server is read. The
+driver lists UIDs only; tasks open the messages, ``batch`` of a folder each. The stream's offset is the last UID of each
+folder, kept in the checkpoint, so that a restart reads on where it was. UIDs are compared again after listing, as mail
 servers answer a range that starts after the last message with that message.
 """
 
 from __future__ import annotations
 
+import imaplib
+import importlib
 import os
+import re
 from collections.abc import Iterator
 from email import message_from_bytes, policy
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "folder string, uid long, raw binary"
+SCHEMA = "folder string, uid long, raw binary, flags array<string>, internal_date long"
 
 
-class FolderSlice(InputPartition):
-    def __init__(self, folder: str, low: int, high: int | None):
-        self.folder, self.low, self.high = folder, low, high
+class Files:
+    """Folders of message files."""
 
+    def __init__(self, options):
+        self.root = options["path"]
+
+    def folders(self) -> list[str]:
+        return sorted(n for n in os.listdir(self.root) if os.path.isdir(os.path.join(self.root, n)))
 
-def _uids(root: str, folder: str) -> list[int]:
-    names = (n[:-4] for n in os.listdir(os.path.join(root, folder)) if n.endswith(".eml"))
-    return sorted(int(n) for n in names if n.isdigit())
+    def uids(self, folder: str, after: int) -> list[int]:
+        names = (n[:-4] for n in os.listdir(os.path.join(self.root, folder)) if n.endswith(".eml"))
+        return [int(n) for n in names if n.isdigit()]
 
+    def message(self, folder: str, uid: int) -> tuple[bytes, list[str] | None, int | None]:
+        with open(os.path.join(self.root, folder, f"{uid}.eml"), "rb") as f:
+            return f.read(), None, None
 
-def _folders(root: str, only: str | None) -> list[str]:
-    found = sorted(n for n in os.listdir(root) if os.path.isdir(os.path.join(root, n)))
-    return [f for f in found if only is None or f in only.split(",")]
 
+class Server:
+    """A mail server, read without changing flags: options host, port, user and password."""
 
-class MailReader(DataSourceReader):
-    """A partition for each folder; ``since_uid`` bounds what is opened."""
+    LISTED = re.compile(rb'\((?P<flags>[^)]*)\) (?:"[^"]*"|NIL) "?(?P<name>[^"]*)"?')
 
     def __init__(self, options):
-        self.root, self.only, self.since = options["path"], options.get("folders"), int(options.get("since_uid", 0))
+        self.connection = self.connect(options)
+        self.connection.login(options["user"], options["password"])
+        self.selected = None
+
+    def connect(self, options):
+        return imaplib.IMAP4_SSL(options["host"], int(options.get("port", 993)), timeout=60)
+
+    def folders(self) -> list[str]:
+        found = (self.LISTED.match(x) for x in self.connection.list()[1] if x)
+        return sorted(m["name"].decode() for m in found if m and b"\\Noselect" not in m["flags"])
+
+    def _select(self, folder: str) -> None:
+        if folder != self.selected:
+            if self.connection.select(f'"{folder}"', readonly=True)[0] != "OK":
+                raise OSError(f"cannot open the folder {folder}")
+            self.selected = folder
+
+    def uids(self, folder: str, after: int) -> list[int]:
+        self._select(folder)
+        found = self.connection.uid("SEARCH", f"UID {after + 1}:*")[1]
+        return [int(x) for part in found if part for x in part.split()]
+
+    def message(self, folder: str, uid: int) -> tuple[bytes, list[str] | None, int | None]:
+        self._select(folder)
+        for part in self.connection.uid("FETCH", str(uid), "(FLAGS INTERNALDATE BODY.PEEK[])")[1]:
+            if isinstance(part, tuple):
+                stamp = re.search(rb'INTERNALDATE "([^"]*)"', part[0])
+                flags = [x.decode() for x in imaplib.ParseFlags(part[0])]
+                return part[1], flags, int(parsedate_to_datetime(stamp[1].decode()).timestamp()) * 1000 if stamp else None
+        raise OSError(f"no message {uid} in {folder}")
+
+
+def client(options) -> Files | Server:
+    """The client of the options; ``client`` names another class as ``module:class``."""
+    if "client" in options:
+        module, name = options["client"].split(":")
+        return getattr(importlib.import_module(module), name)(options)
+    return Server(options) if "host" in options else Files(options)
 
-    def partitions(self):
-        return [FolderSlice(f, self.since, None) for f in _folders(self.root, self.only)]
 
-    def read(self, part) -> Iterator[tuple]:
-        for uid in _uids(self.root, part.folder):
-            if uid > part.low:
-                with open(os.path.join(self.root, part.folder, f"{uid}.eml"), "rb") as f:
-                    yield part.folder, uid, f.read()
+class Slice(InputPartition):
+    """Some messages of a folder."""
 
+    def __init__(self, folder: str, uids: list[int]):
+        self.folder, self.uids = folder, uids
 
-class MailStream(SimpleDataSourceStreamReader):
-    """At most ``batch`` messages of each folder in a micro-batch, in order of UID."""
 
+class _Reader:
     def __init__(self, options):
-        self.root, self.only, self.batch = options["path"], options.get("folders"), int(options.get("batch", 50))
+        self.options, self.batch = options, int(options.get("batch", 50))
+        self.only = options["folders"].split(",") if "folders" in options else None
+
+    def _listed(self, after: dict, upto: dict | None = None) -> dict[str, list[int]]:
+        own = client(self.options)
+        found = {f: own.uids(f, after.get(f, 0)) for f in own.folders() if self.only is None or f in self.only}
+        return {f: sorted(u for u in uids if after.get(f, 0) < u and (upto is None or u <= upto.get(f, 0))) for f, uids in found.items()}
+
+    def _slices(self, listed: dict[str, list[int]]) -> list[Slice]:
+        return [Slice(f, uids[i : i + self.batch]) for f, uids in listed.items() for i in range(0, len(uids), self.batch)]
+
+    def read(self, part: Slice | None) -> Iterator[tuple]:
+        """part: None where there are no partitions."""
+        own = client(self.options) if part else None
+        for uid in part.uids if part else ():
+            yield part.folder, uid, *own.message(part.folder, uid)
+
+
+class MailReader(_Reader, DataSourceReader):
+    """``since_uid`` bounds what is opened."""
+
+    def partitions(self):
+        own, since = client(self.options), int(self.options.get("since_uid", 0))
+        return self._slices(self._listed(dict.fromkeys(own.folders(), since)))
+
+
+class MailStream(_Reader, DataSourceStreamReader):
+    """Messages in order of UID."""
 
     def initialOffset(self) -> dict:
         return {}
 
-    def read(self, start: dict):
-        rows, end = [], dict(start)
-        for folder in _folders(self.root, self.only):
-            for uid in [u for u in _uids(self.root, folder) if u > start.get(folder, 0)][: self.batch]:
-                rows.append(self._message(folder, uid))
-                end[folder] = uid
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for folder, last in end.items():
-            for uid in _uids(self.root, folder):
-                if start.get(folder, 0) < uid <= last:
-                    yield self._message(folder, uid)
-
-    def _message(self, folder: str, uid: int) -> tuple:
-        with open(os.path.join(self.root, folder, f"{uid}.eml"), "rb") as f:
-            return folder, uid, f.read()
+    def latestOffset(self) -> dict:
+        return {f: uids[-1] for f, uids in self._listed({}).items() if uids}
+
+    def partitions(self, start: dict, end: dict):
+        return self._slices(self._listed(start, end))
 
 
 class Mailbox(DataSource):
@@ -91,11 +148,11 @@ class Mailbox(DataSource):
     def reader(self, schema):
         return MailReader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return MailStream(self.options)
 
 
-PARSED = "folder string, uid long, message_id string, subject string, from_address string, from_name string, to_addresses array<struct<email:string,name:string>>, date_sent long, body_text string, body_html string, attachment_count int, size_bytes long, error string"
+PARSED = "folder string, uid long, message_id string, subject string, from_address string, from_name string, to_addresses array<struct<email:string,name:string>>, date_sent long, body_text string, body_html string, attachment_count int, size_bytes long, error string, flags array<string>, internal_date long, is_read boolean"
 
 
 def _parse(folder: str, uid: int, raw: bytes) -> dict:
@@ -117,13 +174,18 @@ def _parse(folder: str, uid: int, raw: bytes) -> dict:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages (folder, uid, raw) with their headers and bodies; what cannot be parsed has ``error``."""
+    """Messages of the mailbox with their headers and bodies; what cannot be parsed has ``error``. Flags and the date of arrival
+    are null where a mailbox keeps none."""
     names = [c.split()[0] for c in PARSED.replace("struct<email:string,name:string>", "x").split(", ")]
     kinds = {"uid": pa.int64(), "date_sent": pa.int64(), "size_bytes": pa.int64(), "attachment_count": pa.int32(), "to_addresses": pa.list_(pa.struct([("email", pa.string()), ("name", pa.string())]))}
+    kinds |= {"flags": pa.list_(pa.string()), "internal_date": pa.int64(), "is_read": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_parse(f, u, r or b"") for f, u, r in zip(*(batch.column(c).to_pylist() for c in ("folder", "uid", "raw")))]
+            rows = [
+                _parse(f, u, r or b"") | {"flags": flags, "internal_date": date, "is_read": None if flags is None else "\\Seen" in flags}
+                for f, u, r, flags, date in zip(*(batch.column(c).to_pylist() for c in ("folder", "uid", "raw", "flags", "internal_date")))
+            ]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
-    return messages.select("folder", "uid", "raw").mapInArrow(run, PARSED)
+    return messages.select("folder", "uid", "raw", "flags", "internal_date").mapInArrow(run, PARSED)

@@ -26,7 +26,7 @@ def test_dates(spark):
 def test_a_broken_event_voids_its_file_only(spark):
     broken = EVENT.replace("END:VCALENDAR", "BEGIN:VEVENT\r\nDTSTART:20260125T140000\r\nEND:VEVENT\r\nEND:VCALENDAR")
     rows = A.calendar_events(files(spark, ("a.ics", "", broken), ("b.ics", "", EVENT)))
-    assert [r.id for r in A.valid_files(rows, "id").collect()] == [1]
+    assert [r.id for r in A.valid_files(rows).collect()] == [1]
     assert [(r.id, r.broken) for r in A.rejects(rows, "id").collect()] == [(0, 1)]
 
 

@@ -48,6 +48,37 @@ def test_sync_resumes_without_repeats(spark, tmp_path):
     assert spark.read.parquet(f"{target}/download_items").where("status = 'completed'").count() == 9
 
 
+def test_mail_server(spark):
+    spark.dataSource.register(Mailbox)
+    load = lambda **o: spark.read.format("mailbox").options(client="tests.fake_mail:Fake", host="x", user="u", password="p", **o).load()
+    rows = parsed(load()).orderBy("uid").collect()
+    assert [(r.folder, r.uid, r.subject, r.is_read, r.internal_date) for r in rows] == [("INBOX", 3, "one", True, 1767607200000), ("INBOX", 9, "two", False, 1767607200000)]
+    assert load(since_uid=3).select("uid").collect()[0].uid == 9 and load(since_uid=9).count() == 0
+    assert load(batch=1).rdd.getNumPartitions() == 2
+
+
+def test_a_failed_version_does_not_count(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create_all()
+    store.append("download_jobs", spark.createDataFrame([(1,), (2,)], "id long"))
+    (tmp_path / "download_jobs" / "v1").mkdir()
+    (tmp_path / "download_jobs" / "v1" / "part-0.parquet").write_bytes(b"half")
+    assert store.read("download_jobs").count() == 2
+    store.delete("download_jobs", spark.createDataFrame([(1,)], "id long"))
+    assert [r.id for r in store.read("download_jobs").collect()] == [2]
+
+
+def test_ids_are_dense_and_claimed(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create_all()
+    rows = spark.range(1000).selectExpr("id as credential_id", "'imap' as source_type").repartition(7)
+    store.append("download_jobs", rows, number=True)
+    store.append("download_jobs", rows.limit(3), number=True)
+    found = sorted((r.id, r.credential_id) for r in store.read("download_jobs").collect())
+    assert [i for i, _ in found] == list(range(1, 1004)) and [c for _, c in found[:1000]] == list(range(1000))
+    assert store._claim("download_jobs", 5) == 1004 and store._claim("download_jobs", 5) == 1009
+
+
 def test_running_jobs_are_pruned():
     class Query:
         isActive = True
