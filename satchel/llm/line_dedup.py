@@ -222,13 +222,13 @@ def token_ranks(work: DataFrame, shingle: int, least: int) -> np.ndarray:
     return ranks
 
 
-SETS = "a long, b long, size int, ord long, th long, line int, prefix binary"
+SETS = "a long, b long, size int, ord long, th long, line int, prefix binary, of struct<ord: long, th: long, line: int>"
 PLACE = "ord", "th", "line"
 
 
 def line_sets(work: DataFrame, ranks: np.ndarray, similarity: float, shingle: int, least: int) -> DataFrame:
     """A row for each line: its set's two hashes and size, its place, and the rarest tokens, which the prefix filter needs.
-    Lines whose set a task has at an earlier place have no tokens."""
+    Lines whose set a task has at an earlier place have that place in ``of`` instead of tokens."""
     shared = broadcast(work.sparkSession, ranks)
 
     def joined(got: list[tuple]) -> pa.RecordBatch:
@@ -243,7 +243,10 @@ def line_sets(work: DataFrame, ranks: np.ndarray, similarity: float, shingle: in
         rows = np.concatenate((head, rest))
         columns = [pa.array(c[rows]) for c in (a, b, size, order, th, line)]
         packed = pa.concat_arrays([_packed(tokens, n_head), pa.nulls(len(rest), pa.binary())])
-        return pa.RecordBatch.from_arrays([*columns, packed], names=["a", "b", "size", "ord", "th", "line", "prefix"])
+        first = head[np.cumsum(new)[~new] - 1]
+        places = pa.StructArray.from_arrays([pa.array(c[first]) for c in (order, th, line)], names=list(PLACE))
+        of = pa.concat_arrays([pa.nulls(len(head), places.type), places])
+        return pa.RecordBatch.from_arrays([*columns, packed, of], names=["a", "b", "size", *PLACE, "prefix", "of"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, gathered = [], 0
@@ -279,7 +282,8 @@ def _hits(rows: DataFrame, column: str, wanted: BitFilter) -> DataFrame:
 
 
 def _distinct(work: DataFrame, similarity: float, shingle: int, least: int) -> tuple[DataFrame, Sets]:
-    """``a``, ``b`` and place of the lines that are not the first of their set, and the distinct sets at their first place."""
+    """Place of the lines that are not the first of their set with the place ``of`` one before them, and the distinct sets at
+    their first place."""
     lines = materialize(line_sets(work, token_ranks(work, shingle, least), similarity, shingle, least), "lines")
     heads = lines.where("prefix is not null")
     again = bit_filter(materialize(repeated_values(heads.select("a").mapInArrow, heads.count()), "repeated-sets"), "value", RARE)
@@ -287,8 +291,8 @@ def _distinct(work: DataFrame, similarity: float, shingle: int, least: int) -> t
     firsts = several.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     firsts = materialize(firsts.select("a", "b", "size", "first.*", "prefix"), "first-sets")
     of_first = firsts.select("a", "b", F.struct(*PLACE).alias("first"))
-    later = several.select("a", "b", *PLACE).join(of_first, ["a", "b"]).where(F.col("first") < F.struct(*PLACE)).drop("first")
-    later = lines.where("prefix is null").select("a", "b", *PLACE).unionByName(later)
+    later = several.select("a", "b", *PLACE).join(of_first, ["a", "b"]).where(F.col("first") < F.struct(*PLACE))
+    later = lines.where("prefix is null").select(*PLACE, "of").unionByName(later.select(*PLACE, F.col("first").alias("of")))
     return later, Sets(heads, again, firsts)
 
 
@@ -367,29 +371,26 @@ def _meetings(work: DataFrame, sets: Sets, shingle: int, least: int) -> tuple[Da
     return entries, materialize(_set_tokens(work, entries.select("place.*").distinct(), shingle, least), "set-tokens")
 
 
-def _matched(entries: DataFrame, tokens: DataFrame, similarity: float, later: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame | None:
-    """``a``, ``b`` and ``place`` of the distinct sets that are similar to one at an earlier place, and ``of``, the place of
-    such a one; None if no sets meet. ``later`` and ``earlier`` (a, b) name the sets on either side, all if None."""
+def _matched(entries: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame | None:
+    """``place`` of the distinct sets that are similar to one at an earlier place, and ``of``, the place of such a one; None if
+    no sets meet."""
 
     def named(side: str, of: str = "") -> list:
         return [F.col(of + c).alias(f"{side}_{c}") for c in ("place", *AT)]
 
-    def among(rows: DataFrame, keys: DataFrame | None, side: str) -> DataFrame:
-        return rows if keys is None else rows.join(keys.select(F.col("a").alias(f"{side}_a"), F.col("b").alias(f"{side}_b")), [f"{side}_a", f"{side}_b"], "left_semi")
-
     overlap = F.lit(similarity / (1 + similarity)) * (F.col("l_size") + F.col("r_size")) - 1e-6
     place_bound = F.least("l_shared", "r_shared") + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
     filters = (F.col("r_place") < F.col("l_place")) & (F.col("r_size") >= similarity * F.col("l_size") - 1e-6) & (F.col("l_size") >= similarity * F.col("r_size") - 1e-6) & (place_bound >= overlap)
     rounds = entries.agg(F.max("round")).first()[0]
-    left = among(entries.select("token", "n", "last", *named("l")), later, "l")
     done = None
     for step in range(-1, -1 if rounds is None else rounds + 1):
         if step < 0:  # the earliest set of each token, which needs no join
-            pairs = among(among(entries.select(*named("l"), *named("r", "head.")).where(filters), later, "l"), earlier, "r")
+            pairs = entries.select(*named("l"), *named("r", "head.")).where(filters)
         else:
             # of two sets one is the earliest, and rounds after the last find nothing
-            rest = left.where((F.col("n") > 2) & (F.col("last") >= step)).join(done.select(F.col("a").alias("l_a"), F.col("b").alias("l_b")), ["l_a", "l_b"], "left_anti")
-            block = among(entries.where((F.col("round") == step) & (F.col("place") > F.col("head.place"))).select("token", *named("r")), earlier, "r")
+            rest = entries.where((F.col("n") > 2) & (F.col("last") >= step)).select("token", *named("l"))
+            rest = rest.join(done.select(F.col("a").alias("l_a"), F.col("b").alias("l_b")), ["l_a", "l_b"], "left_anti")
+            block = entries.where((F.col("round") == step) & (F.col("place") > F.col("head.place"))).select("token", *named("r"))
             pairs = rest.join(block, "token").where(filters)
         pairs = materialize(pairs.select("l_a", "l_b", "l_place", "r_a", "r_b", "r_place").distinct(), "pairs")
         # most sets are in no pair of a later round: a filter keeps their tokens out of the shuffle
@@ -403,40 +404,13 @@ def _matched(entries: DataFrame, tokens: DataFrame, similarity: float, later: Da
     return done
 
 
-def similar_to_kept(work: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """ord, th, line and ``of`` (ord, th, line) of the lines that are similar to an earlier line which is kept itself.
-
-    Sets similar to no earlier one are kept, and those similar to a kept one go; what is then left, similar only to sets
-    that went, is judged again among itself, of which the first is always kept.
-    """
-    again, sets = _distinct(work, similarity, shingle, 1)
-    entries, tokens = _meetings(work, sets, shingle, 1)
-    gone, rest = None, None
-    while True:
-        later = _matched(entries, tokens, similarity, rest, rest)
-        if later is None or later.isEmpty():
-            break
-        kept = (entries if rest is None else rest).select("a", "b").distinct().join(later, ["a", "b"], "left_anti")
-        new = _matched(entries, tokens, similarity, later, materialize(kept, "kept-sets"))
-        gone = new if gone is None else gone.unionByName(new)
-        rest = materialize(later.select("a", "b").join(new, ["a", "b"], "left_anti"), "open-sets")
-        if rest.isEmpty():
-            break
-    again = materialize(again, "again")
-    firsts = sets.heads.select("a", "b", *PLACE).groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("of"))
-    found = again.join(firsts, ["a", "b"]).select("a", "b", "ord", "th", "line", "of")
-    if gone is not None:
-        equal = again.join(gone.select("a", "b", "of"), ["a", "b"]).select("a", "b", "ord", "th", "line", "of")
-        found = found.join(gone, ["a", "b"], "left_anti").unionByName(equal).unionByName(gone.select("a", "b", "place.*", "of"))
-    return found.select("ord", "th", "line", "of")
-
-
 def later_matches(work: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, least: int = MIN_WORDS) -> DataFrame:
-    """ord, th, line (from 0) of with_order() texts' lines that are similar to a line before them."""
+    """ord, th, line (from 0) of with_order() texts' lines that are similar to a line before them, and ``of`` (ord, th, line),
+    such a line."""
     again, sets = _distinct(work, similarity, shingle, least)
     matched = _matched(*_meetings(work, sets, shingle, least), similarity)
-    found = again.select("ord", "th", "line")
-    return found if matched is None else found.unionByName(matched.select("place.*"))
+    found = again.select(*PLACE, "of")
+    return found if matched is None else found.unionByName(matched.select("place.*", "of"))
 
 
 def _without(text: str, gone: set[int]) -> str:

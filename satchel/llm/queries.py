@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from satchel.llm import bpe, html_text, latent_decontamination, line_dedup, quality_rules, simhash, substring_index, subword_classifier, suffix_merge, tool_calls
 
+from satchel.llm.store import small_batches
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -227,64 +227,40 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float,
 
 
 def linked_copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``of`` (the kept row's key) of the near copies that fingerprints find.
+    """``key`` and ``of`` (a smaller key) of the near copies that fingerprints find.
 
     Fingerprints within ``radius`` bits make groups; a row is a copy if its text equals that of the group's least row, or
-    their sets of ``width``-word shingles have the similarity or more. Rows of a group that are not copies of its least row
-    are grouped again among themselves, until none has a partner; the least row leaves each group, so this ends.
+    their sets of ``width``-word shingles have the similarity or more.
     """
-    rest = materialize(fingerprints(docs, width, key, text).where("fp != 0"), "fingerprints")
-    found = texts = None
-    while True:
-        grouped = _grouped(rest, radius, key)
-        pairs = materialize(grouped.where(F.col("component_id") != F.col(key)).select(key, F.col("component_id").alias("of")).distinct(), "copy-pairs")
-        if texts is None:  # of all rows with a partner; later rounds need no others
-            texts = materialize(_texts(docs, pairs.select(key).union(pairs.select("of")).distinct(), key, text), "copy-texts")
-        near = materialize(_verified(texts, pairs, width, similarity, key), "copies")
-        found = near if found is None else found.unionByName(near)
-        left = materialize(pairs.join(near.select(key), key, "left_anti").select(key), "no-copies")
-        if left.isEmpty():
-            return found
-        rest = materialize(rest.join(left, key, "left_semi"), "fingerprints")
+    grouped = _grouped(materialize(fingerprints(docs, width, key, text).where("fp != 0"), "fingerprints"), radius, key)
+    pairs = materialize(grouped.where(F.col("component_id") != F.col(key)).select(key, F.col("component_id").alias("of")).distinct(), "copy-pairs")
+    texts = _texts(docs, pairs.select(key).union(pairs.select("of")).distinct(), key, text)
+    return _verified(texts, pairs, width, similarity, key)
 
 
 def copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``of`` (the kept row's key) of the rows that are near copies of a kept row.
+    """``key`` and ``of`` (a smaller key) of the rows that are near copies of a row with a smaller key, which may go itself.
 
-    A row is a copy if its text equals that of a kept row, or their sets of ``width``-word shingles have the similarity or
-    more; no two kept rows are copies of each other. linked_copies() finds those within ``radius`` bits. The rows that it
-    keeps are compared by an exact set-similarity join, which finds the others. Rows whose kept row goes in that join are
-    judged again, after all that are kept.
+    A row is a copy if its text equals that of the other, or their sets of ``width``-word shingles have the similarity or
+    more. linked_copies() finds most of them by fingerprints. What it leaves is compared by an exact set-similarity join, a
+    text being one line, so that no two rows are left that are copies of each other. Rows with null keys, and of rows with
+    equal keys all but one, have no part.
     """
-    near = linked_copies(docs, radius, width, similarity, key, text)
-    own = docs.where(F.col(key).isNotNull())
-    path = new_path(docs.sparkSession, "similar-copies")
-    with temporary(docs.sparkSession):
-        more = _similar_copies(without_keys(own, key, near.select(key)).withColumn("__late", F.lit(0)), width, similarity, key, text, path)
-    gone = more.select(F.col(key).alias("of"))
-    open_rows = materialize(near.join(gone, "of", "left_semi").select(key), "open-copies")
-    if open_rows.isEmpty():
-        return near.unionByName(more)
-    near = materialize(near.join(open_rows, key, "left_anti"), "copies")
-    late = own.join(open_rows, key, "left_semi").withColumn("__late", F.lit(1))
-    path = new_path(docs.sparkSession, "similar-copies")
-    with temporary(docs.sparkSession):
-        kept = without_keys(own, key, near.select(key).union(more.select(key)).union(open_rows)).withColumn("__late", F.lit(0))
-        again = _similar_copies(kept.unionByName(late), width, similarity, key, text, path)
-    return near.unionByName(more).unionByName(again)
-
-
-def _similar_copies(docs: DataFrame, width: int, similarity: float, key: str, text: str, path: str) -> DataFrame:
-    """``key`` and ``of``, written to ``path``, of the rows similar to a kept row before them by ``__late`` and key; keys are not null."""
-    kind = docs.schema[key].dataType.simpleString()
-    # a text is one line of words in lower case; its place is __late and key
-    folded = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", "abcdefghijklmnopqrstuvwxyz ")
-    work = docs.select(F.col("__late").cast("long").alias("ord"), F.col(key).cast("long").alias("th"), folded.alias("text"))
-    found = line_dedup.similar_to_kept(work, similarity, width).select(F.col("th").cast(kind).alias(key), F.col("of.th").cast(kind).alias("of"))
-    return materialize(found.where(F.col(key) != F.col("of")).distinct(), "similar-copies", path)
+    spark = docs.sparkSession
+    near_path, more_path = new_path(spark, "copies"), new_path(spark, "copies")
+    with temporary(spark):
+        near = materialize(linked_copies(docs, radius, width, similarity, key, text), "copies", near_path)
+        kind = docs.schema[key].dataType.simpleString()
+        # a text is one line of words in lower case, in the order of keys
+        folded = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", "abcdefghijklmnopqrstuvwxyz ")
+        rest = without_keys(docs.where(F.col(key).isNotNull()), key, near.select(key))
+        work = materialize(rest.select(F.col(key).cast("long").alias("ord"), F.lit(0).cast("long").alias("th"), folded.alias("text")), "folded")
+        found = line_dedup.later_matches(work, similarity, width).select(F.col("ord").cast(kind).alias(key), F.col("of.ord").cast(kind).alias("of"))
+        more = materialize(found.where(F.col(key) != F.col("of")).distinct(), "copies", more_path)
+    return near.unionByName(more)
 
 
 def keep_one(docs: DataFrame, radius: int = 7, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that copies() finds: of each group of near duplicates the row with the least key stays.
-    Texts without words and rows with a null key stay."""
+    """``docs`` without the rows that copies() finds: of rows that are near copies of each other the one with the least key
+    stays. Texts without words and rows with a null key stay. No rows give no rows."""
     return without_keys(docs, key, materialize(copies(docs, radius, width, similarity, key, text).select(key), "copies"))

@@ -54,6 +54,16 @@ def broadcast(spark: SparkSession, value: object) -> Broadcast:
     return _broadcasts[-1]
 
 
+#: Bytes of a batch of rows that goes to Python; Spark's own bound is eight times as large, and a task holds several.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows with long texts to Python in small batches. Results are lazy, so that this has to
+    last as long as the session; it changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one is set only where the session names none (tests, local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -85,22 +85,15 @@ def test_values_that_repeat_are_found_in_parts(spark):
         assert {r.value for r in line_dedup.repeated_values(values.mapInArrow, n).collect()} == want
 
 
-def test_lines_similar_to_kept_ones_only(spark):
-    words = [f"w{i}" for i in range(60)]
-    steps = [" ".join(words)]
-    for k in range(0, 24, 3):
-        words[59 - k] = f"y{k}"
-        steps.append(" ".join(words))
-    rows = list(enumerate([*steps, steps[3], "alone in this world here", steps[1]]))
-    kept, want = [], {}
+def test_each_match_names_an_earlier_similar_line(spark):
+    rows = lines()[:25]
+    work = line_dedup.with_order(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    tokens = {}
     for i, t in rows:
-        w = t.split()
-        own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        of = [j for j, o in kept if len(own & o) / len(own | o) >= 0.8]
-        if of:
-            want[i] = of
-        else:
-            kept.append((i, own))
-    work = line_dedup.with_order(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.ord: r.of.ord for r in line_dedup.similar_to_kept(work).collect()}
-    assert set(got) == set(want) and all(got[i] in want[i] for i in got)
+        for k, line in enumerate(t.split("\n")):
+            w = line.split()
+            tokens[i, k] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    got = {(r.ord, r.line): (r.of.ord, r.of.line) for r in line_dedup.later_matches(work).collect()}
+    similar = lambda a, b: tokens[a] and len(tokens[a] & tokens[b]) >= 0.8 * len(tokens[a] | tokens[b])
+    assert all(b < a and similar(a, b) for a, b in got.items())
+    assert set(got) == {a for a in tokens if any(b < a and similar(a, b) for b in tokens)}

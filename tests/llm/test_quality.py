@@ -74,11 +74,74 @@ def test_estimate_is_robust_and_near_the_centre(spark):
     x = r.multivariate_normal([1, 2, 3, 4], np.diag([1, 2, 0.5, 1]), 4000)
     x[:800] += 30  # a fifth of the rows far away
     rows = spark.createDataFrame([("p", *map(float, v)) for v in x], "pool string, " + ", ".join(f"{s} double" for s in quality_rules.STATISTICS))
+    assert abs(quality_rules.cutoff(0.01, 4) - 4 * 99.249) < 0.01
     e = quality_rules.estimates(rows).first()
     assert np.allclose([e.m0, e.m1, e.m2, e.m3], [1, 2, 3, 4], atol=0.15)
     assert 0.6 < 1 / e.p00 < 1.5 and 1.2 < 1 / e.p11 < 3
 
 
+def brute_force_distances(x, support=quality_rules.SUPPORT):
+    """Concentration steps from medians with the nearest rows sorted exactly."""
+    middle = np.median(x, axis=0)
+    scatter = np.diag((1.4826 * np.median(np.abs(x - middle), axis=0)) ** 2)
+    factor, n = quality_rules.consistency(support, x.shape[1]), int(np.ceil(support * len(x)))
+    for _ in range(quality_rules.STEPS):
+        near = np.argsort(np.einsum("ij,jk,ik->i", x - middle, np.linalg.inv(scatter + 1e-6 * np.eye(4)), x - middle), kind="stable")[:n]
+        middle, scatter = x[near].mean(axis=0), factor * np.cov(x[near].T, bias=True)
+    return np.einsum("ij,jk,ik->i", x - middle, np.linalg.inv(scatter + 1e-6 * np.eye(4)), x - middle)
+
+
+def test_verdicts_match_a_brute_force_estimate(spark):
+    docs = documents(spark, 900)
+    found = quality_rules.with_statistics(quality_rules.with_counts(docs)).where("n_words >= 50").collect()
+    got = {r.doc_id: r for r in quality_rules.rules(docs).collect()}
+    alike = close = n = 0
+    for pool in {(r.lang, r.source) for r in found}:
+        rows = [r for r in found if (r.lang, r.source) == pool and not got[r.doc_id].base_failed]
+        if len(rows) < quality_rules.MIN_GROUP:
+            continue
+        for r, d in zip(rows, brute_force_distances(np.array([[r[s] for s in quality_rules.STATISTICS] for r in rows]))):
+            n += 1
+            alike += got[r.doc_id].kept == bool(d <= quality_rules.cutoff(quality_rules.TAIL, 4))
+            close += abs(got[r.doc_id].distance - d) < 0.15 * d + 0.5
+    assert n > 800 and alike >= 0.995 * n and close >= 0.95 * n
+
+
+def test_scatter_of_the_own_group_decides(spark):
+    """The same text is an outlier where words have nearly one length, and none where lengths vary."""
+    r = random.Random(6)
+    say = lambda mean, n=120: " ".join("".join(r.choice("abcdefgh") for _ in range(max(1, round(r.gauss(mean, 1))))) for _ in range(n))
+    rows = [(i, say(5), "en", "even") for i in range(200)] + [(1000 + i, say(r.uniform(3, 12)), "en", "mixed") for i in range(200)]
+    odd = say(9.5)
+    rows += [(500, odd, "en", "even"), (1500, odd, "en", "mixed")]
+    got = {x.doc_id: x for x in quality_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[500].kept and got[1500].kept and got[500].distance > 50 * got[1500].distance
+    assert sum(x.kept for x in got.values()) == len(rows) - 1
+
+
+def test_each_statistic_can_reject(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(3, 7)))
+    line = lambda n=10: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(line() for _ in range(40)), "en", "s") for i in range(400)]
+    lines = [line(2) for _ in range(60)]
+    rows += [
+        (1001, "\n".join(line().replace("a", "aaaaaa") for _ in range(40)), "en", "s"),
+        (1002, "\n".join(line() + " ####" for _ in range(40)), "en", "s"),
+        (1003, "\n".join(lines + lines[:50] + [line(20) for _ in range(10)]), "en", "s"),  # lines of two words: no three-word window repeats inside one
+        (1004, " ".join([*(x := [word() for _ in range(180)]), *x[:80], *(word() for _ in range(100))]), "en", "s"),
+    ]
+    got = {x.doc_id: x for x in quality_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i in got if not got[i].kept] == [i for i in got if i > 1000] and not any(x.base_failed for i, x in got.items() if i != 1003)
+
+
+def test_many_pools_meet_in_a_salted_join(spark, monkeypatch):
+    docs = documents(spark)
+    want = {r.doc_id: r.kept for r in quality_rules.rules(docs).collect()}
+    monkeypatch.setattr(quality_rules, "BROADCAST_POOLS", 0)
+    assert {r.doc_id: r.kept for r in quality_rules.rules(docs).collect()} == want
+
+
 def test_rules_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality_rules.rules(docs).collect() == []
