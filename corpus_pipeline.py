@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.llm import bpe, latent_decontamination, line_dedup, quality_rules, simhash
-from satchel.llm.store import Made, materialize, new_path, recorded
+from satchel.llm.store import Made, materialize, new_path, recorded, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,7 @@ def frees_the_one_before(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         if _earlier.application == spark.sparkContext.applicationId:
             _earlier.drop(spark)
         with recorded() as made:
