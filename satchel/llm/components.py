@@ -28,7 +28,8 @@ def component_labels(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the least node of its component, for every node that is not its component's least.
 
     links: columns a < b (long). Rounds are few, as they are logarithmic in the number of nodes; each is written to the
-    shared folder. No links give no rows.
+    shared folder. MAX_ROUNDS is far beyond what any number of nodes needs: reaching it is an error, and raises one.
+    No links give no rows.
     """
     spark = links.sparkSession
     state, path, sign = links.select("a", "b"), None, None

@@ -151,7 +151,7 @@ def with_pool(rows: DataFrame, pools: DataFrame, n: int) -> DataFrame:
     if n <= BROADCAST_POOLS:
         return rows.join(F.broadcast(pools), "pool", "left")
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALTS)))
-    copies = pools.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = pools.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, ["pool", "__salt"], "left").drop("__salt")
 
 

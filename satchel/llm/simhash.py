@@ -28,6 +28,8 @@ SEED = 42
 FRONTIER = 1 << 17
 #: Mean fingerprints a shard, from which a finer choice of blocks is taken.
 SHARD_ROWS = 64
+#: Rows of shards that a task handles together, and of the largest tree.
+TASK_ROWS, SHARD_MOST = 1 << 16, 1 << 18
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -158,24 +160,59 @@ def near_links(prints: DataFrame, radius: int = 3, n: int | None = None) -> Data
     masks = [sum(((1 << bounds[i + 1] - bounds[i]) - 1) << bounds[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     shards = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed))))
-    spread = prints.select("vertex", "fp", shards.alias("shard")).select("vertex", "fp", "shard.*").repartition("choice", "bits")
+    spread = prints.select("vertex", "fp", shards.alias("shard")).select("vertex", "fp", "shard.*").repartition("choice", "bits").sortWithinPartitions("choice", "bits", "vertex")
+
+    def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        vertex, fp, choice, bits = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) for c in ("vertex", "fp", "choice", "bits"))
+        pairs = shard_links(vertex, fp.view(np.uint64), np.stack((choice.astype(np.int64), bits), axis=1), masks, radius)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        vertex, fp, choice, bits = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in ("vertex", "fp", "choice", "bits"))
-        order = np.lexsort((vertex, bits, choice))
-        vertex, fp, choice, bits = vertex[order], fp[order].view(np.uint64), choice[order], bits[order]
-        forest = Forest(np.stack((choice.astype(np.int64), bits), axis=1), fp)
-        label = forest.components(radius)
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        pairs = np.unique(np.stack((vertex[label[linked]], vertex[linked]), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        """Whole shards, TASK_ROWS rows together at least; the last shard of what was read may go on."""
+        parts: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            parts, rows = [*parts, batch], rows + batch.num_rows
+            if rows < TASK_ROWS:
+                continue
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            choice, bits = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "bits"))
+            cut = int(np.flatnonzero((choice != choice[-1]) | (bits != bits[-1]))[-1]) + 1 if (choice[0], bits[0]) != (choice[-1], bits[-1]) else 0
+            if cut:
+                yield linked([whole.slice(0, cut)])
+            parts, rows = [whole.slice(cut)], whole.num_rows - cut
+        if rows:
+            yield linked(parts)
 
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def shard_links(vertex: np.ndarray, fp: np.ndarray, shard: np.ndarray, masks: list[int], radius: int) -> np.ndarray:
+    """Pairs (least vertex, vertex) that connect what is linked inside each shard; rows are in the order of shards. shard: the
+    number of the mask whose bits agree, and these bits. Shards of over SHARD_MOST rows are split by further blocks of their
+    other bits, so that a tree is never larger, unless no other bits are left to agree."""
+    first = np.flatnonzero(np.concatenate(([True], np.any(shard[1:] != shard[:-1], axis=1))))
+    size = np.diff(np.concatenate((first, [len(fp)])))
+    large = np.repeat(size > SHARD_MOST, size)
+    found = [np.empty((0, 2), np.int64)]
+    for lo, n in zip(first[size > SHARD_MOST].tolist(), size[size > SHARD_MOST].tolist()):
+        fixed = masks[int(shard[lo, 0])]
+        free = [b for b in range(64) if not fixed >> b & 1]
+        blocks = [free[i::radius + 2] for i in range(radius + 2)]
+        own_vertex, own_fp = vertex[lo : lo + n], fp[lo : lo + n]
+        for chosen in combinations(range(radius + 2), 2) if len(free) >= radius + 2 else ():  # of radius + 2 blocks two agree
+            mask = sum(1 << b for i in chosen for b in blocks[i])
+            order = np.argsort(own_fp & np.uint64(mask), kind="stable")
+            inside = (own_fp[order] & np.uint64(mask)).view(np.int64)
+            found.append(shard_links(own_vertex[order], own_fp[order], np.stack((np.zeros(n, np.int64), inside), axis=1), [fixed | mask], radius))
+        if len(free) < radius + 2:
+            large[lo : lo + n] = False
+    vertex, fp, shard = vertex[~large], fp[~large], shard[~large]
+    label = Forest(shard, fp).components(radius)
+    linked = np.flatnonzero(label != np.arange(len(fp)))
+    return np.unique(np.concatenate([*found, np.stack((vertex[label[linked]], vertex[linked]), axis=1)]), axis=0)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``fp`` and ``component_id`` (the least key reachable over links of ``radius`` bits or fewer) of each row.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from satchel.llm.anchors import bit_filter
-from satchel.llm.store import broadcast
+from satchel.llm.store import broadcast, materialize
 
 
 def split_by(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,6 +33,23 @@ def without_keys(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return rest.unionByName(maybe.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti"))
 
 
+#: Rows of a key from which on they are spread over tasks, and the number of these.
+HOT_ROWS, SALTS = 4096, 64
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key and, as ``count``, how many rows that key has in ``many``. Those
+    of a hot key are dealt to SALTS tasks, each of which gets its row of ``one``."""
+    hot = materialize(one.where(F.col(count) > HOT_ROWS).select(F.xxhash64(*on).alias("hash")), "hot-keys")
+    one = one.drop(count)
+    if hot.isEmpty():
+        return many.join(one, on)
+    (hot_many, many), (hot_one, one) = (split_by(rows, F.xxhash64(*on), hot) for rows in (many, one))
+    hot_many = hot_many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)))
+    hot_one = hot_one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return many.join(one, on).unionByName(hot_many.join(hot_one, [*on, "__salt"]).drop("__salt"))
+
+
 def with_spans(work: DataFrame, spans: DataFrame) -> DataFrame:
     """``ord``, ``th``, ``text`` and ``spans`` (array of start, end) of the texts that have spans.
 

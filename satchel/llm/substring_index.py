@@ -4,8 +4,9 @@ The index is a list of immutable runs. A run holds the distinct segments (see an
 their first position, bucketed and sorted by fingerprint, so that a new batch is merge-joined with each run without
 shuffling the run again. A batch's segments that a run or an earlier part of the batch holds are removed as they are.
 Segments that share only their anchor with another differ somewhere in their context; their windows are fingerprinted
-one by one and compared in the same way. A match needs the anchor's and the content's 64-bit hash to agree, from
-independent hash functions; that is the verification, and it needs no document of the past for whole segments.
+one by one and compared in the same way, for which the past documents with such an anchor are read again. A match needs
+the anchor's and the content's 64-bit hash to agree, from independent hash functions; that is the verification.
+Rows of a passage that very many documents share are spread over tasks where they meet its first position.
 Once there are ``fanout`` runs of a level they are compacted into one of the next, which keeps first positions only.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.llm.anchors import Segments, bit_filter, chunks, merge_spans, segments, units, with_order
-from satchel.llm.split_join import with_spans
-from satchel.llm.store import drop, materialize, new_path
+from satchel.llm.split_join import spread_join, with_spans
+from satchel.llm.store import broadcast, drop, materialize, new_path
 from satchel.llm.text import mix, window_hashes
 
 WINDOW = 20
@@ -33,7 +34,7 @@ _WINDOW_SALT = np.uint64(0x165667B19E3779F9)
 
 def window_rows(work: DataFrame, anchors: DataFrame, window: int, gram: int) -> DataFrame:
     """``anchor``, ``mark`` (the window's content hash), ``ord``, ``th``, ``start`` of all windows of the given anchors."""
-    wanted = work.sparkSession.sparkContext.broadcast(bit_filter(anchors, "anchor"))
+    wanted = broadcast(work.sparkSession, bit_filter(anchors, "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +102,7 @@ class FingerprintIndex:
             rows = self._read(same[0])
             for run in same[1:]:
                 rows = rows.unionByName(self._read(run))
-            merged = rows.groupBy("content", "anchor").agg(F.min("position").alias("position"))
+            merged = rows.groupBy("content", "anchor").agg(F.min("position").alias("position"), F.sum("copies").alias("copies"))
             self.runs = [r for r in self.runs if r not in same] + [self._write_run(merged, same[0].level + 1)]
             for run in same:
                 self._forget(run)
@@ -110,7 +111,7 @@ class FingerprintIndex:
         """Adds a batch (with_order() rows) and returns its spans of repeated words: ord, th, start, stop."""
         found = materialize(segments(work, self.window, self.gram, True), "segments")
         position = F.struct("ord", "th", "start")
-        new = found.groupBy("content", "anchor").agg(F.min(position).alias("position"))
+        new = found.groupBy("content", "anchor").agg(F.min(position).alias("position"), F.count("*").alias("copies"))
         run = self._write_run(new, 0)
         new = self._read(run)
         seen = None  # segments of the batch that history holds
@@ -120,7 +121,7 @@ class FingerprintIndex:
         first = new if seen is None else new.join(seen.distinct().withColumn("old", F.lit(True)), ["content", "anchor"], "left")
         first = first if seen is not None else first.withColumn("old", F.lit(None).cast("boolean"))
         # whole segments that came before
-        whole = found.join(first, ["content", "anchor"]).where(F.coalesce("old", F.lit(False)) | (F.col("position") < position))
+        whole = spread_join(found, materialize(first, "firsts"), ["content", "anchor"], "copies").where(F.coalesce("old", F.lit(False)) | (F.col("position") < position))
         spans = whole.select("ord", "th", "start", (F.col("start") + F.col("n") - 1 + self.window).alias("stop"))
         # anchors in more than one context, of which one is new: their windows are compared one by one
         contexts = first.where("old is null").select("anchor", F.lit(1).alias("new"))
@@ -134,7 +135,7 @@ class FingerprintIndex:
             firsts = firsts.join(past, ["anchor", "mark"], "left").where("copies > 1 or past")
         else:
             firsts = firsts.withColumn("past", F.lit(None).cast("boolean")).where("copies > 1")
-        single = windows.join(firsts, ["anchor", "mark"]).where(F.coalesce("past", F.lit(False)) | (F.col("first") < position))
+        single = spread_join(windows, materialize(firsts, "first-windows"), ["anchor", "mark"], "copies").where(F.coalesce("past", F.lit(False)) | (F.col("first") < position))
         spans = spans.unionByName(single.select("ord", "th", "start", (F.col("start") + self.window).alias("stop")))
         spans = materialize(spans, "spans")
         self.runs.append(run)

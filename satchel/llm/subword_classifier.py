@@ -145,8 +145,9 @@ def fold(key: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``text`` and ``label`` of at most ``rows`` labelled documents that are not held out, least key hashes first."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(key) != 0)).select(F.col(key), F.col(label).alias("label")).dropDuplicates([key])
+    """``text`` and ``label`` of at most ``rows`` labelled documents that are not held out, least key hashes first.
+    Of several labels of a key the least counts; repeated documents of a key count each."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(key) != 0)).groupBy(key).agg(F.min(label).alias("label"))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(rows)
     return docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "label")
 
@@ -155,7 +156,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     """``key``, ``held_out``, ``score`` and ``predicted`` of each row of ``docs``.
 
     Labels are learned from rows whose fold() is not 0; labels and other columns are no inputs of a score. Rows with a
-    null key are scored and not held out. Without labels every score is one half.
+    null key are scored and not held out; repeated rows are each scored; other columns are not read, whatever their names.
+    Without labels every score is one half, and no rows give no rows.
     """
     odds = fit(sample(docs, labels, label, rows, key, text))
     return score(docs, odds, key, text).select(key, F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

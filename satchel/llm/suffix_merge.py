@@ -4,9 +4,10 @@ Texts are cut into segments around anchors (see anchors.py), so that equal windo
 wherever they come from. There the segments are split into shards. Each shard gets its Burrows-Wheeler transform; the
 transforms alone are then merged: the interleave of the shards' sorted suffixes starts as blocks of equal first symbols
 and is refined round by round, each round doubling the depth to which it is settled by stepping along the transforms' own
-next-suffix mapping. Texts are not read again, and a block of one suffix takes no part in later rounds. Two neighbours of
-the merged order have a common prefix of ``window`` bytes if they fall in one block at that depth, which gives the
-repeated intervals.
+next-suffix mapping. In a block the suffixes of each shard are in order already, so that a round merges sorted runs and
+sorts no suffixes again. Texts are not read again, and a block of one suffix takes no part in later rounds. Where a block
+parts, its neighbours' common prefix is known to be shorter than the round's depth; neighbours that have not parted at
+depth ``window`` have that much in common, which gives the repeated intervals.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from satchel.llm.anchors import Segments, bit_filter, merge_spans, segments, with_order
 from satchel.llm.split_join import with_spans
-from satchel.llm.store import materialize
+from satchel.llm.store import broadcast, materialize
 from satchel.llm.text import byte_values, chunks, mix, window_hashes
 
 WINDOW = 400
@@ -37,9 +38,9 @@ HOT_SEGMENTS = 2048
 FIRST = 7
 
 
-def _start(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each key (the number of lesser keys) and the rows in blocks of several."""
-    order = np.argsort(keys)
+def _start(keys: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each key (the number of lesser keys) and the rows in blocks of several. kind: "stable" merges sorted runs."""
+    order = np.argsort(keys, kind=kind)
     ordered = keys[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     first = np.flatnonzero(new)
@@ -49,13 +50,13 @@ def _start(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return block, order[np.repeat(size > 1, size)]
 
 
-def _refine(block: np.ndarray, active: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+def _refine(block: np.ndarray, active: np.ndarray, ahead: np.ndarray, kind: str | None = None) -> np.ndarray:
     """Splits blocks in place by what lies ahead of their rows; returns the rows in blocks of several. Blocks keep their
-    place: a part's number is the number of rows before it."""
+    place: a part's number is the number of rows before it. kind: as for _start()."""
     if not len(active):
         return active
     keys = block[active] << 32 | ahead
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind=kind)
     active, keys = active[order], keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.concatenate((first, [len(keys)])))
@@ -107,8 +108,9 @@ class Shard:
         return np.argsort(self.bwt, kind="stable")
 
 
-def merge(shards: list[Shard], window: int) -> list[np.ndarray]:
-    """Per shard and sorted suffix: its block in the merged order at depth ``window``; equal blocks, equal prefixes."""
+def merge(shards: list[Shard], window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per shard and sorted suffix, the place in the merged order where its block at depth ``window`` begins, and per place a
+    depth at which its suffix and the one before it differ; 0 if they have ``window`` symbols in common."""
     sizes = np.array([len(s.bwt) for s in shards])
     shift = np.repeat(np.cumsum(sizes) - sizes, sizes)
     step = np.concatenate([s.next_suffix() for s in shards]) + shift
@@ -121,19 +123,28 @@ def merge(shards: list[Shard], window: int) -> list[np.ndarray]:
         jump = step[jump]
         key = key << 9 | symbol[jump]
     jumps = [(1, step), (depth, step[jump])]
-    block, active = _start(key)
+    block, active = _start(key, "stable")
+    parted = np.zeros(len(step), np.int32)
+    parted[block] = depth
+
+    def refine(active: np.ndarray, ahead: np.ndarray, depth: int) -> np.ndarray:
+        rest = _refine(block, active, ahead, "stable")
+        new = block[active]
+        parted[new[parted[new] == 0]] = depth
+        return rest
+
     while 2 * depth <= window:
         jump = jumps[-1][1]
-        active = _refine(block, active, block[jump[active]])
         depth *= 2
+        active = refine(active, block[jump[active]], depth)
         jumps.append((depth, jump[jump]))
     if depth < window:  # the last blocks of both ends of the window settle it
         ahead, rest = active, window - depth
         for d, jump in reversed(jumps):
             while d <= rest:
                 ahead, rest = jump[ahead], rest - d
-        _refine(block, active, block[ahead])
-    return np.split(block, np.cumsum(sizes)[:-1])
+        refine(active, block[ahead], window)
+    return np.split(block, np.cumsum(sizes)[:-1]), parted
 
 
 def repeated_windows(pieces: list[bytes], copies: list[int], window: int) -> list[np.ndarray]:
@@ -148,7 +159,7 @@ def repeated_windows(pieces: list[bytes], copies: list[int], window: int) -> lis
     if part:
         members.append(part)
     shards = [Shard([pieces[i] for i in m]) for m in members]
-    blocks = merge(shards, window)
+    blocks, parted = merge(shards, window)
     spots, owners, found = [], [], []
     for shard, member, block in zip(shards, members, blocks):
         ends = np.cumsum(shard.lengths)
@@ -159,7 +170,10 @@ def repeated_windows(pieces: list[bytes], copies: list[int], window: int) -> lis
         owners.append(np.array([member[i] for i in shard.order])[number[whole]])
         found.append(block[whole])
     spot, owner, block = np.concatenate(spots), np.concatenate(owners), np.concatenate(found)
-    hit = np.bincount(block, np.minimum(copies, 2)[owner])[block] > 1
+    # an interval of the merged order goes on until its suffixes part
+    intervals = np.flatnonzero(parted)
+    interval = np.searchsorted(intervals, block)
+    hit = np.bincount(interval, np.minimum(copies, 2)[owner], len(intervals))[interval] > 1
     spot, owner = spot[hit], owner[hit]
     order = np.lexsort((spot, owner))
     spot, owner = spot[order], owner[order]
@@ -174,7 +188,7 @@ def _runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def segment_bytes(work: DataFrame, anchors: DataFrame, window: int, gram: int) -> DataFrame:
     """``anchor``, ``content``, ``piece`` (its bytes) and ``copies`` of the distinct segments of the given anchors."""
-    wanted = work.sparkSession.sparkContext.broadcast(bit_filter(anchors, "anchor"))
+    wanted = broadcast(work.sparkSession, bit_filter(anchors, "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,15 +295,16 @@ def _kept(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "ord long, th long, removed long, spans long, sha256 string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key: str = "doc_id", text: str = "text", hot: int = HOT_SEGMENTS) -> DataFrame:
     """``key``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each row, after its repeated bytes went.
 
     A byte goes if a string of ``window`` bytes that covers it also starts anywhere else, in the same text or another.
     Strings are judged on the input; removed runs that touch are one span. Null counts as empty. Rows that are wholly
-    equal are copies of each other, and lose all their bytes if there are ``window`` of them. No rows give no rows.
+    equal are copies of each other, and lose all their bytes if there are ``window`` of them. Anchors with more than ``hot``
+    distinct segments are solved by counts of window hashes, with the same result. No rows give no rows.
     """
     work = with_order(docs, key, text)
-    spans = materialize(repeated_spans(work, window, min(gram, window)), "spans")
+    spans = materialize(repeated_spans(work, window, min(gram, window), hot), "spans")
     base = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cut = _kept(with_spans(work, spans)).dropDuplicates(["ord", "th"])
     out = _digests(base, key).join(cut, ["ord", "th"], "left")

@@ -170,6 +170,14 @@ def test_classifier_on_held_out_rows(spark):
     assert len(empty) == 1
 
 
+def test_conflicting_and_repeated_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(1, "text 1")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i in range(40) for q in (1, 0, 1)], "doc_id long, quality int")
+    chosen = subword_classifier.sample(docs, labels, "quality").collect()
+    assert {r.label for r in chosen} == {0} and len(chosen) > len({r.text for r in chosen}) - 1
+    assert len(subword_classifier.classify(docs, labels).collect()) == 41
+
+
 def test_classifier_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")

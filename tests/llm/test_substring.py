@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from satchel.llm import anchors, substring_index, suffix_merge
+from satchel.llm import anchors, split_join, substring_index, suffix_merge
 from satchel.llm.text import sliding_min_position
 from tests.llm.texts import SCHEMA, corpus
 
@@ -48,6 +48,31 @@ def test_words_match_brute_force(spark, window, batches):
     assert got == word_brute([(i, t) for i, t, *_ in rows], window)
 
 
+def test_a_hot_passage_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(split_join, "HOT_ROWS", 3)
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_index.remove_repeats(docs, 20, 2).collect()}
+    assert got == word_brute([(i, t) for i, t, *_ in rows], 20)
+
+
+def test_merge_keeps_the_order_and_knows_common_prefixes():
+    r = np.random.default_rng(3)
+    pieces = [bytes(r.integers(97, 99, r.integers(0, 60)).astype(np.uint8)) for _ in range(12)]
+    shards = [suffix_merge.Shard(pieces[i : i + 4]) for i in (0, 4, 8)]
+    window = 12
+    blocks, parted = suffix_merge.merge(shards, window)
+    rows = []
+    for shard, part, block in zip(shards, (pieces[0:4], pieces[4:8], pieces[8:12]), blocks):
+        joined = b"".join(part[i] + b"\0" for i in shard.order)
+        rows += [(int(b), joined[p:].split(b"\0")[0][:window]) for p, b in zip(shard.place, block)]
+    rows.sort()
+    for at, ((b, x), (c, y)) in enumerate(zip(rows, rows[1:]), 1):
+        common = next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        assert x <= y and (b == c) == (parted[at] == 0)
+        assert parted[at] == 0 and (x == y) or x != y and common < parted[at] <= window
+
+
 def test_index_keeps_first_positions_over_batches_and_compaction(spark):
     rows = [(i, t) for i, t, *_ in corpus(3)]
     index = substring_index.FingerprintIndex(spark, window=5, gram=3, fanout=2)
@@ -60,16 +85,11 @@ def test_index_keeps_first_positions_over_batches_and_compaction(spark):
     index.close()
 
 
-@pytest.mark.parametrize("window,hot", [(50, 2048), (50, 1), (400, 2048), (3, 2048)])
-def test_bytes_match_brute_force(spark, window, hot, monkeypatch):
-    monkeypatch.setattr(suffix_merge, "HOT_SEGMENTS", hot)
+@pytest.mark.parametrize("window,hot", [(50, 2048), (50, 1), (400, 2048), (400, 0), (3, 2048)])
+def test_bytes_match_brute_force(spark, window, hot):
     rows = corpus(2, size=120)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    work = anchors.with_order(docs)
-    spans = suffix_merge.repeated_spans(work, window, min(64, window), hot)
-    if hot == 1:
-        assert spans.count() > 0
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_merge.remove_repeats(docs, window).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_merge.remove_repeats(docs, window, hot=hot).collect()}
     assert got == byte_brute([(i, t) for i, t, *_ in rows], window)
 
 
