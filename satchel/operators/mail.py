@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satchel.session import work_folder
+
 ADDRESS = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
 
@@ -44,6 +46,7 @@ def threads(messages: DataFrame) -> DataFrame:
     that rounds grow with the logarithm of a thread's length. Each round is checkpointed. Replies in a circle belong to
     its least message.
     """
+    work_folder(messages.sparkSession)  # checkpoints need a folder
     known = messages.select(F.col("message_id").alias("parent")).distinct()
     own = messages.select("message_id", "in_reply_to").groupBy("message_id").agg(F.min("in_reply_to").alias("parent"))
     now = own.join(known.withColumn("there", F.lit(True)), "parent", "left")

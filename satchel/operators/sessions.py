@@ -47,3 +47,9 @@ def message_gaps(messages: DataFrame) -> DataFrame:
 
 def tool_latency(calls: DataFrame) -> DataFrame:
     return calls.groupBy("tool_name", "status").agg(F.count("*").alias("calls"), F.min("execution_time_ms").alias("least_ms"), F.max("execution_time_ms").alias("most_ms"))
+
+
+def token_use(calls: DataFrame, price_in: float, price_out: float) -> DataFrame:
+    """Tokens and cost of each session; calls: session_id, tokens_in, tokens_out. Prices are for a million tokens."""
+    sums = calls.groupBy("session_id").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    return sums.withColumn("cost", F.round((F.col("tokens_in") * price_in + F.col("tokens_out") * price_out) / 1e6, 6))

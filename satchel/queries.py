@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from satchel import views as V
@@ -17,7 +17,9 @@ from satchel.operators import patterns as P
 from satchel.operators import planning as C
 from satchel.operators import sessions as X
 from satchel.plans.guard import guarded
+from satchel.session import work_folder
 from satchel.sources.files import wanted
+from satchel.sources.store import Store
 from satchel.streaming import sync as Y
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +90,18 @@ def tool_latency_stats(spark, d):
     return X.tool_latency(V.tool_calls(spark, d))
 
 
+TOKENS = "CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT)"
+
+
+@query("token_use", f"SELECT *, round((tokens_in * 3.0::DOUBLE + tokens_out * 15.0::DOUBLE) / 1e6, 6) AS cost FROM (SELECT conv_id AS session_id, count(*) AS calls, CAST(sum(CASE WHEN role = 'user' THEN {TOKENS} ELSE 0 END) AS BIGINT) AS tokens_in, CAST(sum(CASE WHEN role = 'user' THEN 0 ELSE {TOKENS} END) AS BIGINT) AS tokens_out FROM conversations GROUP BY conv_id)")
+def token_use(spark, d):
+    """A token is about four characters; the user's turns go in, the others come out."""
+    tokens = F.ceil(F.length(F.coalesce("content", F.lit(""))) / 4)
+    own = F.col("role") == "user"
+    calls = V.messages(spark, d).select("session_id", F.when(F.coalesce(own, F.lit(False)), tokens).otherwise(0).alias("tokens_in"), F.when(F.coalesce(own, F.lit(False)), 0).otherwise(tokens).alias("tokens_out"))
+    return X.token_use(calls, 3.0, 15.0)
+
+
 # downloads
 
 @query("job_by_id", f"SELECT o_orderkey AS id, {JOB} AS status, o_custkey AS credential_id, epoch_ms(o_orderdate) AS created_at FROM orders WHERE o_orderkey = 33")
@@ -158,6 +172,20 @@ def delete_job_effect(spark, d):
     return V.items(spark, d).join(gone, "job_id", "left_anti").groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("store_deletes", f"SELECT {ITEM} AS status, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY ALL")
+def store_deletes(spark, d):
+    """Jobs and items are written to a store, the pending jobs are deleted with their items, and the items read again."""
+    store = Store(spark, work_folder(spark))
+    store.create_all()
+    store.append("download_jobs", V.jobs(spark, d))
+    store.append("download_items", V.items(spark, d).withColumn("source_identifier", F.col("source_identifier").cast("string")))
+    gone = V.jobs(spark, d, "pending").select("id")
+    store.delete("download_items", gone.withColumnRenamed("id", "job_id"), "job_id")
+    store.delete("download_jobs", gone)
+    left = store.read("download_items").join(store.read("download_jobs").select(F.col("id").alias("job_id")), "job_id", "left_semi")
+    return left.groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query("job_latest_state", f"SELECT o_orderkey AS id, 2 AS step, {JOB} AS state, CASE WHEN o_orderkey % 5 = 0 THEN 'lost connection' END AS error FROM orders")
 def job_latest_state(spark, d):
     return D.latest(D.transitions(V.jobs(spark, d)))
@@ -241,6 +269,16 @@ def checksum_duplicates(spark, d):
     return E.checksum_duplicates(V.emails(spark, d))
 
 
+@query("mail_threads", "SELECT conv_id * 1000 + min(turn) AS thread, count(DISTINCT turn) AS messages FROM conversations GROUP BY conv_id")
+def mail_threads(spark, d):
+    """Turns of a conversation as messages of which each answers the one before it."""
+    number = F.col("session_id") * 1000 + F.col("turn")
+    before = F.lag("turn").over(Window.partitionBy("session_id").orderBy("turn"))
+    turns = V.messages(spark, d).select("session_id", "turn").distinct()
+    messages = turns.select(number.alias("message_id"), (F.col("session_id") * 1000 + before).alias("in_reply_to"))
+    return E.threads(messages).groupBy("thread").agg(F.count("*").alias("messages"))
+
+
 @query("search_predicate", f"SELECT o_orderkey AS uid FROM orders WHERE o_orderkey > 100 AND CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 360 ORDER BY uid LIMIT 50")
 def search_predicate(spark, d):
     rows = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), F.to_date("o_orderdate").alias("date"))

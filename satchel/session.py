@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,14 @@ def local_session(name: str, cores: int | str | None = None) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which driver and executors share; where none is set, in local mode, one is."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="satchel-"))
+    return f"{folder or context._jsc.sc().getCheckpointDir().get()}/work-{uuid.uuid4().hex}"
