@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from satchel.llm import line_dedup
 from satchel.llm.components import component_labels
-from satchel.llm.split_join import split_by, without_keys
+from satchel.llm.split_join import split_by, spread_join, without_keys
 from satchel.llm.store import materialize, new_path, temporary
 
 SEED = 42
@@ -252,7 +252,11 @@ def _texts(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFram
 
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float, key: str) -> DataFrame:
     """The ``pairs`` (key, of) whose texts are equal or have the similarity. texts: __key, __text."""
-    both = pairs.join(texts.withColumnRenamed("__text", "a"), F.col(key) == F.col("__key")).drop("__key").join(texts.withColumnRenamed("__text", "b"), F.col("of") == F.col("__key")).drop("__key")
+    own = pairs.join(texts.withColumnRenamed("__text", "a"), F.col(key) == F.col("__key")).drop("__key")
+    # the least row of a large group meets all others of it
+    copies = materialize(pairs.groupBy("of").agg(F.count("*").alias("__n")), "copies-of")
+    least = copies.join(texts.withColumnRenamed("__text", "b"), F.col("of") == F.col("__key")).drop("__key")
+    both = spread_join(own, least, ["of"], "__n")
     kind = pairs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +275,7 @@ def linked_copies(docs: DataFrame, radius: int = 7, width: int = 5, similarity:
     """
     grouped = _grouped(materialize(fingerprints(docs, width, key, text).where("fp != 0"), "fingerprints"), radius, key)
     pairs = materialize(grouped.where(F.col("component_id") != F.col(key)).select(key, F.col("component_id").alias("of")).distinct(), "copy-pairs")
-    texts = _texts(docs, pairs.select(key).union(pairs.select("of")).distinct(), key, text)
+    texts = materialize(_texts(docs, pairs.select(key).union(pairs.select("of")).distinct(), key, text), "copy-texts")
     return _verified(texts, pairs, width, similarity, key)
 
 
