@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.llm import bpe, html_text, latent_decontamination, line_dedup, quality_rules, simhash, substring_index, subword_classifier, suffix_merge, tool_calls
+from satchel.llm import ball_kmeans, bpe, html_text, latent_decontamination, line_dedup, order_minhash, periodic_runs, quality_rules, simhash, substring_index, subword_classifier, suffix_merge, tool_calls
 
 from satchel.llm.store import small_batches
 
@@ -79,6 +79,23 @@ def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.remove_repeats(_table(spark, sf_dir, "documents"), window=20, batches=3)
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every document and of its edited text, and their likeness."""
+    return order_minhash.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, every tenth made periodic, and digests of the runs and of the words that stay."""
+    found = periodic_runs.collapse(periodic_runs.with_planted_runs(_table(spark, sf_dir, "documents")))
+    return found.drop("runs", "kept")
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 clusters of the embeddings after three rounds."""
+    order = F.sha2(F.concat(F.lit("1:"), F.col("key").cast("string")), 256)
+    return ball_kmeans.clusters(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, order=order)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -87,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_text": op1_html_text, "op2_tool_calls": op2_tool_calls, "op3_latent_decontamination": op3_latent_decontamination, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_index": op10_substring_index, "pipeline": pipeline}
+    return {"op1_html_text": op1_html_text, "op2_tool_calls": op2_tool_calls, "op3_latent_decontamination": op3_latent_decontamination, "op4_quality_rules": op4_quality_rules, "op5_subword_classifier": op5_subword_classifier, "op6_bpe": op6_bpe, "op7_suffix_merge": op7_suffix_merge, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_index": op10_substring_index, "op11_order_minhash": op11_order_minhash, "op12_periodic_runs": op12_periodic_runs, "op13_ball_kmeans": op13_ball_kmeans, "pipeline": pipeline}
 
 
 OP2_SQL = """
@@ -146,5 +163,33 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    steps = [f"""
+kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {k}
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS (
+  SELECT r, min({{'d': list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': c{i}.c}}) AS m FROM kept CROSS JOIN c{i} GROUP BY r
+)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (
+  SELECT c, list(f ORDER BY i) AS v FROM (
+    SELECT c, i, floor(sum(x) / count(*))::BIGINT AS f FROM (SELECT m.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i} JOIN kept USING (r)) GROUP BY c, i
+  ) GROUP BY c
+), c{i + 1} AS (SELECT c, coalesce(s{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN s{i} USING (c))""")
+    return f"""
+WITH {",".join(steps)}
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} ON c{rounds}.c = m.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_tool_calls": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_index": OP10_SQL}
+    return {"op2_tool_calls": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_index": OP10_SQL, "op13_ball_kmeans": _op13_sql()}
