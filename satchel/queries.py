@@ -13,6 +13,7 @@ from satchel.operators import attachments as A
 from satchel.operators import downloads as D
 from satchel.operators import finance as M
 from satchel.operators import mail as E
+from satchel.operators import mime
 from satchel.operators import patterns as P
 from satchel.operators import planning as C
 from satchel.operators import sessions as X
@@ -259,6 +260,34 @@ def attachments_for_email(spark, d):
     return E.attachments_of(files, 7).select("id", "filename")
 
 
+FILES = """SELECT doc_id, '2' AS part, 'doc-' || doc_id || '.txt' AS filename, 'text/plain' AS content_type, coalesce(text, '') AS content, false AS is_inline FROM documents
+UNION ALL SELECT doc_id, '4', 'logo.png', 'image/png', 'picture of all', true FROM documents"""
+
+
+@query("mail_attachments", f"SELECT doc_id AS email_id, part, filename, content_type, is_inline, strlen(content) AS size_bytes, sha256(content) AS checksum FROM ({FILES})")
+def mail_attachments(spark, d):
+    """Attachments of raw messages, but for those that are calendars and cards."""
+    found = mime.attachment_rows(mime.parts(V.raw_messages(spark, d)))
+    return found.where(A.route(F.col("filename"), F.col("content_type")).isNull()).select("email_id", "part", "filename", "content_type", "is_inline", "size_bytes", "checksum")
+
+
+@query("attachment_references", f"SELECT sha256(content) AS checksum, count(*) AS \"references\", strlen(any_value(content)) AS size_bytes, sum(strlen(content))::BIGINT AS bytes_in_mail FROM ({FILES}) GROUP BY content")
+def attachment_references(spark, d):
+    """Messages go into a store in two batches, of which the second is written twice; each content is there once."""
+    store, raw = mime.AttachmentStore(spark, work_folder(spark)), V.raw_messages(spark, d)
+    for batch in (0, 1, 1):
+        store.add(raw.where(F.col("email_id") % 2 == batch), batch)
+    kept = store.attachments().where(A.route(F.col("filename"), F.col("content_type")).isNull())
+    return mime.references(kept).join(store.contents().select("checksum"), "checksum")
+
+
+@query("attachment_entities", """SELECT doc_id AS email_id, '3' AS part, 'event' AS data_type, 'Meeting ' || doc_id AS name, strftime(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER), '%Y-%m-%dT09:00:00+00:00') AS date FROM documents
+UNION ALL SELECT doc_id, '5.2', 'contact', 'Person ' || doc_id, NULL FROM documents WHERE doc_id % 3 = 0""")
+def attachment_entities(spark, d):
+    found = mime.entities(mime.parts(V.raw_messages(spark, d)), ("email_id",))
+    return found.select("email_id", "part", "data_type", F.coalesce("event.name", "contact.name").alias("name"), "event.date")
+
+
 @query("contact_emails_in_text", rf"SELECT address, count(DISTINCT doc_id) AS messages FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{E.ADDRESS}')) AS address FROM documents) GROUP BY address")
 def contact_emails_in_text(spark, d):
     return E.addresses_in_text(V.emails(spark, d))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from satchel.operators import attachments as A
+from satchel.operators import mime
+
 EPOCH = 1704067200  # 2024-01-01, from which synthetic times count
 
 
@@ -65,6 +68,26 @@ def emails(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("doc_id").alias("id"), F.col("source").alias("folder"), F.col("text").alias("body_text"), F.lit(EPOCH * 1000) + F.col("doc_id") * 60000).toDF("id", "folder", "body_text", "date_received")
 
 
+def raw_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of messages: each document is the text file of one, beside an invitation, a picture that all share, and in every
+    third a forwarded message with a contact card."""
+    t = table(spark, d, "documents")
+    number = F.col("doc_id").cast("string")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "yyyyMMdd'T'090000")
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    invitation = F.encode(A.calendar_file(number, day, F.concat(F.lit("Meeting "), number), [F.lit("mailto:a@example.com")]), "UTF-8")
+    card = F.encode(A.contact_card(F.concat(F.lit("Person "), number), F.lit("p@example.com"), number, F.lit("Org")), "UTF-8")
+    inner = mime.composed(F.lit("inner"), F.lit("b@example.com"), F.concat(F.lit("<f"), number, F.lit("@x>")), F.lit("see card"), [mime.attached(card, "text/vcard", F.lit("card.vcf"))], "forwarded")
+    files = [
+        mime.attached(text, "text/plain", F.concat(F.lit("doc-"), number, F.lit(".txt"))),
+        mime.attached(invitation, "text/calendar", F.lit("invite.ics")),
+        mime.attached(F.encode(F.lit("picture of all"), "UTF-8"), "image/png", F.lit("logo.png"), "inline", F.concat(F.lit("logo@"), number)),
+        F.when(F.col("doc_id") % 3 == 0, mime.forwarded(inner)),
+    ]
+    sender = F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"), F.lit("@example.com"))
+    return t.select(F.col("doc_id").alias("email_id"), mime.composed(F.concat(F.lit("Document "), number), sender, F.concat(F.lit("<"), number, F.lit("@x>")), F.lit("see files"), files).alias("raw"))
+
+
 def accounts(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("c_mktsegment") == "BUILDING", "checking").when(F.col("c_mktsegment") == "MACHINERY", "savings").when(F.col("c_mktsegment") == "AUTOMOBILE", "credit_card").otherwise("other")
     t = table(spark, d, "customer")
