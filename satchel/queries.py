@@ -20,6 +20,7 @@ from satchel.operators import sessions as X
 from satchel.plans.guard import guarded
 from satchel.session import work_folder
 from satchel.sources.files import wanted
+from satchel.sources.mailbox import archive, searched
 from satchel.sources.store import Store
 from satchel.streaming import sync as Y
 
@@ -314,6 +315,15 @@ def search_predicate(spark, d):
     return Y.search(rows, AS_OF, 12, 100, 50).select("uid")
 
 
+@query("mailbox_search", "SELECT source AS folder, doc_id AS uid, strlen(text) AS size_bytes FROM documents WHERE source IN ('src1', 'src3') AND doc_id BETWEEN 101 AND 900 AND doc_id * 60000 >= 12345678")
+def mailbox_search(spark, d):
+    """Documents become a mailbox archive, which is read again with filters that its reader takes."""
+    t, path = V.table(spark, d, "documents"), work_folder(spark)
+    archive(t.select(F.col("source").alias("folder"), F.col("doc_id").alias("uid"), F.encode("text", "UTF-8").alias("raw"), (F.lit(V.EPOCH * 1000) + F.col("doc_id") * 60000).alias("internal_date")), path)
+    found = searched(spark, archive=path, batch="500").where(F.col("folder").isin("src1", "src3") & F.col("uid").between(101, 900) & (F.col("internal_date") >= V.EPOCH * 1000 + 12345678))
+    return found.select("folder", "uid", F.octet_length("raw").cast("long").alias("size_bytes"))
+
+
 @query("sync_strategies", f"SELECT 'folders' AS kind, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') UNION ALL SELECT 'range', count(*) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '{AS_OF}'")
 def sync_strategies(spark, d):
     a = Y.strategy(V.emails(spark, d), "folders", ("src1", "src2")).agg(F.lit("folders").alias("kind"), F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from satchel.functions.scalars import search_cutoff
+from satchel.operators.mime import AttachmentStore
 from satchel.sources.mailbox import Mailbox, parsed
 
 
@@ -32,14 +33,29 @@ def search(rows: DataFrame, as_of: str, months: int | None = 12, after_uid: int
     return found if limit is None else found.limit(limit)
 
 
-def sync(spark: SparkSession, mailbox: str, target: str, checkpoint: str, batch: int = 50, available_now: bool = True) -> StreamingQuery:
+def last_offset(spark: SparkSession, checkpoint: str) -> str | None:
+    """The newest offset of the first source in a stream's checkpoint; None where no batch was begun."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    numbers = [int(n) for n in (x.getPath().getName() for x in fs.listStatus(folder)) if n.isdigit()] if fs.exists(folder) else []
+    if not numbers:
+        return None
+    lines = [r.value for r in spark.read.text(f"{checkpoint}/offsets/{max(numbers)}").collect()]
+    return next((x for x in lines[2:3] if x != "-"), None)
+
+
+def sync(spark: SparkSession, mailbox: str, target: str, checkpoint: str, batch: int = 50, available_now: bool = True, admit: int = 1000) -> StreamingQuery:
     """Reads new messages into ``target``/emails and ``target``/download_items.
 
     A micro-batch writes its own directory of both tables and overwrites it if it runs again, so that no message comes
-    twice. Cursors are the stream's offsets in the checkpoint. With ``available_now`` one micro-batch is run.
+    twice. Attachments go to ``target``/attachments and their contents, each once, to ``target``/contents. Cursors are the
+    stream's offsets in the checkpoint. A micro-batch takes at most ``admit`` messages of a folder; with ``available_now`` one
+    is run.
     """
     spark.dataSource.register(Mailbox)
-    stream = spark.readStream.format("mailbox").option("path", mailbox).option("batch", batch).load()
+    stream = spark.readStream.format("mailbox").option("path", mailbox).option("batch", batch).option("admit", admit).option("resume", last_offset(spark, checkpoint) or "{}").load()
+    store = AttachmentStore(spark, target)
 
     def write(rows: DataFrame, batch_id: int) -> None:
         messages = parsed(rows).persist()
@@ -47,16 +63,17 @@ def sync(spark: SparkSession, mailbox: str, target: str, checkpoint: str, batch:
         item = messages.select("folder", "uid", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "size_bytes", F.col("error").alias("error_message"))
         item.write.mode("overwrite").parquet(f"{target}/download_items/batch={batch_id}")
         messages.unpersist()
+        store.add(rows, batch_id, ("folder", "uid"))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="5 minutes").start()
 
 
-def sync_all(spark: SparkSession, mailbox: str, target: str, checkpoint: str, batch: int = 50) -> int:
+def sync_all(spark: SparkSession, mailbox: str, target: str, checkpoint: str, batch: int = 50, admit: int = 1000) -> int:
     """Syncs until nothing is new; the number of runs."""
     runs = 0
     while True:
-        query = sync(spark, mailbox, target, checkpoint, batch)
+        query = sync(spark, mailbox, target, checkpoint, batch, admit=admit)
         query.awaitTermination()
         runs += 1
         if not query.lastProgress or not query.lastProgress["numInputRows"]:

@@ -1,9 +1,11 @@
+import json
 from email.message import EmailMessage
 
 import pytest
 from pyspark.sql import functions as F
 
-from satchel.sources import files
+from satchel.operators.mime import AttachmentStore
+from satchel.sources import files, mailbox
 from satchel.sources.mailbox import Mailbox, parsed
 from satchel.sources.store import Store
 from satchel.streaming import sync
@@ -57,6 +59,83 @@ def test_mail_server(spark):
     assert load(batch=1).rdd.getNumPartitions() == 2
 
 
+def test_filters_become_the_search_of_the_server(spark, tmp_path):
+    def asked(where, name, **options):
+        log = tmp_path / name
+        found = mailbox.searched(spark, client="tests.fake_mail:Fake", host="x", user="u", token="t", log=str(log), **options).where(where)
+        return sorted(r.uid for r in found.select("uid").collect()), log.read_text().splitlines() if log.exists() else []
+
+    uids, log = asked("folder = 'INBOX' and uid > 3 and internal_date >= 1767607200000", "a")
+    assert uids == [9] and "SEARCH SINCE 04-Jan-2026 UID 4:*" in log and 'SELECT "Old"' not in log and [x for x in log if x.startswith("FETCH")] == ["FETCH 9 (UID FLAGS INTERNALDATE BODY.PEEK[])"]
+    uids, log = asked("folder in ('INBOX', 'Old') and uid between 2 and 5", "b")
+    assert uids == [3] and "SEARCH UID 2:5" in log and 'SELECT "Old"' in log
+    uids, log = asked("uid = 9", "c")
+    assert uids == [9] and "SEARCH UID 9:9" in log
+    uids, log = asked("uid > 9 and uid < 10", "d")
+    assert uids == [] and log == []
+    uids, log = asked("internal_date > 1767607200000", "e")  # the server's day fits, the millisecond does not
+    assert uids == [] and "SEARCH SINCE 04-Jan-2026" in log
+    uids, log = asked("uid % 2 = 1", "f", limit="1")
+    assert uids == [3] and log.count("FETCH 3 (UID FLAGS INTERNALDATE BODY.PEEK[])") == 1 and "SEARCH UID 1:*" in log
+    uids, log = asked("folder = 'Nowhere'", "g")
+    assert uids == [] and log == []
+
+
+def test_messages_of_a_slice_come_in_one_request(spark, tmp_path):
+    log = tmp_path / "log"
+    spark.dataSource.register(Mailbox)
+    rows = spark.read.format("mailbox").options(client="tests.fake_mail:Fake", host="x", user="u", password="p", log=str(log)).load().collect()
+    assert sorted((r.uid, r.flags) for r in rows) == [(3, ["\\Seen"]), (9, [])]
+    assert [x for x in log.read_text().splitlines() if x.startswith("FETCH")] == ["FETCH 3,9 (UID FLAGS INTERNALDATE BODY.PEEK[])"]
+
+
+def test_archive_is_a_mailbox(spark, tmp_path):
+    rows = [(f, u, bytearray(f"{f}{u}".encode()), u * 1000) for f in ("a b", "c/d") for u in range(1, 8)]
+    mailbox.archive(spark.createDataFrame(rows, "folder string, uid long, raw binary, internal_date long"), str(tmp_path / "box"))
+    found = mailbox.searched(spark, archive=str(tmp_path / "box"), batch="3")
+    assert sorted((r.folder, r.uid, bytes(r.raw), r.internal_date) for r in found.collect()) == sorted((f, u, bytes(x), t) for f, u, x, t in rows)
+    some = found.where("folder = 'c/d' and uid <= 6 and internal_date >= 3000")
+    assert [r.uid for r in some.orderBy("uid").collect()] == [3, 4, 5, 6] and some.rdd.getNumPartitions() == 2
+    assert mailbox.searched(spark, archive=str(tmp_path / "box"), limit="2").count() == 4
+
+
+def test_stream_lists_behind_its_offset_and_takes_a_bounded_batch(tmp_path):
+    for uid in range(1, 8):
+        write_mail(tmp_path, "INBOX", uid)
+    asked = []
+
+    class Watched(mailbox.Files):
+        def uids(self, folder, bounds):
+            asked.append((bounds.after, bounds.upto))
+            return super().uids(folder, bounds)
+
+    stream = mailbox.MailStream({"path": str(tmp_path), "admit": "3", "batch": "2"})
+    plain, mailbox.client = mailbox.client, lambda options: Watched(options)
+    try:
+        start = stream.initialOffset()
+        end = stream.latestOffset()
+        assert (start, end) == ({}, {"INBOX": 3}) and [s.uids for s in stream.partitions(start, end)] == [[1, 2], [3]]
+        assert stream.latestOffset() == {"INBOX": 6} and asked == [(0, None), (0, 3), (3, None)]
+        again = mailbox.MailStream({"path": str(tmp_path), "admit": "3", "resume": '{"INBOX": 6}'})
+        assert again.latestOffset() == {"INBOX": 7} and asked[-1] == (6, None)
+        unknown = mailbox.MailStream({"path": str(tmp_path), "admit": "3"})
+        assert unknown.latestOffset() == {"INBOX": 7}  # never behind what may have been committed
+        assert again.partitions({"INBOX": 7}, {"INBOX": 7}) == []
+    finally:
+        mailbox.client = plain
+
+
+def test_sync_takes_bounded_batches_and_attachments(spark, tmp_path):
+    box, target, checkpoint = tmp_path / "box", str(tmp_path / "out"), str(tmp_path / "check")
+    for uid in range(1, 6):
+        write_mail(box, "INBOX", uid)
+    assert sync.sync_all(spark, str(box), target, checkpoint, admit=2) == 4
+    assert json.loads(sync.last_offset(spark, checkpoint)) == {"INBOX": 5} and sync.last_offset(spark, str(tmp_path / "none")) is None
+    store = AttachmentStore(spark, target)
+    assert spark.read.parquet(f"{target}/emails").count() == 5 == store.attachments().count()
+    assert [bytes(r.content) for r in store.contents().collect()] == [b"x"]
+
+
 def test_a_failed_version_does_not_count(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.create_all()
