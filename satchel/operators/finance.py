@@ -63,6 +63,15 @@ def first_below(accounts: DataFrame, transactions: DataFrame, floor: float) -> D
     return low.groupBy("account_id").agg(F.min(F.struct("date", "id")).alias("first")).select("account_id", "first.date", "first.id")
 
 
+def crossings(accounts: DataFrame, transactions: DataFrame, threshold: str) -> DataFrame:
+    """Transactions (account_id, id, at, change) that take an account's balance from the threshold or more to less."""
+    opening = accounts.select(F.col("id").alias("account_id"), F.col("balance").alias("opening"))
+    w = Window.partitionBy("account_id").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    booked = transactions.join(opening, "account_id").withColumn("balance", (F.col("opening") + F.sum("change").over(w)).cast("decimal(18,2)"))
+    least = F.lit(threshold).cast("decimal(18,2)")
+    return booked.where((F.col("balance") < least) & (F.col("balance") - F.col("change") >= least)).select("account_id", "id", "at", "balance")
+
+
 def large(transactions: DataFrame, least: float, since: str) -> DataFrame:
     return transactions.where((F.col("amount") > F.lit(least).cast("decimal(18,2)")) & (F.col("date") > F.lit(since).cast("date"))).select("id", _shown("amount"), "date")
 

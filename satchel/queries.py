@@ -22,7 +22,10 @@ from satchel.session import work_folder
 from satchel.sources.files import wanted
 from satchel.sources.mailbox import archive, searched
 from satchel.sources.store import Store
+from satchel.streaming import jobs as J
 from satchel.streaming import sync as Y
+from satchel.streaming.alerts import balance_alerts as alerts
+from satchel.streaming.state import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -209,6 +212,37 @@ def state_ranks(spark, d):
     return D.state_ranks(D.transitions(V.jobs(spark, d))).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _streamed(rows, folder):
+    """``rows`` written to ``folder`` and read as a stream, with a last row of no key in a far year, by which the watermark
+    passes all others."""
+    end = rows.sparkSession.range(1).select(*((F.lit("2100-01-01").cast(f.dataType) if f.name == "at" else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema))
+    rows.write.parquet(f"{folder}/in/a")
+    end.write.parquet(f"{folder}/in/b")
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in/*")
+
+
+@query("job_transitions", """WITH c AS (SELECT o_orderkey AS job_id, o_orderstatus AS s, unnest(range(5)) AS step FROM orders)
+SELECT job_id, CASE step WHEN 0 THEN 'create' WHEN 3 THEN CASE s WHEN 'F' THEN 'complete' WHEN 'P' THEN 'fail' ELSE 'reset by hand' END WHEN 4 THEN 'pause' ELSE 'start' END AS command,
+CASE WHEN step = 1 THEN 'pending' WHEN step > 0 AND (step < 4 OR s NOT IN ('F', 'P')) THEN 'running' WHEN step = 4 THEN CASE s WHEN 'F' THEN 'completed' ELSE 'failed' END END AS before,
+step IN (0, 1) OR step = 3 AND s IN ('F', 'P') OR step = 4 AND s NOT IN ('F', 'P') AS accepted,
+CASE WHEN step = 2 THEN 'the job is running' WHEN step = 3 AND s NOT IN ('F', 'P') THEN 'unknown command' WHEN step = 4 AND s IN ('F', 'P') THEN CASE s WHEN 'F' THEN 'the job is completed' ELSE 'the job is failed' END END AS reason FROM c""")
+def job_transitions(spark, d):
+    """Commands as a stream through the state machine, and its answers."""
+    folder = work_folder(spark)
+    return written(J.transitions(_streamed(V.job_commands(spark, d), folder)), folder).select("job_id", "command", "before", "accepted", "reason")
+
+
+@query("jobs_due", f"SELECT id FROM (SELECT o_orderkey AS id, {JOB} AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100) WHERE status = 'completed'")
+def jobs_due(spark, d):
+    return J.due(V.jobs(spark, d)).select("id")
+
+
+@query("jobs_startup", f"SELECT c_custkey AS credential_id, NULL::BIGINT AS job_id, unnest(['create', 'start']) AS command FROM customer WHERE c_acctbal >= 0 AND c_custkey % 4 > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, o_orderkey, 'reset' FROM orders JOIN customer ON c_custkey = o_custkey WHERE {JOB} = 'running' AND c_acctbal >= 0 AND c_custkey % 4 > 0")
+def jobs_startup(spark, d):
+    kind = F.when(F.col("id") % 4 == 0, "api-key").when(F.col("id") % 4 == 1, "oauth").otherwise("imap")
+    return J.startup(V.credentials(spark, d).withColumn("credential_type", kind), V.jobs(spark, d)).select("credential_id", "job_id", "command")
+
+
 @query("upsert_dedup", "SELECT l_orderkey AS job_id, l_linenumber AS source_identifier, min(l_partkey) AS email_id FROM lineitem GROUP BY ALL")
 def upsert_dedup(spark, d):
     return D.deduplicated(V.items(spark, d).select("job_id", "source_identifier", "email_id", "size_bytes"), ["job_id", "source_identifier"], ["email_id", "size_bytes"]).drop("size_bytes")
@@ -400,6 +434,25 @@ def low_balance_alert(spark, d):
     return M.first_below(V.accounts(spark, d), V.transactions(spark, d), 1000)
 
 
+CROSSINGS = f"""WITH t AS (SELECT o_custkey AS account_id, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 3 = 0 THEN {PRICE} ELSE -{PRICE} END AS change FROM orders),
+b AS (SELECT t.*, {BALANCE} + sum(change) OVER (PARTITION BY account_id ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance FROM t JOIN customer ON c_custkey = account_id)
+SELECT account_id, id, day, CAST(balance AS DOUBLE) AS balance FROM b WHERE balance < -100000 AND balance - change >= -100000"""
+
+
+@query("balance_alerts", CROSSINGS)
+def balance_alerts(spark, d):
+    found = M.crossings(V.accounts(spark, d), V.account_changes(spark, d), "-100000")
+    return found.select("account_id", "id", F.to_date("at").alias("day"), F.col("balance").cast("double").alias("balance"))
+
+
+@query("balance_alerts_stream", CROSSINGS)
+def balance_alerts_stream(spark, d):
+    """The same alerts from a stream of the transactions."""
+    folder = work_folder(spark)
+    found = written(alerts(_streamed(V.account_changes(spark, d), folder), V.accounts(spark, d), "-100000"), folder)
+    return found.select("account_id", "id", F.to_date(F.timestamp_millis("at")).alias("day"), F.col("balance").cast("double").alias("balance"))
+
+
 @query("large_transactions", f"SELECT o_orderkey AS id, CAST({PRICE} AS DOUBLE) AS amount, CAST(o_orderdate AS DATE) AS date FROM orders WHERE {PRICE} > 100000 AND CAST(o_orderdate AS DATE) > DATE '1997-01-01'")
 def large_transactions(spark, d):
     return M.large(V.transactions(spark, d), 100000, "1997-01-01")

@@ -99,6 +99,23 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("kind"))
 
 
+def account_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Transactions as changes of a balance at a time: every third brings money, the others cost it."""
+    t = table(spark, d, "orders")
+    amount = F.col("o_totalprice").cast("decimal(18,2)")
+    return t.select(F.col("o_custkey").alias("account_id"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").cast("timestamp").alias("at"), F.when(F.col("o_orderkey") % 3 == 0, amount).otherwise(-amount).cast("decimal(18,2)").alias("change"))
+
+
+def job_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Commands to a job for each order: it is made, started twice, ended by the order's status, and paused."""
+    t = table(spark, d, "orders")
+    at = F.to_date("o_orderdate").cast("timestamp")
+    end = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "fail").otherwise("reset by hand")
+    steps = F.array(*(F.struct(F.lit(i).alias("step"), c.alias("command")) for i, c in enumerate((F.lit("create"), F.lit("start"), F.lit("start"), end, F.lit("pause")))))
+    rows = t.select(F.col("o_orderkey").alias("job_id"), at.alias("day"), F.explode(steps).alias("s"))
+    return rows.select("job_id", (F.col("day") + F.make_dt_interval(mins=F.col("s.step"))).alias("at"), "s.command", F.when(F.col("s.command") == "fail", "no route").alias("error"))
+
+
 def destinations(spark: SparkSession, d: str) -> DataFrame:
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     return n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("country"), ((F.col("n_nationkey") + 1) * 1000).cast("decimal(18,2)").alias("budget"))
