@@ -6,11 +6,13 @@ row of rejects(); other files go on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CALENDAR, CARD = "calendar", "card"
-NAME, VALUE = r"^([^;:]+)", r'^[^:"]*(?:"[^"]*"[^:"]*)*:(.*)$'
+VALUE = r'^[^:"]*(?:"[^"]*"[^:"]*)*:(.*)$'
 
 
 def route(filename: Column, content_type: Column) -> Column:
@@ -24,7 +26,14 @@ def route(filename: Column, content_type: Column) -> Column:
 
 
 def _lines(block: Column) -> Column:
-    return F.transform(F.filter(F.split(block, r"\r?\n"), lambda x: F.length(x) > 0), lambda x: F.struct(F.upper(F.regexp_extract(x, NAME, 1)).alias("name"), F.regexp_extract(x, VALUE, 1).alias("value")))
+    """Name and value of each line. Only quotes, in which a colon ends no name, need an expression of their own."""
+
+    def line(x: Column) -> Column:
+        name = F.upper(F.substring_index(F.substring_index(x, ":", 1), ";", 1))
+        plain = F.when(F.contains(x, F.lit(":")), F.substring(x, F.locate(":", x) + 1, F.lit(1 << 30))).otherwise("")
+        return F.struct(name.alias("name"), F.when(F.contains(x, F.lit('"')), F.regexp_extract(x, VALUE, 1)).otherwise(plain).alias("value"))
+
+    return F.transform(F.filter(F.split(block, r"\r?\n"), lambda x: F.length(x) > 0), line)
 
 
 def _first(lines: Column, name: str) -> Column:
@@ -50,15 +59,31 @@ def calendar_events(files: DataFrame, attendees: bool = True, location: bool = T
     def event(p: Column, position: Column) -> Column:
         people = F.transform(F.filter(p, lambda x: (x["name"] == "ATTENDEE") & F.startswith(x["value"], F.lit("mailto:"))), lambda x: F.substring(x["value"], 8, 1 << 30))
         return F.struct(
-            position.alias("position"), _first(p, "SUMMARY").alias("name"), ics_time(_first(p, "DTSTART")).alias("start"), _first(p, "DESCRIPTION").alias("description"),
+            position.alias("position"), _first(p, "SUMMARY").alias("name"), bound(_first(p, "DTSTART"), ics_time).alias("start"), _first(p, "DESCRIPTION").alias("description"),
             (_first(p, "LOCATION") if location else F.lit(None).cast("string")).alias("location"), (people if attendees else F.array().cast("array<string>")).alias("attendees"),
         )
 
-    keep = [c for c in files.columns if c != "content"]
-    parsed = files.select(*keep, F.transform(blocks, _lines).alias("__lines")).select(*keep, F.transform("__lines", event).alias("__events"))
     valid = lambda e: e["name"].isNotNull() & e["start"].isNotNull()
-    rows = parsed.select(*keep, F.forall("__events", valid).alias("file_valid"), F.explode("__events").alias("e"))
-    return rows.select(*keep, "e.*", valid(F.col("e")).alias("valid"), "file_valid")
+    names = ("position", "name", "start", "description", "location", "attendees")
+
+    def told(events: Column) -> Column:
+        whole = F.forall(events, valid)
+        return F.transform(events, lambda e: F.struct(*(e[n].alias(n) for n in names), valid(e).alias("valid"), whole.alias("file_valid")))
+
+    events = F.transform(F.transform(blocks, _lines), event)
+    return exploded(files, bound(events, told), "content")
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def exploded(rows: DataFrame, items: Column, *without: str) -> DataFrame:
+    """A row for each struct in ``items``, with the other columns but ``without`` kept. Conditions on the structs stay above:
+    an outer explode with its null row dropped is not copied below, where the whole of ``items`` would run again."""
+    keep = [F.col(f"`{c}`") for c in rows.columns if c not in without]
+    return rows.select(*keep, F.explode_outer(items).alias("__item")).where("__item is not null").select(*keep, "__item.*")
 
 
 def contacts(files: DataFrame) -> DataFrame:
@@ -67,20 +92,27 @@ def contacts(files: DataFrame) -> DataFrame:
     A card is what follows BEGIN:VCARD; END is not needed. The last line of a kind counts. EMAIL and TEL give the text
     between the first and the second colon. A file is valid if each card has FN.
     """
-    parts = F.split("content", "BEGIN:VCARD")
-    cards = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
-    named = lambda card: F.exists(F.split(card, r"\r?\n"), lambda x: F.startswith(F.trim(x), F.lit("FN:")))
-    rows = files.select(*[c for c in files.columns if c != "content"], F.forall(cards, named).alias("file_valid"), F.posexplode(cards).alias("position", "card"))
-    lines = F.transform(F.split("card", r"\r?\n"), lambda x: F.trim(x))
-
-    def last(prefix: str, extra: str = "") -> Column:
-        return F.get(F.reverse(F.filter(lines, lambda x: F.startswith(x, F.lit(prefix)) & (F.contains(x, F.lit(extra)) if extra else F.lit(True)))), 0)
-
-    name = F.substring(last("FN:"), 4, 1 << 30)
-    return rows.where(F.length("card") >= 0).select(
-        *[c for c in files.columns if c != "content"], "position", name.alias("name"), F.get(F.split(last("EMAIL", ":"), ":"), 1).alias("email"), F.get(F.split(last("TEL", ":"), ":"), 1).alias("phone"),
-        F.substring(last("ORG:"), 5, 1 << 30).alias("organization"), name.isNotNull().alias("valid"), "file_valid",
-    )
+    def card(text: Column, position: Column) -> Column:
+        def read(lines: Column) -> Column:
+            def last(prefix: str, extra: str = "") -> Column:
+                return F.get(F.reverse(F.filter(lines, lambda x: F.startswith(x, F.lit(prefix)) & (F.contains(x, F.lit(extra)) if extra else F.lit(True)))), 0)
+
+            return F.struct(
+                position.alias("position"), F.substring(last("FN:"), 4, 1 << 30).alias("name"), F.get(F.split(last("EMAIL", ":"), ":"), 1).alias("email"),
+                F.get(F.split(last("TEL", ":"), ":"), 1).alias("phone"), F.substring(last("ORG:"), 5, 1 << 30).alias("organization"),
+            )
+
+        return bound(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), read)
+
+    valid = lambda c: c["name"].isNotNull()
+    names = ("position", "name", "email", "phone", "organization")
+
+    def told(found: Column) -> Column:
+        whole = F.forall(found, valid)
+        return F.transform(found, lambda c: F.struct(*(c[n].alias(n) for n in names), valid(c).alias("valid"), whole.alias("file_valid")))
+
+    cards = bound(F.split("content", "BEGIN:VCARD"), lambda parts: F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))))
+    return exploded(files, bound(F.transform(cards, card), told), "content")
 
 
 def valid_files(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from satchel.operators.attachments import exploded
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -72,13 +74,9 @@ def matches(messages: DataFrame, text: str = "text", patterns: tuple[Pattern, ..
     names the patterns that are looked for, all by default."""
     wanted = [p for p in patterns if p.confidence >= min_confidence and (not only or p.name in only)]
     found = [F.struct(F.lit(p.name).alias("pattern"), F.lit(p.entity).alias("entity"), _value(F.col(text), p).alias("value"), F.lit(p.confidence).alias("confidence")) for p in wanted]
-    keep = [c for c in messages.columns if c != text]
-    if len(found) == 1:
-        rows = messages.select(*keep, found[0].alias("hit")).where("hit.value is not null")
-    else:
-        hits = F.filter(F.array(*found), lambda x: x["value"].isNotNull())
-        rows = messages.select(*keep, F.explode(hits if max_results is None else F.slice(hits, 1, max_results)).alias("hit"))
-    return rows.select(*keep, "hit.*", (F.col("hit.confidence") < 0.8).alias("requires_review"))
+    hits = F.filter(F.array(*found), lambda x: x["value"].isNotNull())
+    rows = exploded(messages, hits if max_results is None else F.slice(hits, 1, max_results), text)
+    return rows.withColumn("requires_review", F.col("confidence") < 0.8)
 
 
 def phrase_date(text: Column, as_of: Column) -> Column:

@@ -51,3 +51,12 @@ def test_router(spark):
     assert all(r.confidence > 0.9 and not r.requires_review for r in rows.values())
     assert rows[0].event.date == "2026-01-25T14:00:00+00:00" and rows[1].contact.name == "Ann Lee"
     assert A.extracted(files(spark), "id").count() == 0
+
+
+def test_files_are_parsed_once(spark, sf_dir):
+    """A condition on what was parsed stays above: the plan holds one extraction, not one for each time it is named."""
+    from satchel import queries as Q
+
+    for name, extractions in (("ics_parse", 1), ("pattern_due_date", 2), ("pattern_meeting", 1)):
+        plan = Q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == extractions and plan.count("concat_ws") == 1, name
