@@ -145,11 +145,12 @@ def fold(key: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``text`` and ``label`` of at most ``rows`` labelled documents that are not held out, least key hashes first.
-    Of several labels of a key the least counts; repeated documents of a key count each."""
+    """``text`` and ``label`` of at most ``rows`` labelled documents that are not held out, least key hashes first, of one key
+    least text hashes. Of several labels of a key the least counts; repeated documents of a key count each."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(key) != 0)).groupBy(key).agg(F.min(label).alias("label"))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(rows)
-    return docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "label")
+    found = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    return found.orderBy(F.xxhash64(key), key, F.xxhash64("text")).limit(rows).select("text", "label")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:

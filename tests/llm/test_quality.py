@@ -183,3 +183,12 @@ def test_classifier_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [round(x.score, 6) for x in subword_classifier.classify(docs, labels).collect()] == [0.5]
     assert subword_classifier.classify(docs.where(F.lit(False)), labels).collect() == []
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """One labelled key with very many documents gives no more rows than the bound, and always the same ones."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(i, f"other {i}") for i in range(2, 60)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    once, again = ([tuple(r) for r in subword_classifier.sample(x, labels, "quality", rows=40).collect()] for x in (docs, docs.repartition(3)))
+    assert len(once) == 40 and sorted(once) == sorted(again)
+    assert subword_classifier.sample(docs.where("doc_id > 1"), labels, "quality", rows=10000).count() < 58
