@@ -65,6 +65,11 @@ def counts(text: str) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 
+def row_identity(key: str, text: str, by: tuple[str, str]) -> Column:
+    """The key, which may be null or repeated, and a hash of all that a row is judged by: rows that agree in both are judged alike."""
+    return F.struct(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit("")), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by)))
+
+
 def with_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, str] = ("lang", "source")) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
@@ -210,6 +215,8 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[st
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """``docs`` without the rows that rules() rejects; of rows with equal keys all go if one is rejected."""
-    rejected = materialize(rules(docs, key, text, by).where("not kept").select(key), "rejected")
-    return without_keys(docs, key, rejected)
+    """``docs`` without the rows that rules() rejects. Each row goes or stays by its own text, language and source, also where
+    keys are null or repeated."""
+    named = docs.withColumn("__row", row_identity(key, text, by))
+    rejected = rules(named, "__row", text, by).where("not kept").select("__row").distinct()
+    return without_keys(named, "__row", materialize(rejected, "rejected")).drop("__row")

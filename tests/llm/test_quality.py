@@ -192,3 +192,17 @@ def test_sample_is_bounded_by_rows(spark):
     once, again = ([tuple(r) for r in subword_classifier.sample(x, labels, "quality", rows=40).collect()] for x in (docs, docs.repartition(3)))
     assert len(once) == 40 and sorted(once) == sorted(again)
     assert subword_classifier.sample(docs.where("doc_id > 1"), labels, "quality", rows=10000).count() < 58
+
+
+def test_rows_with_null_and_repeated_keys_are_judged_each_alone(spark):
+    r = random.Random(9)
+    good = lambda i: " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(r.randrange(10**6)) for _ in range(70))
+    bad = "same few words " * 40
+    rows = [(None, good(i), "en", "s", i) for i in range(40)] + [(None, bad, "en", "s", 99)] + [(7, good(i), "en", "s", i) for i in range(5)] + [(7, bad, "en", "s", 99), (8, None, "en", "s", 99), (8, good(0), None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept long")
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    got = [(x.doc_id, x.text) for x in kept.collect()]
+    assert sorted(got, key=str) == sorted(((x[0], x[1]) for x in rows if x[4] != 99), key=str)
+    lettered = docs.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    assert quality_rules.keep_good(lettered).count() == 46
