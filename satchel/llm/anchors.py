@@ -60,10 +60,41 @@ class Segments:
         self.anchor = grams[at[begin]]
         self.content = slice_hashes(prefix_sums(mix(values ^ _SECOND)), begin, last + window)
 
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each run of equal segments that follow one another, as periodic texts give one for each period, and
+        their number."""
+        if not len(self.start):
+            return self.start, self.n
+        again = np.zeros(len(self.start), bool)
+        again[1:] = (self.start[1:] == self.start[:-1] + self.n[:-1]) & (self.text[1:] == self.text[:-1])
+        for c in (self.n, self.anchor, self.content):
+            again[1:] &= c[1:] == c[:-1]
+        first = np.flatnonzero(~again)
+        return first, np.diff(first, append=len(again))
+
 
 SCHEMA = "ord long, th long, start int, n int, anchor long, content long"
 
 
+def joined_segments(work: DataFrame, window: int, gram: int, words: bool) -> DataFrame:
+    """As segments(), with equal segments that follow one another in one row, ``times`` of them, each ``n`` units after the
+    one before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, th = (batch.column(c).to_numpy() for c in ("ord", "th"))
+            for chunk in chunks(batch.column("text")):
+                values, first, _, _ = units(chunk, words)
+                s = Segments(values, first, window, gram)
+                at, times = s.rows()
+                if len(at):
+                    rows = chunk.lo + s.text[at]
+                    columns = [order[rows], th[rows], (s.start[at] - first[s.text[at]]).astype(np.int32), s.n[at].astype(np.int32), s.anchor[at].view(np.int64), s.content[at].view(np.int64), times.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ord", "th", "start", "n", "anchor", "content", "times"])
+
+    return work.mapInArrow(run, f"{SCHEMA}, times long")
+
+
 def segments(work: DataFrame, window: int, gram: int, words: bool) -> DataFrame:
     """All segments of the texts of with_order(); ``start`` counts units from the text's begin."""
 

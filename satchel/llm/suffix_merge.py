@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.anchors import Segments, bit_filter, merge_spans, segments, with_order
-from satchel.llm.split_join import with_spans
+from satchel.llm.anchors import Segments, bit_filter, joined_segments, merge_spans, with_order
+from satchel.llm.split_join import spread_join, with_spans
 from satchel.llm.store import broadcast, materialize
 from satchel.llm.text import byte_values, chunks, mix, window_hashes
 
@@ -213,9 +213,9 @@ def _merged_spans(pieces: DataFrame, window: int) -> DataFrame:
 
     def solve(part: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
         found = repeated_windows([p for _, _, p, _ in part], [c for _, _, _, c in part], window)
-        rows = [(a, g, lo, hi) for (a, g, _, _), starts in zip(part, found) for lo, hi in _runs(starts, window)]
-        columns = list(zip(*rows)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "content", "lo", "hi"])
+        rows = [(a, g, lo, hi, n) for (a, g, _, n), starts in zip(part, found) for lo, hi in _runs(starts, window)]
+        columns = list(zip(*rows)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "content", "lo", "hi", "copies"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple[int, int, bytes, int]] = []
@@ -231,7 +231,7 @@ def _merged_spans(pieces: DataFrame, window: int) -> DataFrame:
             yield solve(part)
 
     dealt = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "content", "piece", "copies").mapInArrow(run, "anchor long, content long, lo long, hi long")
+    return dealt.select("anchor", "content", "piece", "copies").mapInArrow(run, "anchor long, content long, lo long, hi long, copies long")
 
 
 def _hot_spans(pieces: DataFrame, window: int) -> DataFrame:
@@ -249,20 +249,23 @@ def _hot_spans(pieces: DataFrame, window: int) -> DataFrame:
     rows = pieces.select("anchor", "content", "piece", "copies").mapInArrow(run, "anchor long, content long, lo long, mark long, check long, copies long")
     rows = materialize(rows, "hot-windows")
     often = rows.groupBy("mark", "check").agg(F.sum("copies").alias("all")).where(F.col("all") > 1)
-    return rows.join(often, ["mark", "check"], "left_semi").select("anchor", "content", "lo", (F.col("lo") + window).alias("hi"))
+    return rows.join(often, ["mark", "check"], "left_semi").select("anchor", "content", "lo", (F.col("lo") + window).alias("hi"), "copies")
 
 
 def repeated_spans(work: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_SEGMENTS) -> DataFrame:
     """ord, th, start, stop: bytes of with_order() texts covered by windows that also start elsewhere."""
-    found = materialize(segments(work, window, gram, False), "segments")
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    found = materialize(joined_segments(work, window, gram, False), "segments")
+    again = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     again = materialize(again, "anchors")
     pieces = materialize(segment_bytes(work, again, window, gram), "pieces")
     many = materialize(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "hot-anchors")
     spans = _merged_spans(pieces.join(many, "anchor", "left_anti"), window)
     spans = materialize(spans.unionByName(_hot_spans(pieces.join(many, "anchor", "left_semi"), window)), "piece-spans")
-    placed = found.join(spans, ["anchor", "content"])
-    start, stop = (F.col("start") + F.col(c) for c in ("lo", "hi"))
+    of_segment = spans.groupBy("anchor", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"), F.max("copies").alias("copies"))
+    placed = spread_join(found, of_segment, ["anchor", "content"], "copies")
+    placed = placed.select("ord", "th", "start", "n", "times", F.explode("spans").alias("s"))
+    # all windows of a segment that follows itself come again, so that its spans touch those of the next
+    start, stop = F.col("start") + F.col("s.lo"), F.col("start") + (F.col("times") - 1) * F.col("n") + F.col("s.hi")
     return placed.select("ord", "th", start.cast("int").alias("start"), stop.cast("int").alias("stop"))
 
 

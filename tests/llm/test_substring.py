@@ -128,3 +128,30 @@ def test_sliding_minimum(values, width):
     v = np.array(values, np.uint64) & ~np.uint64((1 << 24) - 1)
     want = [i + int(np.argmin(v[i : i + width])) for i in range(len(v) - width + 1)]
     assert sliding_min_position(v, width).tolist() == want
+
+
+def low_entropy():
+    """Long runs of one letter and of short periods, alone, broken, between other text, and in several documents."""
+    period = "abcdefg hij"
+    texts = ["a" * 3000, "a" * 51, "b" + "a" * 700 + "c", period * 90, "x" * 40 + period * 30 + "y" * 40, period * 20 + "!" + period * 20, "ab" * 300 + "c" * 300, "".join(f"{i:05d}" for i in range(200)), "z" * 50]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("window", [50, 90])
+@pytest.mark.parametrize("most", [2, 4096])
+def test_periodic_texts_and_hot_segments_match_brute_force(spark, monkeypatch, window, most):
+    monkeypatch.setattr(split_join, "HOT_ROWS", most)
+    rows = low_entropy()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_merge.remove_repeats(docs, window).collect()}
+    assert got == byte_brute(rows, window)
+
+
+def test_a_long_run_of_one_letter_is_a_few_rows(spark):
+    work = anchors.with_order(spark.createDataFrame([(1, "a" * 2_000_000), (2, "ab" * 500_000)], "doc_id long, text string"))
+    found = anchors.joined_segments(work, 400, 64, False).collect()
+    assert len(found) < 20 and sum(r.n * r.times for r in found) == 2_000_000 + 1_000_000 - 2 * 399
+    spans = suffix_merge.repeated_spans(work).collect()
+    assert len(spans) < 20
+    (first, second) = sorted(suffix_merge.remove_repeats(spark.createDataFrame([(1, "a" * 2_000_000), (2, "ab" * 500_000)], "doc_id long, text string")).collect())
+    assert first.n_removed == 2_000_000 and second.n_removed == 1_000_000 and first.n_spans == 1
