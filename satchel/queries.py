@@ -17,6 +17,7 @@ from satchel.operators import mime
 from satchel.operators import patterns as P
 from satchel.operators import planning as C
 from satchel.operators import sessions as X
+from satchel.operators.threads import ThreadStore
 from satchel.plans.guard import guarded
 from satchel.session import work_folder
 from satchel.sources.files import wanted
@@ -343,6 +344,21 @@ def mail_threads(spark, d):
     return E.threads(messages).groupBy("thread").agg(F.count("*").alias("messages"))
 
 
+@query("mail_threads_references", """WITH t AS (SELECT DISTINCT conv_id, turn, 'c' || conv_id || '-' || turn AS id, turn % 3 <> 1 OR turn < 2 AS known FROM conversations),
+n AS (SELECT conv_id, id, known FROM t WHERE known UNION SELECT conv_id, 'c' || conv_id || '-' || (turn - k), false FROM t, range(1, 3) AS r(k) WHERE known AND turn - k >= 0)
+SELECT min(id) AS thread, count(DISTINCT id) FILTER (known) AS messages, count(DISTINCT id) - count(DISTINCT id) FILTER (known) AS missing FROM n GROUP BY conv_id""")
+def mail_threads_references(spark, d):
+    """Turns as messages that name the two before them, of which some never came, merged in two batches."""
+    turns = V.messages(spark, d).select("session_id", "turn").distinct().where("turn % 3 <> 1 or turn < 2")
+    name = lambda t: F.concat(F.lit("c"), F.col("session_id").cast("string"), F.lit("-"), t.cast("string"))
+    before = lambda k: F.when(F.col("turn") >= k, name(F.col("turn") - k))
+    messages = turns.select("turn", name(F.col("turn")).alias("message_id"), before(1).alias("in_reply_to"), F.array_compact(F.array(before(2), before(1))).alias("references"))
+    store = ThreadStore(spark, work_folder(spark))
+    for batch in (0, 1):
+        store.merge(messages.where((F.col("turn") >= 4) == F.lit(batch == 0)), batch)
+    return store.threads().groupBy("thread").agg(F.count_if("known").alias("messages"), F.count_if(~F.col("known")).alias("missing"))
+
+
 @query("search_predicate", f"SELECT o_orderkey AS uid FROM orders WHERE o_orderkey > 100 AND CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 360 ORDER BY uid LIMIT 50")
 def search_predicate(spark, d):
     rows = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), F.to_date("o_orderdate").alias("date"))

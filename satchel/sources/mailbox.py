@@ -310,7 +310,7 @@ def searched(spark: SparkSession, **options: str) -> DataFrame:
     return spark.read.format("searched_mailbox").options(**options).load()
 
 
-PARSED = "folder string, uid long, message_id string, subject string, from_address string, from_name string, to_addresses array<struct<email:string,name:string>>, date_sent long, body_text string, body_html string, attachment_count int, size_bytes long, error string, flags array<string>, internal_date long, is_read boolean"
+PARSED = "folder string, uid long, message_id string, in_reply_to string, references array<string>, subject string, from_address string, from_name string, to_addresses array<struct<email:string,name:string>>, date_sent long, body_text string, body_html string, attachment_count int, size_bytes long, error string, flags array<string>, internal_date long, is_read boolean"
 
 
 def _parse(folder: str, uid: int, raw: bytes) -> dict:
@@ -321,6 +321,8 @@ def _parse(folder: str, uid: int, raw: bytes) -> dict:
         out["from_name"], out["from_address"] = senders[0] if senders else (None, "")
         out["to_addresses"] = [{"email": e, "name": n} for n, e in getaddresses(m.get_all("to", [])) if e]
         out["subject"], out["message_id"] = m["subject"], m["message-id"]
+        named = {h: [x for x in re.findall(r"<[^<>\s]+>", str(m[h] or ""))] for h in ("in-reply-to", "references")}
+        out["in_reply_to"], out["references"] = next(iter(named["in-reply-to"]), None), named["references"]
         out["date_sent"] = int(parsedate_to_datetime(m["date"]).timestamp()) * 1000 if m["date"] else None
         text, page = m.get_body(("plain",)), m.get_body(("html",))
         out["body_text"], out["body_html"] = (part.get_content() if part is not None else None for part in (text, page))
@@ -335,7 +337,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     """Messages of the mailbox with their headers and bodies; what cannot be parsed has ``error``. Flags and the date of arrival
     are null where a mailbox keeps none."""
     names = [c.split()[0] for c in PARSED.replace("struct<email:string,name:string>", "x").split(", ")]
-    kinds = {"uid": pa.int64(), "date_sent": pa.int64(), "size_bytes": pa.int64(), "attachment_count": pa.int32(), "to_addresses": pa.list_(pa.struct([("email", pa.string()), ("name", pa.string())]))}
+    kinds = {"uid": pa.int64(), "date_sent": pa.int64(), "size_bytes": pa.int64(), "attachment_count": pa.int32(), "references": pa.list_(pa.string()), "to_addresses": pa.list_(pa.struct([("email", pa.string()), ("name", pa.string())]))}
     kinds |= {"flags": pa.list_(pa.string()), "internal_date": pa.int64(), "is_read": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

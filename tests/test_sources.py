@@ -15,6 +15,7 @@ def write_mail(root, folder, uid, subject="Hi", raw=None):
     (root / folder).mkdir(parents=True, exist_ok=True)
     m = EmailMessage()
     m["From"], m["To"], m["Subject"], m["Date"], m["Message-ID"] = "Ann <ann@example.com>", "bob@example.com, Eve <eve@example.com>", subject, "Mon, 05 Jan 2026 10:00:00 +0000", f"<{uid}@x>"
+    m["In-Reply-To"], m["References"] = "<0@x>", "<a@x> <0@x>"
     m.set_content("text body")
     m.add_alternative("<p>page</p>", subtype="html")
     m.add_attachment(b"x", maintype="text", subtype="calendar", filename="a.ics")
@@ -30,6 +31,7 @@ def test_batch_read_and_parse(spark, tmp_path):
     row = rows["INBOX", 1]
     assert (row.subject, row.from_address, row.from_name, row.attachment_count) == ("Hi", "ann@example.com", "Ann", 1)
     assert [a.email for a in row.to_addresses] == ["bob@example.com", "eve@example.com"]
+    assert (row.in_reply_to, row.references) == ("<0@x>", ["<a@x>", "<0@x>"])
     assert row.date_sent == 1767607200000 and row.body_text.strip() == "text body" and "page" in row.body_html
     assert rows["INBOX", 2].from_address == "" and ("Sent", 5) in rows
     newer = spark.read.format("mailbox").option("path", str(tmp_path)).option("since_uid", 1).load()
