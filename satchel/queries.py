@@ -16,6 +16,7 @@ from satchel.operators import mail as E
 from satchel.operators import mime
 from satchel.operators import patterns as P
 from satchel.operators import planning as C
+from satchel.operators import resolution as R
 from satchel.operators import sessions as X
 from satchel.operators.threads import ThreadStore
 from satchel.plans.guard import guarded
@@ -528,6 +529,28 @@ def link_entities(spark, d):
     return C.linked(own.select(F.col("o_orderkey").alias("id"), named.alias("project_name")), V.projects(spark, d))
 
 
+NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query("entity_candidates", f"""WITH w AS (SELECT doc_id, array_to_string(list_slice(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1, 5), ' ') AS name FROM documents),
+e AS (SELECT {NORMAL.format("name")} AS name, min(doc_id) AS entity_id, count(DISTINCT doc_id) AS entities FROM w WHERE {NORMAL.format("name")} <> '' AND doc_id % 2 = 0 GROUP BY 1),
+m AS (SELECT doc_id AS id, {NORMAL.format("left(name, 5) || substr(name, 7)")} AS name FROM w),
+eg AS (SELECT *, list_distinct([substr('  ' || name || ' ', i, 3) FOR i IN range(1, length(name) + 2)]) AS g FROM e),
+mg AS (SELECT *, list_distinct([substr('  ' || name || ' ', i, 3) FOR i IN range(1, length(name) + 2)]) AS g FROM (SELECT DISTINCT name FROM m WHERE name <> '')),
+p AS (SELECT mg.name, eg.entity_id, eg.entities, eg.name AS other, len(list_intersect(mg.g, eg.g)) AS common, len(mg.g) + len(eg.g) AS both_sizes FROM mg JOIN eg ON len(mg.g) >= 0.5 * len(eg.g) - 1e-9 AND len(eg.g) >= 0.5 * len(mg.g) - 1e-9),
+s AS (SELECT name, entity_id, entities, other, common / (both_sizes - common) AS score FROM p WHERE common / (both_sizes - common) >= 0.5 - 1e-9),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, entity_id, other) AS k, lead(score) OVER (PARTITION BY name ORDER BY score DESC, entity_id, other) AS next_score, count(*) OVER (PARTITION BY name) AS n FROM s)
+SELECT m.id, CASE WHEN r.score >= 0.7 - 1e-9 AND r.entities = 1 AND (next_score IS NULL OR r.score - next_score > 0.05) THEN r.entity_id END AS linked_id, round(r.score, 6) AS score, coalesce(n, 0)::INTEGER AS candidates FROM m LEFT JOIN r ON r.name = m.name AND r.k = 1""")
+def entity_candidates(spark, d):
+    """The first words of every text as a mention, with a letter lost, of projects that are named by the first words of every
+    second text."""
+    words = F.regexp_extract_all(F.coalesce("body_text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    named = V.emails(spark, d).select("id", F.array_join(F.slice(words, 1, 5), " ").alias("name"))
+    lost = F.concat(F.substring("name", 1, 5), F.substring("name", 7, 1 << 30))
+    found = R.resolved(named.select("id", lost.alias("name")), named.where("id % 2 = 0"))
+    return found.select("id", "linked_id", F.round("score", 6).alias("score"), F.size("candidates").alias("candidates"))
+
+
 # entity extraction
 
 def _cards(spark, d):
