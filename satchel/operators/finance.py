@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from satchel.operators.intervals import within
+
 
 def _shown(c: str):
     return F.col(c).cast("double").alias(c)
@@ -85,7 +87,6 @@ def trip_budgets(destinations: DataFrame, activities: DataFrame) -> DataFrame:
 
 
 def during(transactions: DataFrame, trips: DataFrame) -> DataFrame:
-    """Transactions within trips (trip_id, arrival, departure). Trips are spread over their days, so that the join is an
-    equality on the day and stays a hash join at any size."""
-    days = trips.select("trip_id", F.explode(F.sequence("arrival", "departure")).alias("date"))
-    return transactions.join(days, "date").groupBy("trip_id").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+    """Transactions within trips (trip_id, arrival, departure), by dyadic pieces of days."""
+    days = trips.select("trip_id", F.unix_date("arrival").alias("low"), F.unix_date("departure").alias("high"))
+    return within(transactions.withColumn("__day", F.unix_date("date")), "__day", days, "low", "high").groupBy("trip_id").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))

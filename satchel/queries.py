@@ -18,6 +18,7 @@ from satchel.operators import patterns as P
 from satchel.operators import planning as C
 from satchel.operators import resolution as R
 from satchel.operators import sessions as X
+from satchel.operators.intervals import within
 from satchel.operators.threads import ThreadStore
 from satchel.plans.guard import guarded
 from satchel.session import work_folder
@@ -490,6 +491,15 @@ def cross_project_range(spark, d):
     return M.during(V.transactions(spark, d), trips)
 
 
+@query("events_during_stays", """SELECT s_suppkey AS stay, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events JOIN supplier ON epoch_ms(ts) BETWEEN 1704067200000 + s_suppkey * 7654321 AND 1704067200000 + s_suppkey * 7654321 + (s_suppkey % 40) * 5000001 GROUP BY ALL""")
+def events_during_stays(spark, d):
+    """Events by the stays in which they fall, to the millisecond."""
+    low = F.lit(V.EPOCH * 1000) + F.col("s_suppkey") * 7654321
+    stays = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("stay"), low.alias("low"), (low + (F.col("s_suppkey") % 40) * 5000001).alias("high"))
+    events = V.table(spark, d, "events").select("event_id", V.millis("ts").alias("at"))
+    return within(events, "at", stays, "low", "high").groupBy("stay").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 # projects, tasks, calendar
 
 @query("project_completion", "SELECT c_custkey AS id, count(o_orderkey) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, round(CASE WHEN count(o_orderkey) > 0 THEN count(*) FILTER (o_orderstatus = 'F') / count(o_orderkey) ELSE 0 END, 6) AS share FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
