@@ -23,6 +23,7 @@ from satchel.operators.threads import ThreadStore
 from satchel.plans.guard import guarded
 from satchel.session import work_folder
 from satchel.sources.files import wanted
+from satchel.sources.keys import KeyIndex
 from satchel.sources.mailbox import archive, searched
 from satchel.sources.store import Store
 from satchel.streaming import jobs as J
@@ -251,6 +252,16 @@ def upsert_dedup(spark, d):
     return D.deduplicated(V.items(spark, d).select("job_id", "source_identifier", "email_id", "size_bytes"), ["job_id", "source_identifier"], ["email_id", "size_bytes"]).drop("size_bytes")
 
 
+@query("upsert_over_batches", "SELECT l_orderkey AS job_id, l_linenumber AS source_identifier, CASE WHEN min(l_linenumber) <= 3 THEN 'first' WHEN min(l_linenumber) <= 5 THEN 'second' ELSE 'third' END AS batch, min(l_partkey) AS email_id FROM lineitem GROUP BY ALL")
+def upsert_over_batches(spark, d):
+    """Items in three batches that overlap; each item is taken from the first that has it."""
+    items = V.items(spark, d).select("job_id", "source_identifier", "email_id")
+    index, number = KeyIndex(spark, work_folder(spark), ("job_id", "source_identifier")), F.col("source_identifier")
+    parts = {"first": number <= 3, "second": number.between(2, 5), "third": F.lit(True)}
+    taken = [index.add(items.where(own), label).withColumn("batch", F.lit(label)) for label, own in parts.items()]
+    return taken[0].unionByName(taken[1]).unionByName(taken[2])
+
+
 @query("item_rollup", f"SELECT {ITEM} AS status, l_linestatus AS kind, count(*) AS n FROM lineitem GROUP BY ROLLUP (1, 2)")
 def item_rollup(spark, d):
     t = V.table(spark, d, "lineitem")

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from satchel.functions.scalars import search_cutoff
 from satchel.operators.mime import AttachmentStore
+from satchel.sources.keys import KeyIndex
 from satchel.sources.mailbox import Mailbox, parsed
 
 
@@ -45,35 +46,40 @@ def last_offset(spark: SparkSession, checkpoint: str) -> str | None:
     return next((x for x in lines[2:3] if x != "-"), None)
 
 
-def sync(spark: SparkSession, mailbox: str, target: str, checkpoint: str, batch: int = 50, available_now: bool = True, admit: int = 1000) -> StreamingQuery:
+def sync(spark: SparkSession, mailbox: str, target: str, checkpoint: str, batch: int = 50, available_now: bool = True, admit: int = 1000, job: str | None = None) -> StreamingQuery:
     """Reads new messages into ``target``/emails and ``target``/download_items.
 
     A micro-batch writes its own directory of both tables and overwrites it if it runs again, so that no message comes
     twice. Attachments go to ``target``/attachments and their contents, each once, to ``target``/contents. Cursors are the
     stream's offsets in the checkpoint. A micro-batch takes at most ``admit`` messages of a folder; with ``available_now`` one
-    is run.
+    is run. Jobs that share a mailbox write to ``target``/job=<job>, and a message that one of them has is not taken by the
+    others: ``target``/keys holds folder and UID of all.
     """
     spark.dataSource.register(Mailbox)
     stream = spark.readStream.format("mailbox").option("path", mailbox).option("batch", batch).option("admit", admit).option("resume", last_offset(spark, checkpoint) or "{}").load()
-    store = AttachmentStore(spark, target)
+    shared, target = target, target if job is None else f"{target}/job={job}"
+    store, keys = AttachmentStore(spark, target), KeyIndex(spark, f"{shared}/keys", ("folder", "uid"))
 
     def write(rows: DataFrame, batch_id: int) -> None:
+        if job is not None:
+            rows = rows.join(keys.add(rows.select("folder", "uid"), f"{job}-{batch_id}"), ["folder", "uid"]).persist()
         messages = parsed(rows).persist()
         messages.write.mode("overwrite").parquet(f"{target}/emails/batch={batch_id}")
         item = messages.select("folder", "uid", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "size_bytes", F.col("error").alias("error_message"))
         item.write.mode("overwrite").parquet(f"{target}/download_items/batch={batch_id}")
         messages.unpersist()
         store.add(rows, batch_id, ("folder", "uid"))
+        rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="5 minutes").start()
 
 
-def sync_all(spark: SparkSession, mailbox: str, target: str, checkpoint: str, batch: int = 50, admit: int = 1000) -> int:
+def sync_all(spark: SparkSession, mailbox: str, target: str, checkpoint: str, batch: int = 50, admit: int = 1000, job: str | None = None) -> int:
     """Syncs until nothing is new; the number of runs."""
     runs = 0
     while True:
-        query = sync(spark, mailbox, target, checkpoint, batch, admit=admit)
+        query = sync(spark, mailbox, target, checkpoint, batch, admit=admit, job=job)
         query.awaitTermination()
         runs += 1
         if not query.lastProgress or not query.lastProgress["numInputRows"]:
