@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CALENDAR, CARD = "calendar", "card"
+EVENT_CONFIDENCE, CONTACT_CONFIDENCE = 0.98, 0.97
 VALUE = r'^[^:"]*(?:"[^"]*"[^:"]*)*:(.*)$'
 
 
@@ -87,7 +88,8 @@ def exploded(rows: DataFrame, items: Column, *without: str) -> DataFrame:
 
 
 def contacts(files: DataFrame) -> DataFrame:
-    """Cards of contact files with key columns kept: position, name, email, phone, organization, valid, file_valid.
+    """Cards of contact files with key columns kept: position, name, email, phone, organization, size (bytes of the card), valid,
+    file_valid.
 
     A card is what follows BEGIN:VCARD; END is not needed. The last line of a kind counts. EMAIL and TEL give the text
     between the first and the second colon. A file is valid if each card has FN.
@@ -100,12 +102,13 @@ def contacts(files: DataFrame) -> DataFrame:
             return F.struct(
                 position.alias("position"), F.substring(last("FN:"), 4, 1 << 30).alias("name"), F.get(F.split(last("EMAIL", ":"), ":"), 1).alias("email"),
                 F.get(F.split(last("TEL", ":"), ":"), 1).alias("phone"), F.substring(last("ORG:"), 5, 1 << 30).alias("organization"),
+                F.octet_length(text).alias("size"),
             )
 
         return bound(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), read)
 
     valid = lambda c: c["name"].isNotNull()
-    names = ("position", "name", "email", "phone", "organization")
+    names = ("position", "name", "email", "phone", "organization", "size")
 
     def told(found: Column) -> Column:
         whole = F.forall(found, valid)
@@ -124,15 +127,29 @@ def rejects(rows: DataFrame, key: str) -> DataFrame:
     return rows.where("not valid").groupBy(key).agg(F.count("*").alias("broken")).withColumn("reason", F.lit("a required property is missing or broken"))
 
 
-def extracted(files: DataFrame, key: str) -> DataFrame:
-    """Events and contacts of a table of attachments as one typed table."""
+def extracted(files: DataFrame, key: str, target: str | None = None, least: float = 0.0, most: int | None = None) -> DataFrame:
+    """Events and contacts of a table of attachments as one typed table, with ``evidence`` and its ``span`` in bytes: for a card
+    its block, for an event the empty one.
+
+    ``target`` (event or contact) is the only kind wanted, ``least`` the least confidence, ``most`` the most results of a key,
+    surest first, then in the order of the file."""
     routed = files.withColumn("kind", route(F.col("filename"), F.col("content_type")))
-    events = valid_files(calendar_events(routed.where(F.col("kind") == CALENDAR)))
-    cards = valid_files(contacts(routed.where(F.col("kind") == CARD)))
     single = lambda x: F.lit(x).cast("float")
-    event = events.select(key, F.lit("event").alias("data_type"), F.struct("name", "description", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("date"), "location", "attendees").alias("event"), single(0.98).alias("confidence"), F.create_map(*map(F.lit, ("name", 1.0, "date", 1.0, "location", 0.95, "attendees", 0.90))).alias("breakdown"))
-    contact = cards.select(key, F.lit("contact").alias("data_type"), F.struct("name", "email", "phone", "organization").alias("contact"), single(0.97).alias("confidence"), F.create_map(*map(F.lit, ("name", 1.0, "email", 0.98, "phone", 0.95))).alias("breakdown"))
-    return event.unionByName(contact, allowMissingColumns=True).withColumn("requires_review", F.lit(False))
+    span = lambda stop: F.struct(F.lit(0).cast("long").alias("start"), stop.cast("long").alias("stop"))
+    found = []
+    if target in (None, "event") and least <= EVENT_CONFIDENCE:
+        events = valid_files(calendar_events(routed.where(F.col("kind") == CALENDAR)))
+        found.append(events.select(key, "position", F.lit("event").alias("data_type"), F.struct("name", "description", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("date"), "location", "attendees").alias("event"), single(EVENT_CONFIDENCE).alias("confidence"), F.create_map(*map(F.lit, ("name", 1.0, "date", 1.0, "location", 0.95, "attendees", 0.90))).alias("breakdown"), F.concat(F.lit("ICS Event: "), "name").alias("evidence"), span(F.lit(0)).alias("span")))
+    if target in (None, "contact") and least <= CONTACT_CONFIDENCE:
+        cards = valid_files(contacts(routed.where(F.col("kind") == CARD)))
+        found.append(cards.select(key, "position", F.lit("contact").alias("data_type"), F.struct("name", "email", "phone", "organization").alias("contact"), single(CONTACT_CONFIDENCE).alias("confidence"), F.create_map(*map(F.lit, ("name", 1.0, "email", 0.98, "phone", 0.95))).alias("breakdown"), F.concat(F.lit("VCF Contact: "), "name").alias("evidence"), span(F.col("size")).alias("span")))
+    if not found:
+        return extracted(files.where("false"), key)
+    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
+    if most is not None:
+        w = Window.partitionBy(key).orderBy(F.desc("confidence"), "position")
+        rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+    return rows.drop("position").withColumn("requires_review", F.lit(False))
 
 
 def contact_card(name: Column, email: Column, phone: Column, organization: Column) -> Column:

@@ -12,6 +12,7 @@ from satchel.functions import scalars as S
 from satchel.operators import attachments as A
 from satchel.operators import downloads as D
 from satchel.operators import finance as M
+from satchel.operators import keywords as K
 from satchel.operators import mail as E
 from satchel.operators import mime
 from satchel.operators import patterns as P
@@ -690,6 +691,31 @@ def pattern_counts(spark, d):
     return P.matches(_texts(spark, d)).groupBy("id").agg(F.count("*").alias("n"))
 
 
+WORDS = ("worthless", "The", "and", "de ")
+
+
+@query("keyword_spans", """WITH w AS (SELECT unnest(['worthless', 'the', 'and', 'de ']) AS word), t AS (SELECT doc_id AS id, word, text, instr(lower(text), word) AS p, (length(text) - length(replace(lower(text), word, ''))) // length(word) AS n FROM documents, w)
+SELECT id, word, n, strlen(left(text, p - 1)) AS first_start, strlen(left(text, p - 1)) + strlen(word) AS first_stop FROM t WHERE p > 0""")
+def keyword_spans(spark, d):
+    """How often words stand in the texts, and where first."""
+    found = K.spans(V.emails(spark, d).select("id", F.col("body_text").alias("text")), WORDS)
+    return found.groupBy("id", "word").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.min("stop").alias("first_stop"))
+
+
+@query("pattern_evidence", "SELECT o_orderkey AS id, 'due_date' AS pattern, strftime(o_orderdate, '%-m/%-d/%Y') AS value, 11::BIGINT AS start, 18 + length(strftime(o_orderdate, '%-m/%-d/%Y')) AS stop FROM orders UNION ALL SELECT o_orderkey, 'assignee', 'clerk' || o_custkey, 19 + length(strftime(o_orderdate, '%-m/%-d/%Y')), 38 + length(strftime(o_orderdate, '%-m/%-d/%Y')) + length(o_custkey::VARCHAR) FROM orders")
+def pattern_evidence(spark, d):
+    found = K.located(_texts(spark, d), patterns=tuple(p for p in P.PATTERNS if p.name in ("due_date", "assignee")))
+    return found.select("id", "pattern", "value", "start", "stop")
+
+
+@query("extraction_limits", "SELECT c_custkey AS id, 'contact' AS data_type, 'VCF Contact: ' || c_name AS evidence, (strlen('VERSION:3.0' || 'FN:' || c_name || 'EMAIL;TYPE=work:' || c_name || '@example.com' || 'TEL;TYPE=cell:' || c_custkey || 'ORG:' || c_mktsegment || 'END:VCARD') + 7)::BIGINT AS stop FROM customer")
+def extraction_limits(spark, d):
+    """Contacts only, one of a file, with the bytes of their cards."""
+    files = _cards(spark, d).withColumn("content", F.concat("content", F.lit("\nBEGIN:VCARD\nFN:Second\nEND:VCARD"))).unionByName(_calendars(spark, d).withColumn("id", -F.col("id")))
+    found = A.extracted(files, "id", "contact", 0.9, 1)
+    return found.select("id", "data_type", "evidence", F.col("span.stop").alias("stop"))
+
+
 @query("relative_dates", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE) + 1 WHEN 1 THEN CAST(o_orderdate AS DATE) + 7 WHEN 2 THEN CAST(o_orderdate AS DATE) + CAST(o_custkey % 90 AS INTEGER) ELSE DATE '1999-12-31' END AS day FROM orders")
 def relative_dates(spark, d):
     k = F.col("o_orderkey") % 4
