@@ -27,6 +27,7 @@ from satchel.sources.files import wanted
 from satchel.sources.keys import KeyIndex
 from satchel.sources.mailbox import archive, searched
 from satchel.sources.store import Store
+from satchel.sources.text_index import TextIndex
 from satchel.streaming import jobs as J
 from satchel.streaming import sync as Y
 from satchel.streaming.alerts import balance_alerts as alerts
@@ -294,6 +295,15 @@ def emails_search(spark, d):
     return E.search(V.emails(spark, d), "Worthless").select("id", "total", "has_more")
 
 
+@query("emails_search_index", SQL["emails_search"])
+def emails_search_index(spark, d):
+    """The same search by an index of two segments."""
+    index, own = TextIndex(spark, work_folder(spark)), V.emails(spark, d)
+    for label, half in (("even", own.where("id % 2 = 0")), ("odd", own.where("id % 2 = 1"))):
+        index.add(half, label)
+    return index.search(own, "Worthless").select("id", "total", "has_more")
+
+
 @query("emails_address_arrays", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 3 = 1 THEN 1 ELSE 2 END AS recipients, CASE WHEN c_custkey % 3 > 0 THEN c_name || '@example.com' END AS first_recipient FROM customer")
 def emails_address_arrays(spark, d):
     t, name = V.table(spark, d, "customer"), F.concat(F.col("c_name"), F.lit("@example.com"))
