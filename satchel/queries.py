@@ -20,6 +20,7 @@ from satchel.operators import planning as C
 from satchel.operators import resolution as R
 from satchel.operators import sessions as X
 from satchel.operators.intervals import within
+from satchel.operators.recurrence import expanded
 from satchel.operators.threads import ThreadStore
 from satchel.plans.guard import guarded
 from satchel.session import work_folder
@@ -624,6 +625,22 @@ def ics_attendees(spark, d):
     return A.calendar_events(_calendars(spark, d)).select("id", F.array_join("attendees", ",").alias("attendees"), F.size("attendees").alias("n"))
 
 
+@query("recurring_events", """SELECT c_custkey AS id, CAST(unnest(CASE c_custkey % 3
+WHEN 0 THEN list_filter([DATE '2024-01-01' + CAST(c_custkey % 50 + 3 * i AS INTEGER) FOR i IN range(10)], lambda x: x >= DATE '2024-02-01' AND x < DATE '2024-03-01')
+WHEN 1 THEN [DATE '2024-02-05' + CAST(7 * i AS INTEGER) FOR i IN range(4)] || [DATE '2024-02-07' + CAST(7 * i AS INTEGER) FOR i IN range(3)]
+ELSE [DATE '2024-02-15', DATE '2024-02-29'] END) AS DATE) AS day, 8 AS hour FROM customer""")
+def recurring_events(spark, d):
+    """Occurrences in February 2024 of a rule for each customer, at nine in a zone an hour before UTC."""
+    t = V.table(spark, d, "customer")
+    start = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 50).cast("int")), "yyyyMMdd'T'090000")
+    rule = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("DTSTART;TZID=Europe/Paris:"), start, F.lit("\r\nRRULE:FREQ=DAILY;INTERVAL=3;COUNT=10")))
+    rule = rule.when(F.col("c_custkey") % 3 == 1, F.lit("DTSTART;TZID=Europe/Paris:20240101T090000\r\nRRULE:FREQ=WEEKLY;BYDAY=MO,WE;UNTIL=20240301T000000Z\r\nEXDATE;TZID=Europe/Paris:20240228T090000"))
+    rule = rule.otherwise(F.lit("DTSTART;TZID=Europe/Paris:20230115T090000\r\nRRULE:FREQ=MONTHLY;BYMONTHDAY=15,-1"))
+    content = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("BEGIN:VEVENT"), F.lit("SUMMARY:x"), rule, F.lit("END:VEVENT"), F.lit("END:VCALENDAR"))
+    found = expanded(t.select(F.col("c_custkey").alias("id"), content.alias("content")), "2024-02-01T00:00:00", "2024-03-01T00:00:00")
+    return found.select("id", F.to_date("at").alias("day"), F.hour("at").alias("hour"))
+
+
 @query("ics_date_forms", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def ics_date_forms(spark, d):
     raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss'Z'")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
