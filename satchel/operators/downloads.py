@@ -39,6 +39,14 @@ def rates(items: DataFrame) -> DataFrame:
     return span.select("job_id", "n", F.when(days > 0, F.round(F.col("n") / days, 6)).alias("per_day"))
 
 
+def remaining_time(items: DataFrame) -> DataFrame:
+    """Items of each job that are still to come, and the seconds that they take at the rate of those that are done; null where
+    nothing is done, or all of it in one moment."""
+    done = F.col("status").isin("completed", "failed", "skipped")
+    per = items.groupBy("job_id").agg(F.count_if(done).alias("done"), F.count_if(~done).alias("left"), ((F.max(F.when(done, F.col("created_at"))) - F.min(F.when(done, F.col("created_at")))) / 1000).alias("seconds"))
+    return per.select("job_id", "done", "left", F.when(F.col("left") == 0, 0.0).when(F.col("seconds") > 0, F.round(F.col("left") * F.col("seconds") / F.col("done"), 3)).alias("eta_seconds"))
+
+
 def with_emails(items: DataFrame, emails: DataFrame) -> DataFrame:
     return items.join(emails, items["email_id"] == emails["id"]).select("job_id", "source_identifier", "email_id", "folder", "date_received", "size_bytes")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satchel.functions.scalars import addresses
 from satchel.session import work_folder
 
 ADDRESS = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -17,6 +18,14 @@ def page(emails: DataFrame, folder: str | None = None, limit: int = 20, offset:
     return emails.orderBy(F.desc("date_received"), "id").offset(offset).limit(limit)
 
 
+def by_id(emails: DataFrame, email_id: int, arrays: tuple[str, ...] = ("to_addresses", "cc_addresses", "bcc_addresses"), lists: tuple[str, ...] = ("labels",)) -> DataFrame:
+    """One message. Addresses and labels that are kept as JSON text become arrays, empty ones where the text is null or broken."""
+    row = emails.where(F.col("id") == email_id)
+    text = {c for c, kind in row.dtypes if kind == "string"}
+    row = row.withColumns({c: addresses(F.col(c)) for c in arrays if c in text})
+    return row.withColumns({c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")) for c in lists if c in text})
+
+
 def search(emails: DataFrame, text: str, limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of the mail that holds a text in any case, with the total and whether there is more."""
     found = emails.where(F.contains(F.lower("body_text"), F.lit(text.lower())))

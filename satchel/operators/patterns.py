@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from satchel.operators.attachments import exploded
+from satchel.operators.attachments import bound, exploded
+from satchel.schemas import DOMAINS
 
 
 @dataclass(frozen=True)
@@ -79,6 +82,11 @@ def matches(messages: DataFrame, text: str = "text", patterns: tuple[Pattern, ..
     return rows.withColumn("requires_review", F.col("confidence") < 0.8)
 
 
+def message_text(subject: Column, body: Column) -> Column:
+    """What patterns read of a message: its subject, an empty line and its body."""
+    return F.concat(F.coalesce(subject, F.lit("")), F.lit("\n\n"), F.coalesce(body, F.lit("")))
+
+
 def phrase_date(text: Column, as_of: Column) -> Column:
     """The date that a phrase names: M/D/YYYY, tomorrow, next week, in N days."""
     absolute = F.try_to_date(F.regexp_extract(text, r"\b(\d{1,2}/\d{1,2}/\d{4})\b", 1), "M/d/yyyy")
@@ -108,18 +116,40 @@ def adjusted(confidence: Column, text: Column, context: tuple[str, ...], negatio
     return F.round(F.least(out, F.lit(1.0)), 6)
 
 
-def model_answers(answers: DataFrame, response: str = "response") -> DataFrame:
-    """Tasks of model answers (JSON text) with key columns kept; an answer with a task without title gives no rows.
-
-    Confidence is 0.7 by default, unknown priorities are null, and results below 0.8 need review."""
-    shape = "struct<tasks:array<struct<title:string,priority:string,due_date:string,confidence:double>>>"
-    tasks = F.coalesce(F.from_json(response, shape)["tasks"], F.array().cast("array<struct<title:string,priority:string,due_date:string,confidence:double>>"))
-    whole = F.forall(tasks, lambda t: t["title"].isNotNull())
+#: For each kind of answer its list, the fields of an item, those that it must have, and the values that its status may take.
+ANSWERS: dict[str, tuple[str, str, tuple[str, ...], dict[str, tuple[str, ...]]]] = {
+    "task": ("tasks", "title:string,description:string,priority:string,due_date:string,assigned_to:string,project_id:bigint", ("title",), {"priority": DOMAINS["priority"]}),
+    "project": ("projects", "name:string,description:string,deadline:string,status:string", ("name",), {"status": DOMAINS["project_status"]}),
+    "event": ("events", "name:string,description:string,date:string,location:string,attendees:array<string>,project_id:bigint", ("name", "date"), {}),
+}
+
+
+def model_results(answers: DataFrame, kind: str, response: str = "response") -> DataFrame:
+    """Tasks, projects or events of model answers (JSON text), with the other columns kept: the item's fields, ``confidence``
+    and ``requires_review``.
+
+    An answer of which an item lacks what it must have gives no rows. Confidence is 0.7 by default, unknown priorities and
+    statuses are null, attendees that are no text are left out, and results below 0.8 need review."""
+    name, fields, needed, domains = ANSWERS[kind]
+    shape = f"array<struct<{fields},confidence:double>>"
+    found = F.coalesce(F.from_json(response, f"struct<{name}:{shape}>")[name], F.array().cast(shape))
+    whole = lambda items: F.forall(items, lambda t: reduce(and_, (t[n].isNotNull() for n in needed)))
+    # of an answer that is not whole nothing is taken
+    items = bound(found, lambda items: F.when(whole(items), items))
+    columns = [f.split(":")[0] for f in fields.replace("array<string>", "strings").split(",")]
+    rows = exploded(answers, items, response)
+    for column, values in domains.items():
+        rows = rows.withColumn(column, F.when(F.col(column).isin(*values), F.col(column)))
+    if "attendees" in columns:
+        rows = rows.withColumn("attendees", F.coalesce(F.array_compact("attendees"), F.array().cast("array<string>")))
+    confidence = F.coalesce("confidence", F.lit(0.7))
     keep = [c for c in answers.columns if c != response]
-    rows = answers.where(whole).select(*keep, F.explode(tasks).alias("t"))
-    priority = F.when(F.col("t.priority").isin("critical", "high", "medium", "low"), F.col("t.priority"))
-    confidence = F.coalesce("t.confidence", F.lit(0.7))
-    return rows.select(*keep, "t.title", priority.alias("priority"), "t.due_date", confidence.alias("confidence"), (confidence < 0.8).alias("requires_review"))
+    return rows.select(*keep, *columns, confidence.alias("confidence"), (confidence < 0.8).alias("requires_review"))
+
+
+def model_answers(answers: DataFrame, response: str = "response") -> DataFrame:
+    """Tasks of model answers by title, priority and due date; see model_results()."""
+    return model_results(answers, "task", response).drop("description", "assigned_to", "project_id")
 
 
 def needs_model(messages: DataFrame, results: DataFrame, key: str, least: float = 0.7) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,7 +23,9 @@ def messages_of(messages: DataFrame, session_id: int) -> DataFrame:
 
 
 def tool_calls_of(calls: DataFrame, session_id: int) -> DataFrame:
-    """A session's calls in order; see rejected_calls() for requests that are no JSON."""
+    """A session's calls in order; see rejected_calls() for requests that are no JSON. A response that is none is null."""
+    if "response" in calls.columns:
+        calls = calls.withColumn("response", valid_json("response"))
     own = calls.where((F.col("session_id") == session_id) & F.try_parse_json("request").isNotNull())
     return own.orderBy("created_at", "id")
 
@@ -33,10 +35,23 @@ def rejected_calls(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("request").isNotNull() & F.try_parse_json("request").isNull()).withColumn("reason", F.lit("request is not JSON"))
 
 
-def detail(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """Sessions with their messages nested in order."""
+def detail(sessions: DataFrame, messages: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """Sessions with their messages nested in order, and with ``calls`` their tool calls: tool_name, request, response, status,
+    execution_time_ms. Calls whose request is no JSON are left out, as in tool_calls_of(); a broken response is null."""
     nested = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "turn", "role", "content"))).alias("messages"))
-    return sessions.join(nested, sessions["id"] == nested["session_id"], "left").drop("session_id")
+    out = sessions.join(nested, sessions["id"] == nested["session_id"], "left").drop("session_id")
+    if calls is None:
+        return out
+    told = F.struct("created_at", "id", "tool_name", "request", valid_json("response").alias("response"), "status", "execution_time_ms")
+    own = calls.where(F.try_parse_json("request").isNotNull()).groupBy(F.col("session_id").alias("id")).agg(F.array_sort(F.collect_list(told)).alias("tool_calls"))
+    own = own.withColumn("tool_calls", F.transform("tool_calls", lambda c: F.struct(*(c[n].alias(n) for n in ("tool_name", "request", "response", "status", "execution_time_ms")))))
+    none = F.array().cast(own.schema["tool_calls"].dataType)
+    return out.join(own, "id", "left").withColumn("tool_calls", F.coalesce("tool_calls", none))
+
+
+def valid_json(column: str) -> Column:
+    """A text that is JSON, else null."""
+    return F.when(F.try_parse_json(column).isNotNull(), F.col(column))
 
 
 def message_gaps(messages: DataFrame) -> DataFrame:

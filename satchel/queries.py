@@ -19,6 +19,7 @@ from satchel.operators import patterns as P
 from satchel.operators import planning as C
 from satchel.operators import resolution as R
 from satchel.operators import sessions as X
+from satchel.operators.extractors import extract
 from satchel.operators.intervals import within
 from satchel.operators.recurrence import expanded
 from satchel.operators.threads import ThreadStore
@@ -86,6 +87,15 @@ def session_detail(spark, d):
     return nested.select("id", F.size("messages").cast("long").alias("n"), roles.alias("roles"), longest.alias("longest"))
 
 
+@query("session_with_calls", """SELECT c.id, c.messages, coalesce(t.calls, 0) AS calls, coalesce(t.responses, 0) AS responses, t.first_tool FROM (SELECT conv_id AS id, count(*) AS messages FROM conversations GROUP BY conv_id) c
+LEFT JOIN (SELECT user_id AS id, count(*) AS calls, count(*) FILTER (event_id % 3 = 1) AS responses, arg_min(event_type, (ts, event_id)) AS first_tool FROM events GROUP BY user_id) t USING (id)""")
+def session_with_calls(spark, d):
+    """Sessions with messages and tool calls nested; a third of the responses is broken, a third missing."""
+    nested = X.detail(V.sessions(spark, d), V.messages(spark, d), V.tool_calls(spark, d))
+    responses = F.size(F.filter("tool_calls", lambda c: c["response"].isNotNull()))
+    return nested.select("id", F.size("messages").cast("long").alias("messages"), F.size("tool_calls").cast("long").alias("calls"), responses.cast("long").alias("responses"), F.get("tool_calls", 0)["tool_name"].alias("first_tool"))
+
+
 @query("session_page_total", "SELECT conv_id AS id, (SELECT count(DISTINCT conv_id) FROM conversations) AS total FROM conversations GROUP BY conv_id ORDER BY id DESC LIMIT 10 OFFSET 5")
 def session_page_total(spark, d):
     own = V.sessions(spark, d)
@@ -146,6 +156,13 @@ def job_rates(spark, d):
     return D.rates(V.items(spark, d))
 
 
+@query("job_remaining_time", """WITH p AS (SELECT l_orderkey AS job_id, count(*) FILTER (l_returnflag <> 'A') AS done, count(*) FILTER (l_returnflag = 'A') AS "left", (epoch_ms(max(l_shipdate) FILTER (l_returnflag <> 'A')) - epoch_ms(min(l_shipdate) FILTER (l_returnflag <> 'A'))) / 1000.0 AS seconds FROM lineitem GROUP BY l_orderkey)
+SELECT job_id, done, "left", CASE WHEN "left" = 0 THEN 0.0::DOUBLE WHEN seconds > 0 THEN round("left" * seconds::DOUBLE / done, 3) END AS eta_seconds FROM p""")
+def job_remaining_time(spark, d):
+    """The items that are skipped in the raw table count as waiting here."""
+    return D.remaining_time(V.items(spark, d).replace("skipped", "pending", ["status"]))
+
+
 @query("items_emails_join", "SELECT l_orderkey AS job_id, l_linenumber AS source_identifier, doc_id AS email_id, source AS folder, 1704067200000 + doc_id * 60000 AS date_received, CAST(l_quantity AS BIGINT) AS size_bytes FROM lineitem JOIN documents ON l_partkey = doc_id")
 def items_emails_join(spark, d):
     return D.with_emails(V.items(spark, d), V.emails(spark, d))
@@ -315,6 +332,15 @@ def emails_address_arrays(spark, d):
     return read.select("id", F.size("to").alias("recipients"), F.get("to", 0)["email"].alias("first_recipient"))
 
 
+@query("email_by_id", "SELECT c_custkey AS id, [c_name || '@example.com'] AS \"to\", 0::INTEGER AS cc, ['label ' || c_mktsegment] AS labels FROM customer WHERE c_custkey = 7")
+def email_by_id(spark, d):
+    """A message whose arrays are kept as JSON text, of which one is broken."""
+    t = V.table(spark, d, "customer")
+    to = F.to_json(F.array(F.struct(F.concat(F.col("c_name"), F.lit("@example.com")).alias("email"), F.lit("x").alias("name"))))
+    kept = t.select(F.col("c_custkey").alias("id"), to.alias("to_addresses"), F.lit("broken [").alias("cc_addresses"), F.lit(None).cast("string").alias("bcc_addresses"), F.to_json(F.array(F.concat(F.lit("label "), F.col("c_mktsegment")))).alias("labels"))
+    return E.by_id(kept, 7).select("id", F.transform("to_addresses", lambda a: a["email"]).alias("to"), (F.size("cc_addresses") + F.size("bcc_addresses")).alias("cc"), "labels")
+
+
 @query("attachments_for_email", "SELECT page_id AS id, url AS filename FROM pages WHERE page_id % 50 = 7 ORDER BY page_id")
 def attachments_for_email(spark, d):
     files = V.table(spark, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 50).alias("email_id"), F.col("url").alias("filename"))
@@ -773,6 +799,30 @@ def llm_parse(spark, d):
     return P.model_answers(t.select("id", F.to_json(F.struct(F.array(task).alias("tasks"))).alias("response"))).drop("due_date")
 
 
+@query("llm_projects", "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN 'on-hold' END AS status, '2026-01-31' AS deadline, 0.7::DOUBLE AS confidence, true AS requires_review FROM customer WHERE c_custkey % 10 > 0")
+def llm_projects(spark, d):
+    t = V.projects(spark, d)
+    project = F.struct(F.when(F.col("id") % 10 > 0, F.col("name")).alias("name"), F.when(F.col("id") % 3 == 0, "sleeping").otherwise("on-hold").alias("status"), F.lit("2026-01-31").alias("deadline"))
+    return P.model_results(t.select("id", F.to_json(F.struct(F.array(project).alias("projects"))).alias("response")), "project").drop("description")
+
+
+@query("llm_events", "SELECT event_id AS id, event_type AS name, strftime(ts, '%Y-%m-%d') AS date, CASE WHEN event_id % 2 = 0 THEN 'Room 1' END AS location, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 0 END::INTEGER AS attendees, user_id AS project_id FROM events WHERE event_id % 7 > 0")
+def llm_events(spark, d):
+    t = V.calendar(spark, d)
+    event = F.struct("name", F.when(F.col("id") % 7 > 0, F.date_format("date", "yyyy-MM-dd")).alias("date"), F.when(F.col("id") % 2 == 0, "Room 1").alias("location"), F.when(F.col("id") % 4 == 0, F.array(F.lit("ann"), F.lit(None), F.lit("bob"))).alias("attendees"), "project_id")
+    found = P.model_results(t.select("id", F.to_json(F.struct(F.array(event).alias("events"))).alias("response")), "event")
+    return found.select("id", "name", "date", "location", F.size("attendees").alias("attendees"), "project_id")
+
+
+@query("extractor_registry", """SELECT 'attachments' AS extractor, 'event' AS data_type, count(*) AS n, round(avg(0.98), 4) AS confidence FROM documents UNION ALL SELECT 'attachments', 'contact', count(*), 0.97 FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT 'patterns', 'task', count(*), 0.9 FROM documents""")
+def extractor_registry(spark, d):
+    """All extractors over raw messages, with a task in every subject."""
+    mails = V.raw_messages(spark, d).withColumn("subject", F.lit("task due by 1/2/2026")).withColumn("body_text", F.lit(None).cast("string"))
+    found = extract(mails, "email_id", least=0.8)
+    return found.groupBy("extractor", "data_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
+
+
 @query("extractor_cascade", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE contains(text, '@'))")
 def extractor_cascade(spark, d):
     own = V.emails(spark, d)

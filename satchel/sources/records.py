@@ -12,8 +12,8 @@ from satchel.sources.store import Store
 
 
 def _one(store: Store, table: str, **values) -> int:
-    """Appends one row under the next id and returns it."""
-    next_id = 1 + (store.read(table).agg(F.max("id")).first()[0] or 0)
+    """Appends one row under the next id and returns it; writers at the same time get different ones."""
+    next_id = store._claim(table, 1)
     row = store.spark.range(1).select(F.lit(next_id).alias("id"), *(F.lit(v).alias(k) for k, v in values.items()))
     store.append(table, row)
     return next_id
@@ -61,6 +61,32 @@ def add_credential(store: Store, kind: str, identifier: str, username: str, now:
     return _one(store, "credentials_metadata", credential_type=kind, identifier=identifier, username=username, is_active=True, created_at=now, updated_at=now)
 
 
+def update_credential(store: Store, credential: int, now: int, **changes) -> None:
+    """Changes what may be changed of a credential; an identifier must not be another's."""
+    fixed = set(changes) - {"identifier", "username", "service_name", "port", "use_tls", "notes", "extra_metadata", "last_accessed_at", "is_active"}
+    if fixed:
+        raise ValueError(f"not to be changed: {', '.join(sorted(fixed))}")
+    known = store.latest("credentials_metadata")
+    if known.where(F.col("id") == credential).isEmpty():
+        raise ValueError(f"no credential {credential}")
+    if "identifier" in changes and not known.where((F.col("identifier") == changes["identifier"]) & (F.col("id") != credential)).isEmpty():
+        raise ValueError(f"identifier {changes['identifier']} is taken")
+    store.transition("credentials_metadata", credential, updated_at=now, **changes)
+
+
+def delete_message(store: Store, message: int) -> None:
+    """A message goes; tool calls that it made stay, without it."""
+    gone = store.spark.createDataFrame([(message,)], "id bigint")
+    calls = store.read("agent_tool_calls").where(F.col("message_id") == message)
+    if not calls.isEmpty():
+        # all rows of these calls, of the old version of the table, which stays on disk
+        own = store.read("agent_tool_calls").join(calls.select("id").distinct(), "id", "left_semi")
+        freed = own.withColumn("message_id", F.when(F.col("message_id") != message, F.col("message_id")))
+        store.delete("agent_tool_calls", calls.select("id"))
+        store.append("agent_tool_calls", freed)
+    store.delete("agent_messages", gone)
+
+
 def remove_credential(store: Store, credential: int, now: int, hard: bool = False) -> None:
     """Made inactive, or deleted."""
     if hard:

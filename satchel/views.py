@@ -34,7 +34,7 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 def tool_calls(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "view", "executing").otherwise("completed")
     t = table(spark, d, "events")
-    return t.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("tool_name"), F.col("props").alias("request"), F.col("value").alias("execution_time_ms"), status.alias("status"), millis("ts").alias("created_at"))
+    return t.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("event_type").alias("tool_name"), F.col("props").alias("request"), F.col("value").alias("execution_time_ms"), status.alias("status"), millis("ts").alias("created_at"), F.when(F.col("event_id") % 3 == 0, "broken {").when(F.col("event_id") % 3 == 1, F.col("props")).alias("response"))
 
 
 JOB_STATES = {"F": "completed", "O": "running"}
@@ -118,7 +118,7 @@ def job_commands(spark: SparkSession, d: str) -> DataFrame:
 
 def destinations(spark: SparkSession, d: str) -> DataFrame:
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("country"), ((F.col("n_nationkey") + 1) * 1000).cast("decimal(18,2)").alias("budget"))
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("country"), ((F.col("n_nationkey") + 1) * 1000).cast("decimal(18,2)").alias("budget"))
 
 
 def activities(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from satchel.functions import scalars as S
@@ -44,3 +45,26 @@ def test_scalars(spark):
 def test_latest_state_keeps_nulls(spark):
     log = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", None)], "id long, step int, state string, error string")
     assert tuple(D.latest(log).first()) == (1, 1, "b", None)
+
+
+def test_model_answers_of_all_kinds(spark):
+    rows = [(1, '{"projects": [{"name": "A", "status": "active"}, {"name": "B", "status": "odd", "confidence": 0.9}]}'), (2, '{"projects": [{"name": "C"}, {"status": "active"}]}'), (3, "no json"), (4, None), (5, '{"events": [{"name": "E", "date": "2026-01-01", "attendees": ["x", null]}]}'), (6, '{"events": [{"name": "E"}]}')]
+    answers = spark.createDataFrame(rows, "id long, response string")
+    got = sorted((r.id, r.name, r.status, r.confidence, r.requires_review) for r in P.model_results(answers, "project").collect())
+    assert got == [(1, "A", "active", 0.7, True), (1, "B", None, 0.9, False)]
+    (event,) = P.model_results(answers, "event").collect()
+    assert (event.id, event.date, event.attendees, event.location) == (5, "2026-01-01", ["x"], None)
+    assert P.model_results(answers, "task").count() == 0
+
+
+def test_registry_asks_dearer_extractors_only_where_needed(spark):
+    from satchel.operators import extractors
+
+    rows = [(1, "task due by 1/2/2026", "x", bytearray(b"BEGIN")), (2, "task due by 3/4/2026", None, bytearray(b"Content-Type: text/vcard\nContent-Disposition: attachment; filename=a.vcf\n\nBEGIN:VCARD\nFN:Ann\nEND:VCARD"))]
+    messages = spark.createDataFrame(rows, "id long, subject string, body_text string, raw binary")
+    every = {(r.id, r.extractor, r.data_type) for r in extractors.extract(messages, "id").collect()}
+    assert every == {(1, "patterns", "task"), (2, "patterns", "task"), (2, "attachments", "contact")}
+    some = {(r.id, r.extractor) for r in extractors.extract(messages, "id", enough=0.9).collect()}
+    assert some == {(1, "patterns"), (2, "attachments")}
+    with pytest.raises(ValueError):
+        extractors.extract(messages, "id", ("nobody",))

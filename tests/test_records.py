@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from satchel.functions import table_functions
 from satchel.operators import mail, patterns
@@ -58,3 +59,24 @@ def test_recognised_spans(spark):
     assert spans.count() == 3
     got = sorted((r.start, r.label, r.requires_review) for r in patterns.recognised(spans, {"task": 0.6, "project": 0.65}).collect())
     assert got == [(0, "task", False), (5, "task", True)]
+
+
+def test_credential_update_and_message_delete(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create_all()
+    a, b = (records.add_credential(store, "imap", n, n, 1) for n in ("a", "b"))
+    records.update_credential(store, a, 5, username="new", is_active=False)
+    row = store.latest("credentials_metadata").where(F.col("id") == a).first()
+    assert (row.username, row.is_active, row.identifier, row.updated_at) == ("new", False, "a", 5)
+    for changes in ({"identifier": "b"}, {"credential_type": "oauth"}):
+        with pytest.raises(ValueError):
+            records.update_credential(store, a, 6, **changes)
+    with pytest.raises(ValueError):
+        records.update_credential(store, 99, 6, notes="x")
+    session = records.create_session(store, "agent", "hi", 1)
+    m, n = (records.create_message(store, session, "assistant", x, 2) for x in "mn")
+    calls = spark.createDataFrame([(1, session, m), (2, session, n), (3, session, None)], "id long, session_id long, message_id long")
+    store.append("agent_tool_calls", calls)
+    records.delete_message(store, m)
+    assert {r.id: r.message_id for r in store.read("agent_tool_calls").collect()} == {1: None, 2: n, 3: None}
+    assert [r.id for r in store.read("agent_messages").collect()] == [n]
