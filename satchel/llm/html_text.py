@@ -35,7 +35,7 @@ BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset details summary address hr center dialog menu head".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE_BREAKS = frozenset("br wbr img input".split())
+INLINE_BREAKS = frozenset("br img input".split())
 #: An opening tag ends an open element of these kinds, if no element of the second kinds is between.
 ENDS = {
     "p": ({"p"}, {"td", "th", "blockquote", "div", "li", "article", "section"}),
@@ -67,6 +67,8 @@ NAMES = re.compile(
 )
 #: Words of class names that name a part's absence or presence, and the header of an article.
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|no|without)[_-][\w-]+|(?:entry|post|article|story|content)[_-]+header)(?=$|\s)", re.I)
+#: An attribute without a value, and styles, that hide an element.
+HIDDEN, UNSEEN = re.compile(r"(?:^|\s)hidden(?=$|[\s/])", re.I), re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: What the score of a marked path is multiplied by, and the least score of a content path.
 PENALTY, LEAST = 0.01, 0.02
@@ -168,12 +170,12 @@ class Page:
         if self._stack[-1].tag == "head" and text.strip():
             self._close(len(self._stack) - 1)
         if not self._stack[-1].out:
-            self._parts.append(text)
+            self._parts.append(html.unescape(text))  # here, as a tag ends a reference
             if self._count["a"]:
                 self._linked += len(text)
 
     def _flush(self) -> None:
-        text = " ".join(html.unescape("".join(self._parts)).split()) if self._parts else ""
+        text = " ".join("".join(self._parts).split()) if self._parts else ""
         if text:
             own = next(s for s in reversed(self._stack) if s.tag in BLOCKS or not s.element)
             self.blocks.append(Block(text, own.path, own.element, self._linked))
@@ -227,7 +229,7 @@ class Page:
             return
         above, block, attributes = self._stack[-1], tag in BLOCKS, _attributes(raw)
         titled = tag == "header" and bool(self._count["article"] or self._count["main"])  # an article's own header has its title
-        hidden = attributes.get("aria-hidden") == "true"
+        hidden = attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(ATTRIBUTE.sub(" ", raw))) or "hidden" in attributes and attributes["hidden"] != "until-found" or bool(UNSEEN.search(attributes.get("style", "")))
         marked = tag in LEFT_OUT and not titled or hidden or (tag not in ("html", "body", "article", "main") or "comment" in attributes.get("class", "")) and _named_out(attributes)
         element, path, inner = above.element, above.path, above.inner
         if block:
@@ -298,7 +300,7 @@ def main_text(page: str | None, threshold: float = 0.8, share: float = 0.8) -> s
     """The article's blocks, joined by an empty line.
 
     threshold: times the scores' standard deviation that a path needs. share: of the content that the article's element
-    holds. Null, empty and text-free pages give the empty string; text without any markup is one block. Tags whose quote
+    holds. Elements that are hidden, by attribute or style, are not read. Null, empty and text-free pages give the empty string; text without any markup is one block. Tags whose quote
     or end is missing end at the next ``>`` or with the page; elements nested deeper than MAX_DEPTH count as part of it.
     """
     found = Page(page or "")

@@ -129,3 +129,11 @@ def test_broken_pages_take_linear_time(part):
 def test_clashing_names_and_repeated_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", 5, "t")] * 2, "page_id long, url string, html string, n_chars int, text string")
     assert [tuple(r) for r in html_text.extract(pages).collect()] == [(1, "u", "a b", 3)] * 2
+
+
+def test_soft_breaks_hidden_parts_and_split_references():
+    body = "<p>" + "Words of the article, which go on for a while. " * 6
+    page = f"<article>{body}super<wbr>cali AT&am<b>p;</b>T &lt;b&gt; x&nbsp;y</p><div hidden>secret one, secret one.</div><p style='display: none'>secret two, secret two.</p><p HIDDEN>secret three</p><p title='hidden'>seen here</p></article>"
+    got = html_text.main_text(page)
+    assert "supercali AT&amp;T <b> x y" in got  # a tag ends a reference, so that this one is text
+    assert "secret" not in got and "seen here" in got
