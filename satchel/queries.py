@@ -30,6 +30,7 @@ from satchel.sources.keys import KeyIndex
 from satchel.sources.mailbox import archive, searched
 from satchel.sources.store import Store
 from satchel.sources.text_index import TextIndex
+from satchel.sources.workbooks import import_workbooks, workbooks
 from satchel.streaming import jobs as J
 from satchel.streaming import sync as Y
 from satchel.streaming.alerts import balance_alerts as alerts
@@ -432,6 +433,13 @@ def sync_strategies(spark, d):
     return a.unionByName(Y.strategy(rows, "date-range", start="1996-01-01", end=AS_OF).agg(F.lit("range").alias("kind"), F.count("*").alias("n")))
 
 
+@query("workbook_round_trip", f"SELECT o_orderkey AS id, o_custkey AS account_id, CAST({MONEY.format('o_totalprice')} AS DOUBLE) AS amount, o_orderpriority AS category FROM orders")
+def workbook_round_trip(spark, d):
+    """Transactions as workbooks, and read again."""
+    made = workbooks(V.transactions(spark, d).select("id", F.col("account_id").alias("account"), "amount", "category"), 20_000)
+    return import_workbooks(made, "finance_transactions", {"account": "account_id"}).select("id", "account_id", F.col("amount").cast("double").alias("amount"), "category")
+
+
 @query("file_filter", "SELECT page_id AS id FROM pages WHERE contains(url, '/en/') AND strlen(html) BETWEEN 1000 AND 4000")
 def file_filter(spark, d):
     t = V.table(spark, d, "pages")
@@ -834,8 +842,9 @@ def extractor_cascade(spark, d):
 
 @query("sql_guarded", "SELECT category, n, total FROM (SELECT o_orderpriority AS category, count(*) AS n, CAST(sum(" + PRICE + ") AS DOUBLE) AS total FROM orders WHERE o_totalprice > 1000 GROUP BY ALL) ORDER BY category LIMIT 100")
 def sql_guarded(spark, d):
-    V.register(spark, d)
-    return guarded(spark, "SELECT category, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM finance_transactions WHERE amount > :least GROUP BY category ORDER BY category", 100, {"least": 1000})
+    statement = "SELECT category, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM finance_transactions WHERE amount > :least GROUP BY category ORDER BY category"
+    V.register(spark, d, statement)
+    return guarded(spark, statement, 100, {"least": 1000}, tuple(V.VIEWS))
 
 
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,7 +147,9 @@ def calendar(spark: SparkSession, d: str) -> DataFrame:
 VIEWS = {"agent_messages": messages, "agent_sessions": sessions, "agent_tool_calls": tool_calls, "download_jobs": jobs, "download_items": items, "credentials_metadata": credentials, "emails": emails, "finance_accounts": accounts, "finance_transactions": transactions, "travel_destinations": destinations, "travel_activities": activities, "tasks": tasks, "projects": projects, "calendar_events": calendar}
 
 
-def register(spark: SparkSession, d: str) -> None:
-    """Registers every view for SQL."""
+def register(spark: SparkSession, d: str, statement: str | None = None) -> None:
+    """Registers the views for SQL: all of them, or those whose names stand in a statement."""
+    words = None if statement is None else set(re.findall(r"\w+", statement.lower()))
     for name, view in VIEWS.items():
-        view(spark, d).createOrReplaceTempView(name)
+        if words is None or name in words:
+            view(spark, d).createOrReplaceTempView(name)
