@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Names of this similarity or more are candidates; a mention is linked by itself from AUTO_LINK on, if no other name comes
 #: within MARGIN of the best.
 CANDIDATE, AUTO_LINK, MARGIN = 0.5, 0.7, 0.05
+#: Words of 64 bits in which a name's pieces are noted by their hash.
+SIGNATURE = 4
 
 
 def normalised(name: Column) -> Column:
@@ -33,27 +35,43 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _ranked(names: DataFrame, frequency: DataFrame) -> DataFrame:
-    """``name`` with its pieces, rarest first. A name has as many as letters."""
-    each = names.select("name", F.explode("pieces").alias("piece")).join(frequency, "piece")
-    return each.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]).alias("pieces"))
+    """``name`` with its pieces, rarest first, and their SIGNATURE. A name has as many as letters."""
+    each = names.select("name", F.explode("pieces").alias("piece")).join(frequency, "piece").withColumn("h", F.pmod(F.xxhash64("piece"), F.lit(64 * SIGNATURE)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64))
+    words = (F.bit_or(F.when((F.col("h") / 64).cast("int") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{w}") for w in range(SIGNATURE))
+    return each.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]).alias("pieces"), *words)
 
 
 def _prefixes(ranked: DataFrame, least: float, prefix: str) -> DataFrame:
     n = F.size("pieces")
     first = n - F.ceil(n * least - 1e-9).cast("int") + 1
-    return ranked.select(F.col("name").alias(f"{prefix}_name"), F.col("pieces").alias(f"{prefix}_pieces"), F.explode(F.slice("pieces", F.lit(1), first)).alias("piece"))
+    own = [F.col(f"bits{w}").alias(f"{prefix}_bits{w}") for w in range(SIGNATURE)]
+    return ranked.select(F.col("name").alias(f"{prefix}_name"), n.alias(f"{prefix}_size"), *own, F.posexplode(F.slice("pieces", F.lit(1), first)).alias(f"{prefix}_at", "piece"))
+
+
+def _may_be_similar(least: float) -> Column:
+    """Whether two names that met in a piece can still reach ``least``: pieces after the one they met in, if it is their first,
+    and bits of one signature that the other lacks, of which each stands for a piece at least that the other lacks."""
+    sizes = {p: F.col(f"{p}_size") for p in ("mention", "entity")}
+    common = (sizes["mention"] + sizes["entity"]) * ((least - 1e-6) / (1 + least))
+    after = F.least(*(n - F.col(f"{p}_at") for p, n in sizes.items()))
+    lacks = lambda p, q: sum(F.bit_count(F.col(f"{p}_bits{w}").bitwiseAND(F.bitwise_not(f"{q}_bits{w}"))) for w in range(SIGNATURE))
+    return (after >= common) & (lacks("mention", "entity") <= sizes["mention"] - common) & (lacks("entity", "mention") <= sizes["entity"] - common)
 
 
 def similar_names(mentions: DataFrame, entities: DataFrame, least: float = CANDIDATE) -> DataFrame:
     """``mention_name``, ``entity_name`` and ``score`` of all pairs of similarity ``least`` or more of two tables of distinct
-    normalised names (name)."""
-    a, b = (x.select("name", pieces(F.col("name")).alias("pieces")) for x in (mentions, entities))
-    frequency = a.unionByName(b).select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    a, b = (_prefixes(_ranked(x, frequency), least, p) for x, p in ((a, "mention"), (b, "entity")))
-    sizes = (F.size("mention_pieces"), F.size("entity_pieces"))
-    met = a.join(b, "piece").where((F.least(*sizes) >= F.greatest(*sizes) * least - 1e-9))
+    normalised names (name). Pairs that meet are told apart by position and signature; pieces are compared once for each pair
+    that is left."""
+    own = [x.select("name", pieces(F.col("name")).alias("pieces")) for x in (mentions, entities)]
+    frequency = own[0].unionByName(own[1]).select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    a, b = (_prefixes(_ranked(x, frequency), least, p) for x, p in zip(own, ("mention", "entity")))
+    met = a.join(b, "piece").where(_may_be_similar(least)).select("mention_name", "entity_name").distinct()
+    # pieces come from the names again: made of the columns of the pair, the score would be a condition of the join above
+    for x, p in zip(own, ("mention", "entity")):
+        met = met.join(x.select(F.col("name").alias(f"{p}_name"), F.col("pieces").alias(f"{p}_pieces")), f"{p}_name")
     scored = met.select("mention_name", "entity_name", similarity(F.col("mention_pieces"), F.col("entity_pieces")).alias("score"))
-    return scored.where(F.col("score") >= least - 1e-9).distinct()
+    return scored.where(F.col("score") >= least - 1e-9)
 
 
 def resolved(mentions: DataFrame, entities: DataFrame, least: float = CANDIDATE, auto_link: float = AUTO_LINK, margin: float = MARGIN) -> DataFrame:

@@ -611,8 +611,11 @@ SELECT m.id, CASE WHEN r.score >= 0.7 - 1e-9 AND r.entities = 1 AND (next_score
 def entity_candidates(spark, d):
     """The first words of every text as a mention, with a letter lost, of projects that are named by the first words of every
     second text."""
-    words = F.regexp_extract_all(F.coalesce("body_text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    named = V.emails(spark, d).select("id", F.array_join(F.slice(words, 1, 5), " ").alias("name"))
+    head = F.regexp_extract(F.coalesce("body_text", F.lit("")), r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){0,5}+", 0)
+    words = F.regexp_extract_all(head, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # texts are read once, names several times
+    V.emails(spark, d).select("id", F.array_join(words, " ").alias("name")).write.parquet(folder := work_folder(spark))
+    named = spark.read.schema("id long, name string").parquet(folder)
     lost = F.concat(F.substring("name", 1, 5), F.substring("name", 7, 1 << 30))
     found = R.resolved(named.select("id", lost.alias("name")), named.where("id % 2 = 0"))
     return found.select("id", "linked_id", F.round("score", 6).alias("score"), F.size("candidates").alias("candidates"))

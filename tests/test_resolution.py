@@ -55,3 +55,9 @@ def test_a_name_in_most_rows_is_one_name(spark):
     many = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'the same name', concat('other ', id)) as name")
     row = R.resolved(spark.createDataFrame([(1, "the same name")], "id long, name string"), many).first()
     assert row.candidates[0].entities == 1000 and len(row.candidates) == 1 and row.linked_id is None
+
+
+def test_pieces_are_compared_after_the_join_not_in_it(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (("blue sky", "acme"), ("blue skies", "acme")))
+    joins = [x for x in R.similar_names(a, b)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert any("bit_count" in x for x in joins) and not any("bit_count" in x and "array_intersect" in x for x in joins)
