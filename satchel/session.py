@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str, cores: int | str | None = None) -> SparkSession:
@@ -35,3 +35,8 @@ def work_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="satchel-"))
     return f"{folder or context._jsc.sc().getCheckpointDir().get()}/work-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame, tasks: int = 3) -> DataFrame:
+    """Rows dealt over so many tasks a core, ahead of work that is dear for a row: a scan gives a small file to one task."""
+    return rows.repartition(tasks * rows.sparkSession.sparkContext.defaultParallelism)

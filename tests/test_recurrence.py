@@ -69,3 +69,12 @@ def test_files_as_rows(spark):
     got = R.expanded(spark.createDataFrame(rows, "id long, content string, at_ string"), "2026-01-01T00:00:00", "2026-02-01T00:00:00").collect()
     assert [(r.id, r.at) for r in got if r.error is None] and sorted((r.id, r.at.day) for r in got if r.error is None) == [(1, 5), (1, 7), (1, 12)]
     assert sorted(r.id for r in got if r.error) == [2, 5] and got[0].at_ == "k"
+
+
+def test_a_small_file_is_dealt_over_tasks_and_occurrences_leave_in_few_batches(spark, monkeypatch):
+    text = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:x\r\nDTSTART:20240101T090000Z\r\nRRULE:FREQ=DAILY\r\nEND:VEVENT\r\nEND:VCALENDAR"
+    files = spark.range(100, numPartitions=1).selectExpr("id", "'%s' as content" % text.replace("\r\n", "\\r\\n"))
+    found = R.expanded(files, "2024-02-01T00:00:00", "2024-03-01T00:00:00")
+    assert found.count() == 2900 and found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(R, "AT_ONCE", 7)
+    assert R.expanded(files, "2024-02-01T00:00:00", "2024-03-01T00:00:00").groupBy("id").count().where("count = 29").count() == 100
