@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.operators.mail import page
+from satchel.session import spread
 
 BUCKETS = 64
 #: So many of a phrase's pieces are looked up, the rarest ones.
 LOOKED_UP = 4
+#: Postings that leave a task in one batch.
+AT_ONCE = 1 << 16
 
 
 def pieces(text: str) -> set[str]:
@@ -30,6 +33,18 @@ def bucket(piece: str, buckets: int) -> int:
     return zlib.crc32(piece.encode()) % buckets
 
 
+class Buckets(dict):
+    """Buckets of the pieces that a task has met, each worked out once."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = found = bucket(piece, self.buckets)
+        return found
+
+
 class TextIndex:
     """Segments under one folder: ``postings/label=<l>/bucket=<b>`` and ``counts/label=<l>``. A segment that is added again
     replaces itself; texts are in one segment each."""
@@ -41,15 +56,25 @@ class TextIndex:
         """Rows of very common pieces are dealt out by piece and key, so that no task gets a piece whole."""
         buckets, kind = self.buckets, texts.schema[key].dataType.simpleString()
 
+        def told(keys: pa.Array, own: list[int], found: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([numbers[p] for p in found], pa.int32()), pa.array(found), keys.take(pa.array(own))], names=["bucket", "piece", "key"])
+
+        numbers = Buckets(buckets)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys = batch.column(0)
+                own, found = [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
-                    found = sorted(pieces(t or ""))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array([bucket(p, buckets) for p in found], pa.int32()), pa.array(found), keys.take(pa.array([i] * len(found)))], names=["bucket", "piece", "key"])
-
-        rows = texts.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, f"bucket int, piece string, key {kind}")
+                    of_text = pieces(t or "")
+                    own += [i] * len(of_text)
+                    found += of_text
+                    if len(found) >= AT_ONCE:
+                        yield told(batch.column(0), own, found)
+                        own, found = [], []
+                if found:
+                    yield told(batch.column(0), own, found)
+
+        rows = spread(texts.select(key, text).where(F.col(key).isNotNull())).mapInArrow(run, f"bucket int, piece string, key {kind}")
         path = f"{self.root}/postings/label={label}"
         rows.repartitionByRange("bucket", "piece", "key").sortWithinPartitions("bucket", "piece", "key").write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(path)
         written = self.spark.read.schema(f"piece string, key {kind}, bucket int").parquet(path)

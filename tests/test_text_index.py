@@ -3,6 +3,7 @@
 import random
 
 from satchel.operators import mail
+from satchel.sources import text_index
 from satchel.sources.text_index import TextIndex
 
 SCHEMA = "id long, body_text string, date_received long"
@@ -31,3 +32,14 @@ def test_a_search_opens_its_own_buckets(spark, tmp_path):
     assert index.rarest("word7")[0] == "rd7" and "wor" not in index.rarest("word17 other")[:2]
     plan = index.candidates("word7")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan and "In(piece" in plan
+
+
+def test_texts_of_one_small_file_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    seen, write = [], text_index.spread
+    monkeypatch.setattr(text_index, "spread", lambda rows: seen.append(write(rows)) or seen[-1])
+    monkeypatch.setattr(text_index, "AT_ONCE", 5)
+    texts = spark.range(60, numPartitions=1).selectExpr("id", "concat('a text of number ', id) as body_text", "id as date_received")
+    index = text_index.TextIndex(spark, str(tmp_path))
+    index.add(texts, "a")
+    assert seen[0].rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert index.search(texts, "number 7").first().total == 1 and index.search(texts, "TEXT OF").first().total == 60
