@@ -13,6 +13,7 @@ from email import message_from_bytes, policy
 from email.message import Message
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ PARTS = "part string, content_type string, charset string, filename string, cont
 _KINDS = {"part": pa.string(), "content_type": pa.string(), "charset": pa.string(), "filename": pa.string(), "content_id": pa.string(), "is_inline": pa.bool_(), "is_attachment": pa.bool_(), "content": pa.binary(), "size_bytes": pa.int64(), "checksum": pa.string(), "error": pa.string()}
 #: Parts deeper than this are not opened: the part that holds them is one attachment of bytes.
 DEPTH = 20
+#: Parts leave a task together until their contents have so many bytes.
+AT_ONCE = 1 << 20
 
 
 def _leaf(part: Message, path: str) -> dict:
@@ -72,12 +75,23 @@ def parts(messages: DataFrame, key: tuple[str, ...] = ("email_id",), raw: str =
     kept = messages.select(*key, F.col(raw).alias("__raw"))
     schema = ", ".join([*(f"`{k}` {messages.schema[k].dataType.simpleString()}" for k in key), PARTS])
 
+    def told(batch: pa.RecordBatch, own: list[int], found: list[dict]) -> pa.RecordBatch:
+        keys = batch.select(range(len(key))).take(pa.array(own, pa.int64()))
+        return pa.RecordBatch.from_arrays([*keys.columns, *(pa.array([r.get(c) for r in found], kind) for c, kind in _KINDS.items())], names=[*key, *_KINDS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own, found, held = [], [], 0
             for i in range(batch.num_rows):  # a message's parts at a time, as they may be large
-                found = _rows(batch.column(len(key))[i].as_py())
-                own = [pa.array([batch.column(k)[i].as_py()] * len(found), batch.column(k).type) for k in range(len(key))]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array([r.get(c) for r in found], kind) for c, kind in _KINDS.items())], names=[*key, *_KINDS])
+                one = _rows(batch.column(len(key))[i].as_py())
+                own += [i] * len(one)
+                found += one
+                held += sum(r.get("size_bytes") or 0 for r in one)
+                if held >= AT_ONCE:
+                    yield told(batch, own, found)
+                    own, found, held = [], [], 0
+            if found:
+                yield told(batch, own, found)
 
     return kept.mapInArrow(run, schema)
 
@@ -156,11 +170,14 @@ class AttachmentStore:
 
     def add(self, messages: DataFrame, batch: int, key: tuple[str, ...] = ("email_id",)) -> None:
         """Contents first, so that no attachment points to one that is not there."""
-        found = parts(messages, key)
-        new = contents(found).join(self.contents().where(F.col("batch") != batch).select("checksum").distinct(), "checksum", "left_anti")
-        new.write.mode("overwrite").parquet(f"{self.root}/contents/batch={batch}")
-        rows = attachment_rows(found).withColumn("file_path", F.concat(F.lit("contents/"), F.col("checksum")))
-        rows.write.mode("overwrite").parquet(f"{self.root}/attachments/batch={batch}")
+        found = parts(messages, key).persist(StorageLevel.DISK_ONLY)  # messages are opened once for both tables
+        try:
+            new = contents(found).join(self.contents().where(F.col("batch") != batch).select("checksum").distinct(), "checksum", "left_anti")
+            new.write.mode("overwrite").parquet(f"{self.root}/contents/batch={batch}")
+            rows = attachment_rows(found).withColumn("file_path", F.concat(F.lit("contents/"), F.col("checksum")))
+            rows.write.mode("overwrite").parquet(f"{self.root}/attachments/batch={batch}")
+        finally:
+            found.unpersist()
 
     def unreferenced(self) -> DataFrame:
         """Contents that no attachment holds any more, as after deletes."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from satchel.operators import attachments as A
 from satchel.operators import mime
+from satchel.session import spread
 
 EPOCH = 1704067200  # 2024-01-01, from which synthetic times count
 
@@ -72,8 +73,8 @@ def emails(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_messages(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of messages: each document is the text file of one, beside an invitation, a picture that all share, and in every
-    third a forwarded message with a contact card."""
-    t = table(spark, d, "documents")
+    third a forwarded message with a contact card. They are dealt over all cores before they are made."""
+    t = spread(table(spark, d, "documents").select("doc_id", "text"))
     number = F.col("doc_id").cast("string")
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "yyyyMMdd'T'090000")
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")

@@ -3,6 +3,8 @@
 import hashlib
 from email.message import EmailMessage
 
+import pyarrow as pa
+from pyspark.sql.types import LongType, StructField
 from satchel.operators import mime
 
 
@@ -77,3 +79,23 @@ def test_deep_trees_end(spark):
     raw = b"Content-Type: message/rfc822\n\n" * 60 + b"text"
     (row,) = mime.parts(frame(spark, [(1, raw)])).collect()
     assert row.size_bytes > 0 and row.error is None
+
+
+def test_parts_of_many_messages_leave_together(spark, monkeypatch):
+    raw = b"Content-Type: multipart/mixed; boundary=x\r\n\r\n--x\r\nContent-Disposition: attachment; filename=a\r\n\r\nabc\r\n--x\r\n\r\nd\r\n--x--\r\n"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([raw] * 50)], names=["email_id", "raw"])
+
+    class Messages:
+        schema = {"email_id": StructField("email_id", LongType())}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch])))
+
+    (out,) = mime.parts(Messages())
+    assert out.num_rows == 100 and out.column("email_id").to_pylist() == [i // 2 for i in range(100)]
+    monkeypatch.setattr(mime, "AT_ONCE", 8)
+    small = mime.parts(Messages())
+    assert len(small) == 25 and pa.Table.from_batches(small) == pa.Table.from_batches([out])
