@@ -63,7 +63,7 @@ class JobMachine(StatefulProcessor):
         return Row(job_id=job, at=at, command=command, before=status, after=now[0], accepted=reason is None, reason=reason, error=error if reason is None else None)
 
     def _run(self, job: int, commands: list[tuple[int, str, str | None]]) -> Iterator[Row]:
-        found = self.state.get() if self.state.exists() else None
+        found = self.state.get()  # None: a new job
         now = list(found) if found else [None, None, None]
         before = tuple(now)
         for at, command, error in commands:

@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def millis(column: str) -> Column:
-    """Epoch milliseconds of a timestamp without time zone, whatever the session's zone is."""
-    return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
+    """Epoch milliseconds of a timestamp without time zone, whatever the session's zone is: also of hours that its clocks skip."""
+    seconds = f"unix_date(CAST({column} AS DATE)) * 86400L + hour({column}) * 3600 + minute({column}) * 60"
+    return F.expr(f"({seconds}) * 1000 + CAST(floor(extract(SECOND FROM {column}) * 1000) AS BIGINT)")
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:

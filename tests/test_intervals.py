@@ -2,6 +2,7 @@
 
 import random
 
+from satchel import views as V
 from satchel.operators.intervals import dyadic, within
 from satchel.operators.intervals import F
 
@@ -28,3 +29,15 @@ def test_join_equals_all_pairs(spark):
     assert within(spark.createDataFrame(points, "id long, at long"), "at", none, "low", "high").count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_milliseconds_do_not_depend_on_the_session_zone(spark):
+    times = "values (timestamp_ntz'2024-03-31 02:30:00.123456'), (timestamp_ntz'1969-12-31 23:59:59.999'), (timestamp_ntz'2024-07-01 12:00:01') as t(ts)"
+    want = [1711852200123, -1, 1719835201000]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for own in ("UTC", "Europe/Paris"):
+            spark.conf.set("spark.sql.session.timeZone", own)
+            assert [r[0] for r in spark.sql(f"select * from {times}").select(V.millis("ts")).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
