@@ -1,29 +1,28 @@
 """Substring dedup against a log-structured index of window fingerprints.
 
-The index is a list of immutable runs. A run holds the distinct segments (see anchors.py) of one batch of documents with
-their first position, bucketed and sorted by fingerprint, so that a new batch is merge-joined with each run without
-shuffling the run again. A batch's segments that a run or an earlier part of the batch holds are removed as they are.
-Segments that share only their anchor with another differ somewhere in their context; their windows are fingerprinted
-one by one and compared in the same way, for which the past documents with such an anchor are read again. A match needs
-the anchor's and the content's 64-bit hash to agree, from independent hash functions; that is the verification.
-Rows of a passage that very many documents share are spread over tasks where they meet its first position.
-Once there are ``fanout`` runs of a level they are compacted into one of the next, which keeps first positions only.
+The index is a list of immutable runs. A run holds the distinct segments (see anchors.py) of one batch of documents, each
+with the first document that has it. What a text repeats of its own goes as it is read, so that a segment is one row a
+document at most. A batch's segments meet those of all runs by their anchor in one shuffle. A segment that a run or an
+earlier document of the batch holds is removed as it is. Segments that share only their anchor with another differ
+somewhere in their context; of each such segment the first document's windows are fingerprinted one by one and compared
+in the same way, for which the past documents that hold one first are read again. A match needs the anchor's and the
+content's 64-bit hash to agree, from independent hash functions; that is the verification.
+Once there are ``fanout`` runs of a level they are compacted into one of the next, which keeps first documents only.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from satchel.llm.anchors import Segments, bit_filter, chunks, merge_spans, segments, units, with_order
-from satchel.llm.split_join import spread_join, with_spans
+from satchel.llm.anchors import Segments, bit_filter, chunks, merge_spans, units, with_order
+from satchel.llm.split_join import with_spans
 from satchel.llm.store import broadcast, drop, materialize, new_path
 from satchel.llm.text import mix, window_hashes
 
@@ -32,9 +31,47 @@ GRAM = 5
 _WINDOW_SALT = np.uint64(0x165667B19E3779F9)
 
 
-def window_rows(work: DataFrame, anchors: DataFrame, window: int, gram: int) -> DataFrame:
-    """``anchor``, ``mark`` (the window's content hash), ``ord``, ``th``, ``start`` of all windows of the given anchors."""
-    wanted = broadcast(work.sparkSession, bit_filter(anchors, "anchor"))
+def _seen(*keys: np.ndarray) -> np.ndarray:
+    """Whether all keys of a row equal those of an earlier row."""
+    order = np.lexsort(keys)
+    again = np.zeros(len(order), bool)
+    if len(order) > 1:
+        again[order[1:]] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+    return again
+
+
+def _windows(s: Segments, hit: np.ndarray, values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, first unit and content hash of all windows of some segments."""
+    n = s.n[hit]
+    which = np.repeat(np.flatnonzero(hit), n)
+    start = s.start[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return which, start, window_hashes(mix(values ^ _WINDOW_SALT), window)[start]
+
+
+def distinct_segments(work: DataFrame, window: int, gram: int) -> DataFrame:
+    """``anchor``, ``content``, ``ord``, ``th`` of the segments of with_order() texts, equal ones of a text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, th = (batch.column(c).to_numpy() for c in ("ord", "th"))
+            for chunk in chunks(batch.column("text")):
+                values, first, _, _ = units(chunk, True)
+                s = Segments(values, first, window, gram)
+                if len(s.start):
+                    new = ~_seen(s.content, s.anchor, s.text)
+                    rows = chunk.lo + s.text[new]
+                    columns = [s.anchor[new].view(np.int64), s.content[new].view(np.int64), order[rows], th[rows]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "content", "ord", "th"])
+
+    return work.mapInArrow(run, "anchor long, content long, ord long, th long")
+
+
+def candidates(work: DataFrame, again: DataFrame, firsts: DataFrame, window: int, gram: int) -> DataFrame:
+    """``anchor``, ``mark``, ``ord``, ``th``, ``start``, ``stop``, ``single`` of what may come again, equal ones of a text once: the
+    segments whose content is in ``again``, and one by one the windows of those that are in ``firsts`` (holder()); mark is
+    the content hash. Rows without anchor are what a text surely repeats of its own."""
+    contents, holders = (broadcast(work.sparkSession, bit_filter(rows, rows.columns[0])) for rows in (again, firsts))
+    names = ["anchor", "mark", "ord", "th", "start", "stop", "single"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,22 +79,60 @@ def window_rows(work: DataFrame, anchors: DataFrame, window: int, gram: int) ->
             for chunk in chunks(batch.column("text")):
                 values, first, _, _ = units(chunk, True)
                 s = Segments(values, first, window, gram)
-                hit = wanted.value.test(s.anchor) if len(s.start) else np.empty(0, bool)
-                if hit.any():
-                    n = s.n[hit]
-                    which = np.repeat(np.flatnonzero(hit), n)
-                    start = s.start[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    marks = window_hashes(mix(values ^ _WINDOW_SALT), window)[start]
-                    rows = chunk.lo + s.text[which]
-                    columns = [s.anchor[which].view(np.int64), marks.view(np.int64), order[rows], th[rows], (start - first[s.text[which]]).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "mark", "ord", "th", "start"])
+                if not len(s.start):
+                    continue
+                own = _seen(s.content, s.anchor, s.text)
+                whole = np.flatnonzero(~own & contents.value.test(s.content))
+                hit = ~own & holders.value.test(s.content ^ order[chunk.lo + s.text].view(np.uint64))
+                which, start, marks = _windows(s, hit, values, window) if hit.any() else (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+                twice = _seen(marks, s.anchor[which], s.text[which])
+                # own repeats, moved apart by their text's number so that those of neighbouring texts do not touch
+                text = np.concatenate((s.text[own], s.text[which[twice]]))
+                lo = np.concatenate((s.start[own], start[twice])) + text
+                lo, hi = merge_spans(lo, lo + np.concatenate((s.n[own] - 1, np.zeros(twice.sum(), np.int64))) + window)
+                text = np.searchsorted(first[1:] + np.arange(len(first) - 1), lo, "right")
+                lo, hi, which, start, marks = lo - text, hi - text, which[~twice], start[~twice], marks[~twice]
+                texts = np.concatenate((text, s.text[whole], s.text[which]))
+                rows, base = chunk.lo + texts, first[texts]
+                unknown = np.arange(len(texts)) < len(text)
+                keys = [np.concatenate((np.zeros(len(text), np.uint64), *k)).view(np.int64) for k in ((s.anchor[whole], s.anchor[which]), (s.content[whole], marks))]
+                begin = np.concatenate((lo, s.start[whole], start)) - base
+                end = np.concatenate((hi, s.start[whole] + s.n[whole] - 1 + window, start + window)) - base
+                columns = [*(pa.array(k, mask=unknown) for k in keys), order[rows], th[rows], begin.astype(np.int32), end.astype(np.int32), np.arange(len(texts)) >= len(text) + len(whole)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return work.mapInArrow(run, "anchor long, mark long, ord long, th long, start int, stop int, single boolean")
+
+
+def past_windows(work: DataFrame, firsts: DataFrame, window: int, gram: int) -> DataFrame:
+    """``anchor`` and ``mark`` of the windows of the segments that are in ``firsts`` (holder())."""
+    holders = broadcast(work.sparkSession, bit_filter(firsts, firsts.columns[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = batch.column("ord").to_numpy()
+            for chunk in chunks(batch.column("text")):
+                values, first, _, _ = units(chunk, True)
+                s = Segments(values, first, window, gram)
+                if len(s.start):
+                    hit = holders.value.test(s.content ^ order[chunk.lo + s.text].view(np.uint64))
+                    hit[hit] = ~_seen(s.content[hit], s.anchor[hit], s.text[hit])
+                    if hit.any():
+                        which, _, marks = _windows(s, hit, values, window)
+                        yield pa.RecordBatch.from_arrays([pa.array(s.anchor[which].view(np.int64)), pa.array(marks.view(np.int64))], names=["anchor", "mark"])
 
-    return work.mapInArrow(run, "anchor long, mark long, ord long, th long, start int").join(anchors, "anchor", "left_semi")
+    return work.select("ord", "text").mapInArrow(run, "anchor long, mark long")
+
+
+def holder() -> Column:
+    """Tells a segment's content in its first document from the same content elsewhere. Other segments may pass a filter of
+    these; their windows are compared as well, which changes no result."""
+    return F.col("content").bitwiseXOR(F.col("ord")).alias("holder")
 
 
 @dataclass
 class Run:
-    table: str
+    table: DataFrame
     path: str
     level: int
 
@@ -76,68 +151,66 @@ class FingerprintIndex:
     runs: list[Run] = field(default_factory=list)
     history: DataFrame | None = None
 
-    def _write_run(self, rows: DataFrame, level: int) -> Run:
-        name = f"satchel_run_{uuid.uuid4().hex}"
-        run = Run(name, new_path(self.spark, name), level)
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(buckets, "content", "anchor")
-        rows.write.format("parquet").option("path", run.path).option("compression", "zstd").bucketBy(buckets, "content", "anchor").sortBy("content", "anchor").saveAsTable(name)
-        return run
-
-    def _forget(self, run: Run) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")
-        drop(self.spark, run.path)
+    def _write(self, rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = new_path(self.spark, name)
+        return materialize(rows, name, path), path
 
-    def _read(self, run: Run) -> DataFrame:
-        return self.spark.table(run.table)
+    def _write_run(self, rows: DataFrame, level: int) -> Run:
+        return Run(*self._write(rows, "run"), level)
 
     def close(self) -> None:
         """Drops all runs."""
         for run in self.runs:
-            self._forget(run)
+            drop(self.spark, run.path)
         self.runs = []
 
     def _compact(self) -> None:
         while len(same := [r for r in self.runs if r.level == self.runs[-1].level]) >= self.fanout:
-            rows = self._read(same[0])
-            for run in same[1:]:
-                rows = rows.unionByName(self._read(run))
-            merged = rows.groupBy("content", "anchor").agg(F.min("position").alias("position"), F.sum("copies").alias("copies"))
+            merged = self._held(same).groupBy("content", "anchor").agg(F.min("ord").alias("ord"))
             self.runs = [r for r in self.runs if r not in same] + [self._write_run(merged, same[0].level + 1)]
             for run in same:
-                self._forget(run)
+                drop(self.spark, run.path)
+
+    def _held(self, runs: list[Run]) -> DataFrame:
+        rows = runs[0].table.select("content", "anchor", "ord")
+        for run in runs[1:]:
+            rows = rows.unionByName(run.table.select("content", "anchor", "ord"))
+        return rows
 
     def add(self, work: DataFrame) -> DataFrame:
         """Adds a batch (with_order() rows) and returns its spans of repeated words: ord, th, start, stop."""
-        found = materialize(segments(work, self.window, self.gram, True), "segments")
-        position = F.struct("ord", "th", "start")
-        new = found.groupBy("content", "anchor").agg(F.min(position).alias("position"), F.count("*").alias("copies"))
-        run = self._write_run(new, 0)
-        new = self._read(run)
-        seen = None  # segments of the batch that history holds
-        for old in self.runs:
-            both = new.join(self._read(old).select("content", "anchor"), ["content", "anchor"], "left_semi").select("content", "anchor")
-            seen = both if seen is None else seen.unionByName(both)
-        first = new if seen is None else new.join(seen.distinct().withColumn("old", F.lit(True)), ["content", "anchor"], "left")
-        first = first if seen is not None else first.withColumn("old", F.lit(None).cast("boolean"))
-        # whole segments that came before
-        whole = spread_join(found, materialize(first, "firsts"), ["content", "anchor"], "copies").where(F.coalesce("old", F.lit(False)) | (F.col("position") < position))
-        spans = whole.select("ord", "th", "start", (F.col("start") + F.col("n") - 1 + self.window).alias("stop"))
-        # anchors in more than one context, of which one is new: their windows are compared one by one
-        contexts = first.where("old is null").select("anchor", F.lit(1).alias("new"))
-        for old in self.runs:
-            contexts = contexts.unionByName(self._read(old).select("anchor", F.lit(0).alias("new")))
-        branching = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("contexts"), F.max("new").alias("new")).where("contexts > 1 and new = 1").select("anchor"), "branching")
-        windows = materialize(window_rows(work, branching, self.window, self.gram), "windows")
-        firsts = windows.groupBy("anchor", "mark").agg(F.min(position).alias("first"), F.count("*").alias("copies"))
-        if self.history is not None:
-            past = window_rows(self.history, branching, self.window, self.gram).select("anchor", "mark").distinct().withColumn("past", F.lit(True))
-            firsts = firsts.join(past, ["anchor", "mark"], "left").where("copies > 1 or past")
+        # the first document: by its key alone where that tells the documents apart, as numbers need no sort to be aggregated
+        if work.groupBy("ord").count().where("count > 1").isEmpty():
+            first = lambda: [F.min("ord").alias("ord"), F.lit(None).cast("long").alias("th")]
         else:
-            firsts = firsts.withColumn("past", F.lit(None).cast("boolean")).where("copies > 1")
-        single = spread_join(windows, materialize(firsts, "first-windows"), ["anchor", "mark"], "copies").where(F.coalesce("past", F.lit(False)) | (F.col("first") < position))
-        spans = spans.unionByName(single.select("ord", "th", "start", (F.col("start") + self.window).alias("stop")))
+            least = F.min(F.when(F.col("ord").isNotNull(), F.struct("ord", "th")))
+            first = lambda: [least["ord"].alias("ord"), least["th"].alias("th")]
+        found = distinct_segments(work, self.window, self.gram)
+        run = self._write_run(found.groupBy("content", "anchor").agg(*first(), F.count("*").alias("copies")), 0)
+        met = run.table.withColumn("old", F.lit(False))
+        if self.runs:
+            met = met.unionByName(self._held(self.runs).select("*", F.lit(None).cast("long").alias("th"), F.lit(0).cast("long").alias("copies"), F.lit(True).alias("old")))
+        # what the runs and the batch hold, by anchor: contents that come again, and anchors in more than one context of which one is new
+        content, anchor = Window.partitionBy("anchor", "content"), Window.partitionBy("anchor")
+        met = met.repartition("anchor").withColumn("past", F.max("old").over(content))
+        met = met.withColumn("branching", (F.min("content").over(anchor) != F.max("content").over(anchor)) & ~F.min("past").over(anchor))
+        met = met.where("branching or not old and (past or copies > 1)")
+        met, met_path = self._write(met, "met")
+        again = met.where("not old and (past or copies > 1)").select("anchor", F.col("content").alias("mark"), "ord", "th", "past")
+        rows, rows_path = self._write(candidates(work, again.select("mark"), met.where("branching and not past").select(holder()), self.window, self.gram), "candidates")
+        windows = rows.where("single").select("anchor", "mark", "ord", "th")
+        if self.runs:
+            past = past_windows(self.history, met.where("branching and old").select(holder()), self.window, self.gram)
+            windows = windows.unionByName(past.select("*", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("long").alias("th")))
+        held = windows.groupBy("anchor", "mark").agg(*first(), F.count("*").alias("copies"), (F.count("ord") < F.count("*")).alias("past"))
+        again = again.unionByName(held.where("copies > 1 and ord is not null").drop("copies"))
+        again = again.select("anchor", "mark", "past", F.col("ord").alias("__ord"), F.col("th").alias("__th"))
+        later = F.col("past") | (F.col("ord") > F.col("__ord")) | ((F.col("ord") == F.col("__ord")) & (F.col("th") > F.col("__th")))
+        span = ["ord", "th", "start", "stop"]
+        spans = rows.where("anchor is null").select(span).unionByName(rows.where("anchor is not null").join(again, ["anchor", "mark"]).where(later).select(span))
         spans = materialize(spans, "spans")
+        for path in (met_path, rows_path):
+            drop(self.spark, path)
         self.runs.append(run)
         self._compact()
         self.history = work if self.history is None else self.history.unionByName(work)

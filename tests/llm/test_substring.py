@@ -1,12 +1,14 @@
 import hashlib
+import pathlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from satchel.llm import anchors, split_join, substring_index, suffix_merge
+from satchel.llm import anchors, split_join, store, substring_index, suffix_merge
 from satchel.llm.text import sliding_min_position
 from tests.llm.texts import SCHEMA, corpus
 
@@ -85,6 +87,29 @@ def test_index_keeps_first_positions_over_batches_and_compaction(spark):
     index.close()
 
 
+def test_repeats_inside_a_text_are_few_rows_and_tables_go_after_a_batch(spark):
+    phrase = " ".join(f"w{i}" for i in range(37))
+    rows = [(i, f"head{i} " + f"{phrase} " * 300 + f"tail{i}") for i in range(4)]
+    index = substring_index.FingerprintIndex(spark)
+    folder = pathlib.Path(store.shared_folder(spark).removeprefix("file:"), "satchel")
+    before = set(folder.iterdir()) if folder.exists() else set()
+    spans = index.add(anchors.with_order(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert spans.count() < 100
+    assert len(set(folder.iterdir()) - before) == 2  # the run and the spans
+    index.close()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_index.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20, 2).collect()}
+    assert got == word_brute(rows, 20)
+
+
+def test_texts_of_one_id_count_as_ordered_by_their_hash(spark):
+    texts = spark.createDataFrame([(i // 3, t or "") for i, t, *_ in corpus(4)], "doc_id long, text string").dropDuplicates()
+    rows = texts.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.th))
+    want = word_brute(list(enumerate(r.text for r in rows)), 20)
+    got = substring_index.remove_repeats(spark.createDataFrame(rows).select("doc_id", "text"), 20, 2).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted((r.doc_id, *want[i]) for i, r in enumerate(rows))
+
+
 @pytest.mark.parametrize("window,hot", [(50, 2048), (50, 1), (400, 2048), (400, 0), (3, 2048)])
 def test_bytes_match_brute_force(spark, window, hot):
     rows = corpus(2, size=120)
