@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from satchel.llm.store import gives_back
 from satchel.llm.text import chunks
 
 NO_RANK = np.int32(np.iinfo(np.int32).max)
@@ -232,6 +233,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
     keep = [c for c in docs.columns if c not in (text, "ids")] if keep is None else keep
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
@@ -250,6 +252,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> Da
     keep = [c for c in encoded.columns if c not in (ids, "text")]
     schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
@@ -269,6 +272,7 @@ def digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text
     Other columns are not read, whatever their names. A table without rows gives no rows."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
