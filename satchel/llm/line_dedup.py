@@ -15,18 +15,20 @@ have met all earlier ones. No task holds or sorts the sets of a token.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from satchel.llm.anchors import LAST, BitFilter, bit_filter, with_order
-from satchel.llm.split_join import split_by, with_spans
+from satchel.llm.split_join import split_by
 from satchel.llm.store import broadcast, materialize
-from satchel.llm.text import Chunk, byte_values, chunks, mix, prefix_sums, slice_hashes
+from satchel.llm.text import Chunk, chunks, mix, powers, prefix_sums, slice_hashes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -38,6 +40,8 @@ PIECE = 1 << 16
 #: Sets of a token in a round, as a multiple of those in the round before.
 GROWTH_BITS = 6
 GROWTH = 1 << GROWTH_BITS
+#: Bytes of text that are split into lines and words at once.
+TEXT_BYTES = 1 << 18
 #: Tokens that a task gathers before it counts them or looks for equal sets.
 GATHER = 1 << 20
 #: Bits of a filter for each value that it holds, where few of very many rows should pass.
@@ -45,36 +49,46 @@ RARE = 64
 _SEED_A, _SEED_B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
+def _line_places(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each line of a chunk starts, its text, and its number there. A text's last line is left out if it is empty."""
+    breaks = np.flatnonzero(chunk.data == 10)
+    starts = np.sort(np.concatenate((chunk.offsets[:-1], breaks + 1)))  # a text's end opens the next text
+    starts = starts[(starts < len(chunk.data)) & (np.diff(starts, prepend=-1) > 0)]
+    text = np.searchsorted(chunk.offsets[1:], starts, "right")
+    before = np.searchsorted(starts, chunk.offsets[:-1], "left")
+    return starts, text, np.arange(len(starts)) - before[np.minimum(text, len(before) - 1)]
+
+
 class Lines:
     """The lines of a chunk with ``least`` words or more: text, line number, and the tokens of each in text order."""
 
     def __init__(self, chunk: Chunk, shingle: int, least: int):
-        starts, ends, first = chunk.words()
-        breaks = np.flatnonzero(chunk.data == 10)
-        line_starts = np.union1d(chunk.offsets[:-1], breaks + 1)  # a text's end opens the next text
-        line_starts = line_starts[line_starts < len(chunk.data)]
+        starts, ends, _ = chunk.words()
+        line_starts, self.text, self.number = _line_places(chunk)
         of_word = np.searchsorted(starts, line_starts, "left")
-        words = slice_hashes(prefix_sums(byte_values(chunk.data)), starts, ends)
+        words = word_hashes(chunk.data, starts, ends)
         n_words = np.diff(np.concatenate((of_word, [len(starts)])))
         # shingles of each line; the whole line where it has fewer words
         n_tokens = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
         n_tokens[n_words < least] = 0
         self.line = np.repeat(np.arange(len(line_starts)), n_tokens)
-        at = np.repeat(of_word - np.cumsum(n_tokens) + n_tokens, n_tokens) + np.arange(len(self.line))
-        self.token = slice_hashes(prefix_sums(words), at, np.minimum(at + shingle, (of_word + n_words)[self.line]))
-        self.text = np.searchsorted(chunk.offsets[1:], line_starts, "right")
-        before = np.searchsorted(line_starts, chunk.offsets[:-1], "left")
-        self.number = np.arange(len(line_starts)) - before[np.minimum(self.text, len(before) - 1)]
+        # the shingle at each word, then those that end in their line, which gathers less than a slice for each token does
+        sums = prefix_sums(words)
+        token = np.empty(len(words), np.uint64)
+        token[: max(0, len(words) - shingle + 1)] = mix((sums[shingle:] - sums[:-shingle]) * powers(len(sums))[1][: max(0, len(words) - shingle + 1)])
+        short = np.flatnonzero((n_words > 0) & (n_words < shingle))
+        token[of_word[short]] = slice_hashes(sums, of_word[short], of_word[short] + n_words[short])
+        begins = np.repeat(n_words >= least, n_words)
+        for back in range(1, shingle):
+            begins[(of_word + n_words - back)[n_words > back]] = False
+        self.token = token[begins]
 
 
 class LineSets:
-    """The distinct tokens of each line, or of those marked in ``only``, by the rank of their counters and then by hash."""
+    """The distinct tokens of each line, by the rank of their counters and then by hash."""
 
-    def __init__(self, found: Lines, ranks: np.ndarray | None = None, only: np.ndarray | None = None):
+    def __init__(self, found: Lines, ranks: np.ndarray | None = None):
         line, token = found.line, found.token
-        if only is not None:
-            own = only[line]
-            line, token = line[own], token[own]
         key = token >> np.uint64(16)
         if ranks is not None:
             key |= ranks[(token & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48)
@@ -102,6 +116,11 @@ def _cells(binary: pa.Array) -> np.ndarray:
     return np.frombuffer(binary.buffers()[2] or b"", np.int64, (int(offsets[-1]) - int(offsets[0])) // 8, int(offsets[0]))
 
 
+def _sizes(binary: pa.Array) -> np.ndarray:
+    """How many int64 values each row of a binary column holds."""
+    return np.diff(np.frombuffer(binary.buffers()[1] or b"\0" * 4, np.int32)[binary.offset : binary.offset + len(binary) + 1]) // 8
+
+
 def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """A binary column: row i has the next ``sizes[i]`` values."""
     offsets = np.concatenate(([0], np.cumsum(sizes * 8))).astype(np.int32)
@@ -115,6 +134,7 @@ class Sets:
     heads: DataFrame
     again: BitFilter
     firsts: DataFrame
+    n_tokens: int  # of the prefixes of ``heads``
 
     def map(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, columns: list[str]) -> DataFrame:
         shared, names = broadcast(self.heads.sparkSession, self.again), list(dict.fromkeys(["a", *columns]))
@@ -189,7 +209,7 @@ def token_ranks(work: DataFrame, shingle: int, least: int) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         got, size = [], 0
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), TEXT_BYTES):
                 got.append((Lines(chunk, shingle, least).token & np.uint64(COUNTERS - 1)).astype(np.int32))
                 size += len(got[-1])
                 if size > GATHER:
@@ -252,7 +272,7 @@ def line_sets(work: DataFrame, ranks: np.ndarray, similarity: float, shingle: in
         got, gathered = [], 0
         for batch in batches:
             order, th = (batch.column(c).to_numpy() for c in ("ord", "th"))
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), TEXT_BYTES):
                 found = LineSets(Lines(chunk, shingle, least), shared.value)
                 if not len(found.at):
                     continue
@@ -270,30 +290,32 @@ def line_sets(work: DataFrame, ranks: np.ndarray, similarity: float, shingle: in
     return work.mapInArrow(run, SETS)
 
 
-def _hits(rows: DataFrame, column: str, wanted: BitFilter) -> DataFrame:
-    """The rows whose ``column`` may be in ``wanted``."""
-    shared = broadcast(rows.sparkSession, wanted)
+def _maybe_in(spark: SparkSession, wanted: BitFilter) -> Callable[[str], Column]:
+    """Whether a long column's values may be in ``wanted``. Only that column goes to Python."""
+    shared = broadcast(spark, wanted)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.test(batch.column(column).to_numpy())))
+    @F.arrow_udf("boolean")
+    def maybe(values: pa.Array) -> pa.Array:
+        return pa.array(shared.value.test(values.to_numpy()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return maybe
 
 
 def _distinct(work: DataFrame, similarity: float, shingle: int, least: int) -> tuple[DataFrame, Sets]:
     """Place of the lines that are not the first of their set with the place ``of`` one before them, and the distinct sets at
     their first place."""
-    lines = materialize(line_sets(work, token_ranks(work, shingle, least), similarity, shingle, least), "lines")
+    counted = Observation()  # as the table is written; the numbers only choose how finely hashes are dealt
+    found = line_sets(work, token_ranks(work, shingle, least), similarity, shingle, least)
+    lines = materialize(found.observe(counted, F.count("prefix").alias("heads"), F.sum(F.length("prefix")).alias("bytes")), "lines")
     heads = lines.where("prefix is not null")
-    again = bit_filter(materialize(repeated_values(heads.select("a").mapInArrow, heads.count()), "repeated-sets"), "value", RARE)
-    several = materialize(_hits(heads, "a", again), "several-sets")
+    again = bit_filter(materialize(repeated_values(heads.select("a").mapInArrow, counted.get["heads"]), "repeated-sets"), "value", RARE)
+    several = materialize(heads.where(_maybe_in(heads.sparkSession, again)("a")), "several-sets")
     firsts = several.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     firsts = materialize(firsts.select("a", "b", "size", "first.*", "prefix"), "first-sets")
     of_first = firsts.select("a", "b", F.struct(*PLACE).alias("first"))
     later = several.select("a", "b", *PLACE).join(of_first, ["a", "b"]).where(F.col("first") < F.struct(*PLACE))
     later = lines.where("prefix is null").select(*PLACE, "of").unionByName(later.select(*PLACE, F.col("first").alias("of")))
-    return later, Sets(heads, again, firsts)
+    return later, Sets(heads, again, firsts, (counted.get["bytes"] or 0) // 8)
 
 
 ENTRIES = "token long, a long, b long, ord long, th long, line int, size int, at int, shared int, level int"
@@ -308,7 +330,7 @@ def _entries(sets: Sets, often: BitFilter) -> DataFrame:
         for batch in batches:
             prefix = batch.column("prefix")
             token = _cells(prefix)
-            n = np.diff(np.frombuffer(prefix.buffers()[1] or b"\0" * 4, np.int32)[prefix.offset : prefix.offset + len(prefix) + 1]) // 8
+            n = _sizes(prefix)
             begin = np.cumsum(n) - n
             hit = wanted.value.test(token) if len(token) else np.empty(0, bool)
             before = np.cumsum(hit) - hit
@@ -339,19 +361,58 @@ def _set_tokens(work: DataFrame, places: DataFrame, shingle: int, least: int) ->
 
     wanted = broadcast(work.sparkSession, bit_filter(materialize(places.select(*PLACE).mapInArrow(hashed, "place long"), "places"), "place"))
 
+    def sets(got: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        chunk = Chunk(0, 0, np.concatenate(got), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))
+        found = LineSets(Lines(chunk, shingle, least))
+        return pa.RecordBatch.from_arrays([pa.array(found.a), pa.array(found.b), _packed(found.token.view(np.int64), found.size)], names=["a", "b", "tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, sizes, gathered = [], [], 0
         for batch in batches:
             order, th = (batch.column(c).to_numpy() for c in ("ord", "th"))
-            for chunk in chunks(batch.column("text")):
-                lines = Lines(chunk, shingle, least)
-                rows = chunk.lo + lines.text
-                hit = wanted.value.test(_place_hashes(order[rows], th[rows], lines.number)) if len(rows) else np.empty(0, bool)
-                found = LineSets(lines, None, hit)
-                if len(found.at):
-                    tokens = pa.ListArray.from_arrays(pa.array(np.concatenate((found.at, [len(found.token)])), pa.int32()), pa.array(found.token.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(found.a), pa.array(found.b), tokens], names=["a", "b", "tokens"])
+            for chunk in chunks(batch.column("text"), TEXT_BYTES):
+                starts, text, number = _line_places(chunk)
+                if not len(starts):
+                    continue
+                rows = chunk.lo + text
+                hit = wanted.value.test(_place_hashes(order[rows], th[rows], number))
+                if not hit.any():
+                    continue
+                n = np.diff(np.concatenate((starts, [len(chunk.data)])))
+                got.append(chunk.data[np.repeat(hit, n)])  # only these lines are hashed
+                sizes.append(n[hit])
+                gathered += len(got[-1])
+                if gathered > TEXT_BYTES:
+                    yield sets(got, sizes)
+                    got, sizes, gathered = [], [], 0
+        if got:
+            yield sets(got, sizes)
+
+    return work.mapInArrow(run, "a long, b long, tokens binary")
 
-    return work.mapInArrow(run, "a long, b long, tokens array<long>")
+
+def _in_common(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """How many values row i of both sides has in common: the next ``n_left[i]`` and ``n_right[i]`` values, distinct and
+    ascending in a row."""
+    n = len(n_left)
+    bits = n.bit_length()
+    rows, keys = [np.repeat(np.arange(n, dtype=np.uint64), c) for c in (n_left, n_right)], []
+    for row, own in zip(rows, (left, right)):
+        keys.append(row << np.uint64(64 - bits) | own >> np.uint64(bits))  # ascending over all rows
+    if any((k[1:] == k[:-1]).any() for k in keys):  # values that the bits left do not tell apart
+        cuts = [np.cumsum(c)[:-1] for c in (n_left, n_right)]
+        return np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(np.split(left, cuts[0]), np.split(right, cuts[1]))], np.int64)
+    if not len(right):
+        return np.zeros(n, np.int64)
+    at = np.minimum(np.searchsorted(keys[1], keys[0]), len(right) - 1)
+    same = (keys[1][at] == keys[0]) & (right[at] == left)
+    return np.bincount(rows[0][same].astype(np.int64), minlength=n)
+
+
+@F.arrow_udf(LongType())
+def _n_common(left: pa.Array, right: pa.Array) -> pa.Array:
+    sides = [x for own in (left, right) for x in (_cells(own).view(np.uint64), _sizes(own))]
+    return pa.array(_in_common(*sides))
 
 
 #: What is needed of a set at one of its tokens, besides the place.
@@ -361,8 +422,7 @@ AT = ("a", "b", "size", "at", "shared")
 def _meetings(work: DataFrame, sets: Sets, shingle: int, least: int) -> tuple[DataFrame, DataFrame]:
     """The entries of tokens that several sets have, with the earliest of these sets (``head``) and the round in which
     others meet them, and the sets' tokens."""
-    n = sets.heads.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    repeated = repeated_values(lambda run, schema: sets.map(run, schema, ["prefix"]), n // 8)
+    repeated = repeated_values(lambda run, schema: sets.map(run, schema, ["prefix"]), sets.n_tokens)
     often = bit_filter(materialize(repeated, "repeated-tokens"), "value", RARE)
     entries = materialize(_entries(sets, often), "entries").select("token", F.struct(*PLACE).alias("place"), *AT, "level")
     groups = materialize(entries.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("place", *AT)).alias("head")).where("n > 1"), "token-groups")
@@ -397,8 +457,8 @@ def _matched(entries: DataFrame, tokens: DataFrame, similarity: float) -> DataFr
         needed, _ = split_by(tokens, F.col("a"), pairs.select("l_a").union(pairs.select("r_a")))
         own, other = (needed.select(*(F.col(c).alias(f"{p}_{c}") for c in ("a", "b", "tokens"))) for p in ("l", "r"))
         checked = pairs.join(own, ["l_a", "l_b"]).join(other, ["r_a", "r_b"])
-        common = F.size(F.array_intersect("l_tokens", "r_tokens"))
-        similar = checked.where(common >= similarity * (F.size("l_tokens") + F.size("r_tokens") - common) - 1e-9)
+        checked = checked.withColumns({"common": _n_common("l_tokens", "r_tokens"), "total": ((F.length("l_tokens") + F.length("r_tokens")) / 8).cast("long")})
+        similar = checked.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9)
         new = materialize(similar.groupBy(F.col("l_a").alias("a"), F.col("l_b").alias("b")).agg(F.min("l_place").alias("place"), F.min("r_place").alias("of")), "matched")
         done = new if done is None else done.unionByName(new)
     return done
@@ -413,26 +473,17 @@ def later_matches(work: DataFrame, similarity: float = SIMILARITY, shingle: int
     return found if matched is None else found.unionByName(matched.select("place.*", "of"))
 
 
-def _without(text: str, gone: set[int]) -> str:
-    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
-
-
-def _kept_texts(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = [{s["start"] for s in spans} for spans in batch.column("spans").to_pylist()]
-            kept = [_without(t.as_py(), g) for t, g in zip(batch.column("text"), gone)]
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("th"), pa.array([len(g) for g in gone], pa.int64()), pa.array(kept, pa.string())], names=["ord", "th", "n_removed", "kept"])
-
-    return texts.mapInArrow(run, "ord long, th long, n_removed long, kept string")
-
-
-def kept_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, least: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """ord, th, n_removed and ``kept`` of the texts that lose lines; see remove_later()."""
-    work = with_order(docs, key, text)
-    gone = materialize(later_matches(work, similarity, shingle, least), "later-lines")
-    spans = gone.select("ord", "th", F.col("line").alias("start"), (F.col("line") + 1).alias("stop"))
-    return _kept_texts(with_spans(work, spans)).dropDuplicates(["ord", "th"])
+@F.arrow_udf(StringType())
+def _kept_digest(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """The SHA-256 of each text without the lines in ``gone``; null where that is null."""
+    out = []
+    for text, lines in zip(texts, gone.to_pylist()):
+        if lines is None:
+            out.append(None)
+            continue
+        own = set(lines)
+        out.append(hashlib.sha256("\n".join(line for i, line in enumerate(text.as_py().split("\n")) if i not in own).encode()).hexdigest())
+    return pa.array(out, pa.string())
 
 
 def remove_later(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, least: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -458,7 +509,12 @@ def remove_later(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``key``, ``n_lines``, ``n_removed`` and ``kept_sha256`` (of the kept lines joined by line feeds) of each row."""
-    base = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = base.select(key, "ord", "th", (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.sha2("text", 256).alias("all"))
-    cut = kept_texts(docs, key=key, text=text, **options).select("ord", "th", "n_removed", F.sha2("kept", 256).alias("own"))
-    return own.join(cut, ["ord", "th"], "left").select(key, "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("own", "all").alias("kept_sha256"))
+    gone = materialize(later_matches(with_order(docs, key, text), **options), "later-lines")
+    lines = gone.groupBy("ord", "th").agg(F.collect_set("line").alias("gone"))
+    maybe = _maybe_in(docs.sparkSession, bit_filter(gone.select("th").distinct(), "th"))
+    own = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("maybe", maybe("th"))
+    n_lines = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")
+    # one pass over the texts: those that surely lose no line are digested as they are read, only the others are shuffled
+    own = own.select(key, "ord", "th", n_lines, F.when(F.col("maybe"), F.col("text")).alias("text"), F.when(~F.col("maybe"), F.sha2("text", 256)).alias("all"))
+    cut = own.join(lines, ["ord", "th"], "left").withColumn("own", _kept_digest("text", "gone"))
+    return cut.select(key, "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), F.coalesce("own", "all", F.sha2("text", 256)).alias("kept_sha256"))

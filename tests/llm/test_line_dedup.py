@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 
 from satchel.llm import line_dedup
+from satchel.llm.text import Chunk, word_hashes
 from tests.llm.texts import SCHEMA, corpus
 
 
@@ -97,3 +98,35 @@ def test_each_match_names_an_earlier_similar_line(spark):
     similar = lambda a, b: tokens[a] and len(tokens[a] & tokens[b]) >= 0.8 * len(tokens[a] | tokens[b])
     assert all(b < a and similar(a, b) for a, b in got.items())
     assert set(got) == {a for a in tokens if any(b < a and similar(a, b) for b in tokens)}
+
+
+def test_digests_read_the_texts_once(spark, tmp_path):
+    """The last step has one scan of the texts; those that lose no line are not shuffled, and their digest is made once."""
+    spark.createDataFrame([(i, t, "k", i) for i, t in lines()], SCHEMA).write.parquet(str(tmp_path / "docs"))
+    plan = line_dedup.digests(spark.read.parquet(str(tmp_path / "docs")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("doc_id#") and sum("Relation [doc_id#" in x for x in plan.split("\n")) == 1
+
+
+def test_values_in_common_are_counted():
+    r = np.random.default_rng(8)
+    for n in range(40):
+        # values that differ in their lowest bits only, and values that differ in the highest
+        sides = [[np.unique(r.integers(0, 30, r.integers(0, 12)).astype(np.uint64) << np.uint64(r.choice([0, 58]))) for _ in range(n)] for _ in range(2)]
+        flat = [x for side in sides for x in (np.concatenate([*side, np.empty(0, np.uint64)]), np.array([len(own) for own in side], np.int64))]
+        assert line_dedup._in_common(*flat).tolist() == [len(np.intersect1d(x, y)) for x, y in zip(*sides)]
+
+
+def test_words_and_their_hashes_tell_them_apart():
+    """Words of any length, with zero bytes, and words of neighbouring texts that touch."""
+    r = np.random.default_rng(9)
+    texts = [bytes(r.choice([0, 9, 32, 97, 98], r.integers(0, 200), p=[0.2, 0.02, 0.02, 0.38, 0.38]).astype(np.uint8)) for _ in range(200)]
+    texts += [b"a", b"b", b"c", b"", b"a"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    chunk = Chunk(0, len(texts), data, np.cumsum([0, *map(len, texts)]))
+    starts, ends, first = chunk.words()
+    want = [t.split() for t in texts]
+    assert [data[a:b].tobytes() for a, b in zip(starts, ends)] == [w for own in want for w in own]
+    assert np.diff(first).tolist() == [len(own) for own in want]
+    hashes = word_hashes(data, starts, ends)
+    names = {w: h for w, h in zip((w for own in want for w in own), hashes.tolist())}
+    assert [names[w] for own in want for w in own] == hashes.tolist() and len(set(names.values())) == len(names)
