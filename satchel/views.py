@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def millis(column: str) -> Column:
-    """Epoch milliseconds of a timestamp without time zone, whatever the session's zone is: also of hours that its clocks skip."""
-    seconds = f"unix_date(CAST({column} AS DATE)) * 86400L + hour({column}) * 3600 + minute({column}) * 60"
-    return F.expr(f"({seconds}) * 1000 + CAST(floor(extract(SECOND FROM {column}) * 1000) AS BIGINT)")
+    """Epoch milliseconds of a timestamp, whatever the session's zone is: without time zone also of hours that its clocks skip,
+    with one the instant. Rounded to the nearest, halves away from 1970, as epoch_ms() of the SQL does."""
+    minutes = f"unix_date(CAST({column} AS DATE)) * 1440L + hour({column}) * 60 + minute({column})"
+    local = f"({minutes}) * 60000000 + CAST(extract(SECOND FROM {column}) * 1000000 AS BIGINT)"
+    micros = f"(CASE WHEN typeof({column}) = 'timestamp' THEN unix_micros(CAST({column} AS TIMESTAMP)) ELSE {local} END)"
+    return F.expr(f"({micros} + CASE WHEN {micros} < 0 THEN -500 ELSE 500 END) DIV 1000")
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
