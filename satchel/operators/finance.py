@@ -87,6 +87,6 @@ def trip_budgets(destinations: DataFrame, activities: DataFrame) -> DataFrame:
 
 
 def during(transactions: DataFrame, trips: DataFrame) -> DataFrame:
-    """Transactions within trips (trip_id, arrival, departure), by dyadic pieces of days."""
+    """Transactions within trips (trip_id, arrival, departure), by blocks of days."""
     days = trips.select("trip_id", F.unix_date("arrival").alias("low"), F.unix_date("departure").alias("high"))
     return within(transactions.withColumn("__day", F.unix_date("date")), "__day", days, "low", "high").groupBy("trip_id").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))

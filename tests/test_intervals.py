@@ -41,3 +41,15 @@ def test_milliseconds_do_not_depend_on_the_session_zone(spark):
             assert [r[0] for r in spark.sql(f"select * from {times}").select(V.millis("ts")).collect()] == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_many_intervals_are_not_broadcast(spark):
+    points = spark.range(-50, 40_000).select("id", (F.col("id") * 1000 + 7).alias("at"))
+    stays = spark.range(30_000).select(F.col("id").alias("stay"), (F.col("id") * 900).alias("low"), (F.col("id") * 900 + (F.col("id") % 7 - 1) * 1100).alias("high"))
+    found = within(points, "at", stays, "low", "high")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    want = sorted((p, s) for s in range(30_000) for p in range(max(-50, -((7 - s * 900) // 1000)), min(39_999, (s * 900 + (s % 7 - 1) * 1100 - 7) // 1000) + 1))
+    assert sorted((r.id, r.stay) for r in found.select("id", "stay").collect()) == want and len(want) > 60_000
+    far = points.withColumn("at", F.col("at") + 10**9)
+    assert within(far, "at", stays, "low", "high").count() == 0 and within(points.limit(0), "at", stays, "low", "high").count() == 0
