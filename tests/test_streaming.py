@@ -75,3 +75,29 @@ def test_stream_of_alerts_equals_table(spark, tmp_path):
     found = alerts.balance_alerts(stream.fillna({"account_id": -1, "id": -1}).withColumn("change", alerts.F.coalesce("change", alerts.F.lit(0))), accounts.unionByName(closing), "5", late="700 seconds")
     got = written(found, str(tmp_path / "w")).where("account_id >= 0")
     assert sorted((x.account_id, x.id, x.balance) for x in got.collect()) == want and len(want) > 10
+
+
+def test_jobs_of_a_bucket_are_answered_each_by_itself(spark, tmp_path):
+    r = random.Random(8)
+    names = [*jobs.MOVES, "dance", "", None]
+    rows = [[(j, at(r.randrange(i * 500, 500 * i + 900)), r.choice(names) if r.random() < 0.8 else "create", r.choice((None, "x", "y"))) for j in r.choices(range(-20, 60), k=300)] for i in range(2)]
+    log = written(jobs.transitions(streamed(spark, tmp_path, rows, COMMANDS), late="1 hour", buckets=3), str(tmp_path / "w"))
+    now, want = {}, []
+    for batch in rows:
+        for j, t, command, error in sorted(batch, key=lambda x: (x[1], jobs.RANK.get(x[2], 99), x[2] or "", x[3] or "")):
+            status, last = now.get(j, (None, None))
+            allowed, after = jobs.MOVES.get(command, ((), None))
+            reason = "unknown command" if command not in jobs.MOVES else "older than the last change" if last and t < last else None
+            if reason is None and status not in allowed:
+                reason = "there is no such job" if status is None else "the job is there" if command == "create" else f"the job is {status}"
+            if reason is None:
+                now[j] = after, t
+            want.append((j, int(t.timestamp()) * 1000, command or "", status, after if reason is None else status, reason is None, reason, None if reason else error))
+    got = [tuple(x[c] for c in ("job_id", "at", "command", "before", "after", "accepted", "reason", "error")) for x in log.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({x[6] for x in want}) > 7
+
+
+def test_jobs_cross_to_python_by_buckets(spark, tmp_path):
+    stream = spark.readStream.schema(COMMANDS).parquet(str(tmp_path))
+    plan = jobs.transitions(stream, buckets=5)._jdf.queryExecution().analyzed().toString()
+    assert "WithState" in plan and "[bucket#" in plan
