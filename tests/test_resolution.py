@@ -61,3 +61,16 @@ def test_pieces_are_compared_after_the_join_not_in_it(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (("blue sky", "acme"), ("blue skies", "acme")))
     joins = [x for x in R.similar_names(a, b)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert any("bit_count" in x for x in joins) and not any("bit_count" in x and "array_intersect" in x for x in joins)
+
+
+def test_pairs_of_frequent_pieces_are_compared_in_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    entities = sorted({norm(x) for x in names(r, 150)} | {"a", "ab", "a" * 90, "dé \U0001f600 b"})
+    mentions = sorted({norm(mutated(r, x)) for x in entities} | set(map(norm, names(r, 60))) - {""})
+    own = [spark.createDataFrame([(x,) for x in mentions], "name string"), spark.createDataFrame([(x, i) for i, x in enumerate(entities)], "name string, id long")]
+    for rare, block, least in ((0, 16, 0.5), (20, 7, 0.3), (0, 1 << 15, 0.8)):
+        monkeypatch.setattr(R, "RARE", rare)
+        monkeypatch.setattr(R, "BLOCK", block)
+        got = [(x.mention_name, x.entity_name, x.entity_id, round(x.score, 9)) for x in R.similar_names(*own, least).collect()]
+        want = [(a, b, i, round(score(a, b), 9)) for a in mentions if a for i, b in enumerate(entities) if score(a, b) >= least - 1e-9]
+        assert sorted(got) == sorted(want) and len(got) > 20
